@@ -26,6 +26,8 @@ DIM = 16
 NGRAMS = (2, 3, 4)
 #: Labelled documents of each class to learn from, at most; the ones of least hash are taken.
 PER_CLASS = 2000
+#: Zero vectors that every average takes in besides, so that a few letters don't decide alone.
+STILL = 10
 #: Bucket of "this word is the one before it".
 REPEAT = 0
 #: Characters that are looked at in one go; blocks end between words, and a longer word is cut there.
@@ -109,7 +111,7 @@ class QualityModel:
         total, n = 0.0, 0
         for ids in features(text):
             total, n = total + float(self.weight[ids].sum()), n + len(ids)
-        z = self.bias + (total / n if n else 0.0)
+        z = self.bias + total / (n + STILL)
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
@@ -121,7 +123,7 @@ def fit(rows: list[tuple[int, bytes, bytes]], share: dict[int, float], epochs: i
     docs = []
     for label, at, n in rows:
         ids, counts = np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.float32).astype(np.float64)
-        docs.append((label, ids, counts / counts.sum() if len(counts) else counts))
+        docs.append((label, ids, counts / (counts.sum() + STILL)))
     have = np.bincount([d[0] for d in docs], minlength=2) / max(1, len(docs))
     weigh = [share.get(k, 0) / have[k] if have[k] else 0.0 for k in (0, 1)]
     weigh = [w / max(1.0, *weigh) for w in weigh]
