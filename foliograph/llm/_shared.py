@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..shipping import ship
+
 #: Runs of these bytes separate words; it is what ``bytes.split()`` splits on.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,8 +17,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Let an Arrow batch hold at most ``rows`` rows, so that long texts fit in a worker."""
+def python_ready(spark: SparkSession, rows: int = 512) -> None:
+    """Ship the package to the workers, and let an Arrow batch hold at most ``rows`` rows, so that long texts fit in one."""
+    ship(spark)
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if now <= 0 or now > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, sequence_packing, simhash_dedup, source_mixing
+from . import chat_format, html_render, license_scan, media_columns, neighbour_search, quality_classifier, sequence_packing, simhash_dedup, source_mixing, token_counts
 
 QUERIES = {
     "op1_source_mixing": source_mixing.query,
     "op2_sequence_packing": sequence_packing.query,
     "op3_simhash_dedup": simhash_dedup.query,
+    "op4_html_render": html_render.query,
+    "op5_chat_format": chat_format.query,
     "op6_quality_classifier": quality_classifier.query,
+    "op7_license_scan": license_scan.query,
+    "op8_media_columns": media_columns.query,
+    "op9_neighbour_search": neighbour_search.query,
+    "op10_token_counts": token_counts.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_chat_format": chat_format.ORACLE}

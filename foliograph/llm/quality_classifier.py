@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ._shared import bounded_batches, read_table
+from ._shared import python_ready, read_table
 
 #: Buckets of hashed features, their vectors' width, and lengths of character n-grams.
 BUCKETS = 1 << 15
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels the least counts.  Only that bounded sample reaches the driver, as
     bucket counts.  Without labels the model scores everything 0.5.
     """
-    bounded_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("quality"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: li
     Null and empty texts are scored by the bias alone.  No other column is an input.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    python_ready(spark)
     keep = list(keep)
     rows = docs.select(F.col(text_col).cast("string").alias("_scored"), *(F.col(f"`{c}`") for c in keep))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])

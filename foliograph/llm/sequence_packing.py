@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import bounded_batches, read_table
+from ._shared import python_ready, read_table
 
 CAPACITY = 2048
 END_ID = 1
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
     with room, so padding stays below one sequence in some hundreds.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    python_ready(spark)
     groups = max(1, -(-docs.count() // GROUP))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = rows.mapInArrow(partial(_cut_batches, vocabulary=vocabulary, capacity=capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rest binary")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._shared import bounded_batches, cut, fit_for_broadcast, read_table
+from ._shared import python_ready, cut, fit_for_broadcast, read_table
 from .components import connected_components
 
 SEED = 42
@@ -67,7 +67,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int) -> Itera
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): one row per document, the fingerprint as a signed long."""
-    bounded_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(partial(_fingerprint_batches, width=width), "doc_id long, fp long")
 
@@ -250,7 +250,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ones.  A null doc_id counts as the greatest; of rows alike in doc_id and
     text one stays.  All columns come back unchanged.
     """
-    bounded_batches(spark)
+    python_ready(spark)
     names = docs.columns
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     rows = cut(own.mapInArrow(_wide_batches, "doc_id long, th long, same binary, " + ", ".join(f"{w} long" for w in WIDE)))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ._shared import cut, fit_for_broadcast, read_table, word_count
+from ._shared import cut, fit_for_broadcast, python_ready, read_table, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST, SEED = 1.5, 2.0, 42
@@ -134,6 +134,7 @@ def fit_mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     length that a third of all rows share is never sorted in one task: counts
     of 4,096 slices of the hash's range, then the one slice that the cut is in.
     """
+    python_ready(rows.sparkSession)
     sliced = rows.groupBy("skey", "size", F.shiftright("h", 52).alias("slice")).agg(F.count("*").alias("n"))
     sliced = cut(sliced)
     sizes = sliced.groupBy("skey", "size").agg(F.sum("n").alias("n"))
