@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -52,3 +53,26 @@ def parts(spark: SparkSession) -> int:
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null, without a Python worker."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+class WordMemo(dict):
+    """Word -> ``make(word)``, remembered for a bounded number of short words.
+
+    Two generations of at most ``words / 2`` each: a full one becomes the old
+    one and the one before it goes; words that are met again move up.
+    """
+
+    def __init__(self, make: Callable[[bytes], object], words: int, longest: int = 64):
+        self.make, self.half, self.longest, self.old = make, words // 2, longest, {}
+
+    def __missing__(self, word: bytes):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+            if len(word) > self.longest:
+                return value
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
+        return value

@@ -8,16 +8,18 @@ that no sequence has room for is cut over the emptiest ones.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import python_ready, read_table
+from ._shared import WordMemo, python_ready, read_table
 
 CAPACITY = 2048
 END_ID = 1
@@ -25,16 +27,16 @@ END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Documents that are packed together, on average; a task holds their rests.
 GROUP = 4096
-KEEP_BYTES, KEEP_WORDS = 64, 300_000
+#: Words that a worker remembers, at most.
+KEEP_WORDS = 1_000_000
 
 
-class TokenIds(dict):
+class TokenIds:
     """A text's ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's tokenizer drops white space before anything crosses it, so
-    a text's ids are those of its words, one after another; a bounded number of
-    short words is remembered.  Texts that hold a special token's string are
-    encoded whole.
+    The vocabulary's tokenizer lower-cases, and drops white space before anything
+    crosses it, so a text's ids are those of its words, one after another; words
+    are remembered.  Texts that hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -42,22 +44,25 @@ class TokenIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = WordMemo(self.encode, KEEP_WORDS)
 
     def encode(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= KEEP_BYTES:
-            if len(self) >= KEEP_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        ids = array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def of(self, text: bytes) -> bytes:
-        if any(s in text for s in self.special):
+        low = text.lower()
+        if b"<|" in low and any(s in low for s in self.special):
             return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.known.__getitem__, low.split()))
+
+
+@lru_cache(maxsize=1)
+def _ids_of(vocabulary: str) -> TokenIds:
+    """One for a worker process, whatever the number of its tasks."""
+    return TokenIds(vocabulary)
 
 
 def cost(length):
@@ -94,7 +99,7 @@ def assign(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    ids_of = TokenIds(vocabulary)
+    ids_of = _ids_of(vocabulary)
     end = np.array([END_ID], dtype="<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rest"]
     for b in batches:

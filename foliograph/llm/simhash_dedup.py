@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from itertools import accumulate
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._shared import python_ready, cut, fit_for_broadcast, read_table
+from ._shared import WordMemo, cut, python_ready, fit_for_broadcast, read_table
 from .components import connected_components
 
 SEED = 42
@@ -157,20 +157,19 @@ MAX_BITS = 56
 SHINGLE, SIMILARITY = 5, 0.8
 #: Buckets' members that are all compared with one another; of more, each is compared with the bucket's ends.
 ALL_PAIRS = 32
-KEEP_BYTES, KEEP_WORDS = 64, 300_000
+#: Words that a worker remembers, at most.
+KEEP_WORDS = 500_000
 WIDE = [f"w{k}" for k in range(WORDS64)]
 
 
-class _WordBits(dict):
-    """Word -> its hashes' bits packed in bytes, for a bounded number of short words."""
+def _word_bits(word: bytes) -> bytes:
+    return b"".join(xxhash.xxh64_digest(word, s) for s in range(WORDS64))
 
-    def __missing__(self, word: bytes) -> bytes:
-        bits = b"".join(xxhash.xxh64_digest(word, s) for s in range(WORDS64))
-        if len(word) <= KEEP_BYTES:
-            if len(self) >= KEEP_WORDS:
-                self.clear()
-            self[word] = bits
-        return bits
+
+@lru_cache(maxsize=1)
+def _bits_of() -> WordMemo:
+    """A word's hashes' bits packed in bytes; one memory for a worker process."""
+    return WordMemo(_word_bits, KEEP_WORDS)
 
 
 def wide_simhash(words: list[bytes], bits_of: dict[bytes, bytes]) -> bytes:
@@ -187,7 +186,7 @@ def wide_simhash(words: list[bytes], bits_of: dict[bytes, bytes]) -> bytes:
 
 
 def _wide_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits_of = _WordBits()
+    bits_of = _bits_of()
     for batch in batches:
         prints, same = [], []
         for t in batch.column(2).cast(pa.binary()):
