@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import extract_queries, ingest_queries, search_queries
+from .search_queries import flagship
+
+QUERIES = search_queries.QUERIES | ingest_queries.QUERIES | extract_queries.QUERIES
+ORACLES = search_queries.ORACLES | ingest_queries.ORACLES | extract_queries.ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
