@@ -22,6 +22,9 @@ from ._shared import read_table
 #: Words of a shingle (a shorter template is one shingle), bands, and the share of a template's shingles that a match holds.
 SHINGLE, BANDS, CONTAINED = 5, 64, 0.8
 
+#: Words too frequent to tell texts apart by.
+FREQUENT = frozenset("a an and any are as at be by copy file for from general have if in is it may must not of on or public shall source terms than that the this to under use used was with without work you your code program notice above list other all no hope useful option".split())
+
 #: License notices as they stand in files and pages.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
@@ -70,32 +73,42 @@ def _band_hash(shingle: int, band: int) -> int:
     return _signed(xxhash.xxh64_intdigest((shingle & (1 << 64) - 1).to_bytes(8, "little"), first))
 
 
+def _gram_hash(words: list[str]) -> int:
+    """What Spark's xxhash64 gives for the words as columns: each one's XXH64, seeded with the hash before it."""
+    value = 42
+    for w in words:
+        value = xxhash.xxh64_intdigest(w.encode(), value)
+    return _signed(value)
+
+
 class Templates:
-    """What a scan needs to know of its templates: per length class their shingles, bands and anchors."""
+    """What a scan needs to know of its templates: their shingles and bands, and the anchors (least shingles) of each length class."""
 
     def __init__(self, texts: dict[str, str]):
-        self.shingles: dict[tuple[int, int], dict[str, list[int]]] = {}
-        anchors: dict[int, tuple[str, ...]] = {}
         self.bands: list[tuple[int, int, int, str, int]] = []
+        self.sets: list[tuple[str, int, list[int]]] = []
+        #: (words of a class, words of a shingle) -> hashes
+        self.anchors: dict[tuple[int, int], set[int]] = {}
+        spelled: set[tuple[str, ...]] = set()
         for name, text in texts.items():
             words = template_words(text)
             if not words:
                 continue
             width, size = min(SHINGLE, len(words)), _length_class(len(words))
-            grams = {_signed(xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode(), 42)): tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
-            self.shingles.setdefault((size, width), {})[name] = sorted(grams)
+            grams = {_gram_hash(words[i : i + width]): tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+            self.sets.append((name, len(grams), sorted(grams)))
             for band in range(BANDS):
                 least = min(grams, key=lambda g: _band_hash(g, band))
-                anchors[least] = grams[least]
+                self.anchors.setdefault((size, width), set()).add(least)
+                spelled.add(grams[least])
                 self.bands.append((size, width, band, name, _band_hash(least, band)))
-        self.anchors = sorted(anchors)
         # every anchor holds one of these words, so a text without any holds no anchor
         self.needed: list[str] = []
-        left = set(anchors.values())
-        while left:
-            best = max(sorted({w for g in left for w in g}), key=lambda w: (sum(w in g for g in left), len(w)))
+        telling = {g: [w for w in g if w not in FREQUENT and not w.isdigit()] or list(g) for g in spelled}
+        while telling:
+            best = max(sorted({w for ws in telling.values() for w in ws}), key=lambda w: (sum(w in ws for ws in telling.values()), len(w)))
             self.needed.append(best)
-            left = {g for g in left if best not in g}
+            telling = {g: ws for g, ws in telling.items() if best not in ws}
 
 
 @lru_cache(maxsize=4)
@@ -103,13 +116,20 @@ def _known(items: tuple[tuple[str, str], ...]) -> Templates:
     return Templates(dict(items))
 
 
-def _windows(words: Column, classes: list[tuple[int, int]]) -> Column:
-    """Array of (size, width, start, words): windows of 2 x size words from every ``size``-th word on."""
-    def of(size: int, width: int) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - F.lit(size) - 1, F.lit(0)), F.lit(size))
-        return F.transform(starts, lambda s: F.struct(F.lit(size).alias("size"), F.lit(width).alias("width"), s.alias("start"), F.slice(words, s + 1, F.lit(2 * size)).alias("words")))
+def _grams(width: int) -> Column:
+    """The hashes of a text's shingles of ``width`` words, in order, from its words ``ws``."""
+    return F.transform(F.sequence(F.lit(0), F.size("ws") - width), lambda i: F.xxhash64(*(F.get("ws", i + k) for k in range(width))))
+
+
+def _windows(known: Templates) -> Column:
+    """Array of (size, width, start, grams): of all windows of 2 x size words from every ``size``-th word on, those around an anchor of their class."""
+
+    def of(size: int, width: int, anchors: set[int]) -> Column:
+        near = F.filter(f"p{width}", lambda p: F.get(f"g{width}", p).isin(*sorted(anchors)))
+        starts = F.array_distinct(F.flatten(F.transform(near, lambda p: F.array(p - p % size, p - p % size - size))))
+        return F.transform(F.filter(starts, lambda s: s >= 0), lambda s: F.struct(F.lit(size).alias("size"), F.lit(width).alias("width"), s.alias("start"), F.slice(f"g{width}", s + 1, F.lit(2 * size - width + 1)).alias("grams")))
 
-    return F.concat(*(of(size, width) for size, width in classes))
+    return F.concat(*(of(size, width, anchors) for (size, width), anchors in sorted(known.anchors.items())))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,29 +138,35 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     Words are runs of a-z and 0-9 after lower-casing.  ``containment``: the
     greatest share of the template's shingles that one window holds (0.8 or
     more); ``first_word``: where the first such window starts; ``n_windows``:
-    how many windows hold it.  Rows that repeat an id are told apart by their
-    text only; documents without a license, null and empty texts have no row.
+    how many windows hold it.  Rows that repeat an id
+    have rows of their own; documents without a license, null and empty texts have no row.
     """
     known = _known(tuple((TEMPLATES if templates is None else templates).items()))
     spark = docs.sparkSession
-    lowered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("low"))
-    some = reduce(lambda a, b: a | b, (F.contains("low", F.lit(w)) for w in known.needed), F.lit(False))
+    if not known.sets:
+        return spark.createDataFrame([], "doc_id long, license string, containment double, first_word long, n_windows long")
+    widths = sorted({w for _, w in known.anchors})
+    every = {w: sorted(set().union(*(a for (_, x), a in known.anchors.items() if x == w))) for w in widths}
+    # partition and row number make a row's identity.  Not being deterministic, they and r1 and r2 also keep the optimizer
+    # from working lower-cased texts and arrays out again inside each filter and lambda that looks at them.
+    lowered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("low"), F.spark_partition_id().alias("part"))
+    some = reduce(lambda a, b: a | b, (F.contains("low", F.lit(w)) for w in known.needed))
     words = F.split(F.trim(F.regexp_replace("low", "[^a-z0-9]+", " ")), " ")
-    candidates = lowered.where(some).select("doc_id", F.xxhash64("low").alias("th"), words.alias("ws"))
-    classes = sorted(known.shingles)
-    cut = candidates.select("doc_id", "th", F.explode(_windows(F.col("ws"), classes)).alias("w")).select("doc_id", "th", "w.*")
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("width") + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, F.col("width")), " ")))
-    shingled = cut.where(F.size("words") >= F.col("width")).select("doc_id", "th", "size", "width", "start", grams.alias("grams"))
-    shingled = shingled.where(F.arrays_overlap("grams", F.array(*(F.lit(a).cast("long") for a in known.anchors))))
+    rows = lowered.where(some).select("doc_id", "part", F.monotonically_increasing_id().alias("row"), words.alias("ws"))
+    empty = F.array().cast("array<bigint>")
+    rows = rows.select("doc_id", "part", "row", F.rand(0).alias("r1"), *(F.when(F.size("ws") >= w, _grams(w)).otherwise(empty).alias(f"g{w}") for w in widths))
+    place = lambda w: F.filter(F.sequence(F.lit(0), F.greatest(F.size(f"g{w}") - 1, F.lit(0))), lambda i: F.coalesce(F.get(f"g{w}", i).isin(*every[w]), F.lit(False)))
+    rows = rows.select("*", F.rand(0).alias("r2"), *(place(w).alias(f"p{w}") for w in widths)).where(reduce(lambda a, b: a | b, (F.size(f"p{w}") > 0 for w in widths)))
+    shingled = rows.where("r1 >= 0 and r2 >= 0").select("doc_id", "part", "row", F.explode(_windows(known)).alias("w")).select("doc_id", "part", "row", "w.*")
     least = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform("grams", lambda g: F.xxhash64(b.cast("long"), g))).alias("value")))
-    banded = shingled.withColumn("b", F.explode(least)).select("doc_id", "th", "size", "width", "start", "grams", "b.band", "b.value")
+    banded = shingled.select("doc_id", "part", "row", "size", "width", "start", "grams", F.explode(least).alias("b")).select("doc_id", "part", "row", "size", "width", "start", "grams", "b.band", "b.value")
     index = spark.createDataFrame(known.bands, "size int, width int, band int, license string, value long")
-    sets = spark.createDataFrame([(name, len(g), g) for group in known.shingles.values() for name, g in group.items()], "license string, n int, own array<long>")
+    sets = spark.createDataFrame(known.sets, "license string, n int, own array<long>")
     # the index has BANDS rows a template, so its size does not depend on the documents
     met = banded.join(F.broadcast(index), ["size", "width", "band", "value"]).join(F.broadcast(sets), "license")
     share = F.size(F.array_intersect("own", "grams")) / F.col("n")
-    held = met.select("doc_id", "th", "license", "start", share.alias("share")).where(F.col("share") >= CONTAINED)
-    found = held.groupBy("doc_id", "th", "license").agg(F.max("share").alias("containment"), F.min("start").cast("long").alias("first_word"), F.count_distinct("start").alias("n_windows"))
+    held = met.select("doc_id", "part", "row", "license", "start", share.alias("share")).where(F.col("share") >= CONTAINED)
+    found = held.groupBy("doc_id", "part", "row", "license").agg(F.max("share").alias("containment"), F.min("start").cast("long").alias("first_word"), F.count_distinct("start").alias("n_windows"))
     return found.select("doc_id", "license", "containment", "first_word", "n_windows")
 
 
