@@ -310,6 +310,7 @@ def render(root: Node) -> str:
             tables[-1][0][-1].append((cell, min(1000, int(span)) if span.isascii() and span.isdigit() and span != "0" else 1))
         elif tag == "table" and tables:
             rows, _ = tables.pop()
+            flow.line()
             if any(cell for row in rows for cell, _ in row):
                 for line in _table_lines([row for row in rows if row]):
                     flow._put(line)

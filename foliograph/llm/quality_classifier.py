@@ -15,7 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
 from ._shared import python_ready, read_table
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: li
     python_ready(spark)
     keep = list(keep)
     rows = docs.select(F.col(text_col).cast("string").alias("_scored"), *(F.col(f"`{c}`") for c in keep))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(partial(_score_batches, model=spark.sparkContext.broadcast(model)), schema)
 
 
@@ -205,5 +205,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored 0.5 or more; all columns, whole texts."""
     model = train(docs, read_table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return score(docs, model, keep=names).where("score >= 0.5").select(*(f"`{c}`" for c in names))
+    whole = docs.select(F.struct("*").alias("doc"), "text")
+    return score(whole, model, keep=["doc"]).where("score >= 0.5").select("doc.*")

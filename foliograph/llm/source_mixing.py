@@ -158,27 +158,26 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """
     facts = _facts(docs, id_col, source_col, text_col)
     plan = fit_mix(cut(docs.select(*facts)), weights, share, most)
-    return _taken(docs.select(*(F.col(f"`{c}`") for c in keep), *(f.alias(f"_{n}") for f, n in zip(facts, ("skey", "size", "h"), strict=True))), plan)
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc")
+    return _taken(docs.select(kept, *facts), plan).select("doc.*", "_size", "_source_size", "_target", "_times")
 
 
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    plan = plan.select(*(F.col(c).alias(f"p_{c}") for c in plan.columns))
-    out = rows.join(fit_for_broadcast(plan), (F.col("_skey") == F.col("p_skey")) & (F.col("_size") == F.col("p_size")))
-    times = F.when(F.col("_size") > 0, F.col("p_passes") + F.coalesce((F.col("_h") <= F.col("p_last")).cast("long"), F.lit(0))).otherwise(F.lit(0))
-    kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("_skey", "_h")]
-    return out.select(*kept, F.col("p_source_size").alias("_source_size"), F.col("p_target").alias("_target"), times.alias("_times"))
+    """``rows`` (doc, skey, size, h) with what the plan says of them."""
+    out = rows.join(fit_for_broadcast(plan), ["skey", "size"])
+    times = F.when(F.col("size") > 0, F.col("passes") + F.coalesce((F.col("h") <= F.col("last")).cast("long"), F.lit(0))).otherwise(F.lit(0))
+    return out.select("doc", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), times.alias("_times"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: what the mix takes of every document."""
     docs = read_table(spark, sf_dir, "documents")
-    rows = cut(docs.select("doc_id", *_facts(docs, "doc_id", "source", "text")))
-    found = _taken(rows.select("doc_id", F.col("skey").alias("_skey"), F.col("size").alias("_size"), F.col("h").alias("_h")), fit_mix(rows))
-    return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
+    rows = cut(docs.select(F.col("doc_id").alias("doc"), *_facts(docs, "doc_id", "source", "text")))
+    found = _taken(rows, fit_mix(rows))
+    return found.select(F.col("doc").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix itself; a document taken twice comes back as two rows, one not taken doesn't."""
-    names = docs.columns
-    rows = mix(docs, keep=names).where("_times > 0")
-    return rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*(F.col(f"`{c}`") for c in names))
+    rows = mix(docs.select(F.struct("*").alias("doc"), "doc_id", "source", "text"), keep=["doc"]).where("_times > 0")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("doc.*")
