@@ -8,7 +8,8 @@ by key, page texts are conversation turns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import fold
 
@@ -30,14 +31,25 @@ def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def articles(spark: SparkSession, sf_dir: str, norm: Column | None = None) -> DataFrame:
+_taken_in: dict[tuple[str, str], DataFrame] = {}
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles as they are taken in: text is folded once and kept for all queries of the session, on disk where memory ends."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _taken_in:
+        _taken_in[key] = raw_articles(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return _taken_in[key]
+
+
+def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         key.alias("id"),
         key.alias("bulletin"),
         key.alias("number"),
         F.col("text").alias("summary"),
-        (fold(F.col("text")) if norm is None else norm).alias("norm"),
+        fold(F.col("text")).alias("norm"),
         F.col("lang").alias("department"),
         F.col("source").alias("section"),
         fold(F.col("source")).alias("section_norm"),
