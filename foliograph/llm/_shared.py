@@ -55,6 +55,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_held: dict[str, object] = {}
+
+
+def worker_memory(name: str, make: Callable[[], object]):
+    """What ``make`` gives, kept in a Python worker for its further tasks; only the last name asked for is kept."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 class WordMemo(dict):
     """Word -> ``make(word)``, remembered for a bounded number of short words.
 

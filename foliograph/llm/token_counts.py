@@ -15,7 +15,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import python_ready, read_table
+from ._shared import python_ready, read_table, worker_memory
 
 #: Stands for the space before a word, as in the vocabulary's pieces.
 SPACE = "▁"
@@ -24,7 +24,9 @@ UNIT = 1_000_000
 #: A byte of a character that no piece covers scores so much less than the rarest piece.
 BYTE_PENALTY = 10 * UNIT
 #: Nodes and words that a worker keeps before it starts anew, and the longest word (characters) that is put in the trie.
-NODES, WORDS, LONGEST = 400_000, 300_000, 64
+NODES, WORDS, LONGEST = 1_000_000, 600_000, 64
+#: Tokens that a value has room for.
+PACK = 1 << 40
 
 
 def load_pieces(path: str) -> dict[str, int]:
@@ -45,66 +47,63 @@ def load_pieces(path: str) -> dict[str, int]:
 class TrieCounts(dict):
     """Word (UTF-8 bytes) -> tokens of its best segmentation; fewest tokens among equally good ones.
 
-    Nodes are numbers; ``ways`` leads from (node, character) to the next node,
-    ``best`` holds a node's forward score and ``least`` its token count.
+    Nodes are numbers; ``ways`` leads from a node and a character to the next
+    node.  A node's value is one whole number, score x PACK - tokens, so that
+    adding a piece is one sum, and the greater of two values is the better
+    score, or with equal scores the fewer tokens.
     """
 
     def __init__(self, pieces: dict[str, int]):
-        self.pieces = pieces
+        #: endings of pieces -> value of the piece, or None if it is no piece itself
+        self.gains: dict[str, int | None] = {p[k:]: None for p in pieces for k in range(len(p))}
+        self.gains |= {p: score * PACK - 1 for p, score in pieces.items()}
         self.longest = max(map(len, pieces))
-        self.endings = {p[k:] for p in pieces for k in range(len(p))}
-        self.rarest = min(pieces.values()) - BYTE_PENALTY
+        self.byte = (min(pieces.values()) - BYTE_PENALTY) * PACK - 1
         self.worked = 0
         self._anew()
 
     def _anew(self) -> None:
         self.clear()
-        self.ways: dict[tuple[int, str], int] = {}
-        self.best, self.least = [0], [0]
-
-    def _step(self, text: str, end: int, at) -> tuple[int, int]:
-        """Forward score and least count of text[:end]; ``at(j)`` gives those of text[:j]."""
-        n = len(text[end - 1].encode("utf-8", "replace"))
-        score, count = at(end - 1)
-        found = (score + n * self.rarest, -(count + n))
-        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-            piece = text[start:end]
-            if piece not in self.endings:
-                break
-            if piece in self.pieces:
-                score, count = at(start)
-                found = max(found, (score + self.pieces[piece], -(count + 1)))
+        self.ways: dict[int, int] = {}
+        self.best = [0]
+
+    def _step(self, text: str, end: int, before: list[int]) -> int:
+        """The value of text[:end]; ``before[-j]`` is that of the text without its last j characters."""
         self.worked += 1
-        return found[0], -found[1]
+        found, gains = before[-1] + len(text[end - 1].encode("utf-8", "replace")) * self.byte, self.gains
+        for j in range(1, min(end, self.longest) + 1):
+            gain = gains.get(text[end - j : end], 0)
+            if gain == 0:  # no piece ends like that
+                break
+            if gain is not None and before[-j] + gain > found:
+                found = before[-j] + gain
+        return found
 
     def __missing__(self, word: bytes) -> int:
         text = SPACE + word.decode("utf-8", "replace")
+        before = [0]
         if len(text) > LONGEST:
-            window = [(0, 0)]
             for end in range(1, len(text) + 1):
-                base = end - len(window)  # only the last ``longest`` places are looked at
-                window.append(self._step(text, end, lambda j, base=base: window[j - base]))
-                if len(window) > self.longest + 1:
-                    del window[0]
-            return window[-1][1]
+                before.append(self._step(text, end, before))
+                if len(before) > 2 * self.longest:
+                    del before[: self.longest]
+            return -before[-1] % PACK
         if len(self) >= WORDS or len(self.best) >= NODES:
             self._anew()
-        path = [0]
+        node, ways, best = 0, self.ways, self.best
         for end, char in enumerate(text, 1):
-            key = (path[-1], char)
-            node = self.ways.get(key)
-            if node is None:
-                score, count = self._step(text, end, lambda j: (self.best[path[j]], self.least[path[j]]))
-                node = self.ways[key] = len(self.best)
-                self.best.append(score)
-                self.least.append(count)
-            path.append(node)
-        self[word] = self.least[path[-1]]
-        return self[word]
+            key = node << 21 | ord(char)
+            node = ways.get(key, 0)
+            if not node:
+                node = ways[key] = len(best)
+                best.append(self._step(text, end, before))
+            before.append(best[node])
+        self[word] = count = -before[-1] % PACK
+        return count
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
-    counts = TrieCounts(load_pieces(vocabulary))
+    counts = worker_memory(f"counts of {vocabulary}", lambda: TrieCounts(load_pieces(vocabulary)))
     for b in batches:
         words = [(t.as_py() or b"").split() for t in b.column(1).cast(pa.binary())]
         tokens = [sum(map(counts.__getitem__, w)) for w in words]
@@ -115,7 +114,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """(doc_id, n_words, n_tokens) of every whole text; null and empty texts have none.
 
     Pre-tokens are words between ASCII white space, each with the space mark
-    before it.  One pass, no shuffle; every task has a trie of its own, of
+    before it.  One pass, no shuffle; every worker has a trie of its own, of
     bounded size.  Repeated rows come back as often as they came.
     """
     python_ready(docs.sparkSession)
