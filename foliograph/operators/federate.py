@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+# Gaps that are fetched of a bulletin; budgets by default and at most.
 HIDDEN_MOST = 20
 BULLETINS, ARTICLES = (20, 100), (100, 500)
 

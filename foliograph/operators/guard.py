@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+# Budget, cooldown and lease.
 WINDOW_SECONDS, MAX_ERRORS = 600, 3
 COOLDOWN_SECONDS, RETRY_AFTER_MOST = 4500, 86_400
 SILENT_FAILURES = 2

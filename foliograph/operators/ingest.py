@@ -13,6 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+# Origins, and when a bulletin is given up, recent, or left for the next run.
 NEW, OLD = "new", "old"
 #: Broken answers in a row after which a bulletin is given up.
 GIVE_UP = 2

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Characters of a chunk by default, at least and at most.
 CHUNK, LEAST, MOST = 20_000, 1_000, 100_000
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..shipping import ship
 from ..functions.text import Term, fold_text, highlighter, parse_terms, phrase_count, positive_phrases, predicate
 
+# Limits of a page, and the relevance formula's constants.
 DEFAULT_LIMIT, MOST, FURTHEST = 20, 200, 1_000_000
 #: bm25 constants, the weight of terms that are in over half the rows, and the n-gram length that sets a document's length.
 K1, B, COMMON, GRAM = 1.2, 0.75, 1e-6, 3
