@@ -12,14 +12,14 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import WordMemo, python_ready, read_table
+from ._shared import WordMemo, python_ready, read_table, worker_memory
 
 CAPACITY = 2048
 END_ID = 1
@@ -29,6 +29,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP = 4096
 #: Words that a worker remembers, at most.
 KEEP_WORDS = 1_000_000
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class TokenIds:
@@ -36,7 +37,8 @@ class TokenIds:
 
     The vocabulary's tokenizer lower-cases, and drops white space before anything
     crosses it, so a text's ids are those of its words, one after another; words
-    are remembered.  Texts that hold a special token's string are encoded whole.
+    are remembered, and ASCII letters with punctuation behind are the ids of
+    both.  Texts that hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -44,7 +46,7 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = WordMemo(self.encode, KEEP_WORDS)
+        self.known = WordMemo(self._word, KEEP_WORDS)
 
     def encode(self, text: bytes) -> bytes:
         ids = array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
@@ -52,6 +54,12 @@ class TokenIds:
             ids.byteswap()
         return ids.tobytes()
 
+    def _word(self, word: bytes) -> bytes:
+        head = word.rstrip(PUNCTUATION)
+        if head.isalpha() and len(head) < len(word):
+            return self.known[head] + self.known[word[len(head) :]]
+        return self.encode(word)
+
     def of(self, text: bytes) -> bytes:
         low = text.lower()
         if b"<|" in low and any(s in low for s in self.special):
@@ -59,12 +67,6 @@ class TokenIds:
         return b"".join(map(self.known.__getitem__, low.split()))
 
 
-@lru_cache(maxsize=1)
-def _ids_of(vocabulary: str) -> TokenIds:
-    """One for a worker process, whatever the number of its tasks."""
-    return TokenIds(vocabulary)
-
-
 def cost(length):
     return LINEAR * length + QUADRATIC * length * length
 
@@ -99,7 +101,7 @@ def assign(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    ids_of = _ids_of(vocabulary)
+    ids_of = worker_memory(f"ids of {vocabulary}", partial(TokenIds, vocabulary))
     end = np.array([END_ID], dtype="<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rest"]
     for b in batches:
