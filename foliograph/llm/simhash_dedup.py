@@ -9,17 +9,17 @@ meeting is verified on the whole fingerprints.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
-from ._shared import WordMemo, cut, python_ready, fit_for_broadcast, read_table
+from ._shared import WordMemo, cut, fit_for_broadcast, parts, python_ready, read_table, worker_memory
 from .components import connected_components
 
 SEED = 42
@@ -129,7 +129,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns of ``docs`` are not looked at.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    # each row makes 64 variants, so rows are spread over all tasks again
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).repartition(parts(docs.sparkSession)))
     roots = connected_components(links_within_two(classes.select("fp")))
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), F.col("root")).distinct())
     named = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", "n", "root")
@@ -150,12 +151,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- near-duplicates by word-shingle similarity, for the pipeline -------------
 
 #: The stage's fingerprint: WORDS64 x 64 bits over a document's words; two segments of SEGMENT_BITS are indexed of each 64.
-WORDS64, SEGMENT_BITS = 4, 28
+WORDS64, SEGMENT_BITS = 4, 32
 SEGMENTS = 2 * WORDS64
 #: Differing bits of the whole fingerprint beyond which a meeting isn't verified; at the stage's similarity some 18 of 256 differ, of unrelated texts some 100.
 MAX_BITS = 56
 SHINGLE, SIMILARITY = 5, 0.8
-#: Buckets' members that are all compared with one another; of more, each is compared with the bucket's ends.
+#: Members of a bucket that are all compared with one another where a component is still split; of more, each is compared with the bucket's ends.
 ALL_PAIRS = 32
 #: Words that a worker remembers, at most.
 KEEP_WORDS = 500_000
@@ -166,27 +167,23 @@ def _word_bits(word: bytes) -> bytes:
     return b"".join(xxhash.xxh64_digest(word, s) for s in range(WORDS64))
 
 
-@lru_cache(maxsize=1)
-def _bits_of() -> WordMemo:
-    """A word's hashes' bits packed in bytes; one memory for a worker process."""
-    return WordMemo(_word_bits, KEEP_WORDS)
-
-
 def wide_simhash(words: list[bytes], bits_of: dict[bytes, bytes]) -> bytes:
-    """The SimHash of a document's distinct words, each of weight 1 + ln(its count); no words: zeros."""
-    counts = Counter(words)
-    own = sorted(counts)
-    votes = np.zeros(WORDS64 * 64, dtype=np.float64)
+    """The SimHash of a document's distinct words; no words: zeros.
+
+    Words count once: frequent ones are in most texts of a language, and with
+    their counts they would bring unrelated texts together.
+    """
+    own = sorted(set(words))
+    votes = np.zeros(WORDS64 * 64, dtype=np.int64)
     for at in range(0, len(own), BLOCK):
         block = own[at : at + BLOCK]
-        bits = np.unpackbits(np.frombuffer(b"".join(map(bits_of.__getitem__, block)), dtype=np.uint8).reshape(len(block), -1), axis=1)
-        weight = (1 + np.log(np.fromiter(map(counts.__getitem__, block), dtype=np.float64, count=len(block)))).round(6)
-        votes += weight @ (2 * bits.astype(np.int8) - 1)
-    return np.packbits(votes > 0).tobytes()
+        bits = np.frombuffer(b"".join(map(bits_of.__getitem__, block)), dtype=np.uint8).reshape(len(block), -1)
+        votes += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > len(own)).tobytes()
 
 
 def _wide_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits_of = _bits_of()
+    bits_of = worker_memory("bits of words", partial(WordMemo, _word_bits, KEEP_WORDS))
     for batch in batches:
         prints, same = [], []
         for t in batch.column(2).cast(pa.binary()):
@@ -214,28 +211,71 @@ def _wide_variants(classes: DataFrame) -> DataFrame:
     return spots.withColumn("w", word).select(key.alias("key"), "cid")
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that meet under an equal one-wildcard variant of a segment and differ in at most MAX_BITS bits.
+def meetings(classes: DataFrame) -> DataFrame:
+    """(lo, hi, cid): the members of buckets, that is of classes that meet under an equal one-wildcard variant of a segment.
 
     Segments are independent bits, so classes need not lie within a fixed
     distance to meet: at the stage's similarity of 0.8 a segment differs by at
-    most one bit often enough for one of eight to do so nearly always.  The
-    buckets of one least and one greatest class count as one; up to ALL_PAIRS
-    members are all compared, of more each is compared with both ends, so pairs
-    grow with the members and not with their square.
+    most one bit often enough for one of eight to do so nearly always.  Buckets
+    are named by their least and greatest class; those with the same members
+    (count, ends and xor agree) count once, and the members of buckets of two
+    are their ends.
     """
-    ends = cut(_wide_variants(classes).groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n")).where("n > 1"))
-    fuller = fit_for_broadcast(ends.where("n > 2").select("key", "lo", "hi"))
-    met = cut(_wide_variants(classes).join(fuller, "key").groupBy("lo", "hi", "cid").agg(F.lit(1)).select("lo", "hi", "cid"))
-    sized = met.groupBy("lo", "hi").agg(F.count("*").alias("n"))
-    few = met.join(sized.where(f"n <= {ALL_PAIRS}"), ["lo", "hi"]).groupBy("lo", "hi").agg(F.sort_array(F.collect_list("cid")).alias("m"))
-    few = few.select(F.explode(F.flatten(F.transform("m", lambda x, k: F.transform(F.slice("m", k + 2, ALL_PAIRS), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
-    many = met.join(sized.where(f"n > {ALL_PAIRS}"), ["lo", "hi"]).select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("cid").alias("b")), F.struct(F.col("cid").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
-    pairs = cut(ends.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(few).unionByName(many).where("a <> b").distinct())
+    ends = cut(_wide_variants(classes).groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n"), F.bit_xor("cid").alias("x")).where("n > 1"))
+    two = ends.where("n = 2").select("lo", "hi").distinct()
+    fuller = ends.where("n > 2").groupBy("lo", "hi", "n", "x").agg(F.min("key").alias("key")).select("key", "lo", "hi")
+    more = _wide_variants(classes).join(fit_for_broadcast(cut(fuller)), "key").select("lo", "hi", "cid")
+    return cut(two.withColumn("cid", F.col("lo")).unionByName(two.withColumn("cid", F.col("hi"))).unionByName(more).distinct())
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each member with the least and the greatest class it meets in any bucket; two pairs a member, whatever the group."""
+    far = members.groupBy("cid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return far.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("cid").alias("b")), F.struct(F.col("cid").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
+
+
+def open_pairs(members: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+    """(a, b): members of one bucket that are not in one component yet, without the pairs ``done``.
+
+    In most buckets of a group of near copies all are in one by then.  Of
+    buckets that are still split, up to ALL_PAIRS members are all compared, of
+    more each is compared with both ends.  A class is in 256 buckets at most, so
+    a window over it brings its root to its rows.
+    """
+    rows = members.withColumn("root", F.lit(None).cast("long")).unionByName(roots.select(F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.col("node").alias("cid"), "root"))
+    known = rows.withColumn("root", F.coalesce(F.max("root").over(Window.partitionBy("cid")), "cid")).where("lo is not null")
+    known = cut(known)
+    split = known.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("lo", "hi", "n")
+    split = cut(split)
+    still = known.join(split.where("n > 2"), ["lo", "hi"])
+    few = still.where(f"n <= {ALL_PAIRS}").groupBy("lo", "hi").agg(F.sort_array(F.collect_list(F.struct("cid", "root"))).alias("m"))
+    few = few.select(F.explode(F.flatten(F.transform("m", lambda x, k: F.transform(F.filter(F.slice("m", k + 2, ALL_PAIRS), lambda y: y["root"] != x["root"]), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))))).alias("p")).select("p.*")
+    many = still.where(f"n > {ALL_PAIRS}").select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("cid").alias("b")), F.struct(F.col("cid").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
+    two = split.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    every = two.unionByName(few).unionByName(many).where("a <> b").withColumn("old", F.lit(False)).unionByName(done.withColumn("old", F.lit(True)))
+    return cut(every.groupBy("a", "b").agg(F.max("old").alias("old")).where("not old").select("a", "b"))
+
+
+def similar_pairs(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
+    """Those of the pairs whose texts have a Jaccard similarity of five-word shingles of 0.8 or more.
+
+    Pairs that differ in over MAX_BITS bits are left out first.  ``own``: the
+    rows' doc_id, th and text; only the texts asked for leave the scan.
+    """
+    near = pairs
     for end in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("cid").alias(end), *(F.col(w).alias(f"{w}_{end}") for w in WIDE)), end)
+        near = near.join(classes.select(F.col("cid").alias(end), *(F.col(w).alias(f"{w}_{end}") for w in WIDE)), end)
     apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in WIDE), F.lit(0))
-    return cut(pairs.where(apart <= MAX_BITS).select("a", "b"))
+    near = cut(near.where(apart <= MAX_BITS).select("a", "b"))
+    asked = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
+    asked = cut(asked.join(classes, "cid").select("cid", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th")))
+    bodies = own.join(fit_for_broadcast(asked), own["doc_id"].eqNullSafe(F.col("r_id")) & (own["th"] == F.col("r_th"))).select("cid", "text")
+    shingles = cut(bodies.mapInArrow(partial(_shingle_batches, width=SHINGLE), "cid long, shingles array<long>").dropDuplicates(["cid"]))
+    both = near
+    for end in ("a", "b"):
+        both = both.join(shingles.select(F.col("cid").alias(end), F.col("shingles").alias(f"s_{end}")), end)
+    shared, sizes = F.size(F.array_intersect("s_a", "s_b")), F.size("s_a") + F.size("s_b")
+    return cut(both.where(shared >= F.lit(SIMILARITY) * (sizes - shared)).select("a", "b"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -243,29 +283,25 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Copies: the same words, case of A-Z and white space aside.  Near copies:
     Jaccard similarity of five-word shingles of 0.8 or more, checked exactly on
-    the pairs that ``candidate_pairs`` retrieves; groups are the connected
+    the pairs that ``meetings`` retrieves; groups are the connected
     components.  Texts are not shuffled: rows are known by (doc_id, hash of the
     text), and what goes is taken out by an anti-join.  Null texts equal empty
     ones.  A null doc_id counts as the greatest; of rows alike in doc_id and
     text one stays.  All columns come back unchanged.
     """
     python_ready(spark)
-    names = docs.columns
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     rows = cut(own.mapInArrow(_wide_batches, "doc_id long, th long, same binary, " + ", ".join(f"{w} long" for w in WIDE)))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     classes = rows.groupBy("same").agg(F.min(who).alias("rep"), F.count("*").alias("n"), *(F.min(w).alias(w) for w in WIDE))
-    classes = cut(classes.select("same", F.xxhash64("same").alias("cid"), "rep", "n", *WIDE))
-    near = candidate_pairs(classes)
-    asked = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
-    asked = asked.join(classes, "cid").select("cid", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th"))
-    bodies = own.join(fit_for_broadcast(asked), own["doc_id"].eqNullSafe(F.col("r_id")) & (own["th"] == F.col("r_th"))).select("cid", "text")
-    shingles = cut(bodies.mapInArrow(partial(_shingle_batches, width=SHINGLE), "cid long, shingles array<long>").dropDuplicates(["cid"]))
-    both = near
-    for end in ("a", "b"):
-        both = both.join(shingles.select(F.col("cid").alias(end), F.col("shingles").alias(f"s_{end}")), end)
-    shared, sizes = F.size(F.array_intersect("s_a", "s_b")), F.size("s_a") + F.size("s_b")
-    links = both.where(shared >= F.lit(SIMILARITY) * (sizes - shared)).select("a", "b")
+    # each row makes 256 variants, so rows are spread over all tasks again
+    classes = cut(classes.select("same", F.xxhash64("same").alias("cid"), "rep", "n", *WIDE).repartition(parts(spark)))
+    members = meetings(classes)
+    stars = cut(star_pairs(members))
+    links = similar_pairs(stars, classes, own)
+    rest = open_pairs(members, cut(connected_components(links)), stars)
+    if rest.limit(1).count():
+        links = links.unionByName(similar_pairs(rest, classes, own))
     roots = connected_components(links)
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), F.col("root")).distinct())
     grouped = classes.join(linked, classes["cid"] == linked["node"], "left").where("n > 1 or root is not null").select("same", F.coalesce("root", "cid").alias("root"), "rep")
@@ -273,12 +309,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     grouped = cut(grouped.join(best, "root").select("same", F.col("best.doc_id").alias("b_id"), F.col("best.th").alias("b_th")))
     dropped = rows.join(grouped, "same").where(~(F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("th") == F.col("b_th"))))
     dropped = dropped.select(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th")).distinct()
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_th"))
     gone = fit_for_broadcast(cut(dropped))
-    kept = keyed.join(gone, keyed["doc_id"].eqNullSafe(F.col("d_id")) & (F.col("_th") == F.col("d_th")), "left_anti")
+    kept = keyed.join(gone, F.col("k_id").eqNullSafe(F.col("d_id")) & (F.col("k_th") == F.col("d_th")), "left_anti")
     twice = cut(rows.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th")))
-    alike = kept["doc_id"].eqNullSafe(F.col("t_id")) & (kept["_th"] == F.col("t_th"))
+    alike = F.col("k_id").eqNullSafe(F.col("t_id")) & (F.col("k_th") == F.col("t_th"))
     more = fit_for_broadcast(twice)
     if twice.limit(1).count():
-        kept = kept.join(more, alike, "left_anti").unionByName(kept.join(more, alike, "left_semi").dropDuplicates(["doc_id", "_th"]))
-    return kept.select(*(F.col(f"`{c}`") for c in names))
+        kept = kept.join(more, alike, "left_anti").unionByName(kept.join(more, alike, "left_semi").dropDuplicates(["k_id", "k_th"]))
+    return kept.select("doc.*")
