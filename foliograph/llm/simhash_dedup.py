@@ -150,9 +150,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near-duplicates by word-shingle similarity, for the pipeline -------------
 
-#: The stage's fingerprint: WORDS64 x 64 bits over a document's words; two segments of SEGMENT_BITS are indexed of each 64.
-WORDS64, SEGMENT_BITS = 4, 32
-SEGMENTS = 2 * WORDS64
+#: The stage's fingerprint: WORDS64 x 64 bits over a document's words.
+WORDS64 = 4
+#: Retrieval: BANDS bands of ROWS min-wise hashes of a text's shingles.  Texts of similarity s share a band
+#: with probability 1 - (1 - s^ROWS)^BANDS, wherever the edits are: at 0.8 all but 4e-9.
+BANDS, ROWS = 64, 6
 #: Differing bits of the whole fingerprint beyond which a meeting isn't verified; at the stage's similarity some 18 of 256 differ, of unrelated texts some 100.
 MAX_BITS = 56
 SHINGLE, SIMILARITY = 5, 0.8
@@ -161,6 +163,10 @@ ALL_PAIRS = 32
 #: Words that a worker remembers, at most.
 KEEP_WORDS = 500_000
 WIDE = [f"w{k}" for k in range(WORDS64)]
+_rng = np.random.default_rng(SEED)
+_FACTORS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+_SHIFTS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+_BAND_FACTORS = _rng.integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
 def _word_bits(word: bytes) -> bytes:
@@ -182,49 +188,69 @@ def wide_simhash(words: list[bytes], bits_of: dict[bytes, bytes]) -> bytes:
     return np.packbits(2 * votes > len(own)).tobytes()
 
 
+def shingle_set(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the words' shingles, ascending; no words: none."""
+    return np.unique(np.concatenate([*word_hashes(words, width), np.zeros(0, np.uint64)]))
+
+
+def min_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each of BANDS x ROWS hash functions over the shingles."""
+    short, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(short), 256):
+        np.minimum(least, (_FACTORS * short[None, at : at + 256] + _SHIFTS).min(1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of each row of ``min_hashes``; bands of different numbers don't meet."""
+    keys = (least.reshape(-1, BANDS, ROWS) * _BAND_FACTORS).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def _wide_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits_of = worker_memory("bits of words", partial(WordMemo, _word_bits, KEEP_WORDS))
     for batch in batches:
-        prints, same = [], []
+        prints, same, least, counts = [], [], [], []
         for t in batch.column(2).cast(pa.binary()):
             words = (t.as_py() or b"").lower().split()
             prints.append(wide_simhash(words, bits_of))
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            own = shingle_set(words)
+            counts.append(len(own))
+            if len(own):
+                least.append(min_hashes(own))
         wide = np.frombuffer(b"".join(prints), dtype=">u8").reshape(len(prints), WORDS64)
         columns = [pa.array(wide[:, k].astype("<u8").view(np.int64)) for k in range(WORDS64)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), *columns], ["doc_id", "th", "same", *WIDE])
+        ends = np.cumsum([0, *(BANDS if n else 0 for n in counts)], dtype=np.int32)
+        keys = band_keys(np.array(least, dtype=np.uint32)).view(np.int64).reshape(-1)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(counts, pa.int64()), keys, *columns], ["doc_id", "th", "same", "m", "keys", *WIDE])
 
 
 def _shingle_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(np.concatenate([*word_hashes((t.as_py() or b"").lower().split(), width), np.zeros(0, np.uint64)])).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+        sets = [shingle_set((t.as_py() or b"").lower().split(), width).view(np.int64) for t in batch.column(1).cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "shingles"])
 
 
-def _wide_variants(classes: DataFrame) -> DataFrame:
-    """(key, cid): the one-wildcard variants of every class's segments."""
-    spots = classes.select("cid", *WIDE, F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("i"))
-    word = F.expr("case " + " ".join(f"when i < {2 * SEGMENT_BITS * (k + 1)} then w{k}" for k in range(WORDS64)) + " end")
-    segment = F.expr(f"shiftrightunsigned(w, (i div {SEGMENT_BITS} % 2)::int * 32) & {(1 << SEGMENT_BITS) - 1}L")
-    hole = F.expr(f"shiftleft(1L, i % {SEGMENT_BITS})")
-    key = segment.bitwiseAND(F.bitwise_not(hole)).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 32))
-    return spots.withColumn("w", word).select(key.alias("key"), "cid")
+def _bands(classes: DataFrame) -> DataFrame:
+    """(key, cid): the bands of every class."""
+    return classes.select(F.explode("keys").alias("key"), "cid")
 
 
 def meetings(classes: DataFrame) -> DataFrame:
-    """(lo, hi, cid): the members of buckets, that is of classes that meet under an equal one-wildcard variant of a segment.
+    """(lo, hi, cid): the members of buckets, that is of classes that share a band of min-wise hashes.
 
-    Segments are independent bits, so classes need not lie within a fixed
-    distance to meet: at the stage's similarity of 0.8 a segment differs by at
-    most one bit often enough for one of eight to do so nearly always.  Buckets
-    are named by their least and greatest class; those with the same members
+    A pair of similarity 0.8 is missed with probability 4e-9, and more similar
+    ones with less, whether words were replaced, added or cut off.  Buckets are
+    named by their least and greatest class; those with the same members
     (count, ends and xor agree) count once, and the members of buckets of two
     are their ends.
     """
-    ends = cut(_wide_variants(classes).groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n"), F.bit_xor("cid").alias("x")).where("n > 1"))
+    ends = cut(_bands(classes).groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n"), F.bit_xor("cid").alias("x")).where("n > 1"))
     two = ends.where("n = 2").select("lo", "hi").distinct()
     fuller = ends.where("n > 2").groupBy("lo", "hi", "n", "x").agg(F.min("key").alias("key")).select("key", "lo", "hi")
-    more = _wide_variants(classes).join(fit_for_broadcast(cut(fuller)), "key").select("lo", "hi", "cid")
+    more = _bands(classes).join(fit_for_broadcast(cut(fuller)), "key").select("lo", "hi", "cid")
     return cut(two.withColumn("cid", F.col("lo")).unionByName(two.withColumn("cid", F.col("hi"))).unionByName(more).distinct())
 
 
@@ -239,7 +265,7 @@ def open_pairs(members: DataFrame, roots: DataFrame, done: DataFrame) -> DataFra
 
     In most buckets of a group of near copies all are in one by then.  Of
     buckets that are still split, up to ALL_PAIRS members are all compared, of
-    more each is compared with both ends.  A class is in 256 buckets at most, so
+    more each is compared with both ends.  A class is in BANDS buckets at most, so
     a window over it brings its root to its rows.
     """
     rows = members.withColumn("root", F.lit(None).cast("long")).unionByName(roots.select(F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.col("node").alias("cid"), "root"))
@@ -291,11 +317,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     python_ready(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    rows = cut(own.mapInArrow(_wide_batches, "doc_id long, th long, same binary, " + ", ".join(f"{w} long" for w in WIDE)))
+    rows = cut(own.mapInArrow(_wide_batches, "doc_id long, th long, same binary, m long, keys array<long>, " + ", ".join(f"{w} long" for w in WIDE)))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    classes = rows.groupBy("same").agg(F.min(who).alias("rep"), F.count("*").alias("n"), *(F.min(w).alias(w) for w in WIDE))
-    # each row makes 256 variants, so rows are spread over all tasks again
-    classes = cut(classes.select("same", F.xxhash64("same").alias("cid"), "rep", "n", *WIDE).repartition(parts(spark)))
+    classes = rows.groupBy("same").agg(F.min(who).alias("rep"), F.count("*").alias("n"), F.max("m").alias("m"), F.any_value("keys").alias("keys"), *(F.min(w).alias(w) for w in WIDE))
+    # each row makes BANDS rows, so rows are spread over all tasks again
+    classes = cut(classes.select("same", F.xxhash64("same").alias("cid"), "rep", "n", "m", "keys", *WIDE).repartition(parts(spark)))
     members = meetings(classes)
     stars = cut(star_pairs(members))
     links = similar_pairs(stars, classes, own)

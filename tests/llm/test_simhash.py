@@ -139,3 +139,31 @@ def test_near_duplicate_stage_edges(spark, edge_docs, no_docs):
     assert [i for i in ids if i in (4, 5, 6)] == [4]  # all without words
     assert ids.count(None) == 1 and {9, 10, 11, 12} <= set(ids)
     assert sd.near_duplicate_stage(spark, no_docs, "").collect() == []
+
+
+def kept_by_brute_force(rows):
+    groups, sets = Union(), [(d, frozenset(map(hash, shingles(t)))) for d, t, *_ in rows]
+    for i, (d, x) in enumerate(sets):
+        groups.find(d)
+        for e, y in sets[:i]:
+            shared = len(x & y)
+            if shared >= 0.8 * (len(x) + len(y) - shared):
+                groups.join(d, e)
+    return {d for d, _ in sets if groups.find(d) == d}
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_appended_and_truncated_near_copies(spark):
+    rng = random.Random(23)
+    word = lambda: f"t{rng.randrange(4000)}"
+    rows = []
+    for k in range(120):
+        base = [word() for _ in range(rng.randint(100, 300))]
+        n = int(len(base) * rng.choice([0.17, 0.23, 0.3]))
+        texts = [base, base + [word() for _ in range(n)]] if k % 2 else [base, base[: len(base) - n * 4 // 5]]
+        rows += [(2 * k + i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r["doc_id"] for r in sd.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    want = kept_by_brute_force(rows)
+    assert 130 < len(want) < 230 and got == want
