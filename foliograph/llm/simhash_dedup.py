@@ -158,8 +158,8 @@ BANDS, ROWS = 64, 6
 #: Differing bits of the whole fingerprint beyond which a meeting isn't verified; at the stage's similarity some 18 of 256 differ, of unrelated texts some 100.
 MAX_BITS = 56
 SHINGLE, SIMILARITY = 5, 0.8
-#: Members of a bucket that are all compared with one another where a component is still split; of more, each is compared with the bucket's ends.
-ALL_PAIRS = 32
+#: Members and shingles of a block, on average at most; blocks are compared in pairs where a component is still split.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400_000
 #: Words that a worker remembers, at most.
 KEEP_WORDS = 500_000
 WIDE = [f"w{k}" for k in range(WORDS64)]
@@ -260,26 +260,94 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return far.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("cid").alias("b")), F.struct(F.col("cid").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-    """(a, b): members of one bucket that are not in one component yet, without the pairs ``done``.
+def split_groups(members: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+    """(cid, root, grp): the members of buckets that are not in one component yet, and the group that such buckets with common members make up.
 
-    In most buckets of a group of near copies all are in one by then.  Of
-    buckets that are still split, up to ALL_PAIRS members are all compared, of
-    more each is compared with both ends.  A class is in BANDS buckets at most, so
-    a window over it brings its root to its rows.
+    In most buckets of a group of near copies all are in one by then, and most
+    buckets of two have had their pair in ``done``; neither is looked at again.
+    A class is in BANDS buckets at most, so a window over it brings its root to
+    its rows.
     """
     rows = members.withColumn("root", F.lit(None).cast("long")).unionByName(roots.select(F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.col("node").alias("cid"), "root"))
     known = rows.withColumn("root", F.coalesce(F.max("root").over(Window.partitionBy("cid")), "cid")).where("lo is not null")
     known = cut(known)
     split = known.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("lo", "hi", "n")
-    split = cut(split)
-    still = known.join(split.where("n > 2"), ["lo", "hi"])
-    few = still.where(f"n <= {ALL_PAIRS}").groupBy("lo", "hi").agg(F.sort_array(F.collect_list(F.struct("cid", "root"))).alias("m"))
-    few = few.select(F.explode(F.flatten(F.transform("m", lambda x, k: F.transform(F.filter(F.slice("m", k + 2, ALL_PAIRS), lambda y: y["root"] != x["root"]), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))))).alias("p")).select("p.*")
-    many = still.where(f"n > {ALL_PAIRS}").select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("cid").alias("b")), F.struct(F.col("cid").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
-    two = split.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    every = two.unionByName(few).unionByName(many).where("a <> b").withColumn("old", F.lit(False)).unionByName(done.withColumn("old", F.lit(True)))
-    return cut(every.groupBy("a", "b").agg(F.max("old").alias("old")).where("not old").select("a", "b"))
+    two = split.where("n = 2").join(done, (F.col("lo") == F.col("a")) & (F.col("hi") == F.col("b")), "left_anti")
+    split = cut(split.where("n > 2").unionByName(two).select("lo", "hi"))
+    still = cut(known.join(split, ["lo", "hi"], "left_semi"))
+    grouped = connected_components(still.select(F.col("lo").alias("a"), F.col("cid").alias("b")))
+    own = still.select("cid", "root").distinct()
+    return cut(own.join(grouped, own["cid"] == grouped["node"], "left").select("cid", own["root"], F.coalesce(grouped["root"], "cid").alias("grp")))
+
+
+def block_links(table: pa.Table) -> pa.Table:
+    """(a, b): links between the members of two blocks that connect just what has a similarity of SIMILARITY or more.
+
+    Members of one component (``root``) aren't compared, nor are those that
+    earlier links of the blocks connect; of two blocks ``x`` < ``y`` only
+    members of different ones, as each block also comes paired with itself.
+    """
+    table = table.sort_by([("block", "ascending"), ("m", "ascending"), ("cid", "ascending")])
+    cid, block, m = (table[c].to_numpy() for c in ("cid", "block", "m"))
+    alone = block[0] == block[-1]
+    sets = table["shingles"].combine_chunks()
+    values, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(m)[:-1]])
+    part = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+    mark, found = np.zeros(len(values), dtype=np.int32), []
+    second = 1 if alone else int(np.searchsorted(block, block[-1]))
+    for x in range(len(cid) if alone else second):
+        lo = max(second, x + 1) if not alone else x + 1
+        if lo >= len(cid):
+            break
+        fits = (np.minimum(m[lo:], m[x]) >= SIMILARITY * np.maximum(m[lo:], m[x])) & (part[lo:] != part[x])
+        if not fits.any():
+            continue
+        own = ids[starts[x] : starts[x] + m[x]]
+        mark[own] = 1
+        first, last = lo + int(np.argmax(fits)), len(cid) - int(np.argmax(fits[::-1]))
+        shared = np.add.reduceat(mark[ids[starts[first] : starts[last - 1] + m[last - 1]]], starts[first:last] - starts[first])
+        mark[own] = 0
+        near = fits[first - lo : last - lo] & (shared >= SIMILARITY * (m[first:last] + m[x] - shared))
+        for y in first + np.flatnonzero(near):
+            if part[y] != part[x]:
+                found.append((cid[x], cid[y]))
+                part[part == part[y]] = part[x]
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def all_links(members: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b): links that connect all members of each group of ``split_groups`` that are similar, by exact comparison of all that have different roots.
+
+    A group is dealt into blocks, and all pairs of blocks are compared, each in
+    one task; a block's size doesn't grow with the group.  The members of the
+    group's largest component have blocks of their own, which aren't paired
+    among themselves, so a large component with few others around it costs in
+    proportion to it.  Where a group has many components, work and copies of its
+    members grow with its square.
+    """
+    sized = members.join(classes.select("cid", "m"), "cid")
+    roots = sized.groupBy("grp", "root").agg(F.count("*").alias("n"), F.sum("m").alias("s"))
+    total = roots.groupBy("grp").agg(F.max(F.struct("n", "s", "root")).alias("top"), F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_MEMBERS, s / BLOCK_SHINGLES)).cast("int")
+    total = total.select("grp", F.col("top.root").alias("top"), blocks(F.col("top.n"), F.col("top.s")).alias("tops"), blocks(F.col("all_n") - F.col("top.n"), F.col("all_s") - F.col("top.s")).alias("others"))
+    dealt = sized.join(fit_for_broadcast(cut(total)), "grp")
+    # blocks 0 .. others - 1 hold what isn't in the largest component, blocks from others on that component
+    at = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("root") == F.col("top"), F.col("others") + at(F.col("tops"))).otherwise(at(F.col("others"))))
+    dealt = cut(dealt.select("cid", "root", "grp", "m", "block", F.expr("if(block < others, others + tops, others)").alias("with")))
+    shingles = shingle_sets(dealt.select("cid").distinct(), classes, own)
+    copies = dealt.join(shingles, "cid").select("cid", "root", "grp", "m", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("with") - 1)).alias("other"))
+    copies = copies.select("cid", "root", "m", "block", "shingles", "grp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return cut(copies.groupBy("grp", "x", "y").applyInArrow(block_links, "a long, b long"))
+
+
+def shingle_sets(asked: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
+    """(cid, shingles) of the classes ``asked``; only their texts leave the scan of ``own``."""
+    asked = cut(asked.join(classes, "cid").select("cid", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th")))
+    bodies = own.join(fit_for_broadcast(asked), own["doc_id"].eqNullSafe(F.col("r_id")) & (own["th"] == F.col("r_th"))).select("cid", "text")
+    return cut(bodies.mapInArrow(partial(_shingle_batches, width=SHINGLE), "cid long, shingles array<long>").dropDuplicates(["cid"]))
 
 
 def similar_pairs(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
@@ -293,10 +361,7 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataF
         near = near.join(classes.select(F.col("cid").alias(end), *(F.col(w).alias(f"{w}_{end}") for w in WIDE)), end)
     apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in WIDE), F.lit(0))
     near = cut(near.where(apart <= MAX_BITS).select("a", "b"))
-    asked = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
-    asked = cut(asked.join(classes, "cid").select("cid", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th")))
-    bodies = own.join(fit_for_broadcast(asked), own["doc_id"].eqNullSafe(F.col("r_id")) & (own["th"] == F.col("r_th"))).select("cid", "text")
-    shingles = cut(bodies.mapInArrow(partial(_shingle_batches, width=SHINGLE), "cid long, shingles array<long>").dropDuplicates(["cid"]))
+    shingles = shingle_sets(near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct(), classes, own)
     both = near
     for end in ("a", "b"):
         both = both.join(shingles.select(F.col("cid").alias(end), F.col("shingles").alias(f"s_{end}")), end)
@@ -325,9 +390,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     members = meetings(classes)
     stars = cut(star_pairs(members))
     links = similar_pairs(stars, classes, own)
-    rest = open_pairs(members, cut(connected_components(links)), stars)
+    rest = split_groups(members, cut(connected_components(links)), stars)
     if rest.limit(1).count():
-        links = links.unionByName(similar_pairs(rest, classes, own))
+        links = links.unionByName(all_links(rest, classes, own))
     roots = connected_components(links)
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), F.col("root")).distinct())
     grouped = classes.join(linked, classes["cid"] == linked["node"], "left").where("n > 1 or root is not null").select("same", F.coalesce("root", "cid").alias("root"), "rep")

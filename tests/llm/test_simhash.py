@@ -167,3 +167,62 @@ def test_appended_and_truncated_near_copies(spark):
     got = {r["doc_id"] for r in sd.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     want = kept_by_brute_force(rows)
     assert 130 < len(want) < 230 and got == want
+
+
+def test_large_groups_of_template_texts(spark):
+    """Hundreds of texts alike in most words meet in the same buckets; only those of one group are near copies."""
+    rng = random.Random(31)
+    template, rows = [f"t{rng.randrange(4000)}" for _ in range(300)], []
+    for group in range(150):
+        base = list(template)
+        for at in rng.sample(range(300), 9):
+            base[at] = f"own{group}x{at}"
+        for _ in range(4):
+            words = list(base)
+            for _ in range(rng.randint(1, 2)):
+                words[rng.randrange(300)] = f"new{rng.randrange(99999)}"
+            rows.append((rng.randrange(1 << 40), " ".join(words), "en", "s", 1))
+    got = {r["doc_id"] for r in sd.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    want = kept_by_brute_force(rows)
+    assert 100 < len(want) <= 150 and got == want
+
+
+def test_blocks_of_a_group_against_brute_force(spark, monkeypatch):
+    """Many blocks, with and without a large component among the members."""
+    rng = random.Random(37)
+    monkeypatch.setattr(sd, "BLOCK_MEMBERS", 7)
+    base, sets = rng.sample(range(10**6), 60), {}
+    for cid in range(1, 91):
+        sets[cid] = sorted({*rng.sample(base, rng.randint(46, 58)), *rng.sample(range(10**7), rng.randint(0, 6))})
+    monkeypatch.setattr(sd, "shingle_sets", lambda *_: spark.createDataFrame(list(sets.items()), "cid long, shingles array<long>"))
+    classes = spark.createDataFrame([(c, len(v)) for c, v in sets.items()], "cid long, m long")
+    close = lambda a, b: len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})
+    pairs = [(a, b) for a in sets for b in sets if a < b and close(a, b)]
+    for large in (0, 40):
+        got, want = Union(), Union()
+        members = [(c, 1 if c <= large else c, 1) for c in sets]
+        links = sd.all_links(spark.createDataFrame(members, "cid long, root long, grp long"), classes, None).collect()
+        assert all(close(r["a"], r["b"]) for r in links)
+        for a, b in [(1, c) for c in range(2, large + 1)]:
+            want.join(a, b)
+            got.join(a, b)
+        for a, b in pairs:
+            want.join(a, b)
+        for r in links:
+            got.join(r["a"], r["b"])
+        assert [got.find(c) for c in sets] == [want.find(c) for c in sets] and len({want.find(c) for c in sets}) > 1
+
+
+def test_similar_texts_in_the_middle_of_a_large_bucket(spark, monkeypatch):
+    """All classes in one bucket: every pair in it has to be found, not only those with its ends."""
+    def one_bucket(classes):
+        ends = classes.selectExpr("min(cid) as lo", "max(cid) as hi")
+        return classes.select("cid").crossJoin(ends).select("lo", "hi", "cid")
+
+    monkeypatch.setattr(sd, "meetings", one_bucket)
+    rng, rows = random.Random(43), []
+    for k in range(60):
+        base = [f"t{rng.randrange(4000)}" for _ in range(80)]
+        rows += [(3 * k + i, " ".join([*base[: 30 + i], f"new{i}", *base[31 + i :]]), "en", "s", 1) for i in range(2)]
+    got = {r["doc_id"] for r in sd.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == kept_by_brute_force(rows) == {3 * k for k in range(60)}
