@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ._shared import WordMemo, cut, fit_for_broadcast, parts, python_ready, read_table, worker_memory
+from ._shared import cut, fit_for_broadcast, parts, python_ready, read_table
 from .components import connected_components
 
 SEED = 42
@@ -150,44 +150,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near-duplicates by word-shingle similarity, for the pipeline -------------
 
-#: The stage's fingerprint: WORDS64 x 64 bits over a document's words.
-WORDS64 = 4
 #: Retrieval: BANDS bands of ROWS min-wise hashes of a text's shingles.  Texts of similarity s share a band
 #: with probability 1 - (1 - s^ROWS)^BANDS, wherever the edits are: at 0.8 all but 4e-9.
 BANDS, ROWS = 64, 6
-#: Differing bits of the whole fingerprint beyond which a meeting isn't verified; at the stage's similarity some 18 of 256 differ, of unrelated texts some 100.
-MAX_BITS = 56
 SHINGLE, SIMILARITY = 5, 0.8
 #: Members and shingles of a block, on average at most; blocks are compared in pairs where a component is still split.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400_000
-#: Words that a worker remembers, at most.
-KEEP_WORDS = 500_000
-WIDE = [f"w{k}" for k in range(WORDS64)]
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
 _SHIFTS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
 _BAND_FACTORS = _rng.integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def _word_bits(word: bytes) -> bytes:
-    return b"".join(xxhash.xxh64_digest(word, s) for s in range(WORDS64))
-
-
-def wide_simhash(words: list[bytes], bits_of: dict[bytes, bytes]) -> bytes:
-    """The SimHash of a document's distinct words; no words: zeros.
-
-    Words count once: frequent ones are in most texts of a language, and with
-    their counts they would bring unrelated texts together.
-    """
-    own = sorted(set(words))
-    votes = np.zeros(WORDS64 * 64, dtype=np.int64)
-    for at in range(0, len(own), BLOCK):
-        block = own[at : at + BLOCK]
-        bits = np.frombuffer(b"".join(map(bits_of.__getitem__, block)), dtype=np.uint8).reshape(len(block), -1)
-        votes += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * votes > len(own)).tobytes()
-
-
 def shingle_set(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of the words' shingles, ascending; no words: none."""
     return np.unique(np.concatenate([*word_hashes(words, width), np.zeros(0, np.uint64)]))
@@ -207,24 +181,20 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return (keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _wide_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits_of = worker_memory("bits of words", partial(WordMemo, _word_bits, KEEP_WORDS))
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints, same, least, counts = [], [], [], []
+        same, least, counts = [], [], []
         for t in batch.column(2).cast(pa.binary()):
             words = (t.as_py() or b"").lower().split()
-            prints.append(wide_simhash(words, bits_of))
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
             own = shingle_set(words)
             counts.append(len(own))
             if len(own):
                 least.append(min_hashes(own))
-        wide = np.frombuffer(b"".join(prints), dtype=">u8").reshape(len(prints), WORDS64)
-        columns = [pa.array(wide[:, k].astype("<u8").view(np.int64)) for k in range(WORDS64)]
         ends = np.cumsum([0, *(BANDS if n else 0 for n in counts)], dtype=np.int32)
         keys = band_keys(np.array(least, dtype=np.uint32)).view(np.int64).reshape(-1)
         keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(counts, pa.int64()), keys, *columns], ["doc_id", "th", "same", "m", "keys", *WIDE])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(counts, pa.int64()), keys], ["doc_id", "th", "same", "m", "keys"])
 
 
 def _shingle_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -353,14 +323,13 @@ def shingle_sets(asked: DataFrame, classes: DataFrame, own: DataFrame) -> DataFr
 def similar_pairs(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
     """Those of the pairs whose texts have a Jaccard similarity of five-word shingles of 0.8 or more.
 
-    Pairs that differ in over MAX_BITS bits are left out first.  ``own``: the
-    rows' doc_id, th and text; only the texts asked for leave the scan.
+    Pairs whose numbers of shingles rule that out are left out first.  ``own``:
+    the rows' doc_id, th and text; only the texts asked for leave the scan.
     """
     near = pairs
     for end in ("a", "b"):
-        near = near.join(classes.select(F.col("cid").alias(end), *(F.col(w).alias(f"{w}_{end}") for w in WIDE)), end)
-    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in WIDE), F.lit(0))
-    near = cut(near.where(apart <= MAX_BITS).select("a", "b"))
+        near = near.join(classes.select(F.col("cid").alias(end), F.col("m").alias(f"m_{end}")), end)
+    near = cut(near.where(F.least("m_a", "m_b") >= F.lit(SIMILARITY) * F.greatest("m_a", "m_b")).select("a", "b"))
     shingles = shingle_sets(near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct(), classes, own)
     both = near
     for end in ("a", "b"):
@@ -382,11 +351,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     python_ready(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    rows = cut(own.mapInArrow(_wide_batches, "doc_id long, th long, same binary, m long, keys array<long>, " + ", ".join(f"{w} long" for w in WIDE)))
+    rows = cut(own.mapInArrow(_sketch_batches, "doc_id long, th long, same binary, m long, keys array<long>"))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    classes = rows.groupBy("same").agg(F.min(who).alias("rep"), F.count("*").alias("n"), F.max("m").alias("m"), F.any_value("keys").alias("keys"), *(F.min(w).alias(w) for w in WIDE))
+    classes = rows.groupBy("same").agg(F.min(who).alias("rep"), F.count("*").alias("n"), F.max("m").alias("m"), F.any_value("keys").alias("keys"))
     # each row makes BANDS rows, so rows are spread over all tasks again
-    classes = cut(classes.select("same", F.xxhash64("same").alias("cid"), "rep", "n", "m", "keys", *WIDE).repartition(parts(spark)))
+    classes = cut(classes.select("same", F.xxhash64("same").alias("cid"), "rep", "n", "m", "keys").repartition(parts(spark)))
     members = meetings(classes)
     stars = cut(star_pairs(members))
     links = similar_pairs(stars, classes, own)

@@ -226,3 +226,12 @@ def test_similar_texts_in_the_middle_of_a_large_bucket(spark, monkeypatch):
         rows += [(3 * k + i, " ".join([*base[: 30 + i], f"new{i}", *base[31 + i :]]), "en", "s", 1) for i in range(2)]
     got = {r["doc_id"] for r in sd.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert got == kept_by_brute_force(rows) == {3 * k for k in range(60)}
+
+
+def test_few_distinct_words_with_many_new_ones_behind(spark):
+    """Nearly every shingle of the first text is another one, though it has few words; the second has many words more."""
+    rng = random.Random(41)
+    base = [f"t{rng.randrange(150)}" for _ in range(1000)]
+    rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(base + [f"new{k}" for k in range(245)]), "en", "s", 1)]
+    assert kept_by_brute_force(rows) == {1}
+    assert [r["doc_id"] for r in sd.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()] == [1]
