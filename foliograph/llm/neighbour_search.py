@@ -142,10 +142,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def _route_batches(batches: Iterator[pa.RecordBatch], router, dim: int, every: bool) -> Iterator[pa.RecordBatch]:
+def _route_batches(batches: Iterator[pa.RecordBatch], router, dim: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            parts = router.value.ranked(_matrix(b.column(1), dim), router.value.probes if every else 1)
+            parts = router.value.ranked(_matrix(b.column(1), dim), 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts.tolist(), pa.list_(pa.int32()))], ["id", "v", "parts"])
 
 
@@ -166,6 +166,20 @@ def nearest(queries_id: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
             yield np.zeros(0, dtype=np.int64), np.zeros(0)
 
 
+def widened(ranked: np.ndarray, rows: np.ndarray, probes: int, wanted: int) -> list[list[int]]:
+    """Each query's first ``probes`` partitions, and further ones in its order until ``wanted`` rows are filed in them or none is left."""
+    enough = np.cumsum(rows[ranked], axis=1) >= wanted
+    need = np.where(enough.any(1), enough.argmax(1) + 1, ranked.shape[1])
+    return [row[: max(probes, n)].tolist() for row, n in zip(ranked, need, strict=True)]
+
+
+def _ask_batches(batches: Iterator[pa.RecordBatch], router, dim: int, rows: np.ndarray, wanted: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            parts = widened(router.value.ranked(_matrix(b.column(1), dim), len(rows)), rows, router.value.probes, wanted)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.list_(pa.int32()))], ["id", "v", "parts"])
+
+
 def _rank_block(cands: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(cands) or not len(asked):
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
@@ -191,8 +205,9 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     without an id.  Rows of an id that repeat are candidates each; as a query an
     id asks once, with its least vector.  An empty table gives an empty result.
     All rows are indexed; partitions are dealt out in blocks of about CANDIDATES
-    rows and QUERIES queries, so a value that a third of all rows share is
-    spread, and pairs of rows are never made outside a block's matrix.
+    rows and QUERIES queries; a query whose partitions hold too few goes to
+    further ones until it has ``k`` candidates or all.  A value that a third of
+    all rows share is spread, and pairs of rows are never made outside a block's matrix.
     """
     spark = df.sparkSession
     python_ready(spark, 10_000)
@@ -206,10 +221,12 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").toArrow()
     router = spark.sparkContext.broadcast(fit(np.unique(_matrix(sample.column(0).combine_chunks(), dim), axis=0)))
     routed = "id long, v array<double>, parts array<int>"
-    filed = cut(rows.mapInArrow(partial(_route_batches, router=router, dim=dim, every=False), routed))
+    filed = cut(rows.mapInArrow(partial(_route_batches, router=router, dim=dim), routed))
     asked = filed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asked = cut(asked.mapInArrow(partial(_route_batches, router=router, dim=dim, every=True), routed))
     has = {r["p"]: r["n"] for r in filed.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n")).collect()}  # PARTITIONS rows at most
+    own = filed.where(F.col("id") % every == 0).groupBy("id").count().agg(F.max("count")).first()[0] or 0  # rows of a query's own id are no candidates
+    filed_in = np.array([has.get(p, 0) for p in range(router.value.b2.size)], dtype=np.int64)
+    asked = cut(asked.mapInArrow(partial(_ask_batches, router=router, dim=dim, rows=filed_in, wanted=k + own), routed))
     wants = {r["p"]: r["n"] for r in asked.select(F.explode("parts").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     split = lambda counts, size: F.create_map(*(F.lit(x) for p in range(PARTITIONS) for x in (p, max(1, -(-counts.get(p, 0) // size)))))
     c_of, q_of = split(has, CANDIDATES), split(wants, QUERIES)

@@ -65,3 +65,16 @@ def test_nearest_breaks_ties_by_id():
     ids = np.array([9, 3, 7, 5])
     found = list(ns.nearest(np.array([5]), np.zeros((1, 2)), ids, np.ones((4, 2)), 2))
     assert ids[found[0][0]].tolist() == [3, 7]
+
+
+def test_small_partitions_are_widened(spark, monkeypatch):
+    """Partitions of three rows each, one probe: a query still gets ten rows, or all there are."""
+    centres = np.eye(32) * 50
+    router = ns.Router(np.zeros(32), 1.0, np.eye(32), np.zeros(32), np.eye(32), np.zeros(32), 1)
+    monkeypatch.setattr(ns, "fit", lambda x: router)
+    rng = np.random.default_rng(3)
+    rows = [(100 * c + j, [float(x) for x in np.abs(centres[c] + rng.normal(size=32))], 0) for c in range(32) for j in range(3)]
+    rows += [(0, rows[0][1], 0)] * 12  # rows of the query's own id fill its partition but are no candidates
+    for df, n in ((rows, 10), (rows[:6], 5)):
+        got = ns.search(spark.createDataFrame(df, SCHEMA)).groupBy("query_id").count().collect()
+        assert got and {r["count"] for r in got} == {n}
