@@ -1,9 +1,10 @@
 """HTML extraction by layout-aware rendering.
 
 A tree builder with implied tags reads any page; rendering walks the tree under
-visibility rules and emits all visible text: blocks on lines of their own with
+visibility rules and emits visible text: blocks on lines of their own with
 spacing, lists with marks and indents, preformatted text as it is, and tables
-with aligned cells.
+with aligned cells.  Left out although browsers show it: text inside svg and
+math, and the fallback of object.
 """
 
 from __future__ import annotations
