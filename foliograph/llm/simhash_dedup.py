@@ -151,8 +151,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- near-duplicates by word-shingle similarity, for the pipeline -------------
 
 #: Retrieval: BANDS bands of ROWS min-wise hashes of a text's shingles.  Texts of similarity s share a band
-#: with probability 1 - (1 - s^ROWS)^BANDS, wherever the edits are: at 0.8 all but 4e-9.
-BANDS, ROWS = 64, 6
+#: with probability 1 - (1 - s^ROWS)^BANDS, wherever the edits are: at 0.8 all but 1.5e-4, at 0.85 all but 3e-7;
+#: of pairs of similarity 0.5, which are compared in vain, 0.17 do.
+BANDS, ROWS = 48, 8
 SHINGLE, SIMILARITY = 5, 0.8
 #: Members and shingles of a block, on average at most; blocks are compared in pairs where a component is still split.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400_000
@@ -211,7 +212,7 @@ def _bands(classes: DataFrame) -> DataFrame:
 def meetings(classes: DataFrame) -> DataFrame:
     """(lo, hi, cid): the members of buckets, that is of classes that share a band of min-wise hashes.
 
-    A pair of similarity 0.8 is missed with probability 4e-9, and more similar
+    A pair of similarity 0.8 is missed with probability 1.5e-4, and more similar
     ones with less, whether words were replaced, added or cut off.  Buckets are
     named by their least and greatest class; those with the same members
     (count, ends and xor agree) count once, and the members of buckets of two
