@@ -18,19 +18,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def python_ready(spark: SparkSession, rows: int = 512) -> None:
-    """Ship the package to the workers, and let an Arrow batch hold at most ``rows`` rows, so that long texts fit in one."""
+#: Bytes of an Arrow batch, about, and its rows at most.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 10_000
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Ship the package to the workers, and bound Arrow batches by bytes, so that many short texts or few long ones go to Python at once.
+
+    Both settings are upper bounds of memory for the session; a caller's smaller ones stay.
+    """
     ship(spark)
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary one."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliograph-"))
     return named or sc.getCheckpointDir()
 
@@ -41,9 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fit_for_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` (narrow) rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Bytes of a table that may be broadcast, in memory, about.
+BROADCAST_BYTES = 64 << 20
+
+
+def fit_for_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a materialised table, with a broadcast hint if its size, which is measured, is at most ``most`` bytes; else as it is."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    row = sum(wide, F.lit(16 + 8 * len(df.columns)).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= most else df
 
 
 def parts(spark: SparkSession) -> int:
@@ -88,8 +105,11 @@ class WordMemo(dict):
             value = self.make(word)
             if len(word) > self.longest:
                 return value
+        self.keep(word, value)
+        return value
+
+    def keep(self, word: bytes, value) -> None:
         if len(self) >= self.half:
             self.old = dict(self)
             self.clear()
         self[word] = value
-        return value

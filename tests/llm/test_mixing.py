@@ -79,6 +79,33 @@ def test_many_documents_come_near_their_targets(spark):
         assert abs(own - r["_target"]) <= 1
 
 
+def test_rows_alike_are_taken_one_by_one(spark):
+    """A third of all rows are one row, repeated; another source has two such groups of one length."""
+    rows = [(1, "w " * 10, "en", "a", 0)] * 1000 + [(k, "w " * 10, "en", "a", k) for k in range(2, 500)]
+    rows += [(7000 + k % 2, f"b{k % 2} " * 7, "en", "b", 0) for k in range(900)] + [(8000 + k, "w " * (1 + k % 9), "en", "c", 0) for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    want = water({"a": 14_980, "b": 6300, "c": sum(1 + k % 9 for k in range(700))}, {"a": 3, "b": 1, "c": 2}, 1.5 * (14_980 + 6300 + sum(1 + k % 9 for k in range(700))))
+    out = sm.mix(df, keep=["doc_id", "source", "lang"])
+    assert out.count() == len(rows) and {r["_times"] for r in out.collect()} <= {0, 1, 2}
+    for r in out.groupBy("source").agg({"_target": "max"}).collect():
+        taken = out.where(out.source == r["source"]).selectExpr("sum(_size * _times)").first()[0]
+        assert r["max(_target)"] == pytest.approx(want[r["source"]]) and abs(taken - want[r["source"]]) <= 10
+    tally = lambda d: sorted(map(tuple, d.groupBy("doc_id", "_times").count().collect()))
+    assert tally(out) == tally(sm.mix(df.repartition(3), keep=["doc_id", "source", "lang"]))
+    assert sm.mixing_stage(spark, df, "").count() == sum(r["_times"] for r in out.collect())
+
+
+def test_sources_in_turn_and_their_level(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choices("aZé~1 日", k=rng.randint(0, 3))) for _ in range(150)]
+    sizes = {n: rng.choice([1, 5, 40, 1000]) for n in names}
+    df = spark.createDataFrame([("=" + n, 1, v) for n, v in sizes.items()] + [("", 3, 4)], "skey string, size long, n long").repartition(5)
+    order = [*sorted(sizes, key=lambda s: [ord(c) for c in s]), None]
+    want = water(sizes | {None: 12}, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5 * (sum(sizes.values()) + 12))
+    got = {r["skey"][1:] if r["skey"] else None: r["target"] for r in sm.targets(df).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_stage(spark, edge_docs, no_docs):
     out = sm.mixing_stage(spark, edge_docs, "")
     assert out.columns == edge_docs.columns
