@@ -20,14 +20,14 @@ from pyspark.sql.window import Window
 
 from ._shared import cut, python_ready, read_table
 
-#: Vectors that the partitions are learned from, at most (those of least hash).
-SAMPLE = 4096
-#: Partitions at most, and sampled vectors to a partition at least.
-PARTITIONS, PER_PARTITION = 32, 64
+#: Partitions grow with the root of the table's rows, GROW of them for a root of 1, up to PARTITIONS.
+GROW, PARTITIONS = 0.25, 1024
+#: Vectors to a partition, and in all at least, that partitions are learned from (those of least hash): 65,536 at most.
+PER_PARTITION, SAMPLE = 64, 4096
 #: Neighbours in the graph, and the share of them that routed queries must find again on the sample.
-GRAPH, WANTED = 10, 0.985
-#: Candidates and queries that meet in one task, at most about.
-CANDIDATES, QUERIES = 8192, 2048
+GRAPH, WANTED = 10, 0.97
+#: Candidates and queries that meet in one task, at most about; queries that are worked out in one go.
+CANDIDATES, QUERIES, CHUNK = 8192, 2048, 128
 
 
 def graph_of(x: np.ndarray, k: int) -> np.ndarray:
@@ -98,10 +98,14 @@ class Router:
         return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :n]
 
 
-def fit(x: np.ndarray, seed: int = 11, hidden: int = 96, epochs: int = 30, rate: float = 0.003) -> Router:
+def partitions_for(rows: int) -> int:
+    return max(1, min(PARTITIONS, round(GROW * rows**0.5)))
+
+
+def fit(x: np.ndarray, parts: int, seed: int = 11, hidden: int = 96, epochs: int = 30, rate: float = 0.003) -> Router:
     """Partition the sample's graph and learn to tell the parts; probes are set so that the sample's own neighbours are found."""
     rng, dim = np.random.default_rng(seed), x.shape[1]
-    parts = max(1, min(PARTITIONS, len(x) // PER_PARTITION))
+    parts = max(1, min(parts, len(x) // PER_PARTITION))
     shift = x.mean(0)
     scale = 1 / max(float((x - shift).std()), 1e-12)
     if parts == 1:
@@ -130,11 +134,13 @@ def fit(x: np.ndarray, seed: int = 11, hidden: int = 96, epochs: int = 30, rate:
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 layers[k] -= rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
     router = Router(shift, scale, *layers, 1)
-    routes = router.ranked(x, parts)
-    place = np.empty_like(routes)
-    np.put_along_axis(place, routes, np.arange(parts)[None, :], axis=1)  # place[q, part]: how early q goes there
-    needed = place[np.repeat(np.arange(len(x)), GRAPH), routes[graph, 0].reshape(-1)]
-    probes = int(np.searchsorted(np.cumsum(np.bincount(needed, minlength=parts)) / len(needed), WANTED)) + 1
+    filed, needed = router.ranked(x, 1)[:, 0], np.zeros(parts, dtype=np.int64)
+    for at in range(0, len(x), 1024):
+        routes = router.ranked(x[at : at + 1024], parts)
+        place = np.empty_like(routes)
+        np.put_along_axis(place, routes, np.arange(parts)[None, :], axis=1)  # place[q, part]: how early q goes there
+        needed += np.bincount(np.take_along_axis(place, filed[graph[at : at + 1024]], axis=1).reshape(-1), minlength=parts)
+    probes = int(np.searchsorted(np.cumsum(needed) / needed.sum(), WANTED)) + 1
     return Router(shift, scale, *layers, min(parts, probes))
 
 
@@ -145,25 +151,37 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def _route_batches(batches: Iterator[pa.RecordBatch], router, dim: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            parts = router.value.ranked(_matrix(b.column(1), dim), 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts.tolist(), pa.list_(pa.int32()))], ["id", "v", "parts"])
-
-
-def nearest(queries_id: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per query, the places of the ``k`` nearest vectors of another id and their distances; ties to the smaller id."""
-    for q, v in zip(queries_id, queries, strict=True):
-        d = vectors - v
-        d = np.sqrt(np.einsum("ij,ij->i", d, d))
-        own = ids == q
-        d[own] = np.inf
-        n = min(k, len(ids) - int(own.sum()))
-        if n:
-            near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
-            near = near[~own[near]]
-            near = near[np.lexsort((ids[near], d[near]))][:n]
-            yield near, d[near]
-        else:
-            yield np.zeros(0, dtype=np.int64), np.zeros(0)
+            parts = router.value.ranked(_matrix(b.column(2), dim), 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.int32())], ["row", "id", "v", "p"])
+
+
+def nearest(asking: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per query, the places of the ``k`` nearest vectors of other rows and their distances; ties to the smaller id, then row.
+
+    Squared distances by products of matrices say which vectors may be among the
+    nearest, with room for rounding; the distances of those are worked out as
+    they are defined.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.einsum("ij,ij->i", vectors, vectors)
+        for at in range(0, len(queries), CHUNK):
+            block = queries[at : at + CHUNK]
+            own = np.einsum("ij,ij->i", block, block)
+            rough = norms[None, :] + own[:, None] - 2 * block @ vectors.T
+            room = 1e-9 * (norms.max(initial=0.0) + own)
+            for q, v, d, slack in zip(asking[at : at + CHUNK], block, rough, room, strict=True):
+                other = rows != q
+                n = min(k, int(other.sum()))
+                if not n:
+                    yield np.zeros(0, dtype=np.int64), np.zeros(0)
+                    continue
+                if np.isfinite(slack):
+                    d[~other] = np.inf
+                    other &= d <= np.partition(d, n - 1)[n - 1] + slack
+                near = np.flatnonzero(other)
+                exact = np.sqrt(((vectors[near] - v) ** 2).sum(1))
+                first = np.lexsort((rows[near], ids[near], exact))[:n]
+                yield near[first], exact[first]
 
 
 def widened(ranked: np.ndarray, rows: np.ndarray, probes: int, wanted: int) -> list[list[int]]:
@@ -176,21 +194,26 @@ def widened(ranked: np.ndarray, rows: np.ndarray, probes: int, wanted: int) -> l
 def _ask_batches(batches: Iterator[pa.RecordBatch], router, dim: int, rows: np.ndarray, wanted: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            parts = widened(router.value.ranked(_matrix(b.column(1), dim), len(rows)), rows, router.value.probes, wanted)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.list_(pa.int32()))], ["id", "v", "parts"])
+            parts = widened(router.value.ranked(_matrix(b.column(2), dim), len(rows)), rows, router.value.probes, wanted)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.list_(pa.int32()))], ["row", "id", "v", "ps"])
+
+
+MET = "q_row long, query_id long, row long, vec_id long, score double"
 
 
 def _rank_block(cands: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest candidates of a block for each of its queries."""
+    names = [part.split()[0] for part in MET.split(", ")]
     if not len(cands) or not len(asked):
-        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    ids, vectors = cands["id"].to_numpy(np.int64), np.stack(cands["v"].to_list()).astype(np.float64)
-    qid, qv = asked["id"].to_numpy(np.int64), np.stack(asked["v"].to_list()).astype(np.float64)
-    found = [(np.full(len(at), q), ids[at], d) for q, (at, d) in zip(qid, nearest(qid, qv, ids, vectors, k), strict=True)]
-    return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
+        return pd.DataFrame({n: pd.Series(dtype="float64" if n == "score" else "int64") for n in names})
+    rows, ids, vectors = cands["row"].to_numpy(np.int64), cands["id"].to_numpy(np.int64), np.stack(cands["v"].to_list()).astype(np.float64)
+    q_rows, q_ids, queries = asked["row"].to_numpy(np.int64), asked["id"].to_numpy(np.int64), np.stack(asked["v"].to_list()).astype(np.float64)
+    found = [(np.full(len(at), r), np.full(len(at), q), rows[at], ids[at], d) for r, q, (at, d) in zip(q_rows, q_ids, nearest(q_rows, queries, rows, ids, vectors, k), strict=True)]
+    return pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*found, strict=True), strict=True)})
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): rows with an id and a vector without null or non-finite components that isn't zero, of the table's commonest length."""
+    """(id, v): rows with an id and a vector without null or non-finite components that isn't zero."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return rows.where(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
@@ -199,50 +222,51 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
     """The ``k`` nearest rows found of each row whose id is divisible by ``every``: query_id, rank, vec_id, score (Euclidean distance).
 
-    Nearest first, ties to the smaller id; a query's own row (and any other row
-    of its id) is no candidate.  Vectors that are null, zero, of another length
-    than most, or hold null or non-finite components take no part, nor do rows
-    without an id.  Rows of an id that repeat are candidates each; as a query an
-    id asks once, with its least vector.  An empty table gives an empty result.
-    All rows are indexed; partitions are dealt out in blocks of about CANDIDATES
-    rows and QUERIES queries; a query whose partitions hold too few goes to
-    further ones until it has ``k`` candidates or all.  A value that a third of
-    all rows share is spread, and pairs of rows are never made outside a block's matrix.
+    Nearest first, ties to the smaller id.  Every row but the query's own is a
+    candidate; rows that share an id are rows of their own, as candidates and as
+    queries, each with ranks from 1.  Vectors that are null, zero, or hold null
+    or non-finite components take no part, nor do rows without an id; nor do
+    vectors of another length than most (of several as common, the least), to
+    which there is no distance.  An empty table gives an empty result; other
+    columns aren't looked at.
+
+    All rows are indexed.  Partitions are dealt out in blocks of about
+    CANDIDATES rows and QUERIES queries; a query whose partitions hold too few
+    goes to further ones until it has ``k`` candidates or all.  A value that a
+    third of all rows share is spread, and pairs of rows are never made outside
+    a block's matrix.
     """
     spark = df.sparkSession
-    python_ready(spark, 10_000)
+    python_ready(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(df, id_col, vector_col)
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], schema)
-    dim = lengths[0]["n"]
+    dim, parts = lengths[0]["n"], partitions_for(lengths[0]["count"])
     rows = rows.where(F.size("v") == dim)
-    sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").toArrow()
-    router = spark.sparkContext.broadcast(fit(np.unique(_matrix(sample.column(0).combine_chunks(), dim), axis=0)))
-    routed = "id long, v array<double>, parts array<int>"
-    filed = cut(rows.mapInArrow(partial(_route_batches, router=router, dim=dim), routed))
-    asked = filed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    has = {r["p"]: r["n"] for r in filed.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n")).collect()}  # PARTITIONS rows at most
-    own = filed.where(F.col("id") % every == 0).groupBy("id").count().agg(F.max("count")).first()[0] or 0  # rows of a query's own id are no candidates
-    filed_in = np.array([has.get(p, 0) for p in range(router.value.b2.size)], dtype=np.int64)
-    asked = cut(asked.mapInArrow(partial(_ask_batches, router=router, dim=dim, rows=filed_in, wanted=k + own), routed))
-    wants = {r["p"]: r["n"] for r in asked.select(F.explode("parts").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
-    split = lambda counts, size: F.create_map(*(F.lit(x) for p in range(PARTITIONS) for x in (p, max(1, -(-counts.get(p, 0) // size)))))
-    c_of, q_of = split(has, CANDIDATES), split(wants, QUERIES)
-    place = lambda n: F.pmod(F.xxhash64("id", "v"), n)
-    cands = filed.withColumn("p", F.col("parts")[0]).withColumn("c", place(c_of[F.col("p")])).withColumn("q", F.explode(F.sequence(F.lit(0), q_of[F.col("p")] - 1)))
-    quers = asked.withColumn("p", F.explode("parts")).withColumn("q", place(q_of[F.col("p")])).withColumn("c", F.explode(F.sequence(F.lit(0), c_of[F.col("p")] - 1)))
-    block = [F.col("p"), F.col("c").cast("int").alias("c"), F.col("q").cast("int").alias("q")]
-    met = cands.select(*block, "id", "v").groupBy("p", "c", "q").cogroup(quers.select(*block, "id", "v").groupBy("p", "c", "q")).applyInPandas(partial(_rank_block_of, k=k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(max(SAMPLE, parts * PER_PARTITION)).select("v").toArrow()
+    model = fit(np.unique(_matrix(sample.column(0).combine_chunks(), dim), axis=0), parts)
+    router, parts = spark.sparkContext.broadcast(model), model.b2.size
+    # a row's number is written out with it, so that it stays the same one
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "v")
+    filed = cut(numbered.mapInArrow(partial(_route_batches, router=router, dim=dim), "row long, id long, v array<double>, p int"))
+    has = {r["p"]: r["n"] for r in filed.groupBy("p").agg(F.count("*").alias("n")).collect()}  # PARTITIONS rows at most
+    filed_in = np.array([has.get(p, 0) for p in range(parts)], dtype=np.int64)
+    asked = filed.where(F.col("id") % every == 0).select("row", "id", "v")
+    asked = cut(asked.mapInArrow(partial(_ask_batches, router=router, dim=dim, rows=filed_in, wanted=k + 1), "row long, id long, v array<double>, ps array<int>"))
+    asked = asked.select("row", "id", "v", F.explode("ps").alias("p"))
+    wants = {r["p"]: r["n"] for r in asked.groupBy("p").agg(F.count("*").alias("n")).collect()}  # PARTITIONS rows at most
+    blocks = [(p, -(-has[p] // CANDIDATES), -(-wants[p] // QUERIES)) for p in range(parts) if p in has and p in wants]
+    blocks = F.broadcast(spark.createDataFrame(blocks, "p int, cs int, qs int"))
+    place = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
+    cands = filed.join(blocks, "p").select("p", place(F.col("cs")).alias("c"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "row", "id", "v")
+    quers = asked.join(blocks, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), place(F.col("qs")).alias("q"), "row", "id", "v")
+    met = cands.groupBy("p", "c", "q").cogroup(quers.groupBy("p", "c", "q")).applyInPandas(lambda a, b: _rank_block(a, b, k), MET)
+    rank = F.row_number().over(Window.partitionBy("q_row").orderBy("score", "vec_id", "row"))
     return met.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 
-def _rank_block_of(cands: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    return _rank_block(cands, asked, k)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: ten nearest of each hundredth vector."""
     return search(read_table(spark, sf_dir, "embeddings"))
