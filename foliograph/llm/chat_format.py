@@ -12,6 +12,8 @@ forge a mark, and ``parse`` gives back every turn as it was.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ._shared import read_table
@@ -22,6 +24,31 @@ OPEN, CLOSE, JOIN, END = "[TURN ", "]", "[+]", "</s>"
 LEARNED_ROLE = "assistant"
 
 
+#: Pieces whose lengths are summed at once, and code points of a part of a string that is cut from.
+GROUP, PART = 512, 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(lengths: Column, start: Column, n: Column) -> Column:
+    """The sum of ``n`` of the lengths, from the one at ``start`` (from 0) on."""
+    return F.aggregate(F.slice(lengths, (start + 1).cast("int"), n.cast("int")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+def _starts(lengths: Column, wanted: Column) -> Column:
+    """For each place in ``wanted`` the sum of all lengths before it: whole groups of GROUP are summed first, so a place costs GROUP / 2 sums on average."""
+    whole = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / GROUP).cast("int")), lambda g: _total(lengths, g * GROUP, F.lit(GROUP)))
+
+    def behind(groups: Column) -> Column:
+        before = F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda g: _total(groups, F.lit(0), g))
+        return _let(before, lambda b: F.transform(wanted, lambda i: F.get(b, F.floor(i / GROUP).cast("int")) + _total(lengths, i - i % GROUP, i % GROUP)))
+
+    return _let(whole, behind)
+
+
 def escape(text: Column) -> Column:
     for raw, safe in ESCAPES:
         text = F.replace(text, F.lit(raw), F.lit(safe))
@@ -39,8 +66,10 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Turns are ordered by turn number (null last); ties by role, then text, so
     that reruns agree; repeated rows stay turns of their own.  A null role or
-    text is an empty one.  A null conversation id is an id of its own.  A
-    conversation is one row of the result, so its turns meet in one task.
+    text is an empty one.  A null conversation id is an id of its own.  An empty
+    table gives an empty result; other columns aren't looked at.  A conversation
+    is one row of the result, so its turns meet in one task; time is about in
+    proportion to its length, however many turns it has.
     """
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).isNull().alias("none"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
@@ -57,14 +86,9 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
         return F.concat(F.array(piece(F.concat(F.lit(OPEN), escape(turn["role"]), F.lit(CLOSE)), F.lit(False))), F.flatten(said), F.array(piece(F.lit(END), F.lit(False))))
 
     cut = merged.select("conv_id", F.flatten(F.transform("merged", pieces)).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        n = F.length(p["s"]).cast("long")
-        span = F.struct(acc["at"].alias("start"), n.alias("length"))
-        return F.struct((acc["at"] + n).alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate("pieces", start, step, lambda acc: acc["spans"])
+    lengths = F.transform("pieces", lambda p: F.length(p["s"]).cast("long"))
+    learned = F.filter(F.sequence(F.lit(0), F.size("pieces") - 1), lambda i: F.get("pieces", i)["loss"])
+    spans = _let(lengths, lambda ns: _let(learned, lambda at: F.zip_with(_starts(ns, at), at, lambda start, i: F.struct(start.alias("start"), F.get(ns, i).alias("length")))))
     return cut.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -78,8 +102,19 @@ def parse(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between.
+
+    The string is cut into parts of PART code points once, and each span is cut
+    from the parts it lies in, not from the whole.
+    """
+    parts = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+
+    def cut(of: Column, s: Column) -> Column:
+        first, last = F.floor(s["start"] / PART), F.floor((s["start"] + s["length"]) / PART)
+        near = F.array_join(F.slice(of, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return F.substr(near, (s["start"] - first * PART + 1).cast("int"), s["length"].cast("int"))
+
+    return _let(parts, lambda of: F.array_join(F.transform(spans, lambda s: unescape(cut(of, s))), ""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,22 @@ def test_ties_repeats_nulls_and_no_rows(spark):
     assert cf.format_conversations(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_long_conversations(spark):
+    """Thousands of turns, texts longer than a part, and pieces over many groups: spans and texts are those of the string."""
+    rng = random.Random(8)
+    rows = [(1, t, rng.choice(["user", "assistant"]), f"ñ{t}😀[" * rng.choice([0, 1, 3])) for t in range(3000)]
+    rows += [(2, t, "assistant", "日本語 é<" * rng.choice([1, 700, 5000])) for t in range(12)] + [(3, 0, "user", "u" * 20_000), (3, 1, "assistant", "x" * 4096), (3, 2, "assistant", "")]
+    out = cf.format_conversations(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    for r in out.select("conv_id", "formatted", "loss_spans", cf.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect():
+        own = [(role, text) for c, _, role, text in rows if c == r["conv_id"]]
+        said = [text for role, text in own if role == "assistant"]
+        assert r["loss"] == "".join(said)
+        cuts = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
+        for raw, safe in reversed(cf.ESCAPES):
+            cuts = [c.replace(safe, raw) for c in cuts]
+        assert cuts == said
+
+
 def test_query_equals_sql_and_runs_no_python(spark, small):
     df = cf.query(spark, small)
     plan = df._jdf.queryExecution().toString()
