@@ -74,21 +74,47 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     return values.astype(np.uint16 if most > 255 else np.uint8).reshape(height, width, channels)
 
 
+#: Where colours are in a pixel's number unless masks say it, by bits of a pixel: red, green, blue.
+MASKS = {16: (0x7C00, 0x03E0, 0x001F), 32: (0xFF0000, 0x00FF00, 0x0000FF)}
+
+
+def _channel(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The samples under a mask, from 0 to 255."""
+    if not mask:
+        return np.zeros(pixels.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    samples = ((pixels & np.uint32(mask)) >> np.uint32(low)).astype(np.uint64)
+    return ((samples * 255 + most // 2) // most).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits as (height, width, 3) of uint8."""
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits as (height, width, 3) of uint8; colour masks are read, transparency isn't."""
     if data[:2] != b"BM":
         raise ValueError("no BMP image")
     start, head = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
-    width, height, _, bits, packing, _, _, _, colours, _ = struct.unpack_from("<iiHHIIiiII", data, 18)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height:
+    if head == 12:
+        (width, height, _, bits), packing, colours, entry = struct.unpack_from("<HHHH", data, 18), 0, 0, 3
+    elif head >= 40:
+        width, height, _, bits, packing, _, _, _, colours, _ = struct.unpack_from("<iiHHIIiiII", data, 18)
+        entry = 4
+    else:
+        raise ValueError("a BMP header that isn't read")
+    masked = packing in (3, 6) and bits in MASKS
+    if not (packing == 0 or masked) or bits not in (1, 4, 8, 16, 24, 32) or width <= 0 or not height:
         raise ValueError("a kind of BMP that isn't read")
     stride, rows = -(-width * bits // 32) * 4, abs(height)
     body = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if height > 0:
         body = body[::-1]
-    if bits >= 24:
-        return np.ascontiguousarray(body[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1])
-    palette = np.frombuffer(data, np.uint8, 4 * (colours or 1 << bits), 14 + head).reshape(-1, 4)
+    if bits == 24:
+        return np.ascontiguousarray(body[:, : width * 3].reshape(rows, width, 3)[:, :, ::-1])
+    if bits in MASKS:
+        pixels = np.ascontiguousarray(body[:, : width * bits // 8]).view(f"<u{bits // 8}").astype(np.uint32)
+        # masks are the first numbers behind a header of 40 bytes, and at the same place in a longer one
+        masks = struct.unpack_from("<III", data, 54) if masked else MASKS[bits]
+        return np.dstack([_channel(pixels, m) for m in masks])
+    palette = np.frombuffer(data, np.uint8, entry * (colours or 1 << bits), 14 + head).reshape(-1, entry)
     index = body if bits == 8 else np.unpackbits(body, axis=1).reshape(rows, -1, bits) @ (1 << np.arange(bits)[::-1])
     return np.ascontiguousarray(palette[index[:, :width]][:, :, 2::-1])
 
@@ -158,9 +184,11 @@ def media_tiles(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
     """``keep`` of each row, and width, height, channels, tile (NPY bytes), dhash, error of the image in ``media_col``.
 
     What can't be decoded (null and empty media among it) has only its error.
-    Equal media give equal rows.
+    Equal media give equal rows; repeated rows come back as often as they came;
+    an empty table gives an empty result; columns that aren't kept don't matter,
+    whatever their names.
     """
-    python_ready(df.sparkSession, 64)
+    python_ready(df.sparkSession)
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "width int, height int, channels int, tile binary, dhash string, error string"])
     return df.select(F.col(media_col).cast("binary").alias("_media"), *(F.col(f"`{c}`") for c in keep)).mapInArrow(_tile_batches, schema)
 
@@ -175,9 +203,12 @@ def _stored_batches(batches: Iterator[pa.RecordBatch], row_bytes: int) -> Iterat
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): every text's UTF-8 bytes, padded with spaces to whole rows of pixels, as a P6 image.
 
-    Null texts are empty; an empty text is one row of spaces.
+    Null texts are empty; an empty text is one row of spaces.  A null id stays
+    null, repeated rows come back as often as they came, an empty table gives an
+    empty result; other columns aren't looked at.  A text is one image, however
+    long, and a batch holds some megabytes or one text.
     """
-    python_ready(docs.sparkSession, 64)
+    python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(partial(_stored_batches, row_bytes=ROW_BYTES), "doc_id long, n_bytes long, media binary")
 

@@ -49,6 +49,55 @@ def test_bmp_kinds():
     assert np.array_equal(mc.decode(bmp(index % 2, 1, palette=palette[:2])), palette[index % 2])
 
 
+def packed(image, masks, bits, head=40, packing=3):
+    """A BMP whose pixels are numbers with the colours under masks; a fourth mask's bits are set."""
+    h, w = image.shape[:2]
+    pixels = np.zeros((h, w), np.uint32)
+    for mask, samples in zip(masks, np.moveaxis(image, 2, 0), strict=False):
+        low = (mask & -mask).bit_length() - 1
+        most = mask >> low
+        pixels |= ((samples.astype(np.uint64) * most + 127) // 255 << low).astype(np.uint32)
+    if len(masks) > 3:
+        pixels |= np.uint32(masks[3])
+    rows = [r.astype(f"<u{bits // 8}").tobytes() for r in pixels]
+    rows = [r + b"\0" * (-len(r) % 4) for r in rows]
+    table = struct.pack(f"<{len(masks)}I", *masks) if packing else b""
+    fields = struct.pack("<IiiHHIIiiII", head, w, h, 1, bits, packing, 0, 0, 0, 0, 0)
+    fields += (table + b"\0" * (head - 40))[: max(head - 40, len(table))]
+    return b"BM" + struct.pack("<IHHI", 0, 0, 0, 14 + len(fields)) + fields + b"".join(rows[::-1])
+
+
+def test_bmp_masks():
+    rgb = RNG.integers(0, 256, (5, 3, 3), dtype=np.uint8)
+    rgb[0, 0] = 10, 20, 30
+    assert mc.decode(packed(rgb, (0xFF, 0xFF00, 0xFF0000, 0xFF000000), 32))[0, 0].tolist() == [10, 20, 30]
+    for masks in ((0xFF, 0xFF00, 0xFF0000, 0xFF000000), (0xFF000000, 0xFF0000, 0xFF00), (0xFF0000, 0xFF00, 0xFF)):
+        for head in (40, 56, 108, 124):
+            assert np.array_equal(mc.decode(packed(rgb, masks, 32, head)), rgb)
+    assert np.array_equal(mc.decode(packed(rgb, (0xFF0000, 0xFF00, 0xFF, 0xFF000000), 32, packing=0)), rgb)
+    for masks, packing in (((0xF800, 0x7E0, 0x1F), 3), ((0x7C00, 0x3E0, 0x1F), 0), ((0xF00, 0xF0, 0xF, 0xF000), 3)):
+        most = np.array([m >> ((m & -m).bit_length() - 1) for m in masks[:3]])
+        coarse = ((rgb.astype(int) * most + 127) // 255 * 255 + most // 2) // most
+        assert np.array_equal(mc.decode(packed(rgb, masks, 16, packing=packing)), coarse)
+    wide = packed(rgb, (0x3FF00000, 0xFFC00, 0x3FF), 32)
+    assert np.abs(mc.decode(wide).astype(int) - rgb).max() <= 1
+
+
+def test_bmp_core_header():
+    palette, index = RNG.integers(0, 256, (16, 3), dtype=np.uint8), RNG.integers(0, 16, (2, 4), dtype=np.uint8)
+    table = palette[:, ::-1].tobytes()
+    rows = [bytes([r[0] << 4 | r[1], r[2] << 4 | r[3], 0, 0]) for r in index]
+    data = b"BM" + struct.pack("<IHHI", 0, 0, 0, 26 + len(table)) + struct.pack("<IHHHH", 12, 4, 2, 1, 4) + table + b"".join(rows[::-1])
+    assert np.array_equal(mc.decode(data), palette[index])
+    for bad in (b"BM" + bytes(60), bmp(RNG.integers(0, 2, (2, 2, 3), dtype=np.uint8))[:30]):
+        with pytest.raises((ValueError, struct.error)):
+            mc.decode(bad)
+    rle = bytearray(bmp(RNG.integers(0, 4, (3, 4)), 8, palette=RNG.integers(0, 256, (4, 3), dtype=np.uint8)))
+    rle[30] = 1
+    with pytest.raises(ValueError):
+        mc.decode(bytes(rle))
+
+
 @pytest.mark.parametrize("shape", [(8, 9, 1), (1, 1, 3), (7, 64, 3), (100, 13, 1), (5000, 64, 3)])
 def test_area_means(shape):
     image = RNG.integers(0, 256, shape, dtype=np.uint8)
