@@ -2,9 +2,10 @@
 
 A tree builder with implied tags reads any page; rendering walks the tree under
 visibility rules and emits visible text: blocks on lines of their own with
-spacing, lists with marks and indents, preformatted text as it is, and tables
-with aligned cells.  Left out although browsers show it: text inside svg and
-math, and the fallback of object.
+spacing, lists with marks and indents, preformatted text as it is, tables with
+aligned cells, formulas and the labels of drawings.  What a browser shows only
+if it can't load something (the fallback of object, video and the like) is not
+shown.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ._shared import python_ready, read_table
 
@@ -23,7 +24,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is text up to their end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: Never shown.
-UNSEEN = frozenset("script style title head template noscript iframe noembed noframes object datalist param source track audio video canvas svg math".split())
+UNSEEN = frozenset("script style title head template noscript iframe noembed noframes object datalist param source track audio video canvas annotation annotation-xml".split())
+#: In a drawing these are shown; the others only group them, or are never shown.
+LABELS = frozenset("text foreignobject".split())
+UNDRAWN = frozenset("title desc defs metadata symbol clippath mask marker pattern style script".split())
 #: Start a line; those in SPACED have an empty line before and behind.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul xmp caption tr td th thead tbody tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset menu dir xmp".split())
@@ -51,7 +55,8 @@ WALLS = frozenset(("td", "th", "caption", "table"))
 
 _TAG = re.compile(r"<(?:!--(?:.*?-->|.*)|[!?][^>]*>?|/([a-zA-Z][^\s/>]*)[^>]*>?|([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([a-zA-Z][^\s/>]*)([^>]*)>?)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_HIDES = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -145,7 +150,8 @@ def build_tree(page: str) -> Node:
         if open_tags.get("head") and tag not in ("title", "meta", "link", "base", "script", "style", "noscript", "template", "head"):
             end_open(frozenset(("head",)), frozenset())
         push(tag, attrs)
-        if tag in VOID:
+        closed = (m[3] or "").endswith("/") and (open_tags.get("svg") or open_tags.get("math"))
+        if tag in VOID or closed:
             pop_to(len(stack) - 1)
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -165,6 +171,27 @@ def _hidden(node: Node) -> bool:
     return "style" in node.attrs and bool(_HIDES.search(node.attrs["style"]))
 
 
+def _visibility(node: Node) -> bool | None:
+    """What the element says of its own and its descendants' visibility: None where it says nothing."""
+    said = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else None
+    return said[-1].lower() == "visible" if said else None
+
+
+def _labels(drawing: Node) -> list[Node | str]:
+    """The text elements of a drawing, in order, with space between."""
+    found: list[Node | str] = [" "]
+    todo = list(reversed(drawing.children))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or node.tag in UNDRAWN or _hidden(node):
+            continue
+        if node.tag in LABELS:
+            found += [node, " "]
+        else:
+            todo.extend(reversed(node.children))
+    return found
+
+
 def _width(text: str) -> int:
     """Columns that a text takes: wide characters two, combining marks none."""
     if text.isascii():
@@ -245,7 +272,7 @@ def _table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
 
 def render(root: Node) -> str:
     """All visible text of a tree.  Walks with a stack of its own, so depth doesn't matter."""
-    flows, tables, lists, pre = [_Flow()], [], [], 0
+    flows, tables, lists, pre, shown = [_Flow()], [], [], 0, [True]
     todo: list[tuple[Node | str, bool]] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
@@ -253,23 +280,28 @@ def render(root: Node) -> str:
         if isinstance(node, str):
             if tables and tables[-1][1] == len(flows) and not node.strip():
                 continue  # between rows and cells
-            flow.add(node, keep=pre > 0)
+            if shown[-1]:
+                flow.add(node, keep=pre > 0)
             continue
         tag = node.tag
         if not leaving:
             if _hidden(node):
                 continue
+            if (visible := _visibility(node)) is not None:
+                shown.append(visible)
+                todo.append((Node("", {}), True))  # comes up when all below the element is done
+            if tag == "svg":
+                todo.extend((child, False) for child in reversed(_labels(node)))
+                continue
             if tag == "br":
                 flow.line(always=True)
                 continue
             if tag == "wbr" or tag in VOID - {"hr", "img", "input"}:
                 continue
-            if tag == "img":
-                flow.add(node.attrs.get("alt", ""))
-                continue
-            if tag == "input":
-                if node.attrs.get("type", "text").lower() in ("submit", "button", "reset"):
-                    flow.add(node.attrs.get("value", ""))
+            if tag in ("img", "input"):
+                said = node.attrs.get("alt", "") if tag == "img" else node.attrs.get("value", "") if node.attrs.get("type", "text").lower() in ("submit", "button", "reset") else ""
+                if shown[-1]:
+                    flow.add(said)
                 continue
             if tag == "hr":
                 flow.block(True)
@@ -305,6 +337,9 @@ def render(root: Node) -> str:
             todo.append((node, True))
             todo.extend((child, False) for child in reversed(node.children))
             continue
+        if not tag:
+            shown.pop()
+            continue
         if tag in ("td", "th") and len(flows) > 1 and tables and tables[-1][1] < len(flows):
             cell = " ".join(x.strip() for x in flows.pop().text().split("\n") if x.strip())
             span = node.attrs.get("colspan", "1")
@@ -348,10 +383,13 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     """``keep`` of every page and its visible ``text``.
 
     Any markup gives a result, null and empty pages an empty text; repeated rows
-    come back as often as they came.
+    come back as often as they came; a null id stays null, an empty table gives
+    an empty result.  A page is read whole, in time about in proportion to its
+    length, and its tree and text are held at once.  Columns that aren't kept
+    don't matter, whatever their names; ``keep`` can't hold ``text``.
     """
     python_ready(pages.sparkSession)
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep), "text string"])
+    schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType())])
     return pages.select(F.col(html_col).cast("string").alias("_html"), *(F.col(f"`{c}`") for c in keep)).mapInArrow(_render_batches, schema)
 
 

@@ -30,9 +30,122 @@ CASES = {
     "<a href=\"x>y\">link</a> <b unclosed='q": "link",
     "3 < 5 and <3": "3 < 5 and <3",
     "": "",
+    "<div style='visibility:hidden'>h<b style='visibility: visible'>v</b>h</div>w": "v\nw",
+    "a <svg><title>t</title><defs><text>d</text></defs><rect/><g><text x=1>one</text><text>two</text></g></svg> b": "a one two b",
+    "<svg><text>x<tspan>y</tspan></text><g hidden><text>z</text></g></svg>": "xy",
+    "<math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>tex</annotation></math>": "a+b",
+    "<object><p>fallback</object>c": "c",
 }
 
 
+# --- documents made from a model, rendered by rules written down once more -----
+
+
+def words_of(rng):
+    return " ".join(rng.choice(["alpha", "b", "señal", "日本", "x1", "&amp;"]) for _ in range(rng.randint(1, 6)))
+
+
+def model_of(rng, depth=0):
+    kinds = ["p", "div", "h", "pre", "hidden", "hr"] + ["list", "table", "quote"] * (depth < 2)
+    made = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(kinds)
+        if kind == "list":
+            made.append((kind, rng.random() < 0.5, [(words_of(rng), [model_list(rng)] if rng.random() < 0.3 else []) for _ in range(rng.randint(1, 4))]))
+        elif kind == "table":
+            cols = rng.randint(1, 4)
+            made.append((kind, [[words_of(rng) for _ in range(cols)] for _ in range(rng.randint(1, 4))]))
+        elif kind == "quote":
+            made.append((kind, model_of(rng, depth + 1)))
+        elif kind == "pre":
+            made.append((kind, [" " * rng.randint(0, 3) + "line" + str(k) for k in range(rng.randint(1, 3))]))
+        else:
+            made.append((kind, words_of(rng)))
+    return made
+
+
+def model_list(rng):
+    return ("list", rng.random() < 0.5, [(words_of(rng), []) for _ in range(rng.randint(1, 3))])
+
+
+def page_of(nodes, rng):
+    """The model as markup, end tags left out where they are implied."""
+    out = ""
+    for kind, *rest in nodes:
+        end = lambda tag: rng.choice(["", f"</{tag}>"])
+        if kind == "p":
+            out += f"<p>{rest[0]}</p>" if rng.random() < 0.5 else f"<P class=x>\n {rest[0].replace(' ', '  ')}</p>"
+        elif kind == "div":
+            out += f"<div><b>{rest[0]}</b></div>"
+        elif kind == "h":
+            out += f"<h2>{rest[0]}</h2>"
+        elif kind == "pre":
+            out += "<pre>" + "\n".join(rest[0]) + "</pre>"
+        elif kind == "hidden":
+            out += rng.choice(["<div hidden>{}</div>", "<script>{}</script>", "<!-- {} -->", "<p style='display:none'>{}</p>"]).format(rest[0])
+        elif kind == "hr":
+            out += "<hr>"
+        elif kind == "quote":
+            out += f"<blockquote>{page_of(rest[0], rng)}</blockquote>"
+        elif kind == "list":
+            tag = "ol" if rest[0] else "ul"
+            out += f"<{tag}>" + "".join(f"<li>{w}{page_of(sub, rng)}{end('li')}" for w, sub in rest[1]) + f"</{tag}>"
+        else:
+            out += "<table>" + "".join("<tr>" + "".join(f"<td>{c}{end('td')}" for c in row) + end("tr") for row in rest[0]) + "</table>"
+    return out
+
+
+def lines_of(nodes, nested=False):
+    """The lines that the model is shown as; None is an empty line asked for."""
+    out = []
+    for kind, *rest in nodes:
+        said = rest[0].replace("&amp;", "&") if rest and isinstance(rest[0], str) else None
+        if kind in ("p", "h"):
+            out += [None, said, None]
+        elif kind == "div":
+            out += [said]
+        elif kind == "hr":
+            out += [None, "---", None]
+        elif kind == "pre":
+            out += [None, *rest[0], None]
+        elif kind == "quote":
+            out += [None, *(x and "  " + x for x in lines_of(rest[0])), None]
+        elif kind == "list":
+            out += [] if nested else [None]
+            for n, (w, sub) in enumerate(rest[1], 1):
+                mark = f"{n}. " if rest[0] else "- "
+                out += [mark + w.replace("&amp;", "&"), *(x and " " * len(mark) + x for x in lines_of(sub, True))]
+            out += [] if nested else [None]
+        elif kind == "table":
+            rows = [[c.replace("&amp;", "&") for c in row] for row in rest[0]]
+            wide = lambda c: sum(2 if "\u2e80" <= x <= "\u9fff" else 1 for x in c)
+            room = [max(wide(row[k]) for row in rows) for k in range(len(rows[0]))]
+            out += [None, *(" | ".join(c + " " * (room[k] - wide(c)) for k, c in enumerate(row)).rstrip() for row in rows), None]
+    return out
+
+
+def shown(nodes):
+    text, gap = [], False
+    for line in lines_of(nodes):
+        if line is None:
+            gap = True
+            continue
+        if gap and text:
+            text.append("")
+        text.append(line)
+        gap = False
+    return "\n".join(text)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_against_the_rules_on_made_pages(seed):
+    rng = random.Random(seed)
+    for _ in range(10):
+        model = model_of(rng)
+        page = page_of(model, rng)
+        assert hr.html_text(page) == shown(model), page
+
+
 @pytest.mark.parametrize("page", CASES)
 def test_rendering(page):
     assert hr.html_text(page) == CASES[page]
