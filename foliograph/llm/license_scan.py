@@ -138,8 +138,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     Words are runs of a-z and 0-9 after lower-casing.  ``containment``: the
     greatest share of the template's shingles that one window holds (0.8 or
     more); ``first_word``: where the first such window starts; ``n_windows``:
-    how many windows hold it.  Rows that repeat an id
-    have rows of their own; documents without a license, null and empty texts have no row.
+    how many windows hold it.  Rows that repeat an id, or each other, have rows
+    of their own; a null id stays null; documents without a license, null and
+    empty texts have no row, nor has an empty table; whole texts are looked at,
+    however long; other columns aren't.
     """
     known = _known(tuple((TEMPLATES if templates is None else templates).items()))
     spark = docs.sparkSession

@@ -157,8 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from at most ``per_class`` labelled documents of each class, whole texts.
 
     Labels other than 0 and 1, and null ids, are not used; of an id with several
-    labels the least counts.  Only that bounded sample reaches the driver, as
-    bucket counts.  Without labels the model scores everything 0.5.
+    labels the least counts; of rows that share an id one is learned from.  Only
+    that bounded sample reaches the driver, as bucket counts.  Without labels,
+    or without documents of them, the model scores everything 0.5.
     """
     python_ready(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("quality"))
@@ -185,7 +186,11 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Reco
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every document and its ``score`` (probability of class 1) over its whole text.
 
-    Null and empty texts are scored by the bias alone.  No other column is an input.
+    Null and empty texts are scored by the bias alone.  No other column is an
+    input.  Equal texts have equal scores, repeated rows come back as often as
+    they came, an empty table gives an empty result; columns that aren't kept
+    don't matter, whatever their names.  Of a word longer than BLOCK the parts
+    are words.
     """
     spark = docs.sparkSession
     python_ready(spark)
@@ -203,7 +208,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored 0.5 or more; all columns, whole texts."""
+    """Pipeline stage: documents scored 0.5 or more; all columns, whole texts.
+
+    As ``score``: null and empty texts go by the bias, repeated rows stay or go
+    together, an empty table stays empty, columns of any name come back.
+    """
     model = train(docs, read_table(spark, sf_dir, "labels"))
     whole = docs.select(F.struct("*").alias("doc"), "text")
     return score(whole, model, keep=["doc"]).where("score >= 0.5").select("doc.*")

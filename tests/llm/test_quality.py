@@ -1,4 +1,7 @@
+import collections
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -42,6 +45,96 @@ def test_features_against_counting():
     assert list(qc.features(None)) == [] and sum(map(len, qc.features(" \n"))) == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def slow_bucket(h, salt):
+    x = (h ^ salt) * 0x9E3779B97F4A7C15 & M64
+    x ^= x >> 29
+    return (x * 0x9E3779B97F4A7C15 & M64) >> (64 - qc.BUCKETS.bit_length() + 1)
+
+
+def slow_features(text):
+    """Words, n-grams of " word ", and repeats, one by one."""
+    found, last = [], None
+    for w in re.split("[ \t\n\x0b\x0c\r]+", text or ""):
+        if not w:
+            continue
+        power, whole = 1, 0
+        for c in w:
+            power = power * 0x100000001B3 & M64
+            whole = whole + ord(c) * power & M64
+        found.append(slow_bucket(whole, 1))
+        for n in qc.NGRAMS:
+            for k in range(len(w) + 3 - n):
+                h = 0
+                for i, c in enumerate(f" {w} "[k : k + n]):
+                    h = ((h * 0x100000001B3 if i else 0) + ord(c)) & M64
+                found.append(slow_bucket(h, n))
+        if whole == last:
+            found.append(qc.REPEAT)
+        last = whole
+    return found
+
+
+def slow_score(model, text):
+    found = slow_features(text)
+    z = model.bias + sum(float(model.weight[k]) for k in found) / (len(found) + qc.STILL)
+    return 1 / (1 + math.exp(-z))
+
+
+TEXTS = [None, "", " \n ", "a", "ab ab c", "one two two two three", "ñandú 日本語 😀  ok\tok", "x" * 300, "a b " * 40]
+
+
+def test_scores_against_counting_one_by_one():
+    rng = random.Random(11)
+    model = qc.QualityModel(np.random.default_rng(2).normal(size=qc.BUCKETS) * 5, -0.3)
+    for text in TEXTS + ["".join(rng.choices("abcé \n", k=rng.randint(1, 200))) for _ in range(60)]:
+        got = sorted(np.concatenate([*qc.features(text), np.zeros(0, np.int64)]).tolist())
+        assert got == sorted(slow_features(text)), text
+        assert abs(model.score(text) - slow_score(model, text)) < 1e-12
+
+
+def slow_fit(rows, share, epochs, rate, seed):
+    """The same descent with loops over numbers."""
+    rng = np.random.default_rng(seed)
+    vectors = {k: v.tolist() for k, v in enumerate(rng.normal(0, 1 / qc.DIM, (qc.BUCKETS, qc.DIM)))}
+    top, bias = rng.normal(0, 0.1, (qc.DIM, 2)).tolist(), [0.0, 0.0]
+    have = [sum(r[0] == k for r in rows) / len(rows) for k in (0, 1)]
+    weigh = [share[k] / have[k] for k in (0, 1)]
+    weigh = [w / max(1.0, *weigh) for w in weigh]
+    done = 0
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            label, counts = rows[k]
+            total = sum(counts.values()) + qc.STILL
+            hidden = [sum(n / total * vectors[b][d] for b, n in counts.items()) for d in range(qc.DIM)]
+            z = [sum(hidden[d] * top[d][c] for d in range(qc.DIM)) + bias[c] for c in (0, 1)]
+            e = [math.exp(x - max(z)) for x in z]
+            p = [x / sum(e) - (c == label) for c, x in enumerate(e)]
+            step = rate * (1 - done / (epochs * len(rows))) * weigh[label]
+            back = [sum(top[d][c] * p[c] for c in (0, 1)) for d in range(qc.DIM)]
+            for d in range(qc.DIM):
+                for c in (0, 1):
+                    top[d][c] -= step * hidden[d] * p[c]
+            for c in (0, 1):
+                bias[c] -= step * 0.1 * p[c]
+            for b, n in counts.items():
+                for d in range(qc.DIM):
+                    vectors[b][d] -= step * min(50.0, len(counts)) * n / total * back[d]
+            done += 1
+    return [sum(vectors[b][d] * (top[d][1] - top[d][0]) for d in range(qc.DIM)) for b in range(qc.BUCKETS)], bias[1] - bias[0]
+
+
+def test_training_against_loops():
+    texts = [(k % 2, f"{'good' if k % 2 else 'bad'} w{k} w{k % 3} tail") for k in range(9)]
+    rows = [(label, *(x.tobytes() for x in qc.document_counts(text))) for label, text in texts]
+    model = qc.fit(rows, {0: 0.3, 1: 0.7}, epochs=3)
+    weight, bias = slow_fit([(label, collections.Counter(slow_features(text))) for label, text in texts], {0: 0.3, 1: 0.7}, 3, 0.8, 7)
+    assert np.allclose(model.weight, weight, atol=1e-6) and abs(model.bias - bias) < 1e-6
+    assert model.score("good tail") > model.score("bad tail")
+
+
 def test_edges(spark, edge_docs, edge_rows, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (None, 1, 0), (9, None, 0), (100, 0, 1), (101, 5, 0), (777, 1, 0)], "doc_id long, quality int, toxic int")
     model = qc.train(edge_docs, labels)
