@@ -149,7 +149,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
 
     Each document's ids and a closing id 1; null text is empty, so every row has
     at least one piece.  Repeated rows are packed as often as they come; a null
-    doc_id stays null.  Texts are read once and never shuffled: full pieces
+    doc_id stays null; an empty table gives an empty result; other columns
+    aren't looked at.  Texts are read once and never shuffled: full pieces
     travel as checksums, rests with their ids, dealt evenly over groups of about
     GROUP documents that one task packs.  A group leaves at most one sequence
     with room, so padding stays below one sequence in some hundreds.
@@ -175,5 +176,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces of everything that came."""
+    """Pipeline stage, the last: the pieces of everything that came, as ``pack`` gives them (nulls, empty texts, repeated rows, no rows too)."""
     return pack(docs, vocabulary_path())
