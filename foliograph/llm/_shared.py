@@ -19,7 +19,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch, about, and its rows at most.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 10_000
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 10_000
 
 
 def python_ready(spark: SparkSession) -> None:
