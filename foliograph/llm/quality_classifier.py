@@ -115,22 +115,19 @@ class QualityModel:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-def fit(rows: list[tuple[int, bytes, bytes]], share: dict[int, float], epochs: int = 12, rate: float = 0.8, seed: int = 7) -> QualityModel:
-    """Learn from (label, buckets, counts) rows; ``share``: the classes' shares of all training labels, which weigh the sample."""
+def fit(labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], share: dict[int, float], epochs: int = 12, rate: float = 0.8, seed: int = 7) -> QualityModel:
+    """Learn from documents' labels and (buckets, counts); ``share``: the classes' shares of all training labels, which weigh the sample."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     top, bias = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
-    docs = []
-    for label, at, n in rows:
-        ids, counts = np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.float32).astype(np.float64)
-        docs.append((label, ids, counts / (counts.sum() + STILL)))
-    have = np.bincount([d[0] for d in docs], minlength=2) / max(1, len(docs))
+    have = np.bincount(labels, minlength=2) / max(1, len(labels))
     weigh = [share.get(k, 0) / have[k] if have[k] else 0.0 for k in (0, 1)]
     weigh = [w / max(1.0, *weigh) for w in weigh]
-    steps, done = epochs * len(docs), 0
+    steps, done = epochs * len(labels), 0
     for _ in range(epochs):
-        for k in rng.permutation(len(docs)):
-            label, ids, part = docs[k]
+        for k in rng.permutation(len(labels)):
+            label, ids, part = labels[k], counts[k][0].astype(np.int64), counts[k][1].astype(np.float64)
+            part /= part.sum() + STILL
             hidden = part @ vectors[ids] if len(ids) else np.zeros(DIM)
             z = hidden @ top + bias
             p = np.exp(z - z.max())
@@ -171,10 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counted = texts.join(sample, "doc_id").select("doc_id", "quality", "text").mapInArrow(_count_batches, "doc_id long, quality int, at binary, n binary")
     first = counted.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "n"))).where("k = 1")
-    rows = sorted((r["doc_id"], r["quality"], bytes(r["at"]), bytes(r["n"])) for r in first.select("doc_id", "quality", "at", "n").collect())
-    if not rows:
+    # as columns, not as rows: the driver holds the sample's bytes once
+    rows = first.select("doc_id", "quality", "at", "n").toArrow().sort_by("doc_id")
+    if not rows.num_rows:
         return QualityModel(np.zeros(BUCKETS), 0.0)
-    return fit([r[1:] for r in rows], {k: v / total for k, v in share.items()})
+    numbers = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) if x.as_buffer() else np.zeros(0, kind) for x in rows[name]]
+    return fit(rows["quality"].to_numpy(), list(zip(numbers("at", np.uint16), numbers("n", np.float32), strict=True)), {k: v / total for k, v in share.items()})
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -128,8 +128,7 @@ def slow_fit(rows, share, epochs, rate, seed):
 
 def test_training_against_loops():
     texts = [(k % 2, f"{'good' if k % 2 else 'bad'} w{k} w{k % 3} tail") for k in range(9)]
-    rows = [(label, *(x.tobytes() for x in qc.document_counts(text))) for label, text in texts]
-    model = qc.fit(rows, {0: 0.3, 1: 0.7}, epochs=3)
+    model = qc.fit(np.array([label for label, _ in texts]), [qc.document_counts(text) for _, text in texts], {0: 0.3, 1: 0.7}, epochs=3)
     weight, bias = slow_fit([(label, collections.Counter(slow_features(text))) for label, text in texts], {0: 0.3, 1: 0.7}, 3, 0.8, 7)
     assert np.allclose(model.weight, weight, atol=1e-6) and abs(model.bias - bias) < 1e-6
     assert model.score("good tail") > model.score("bad tail")
