@@ -38,6 +38,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def with_least(roots: DataFrame) -> DataFrame:
+    """What ``connected_components`` gives, and the least nodes, each its own root."""
+    return roots.unionByName(roots.select(F.col("root").alias("node"), F.col("root")).distinct())
+
+
 def _digest(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"] or 0

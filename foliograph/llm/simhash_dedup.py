@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from ._shared import cut, fit_for_broadcast, parts, python_ready, read_table
-from .components import connected_components
+from .components import connected_components, with_least
 
 SEED = 42
 BLOCK = 1 << 15
@@ -131,8 +130,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = cut(fingerprints(docs, id_col, text_col, width))
     # each row makes 64 variants, so rows are spread over all tasks again
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).repartition(parts(docs.sparkSession)))
-    roots = connected_components(links_within_two(classes.select("fp")))
-    linked = roots.unionByName(roots.select(F.col("root").alias("node"), F.col("root")).distinct())
+    linked = with_least(connected_components(links_within_two(classes.select("fp"))))
     named = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", "n", "root")
     joined = named.where("root is not null")
     low = joined.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -198,10 +196,11 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(counts, pa.int64()), keys], ["doc_id", "th", "same", "m", "keys"])
 
 
-def _shingle_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, as the hashes of its shingles."""
     for batch in batches:
-        sets = [shingle_set((t.as_py() or b"").lower().split(), width).view(np.int64) for t in batch.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "shingles"])
+        sets = [shingle_set((t.as_py() or b"").lower().split()).view(np.int64) for t in batch.columns[-1].cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "shingles"])
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -210,73 +209,47 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 
 def meetings(classes: DataFrame) -> DataFrame:
-    """(lo, hi, cid): the members of buckets, that is of classes that share a band of min-wise hashes.
+    """(a, b): links that connect the members of each bucket, that is the classes that share a band of min-wise hashes.
 
     A pair of similarity 0.8 is missed with probability 1.5e-4, and more similar
-    ones with less, whether words were replaced, added or cut off.  Buckets are
-    named by their least and greatest class; those with the same members
-    (count, ends and xor agree) count once, and the members of buckets of two
-    are their ends.
+    ones with less, whether words were replaced, added or cut off.  A bucket is
+    known by its least class, greatest class, number and xor, so an aggregate
+    that combines before the shuffle says who the two of a small one are;
+    fuller ones, each set of members once, are read off in a second pass.
     """
-    ends = cut(_bands(classes).groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n"), F.bit_xor("cid").alias("x")).where("n > 1"))
-    two = ends.where("n = 2").select("lo", "hi").distinct()
-    fuller = ends.where("n > 2").groupBy("lo", "hi", "n", "x").agg(F.min("key").alias("key")).select("key", "lo", "hi")
-    more = _bands(classes).join(fit_for_broadcast(cut(fuller)), "key").select("lo", "hi", "cid")
-    return cut(two.withColumn("cid", F.col("lo")).unionByName(two.withColumn("cid", F.col("hi"))).unionByName(more).distinct())
-
-
-def star_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each member with the least and the greatest class it meets in any bucket; two pairs a member, whatever the group."""
-    far = members.groupBy("cid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return far.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("cid").alias("b")), F.struct(F.col("cid").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
-
-
-def split_groups(members: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-    """(cid, root, grp): the members of buckets that are not in one component yet, and the group that such buckets with common members make up.
-
-    In most buckets of a group of near copies all are in one by then, and most
-    buckets of two have had their pair in ``done``; neither is looked at again.
-    A class is in BANDS buckets at most, so a window over it brings its root to
-    its rows.
-    """
-    rows = members.withColumn("root", F.lit(None).cast("long")).unionByName(roots.select(F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.col("node").alias("cid"), "root"))
-    known = rows.withColumn("root", F.coalesce(F.max("root").over(Window.partitionBy("cid")), "cid")).where("lo is not null")
-    known = cut(known)
-    split = known.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("lo", "hi", "n")
-    two = split.where("n = 2").join(done, (F.col("lo") == F.col("a")) & (F.col("hi") == F.col("b")), "left_anti")
-    split = cut(split.where("n > 2").unionByName(two).select("lo", "hi"))
-    still = cut(known.join(split, ["lo", "hi"], "left_semi"))
-    grouped = connected_components(still.select(F.col("lo").alias("a"), F.col("cid").alias("b")))
-    own = still.select("cid", "root").distinct()
-    return cut(own.join(grouped, own["cid"] == grouped["node"], "left").select("cid", own["root"], F.coalesce(grouped["root"], "cid").alias("grp")))
+    ends = cut(_bands(classes).groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.count("*").alias("n"), F.bit_xor("cid").alias("x")).where("n > 1"))
+    fuller = cut(ends.where("n > 2").groupBy("a", "b", "n", "x").agg(F.min("key").alias("key")).select("key", "a"))
+    more = _bands(classes).join(fit_for_broadcast(fuller), "key").select("a", F.col("cid").alias("b"))
+    return ends.where("n = 2").select("a", "b").unionByName(more)
 
 
 def block_links(table: pa.Table) -> pa.Table:
-    """(a, b): links between the members of two blocks that connect just what has a similarity of SIMILARITY or more.
+    """(a, b): links between members of one group that connect just what has a similarity of SIMILARITY or more.
 
-    Members of one component (``root``) aren't compared, nor are those that
-    earlier links of the blocks connect; of two blocks ``x`` < ``y`` only
-    members of different ones, as each block also comes paired with itself.
+    Rows of one block are compared with each other, those of two with the other
+    block's.  Members of one component (``root``) aren't compared, nor are those
+    that earlier links connect.
     """
-    table = table.sort_by([("block", "ascending"), ("m", "ascending"), ("cid", "ascending")])
-    cid, block, m = (table[c].to_numpy() for c in ("cid", "block", "m"))
-    alone = block[0] == block[-1]
-    sets = table["shingles"].combine_chunks()
-    values, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    table = table.sort_by([("block", "ascending"), ("grp", "ascending"), ("m", "ascending"), ("cid", "ascending")])
+    cid, grp, block, m = (table[c].to_numpy() for c in ("cid", "grp", "block", "m"))
+    n, second = len(cid), int(np.searchsorted(block, block[-1]))
+    # where the rows that a row is compared with begin and end
+    begins = np.arange(1, n + 1) if not second else np.full(n, second)
+    ends = np.searchsorted(grp, grp, side="right") if not second else np.full(n, n)
+    values, ids = np.unique(table["shingles"].combine_chunks().flatten().to_numpy(), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(m)[:-1]])
     part = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
     mark, found = np.zeros(len(values), dtype=np.int32), []
-    second = 1 if alone else int(np.searchsorted(block, block[-1]))
-    for x in range(len(cid) if alone else second):
-        lo = max(second, x + 1) if not alone else x + 1
-        if lo >= len(cid):
-            break
-        fits = (np.minimum(m[lo:], m[x]) >= SIMILARITY * np.maximum(m[lo:], m[x])) & (part[lo:] != part[x])
+    for x in range(second or n):
+        lo, hi = int(begins[x]), int(ends[x])
+        if lo >= hi:
+            continue
+        fits = (np.minimum(m[lo:hi], m[x]) >= SIMILARITY * np.maximum(m[lo:hi], m[x])) & (part[lo:hi] != part[x])
         if not fits.any():
             continue
         own = ids[starts[x] : starts[x] + m[x]]
         mark[own] = 1
-        first, last = lo + int(np.argmax(fits)), len(cid) - int(np.argmax(fits[::-1]))
+        first, last = lo + int(np.argmax(fits)), hi - int(np.argmax(fits[::-1]))
         shared = np.add.reduceat(mark[ids[starts[first] : starts[last - 1] + m[last - 1]]], starts[first:last] - starts[first])
         mark[own] = 0
         near = fits[first - lo : last - lo] & (shared >= SIMILARITY * (m[first:last] + m[x] - shared))
@@ -288,55 +261,77 @@ def block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def all_links(members: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, b): links that connect all members of each group of ``split_groups`` that are similar, by exact comparison of all that have different roots.
-
-    A group is dealt into blocks, and all pairs of blocks are compared, each in
-    one task; a block's size doesn't grow with the group.  The members of the
-    group's largest component have blocks of their own, which aren't paired
-    among themselves, so a large component with few others around it costs in
-    proportion to it.  Where a group has many components, work and copies of its
-    members grow with its square.
-    """
-    sized = members.join(classes.select("cid", "m"), "cid")
-    roots = sized.groupBy("grp", "root").agg(F.count("*").alias("n"), F.sum("m").alias("s"))
-    total = roots.groupBy("grp").agg(F.max(F.struct("n", "s", "root")).alias("top"), F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
-    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_MEMBERS, s / BLOCK_SHINGLES)).cast("int")
-    total = total.select("grp", F.col("top.root").alias("top"), blocks(F.col("top.n"), F.col("top.s")).alias("tops"), blocks(F.col("all_n") - F.col("top.n"), F.col("all_s") - F.col("top.s")).alias("others"))
-    dealt = sized.join(fit_for_broadcast(cut(total)), "grp")
-    # blocks 0 .. others - 1 hold what isn't in the largest component, blocks from others on that component
-    at = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
-    dealt = dealt.withColumn("block", F.when(F.col("root") == F.col("top"), F.col("others") + at(F.col("tops"))).otherwise(at(F.col("others"))))
-    dealt = cut(dealt.select("cid", "root", "grp", "m", "block", F.expr("if(block < others, others + tops, others)").alias("with")))
-    shingles = shingle_sets(dealt.select("cid").distinct(), classes, own)
-    copies = dealt.join(shingles, "cid").select("cid", "root", "grp", "m", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("with") - 1)).alias("other"))
-    copies = copies.select("cid", "root", "m", "block", "shingles", "grp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    return cut(copies.groupBy("grp", "x", "y").applyInArrow(block_links, "a long, b long"))
+def _blocks(n: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK_MEMBERS, shingles / BLOCK_SHINGLES)).cast("int")
 
 
-def shingle_sets(asked: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
-    """(cid, shingles) of the classes ``asked``; only their texts leave the scan of ``own``."""
-    asked = cut(asked.join(classes, "cid").select("cid", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th")))
-    bodies = own.join(fit_for_broadcast(asked), own["doc_id"].eqNullSafe(F.col("r_id")) & (own["th"] == F.col("r_th"))).select("cid", "text")
-    return cut(bodies.mapInArrow(partial(_shingle_batches, width=SHINGLE), "cid long, shingles array<long>").dropDuplicates(["cid"]))
+def _place(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("cid"), blocks).cast("int")
 
 
-def similar_pairs(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
-    """Those of the pairs whose texts have a Jaccard similarity of five-word shingles of 0.8 or more.
+def first_links(members: DataFrame) -> DataFrame:
+    """(a, b): links inside each block of a group, and between its first block and the others.
 
-    Pairs whose numbers of shingles rule that out are left out first.  ``own``:
-    the rows' doc_id, th and text; only the texts asked for leave the scan.
+    members: cid, grp, m, blocks, shingles, with the blocks that the group is
+    dealt into.  For a group of one block that is all there is to compare; such
+    groups are bundled, so that a task's call sees many of them.  In a larger one
+    a member is compared with about two blocks, whatever the group's size.
+    """
+    small = F.col("blocks") == 1
+    total = members.where(small).agg(F.sum("m")).first()[0] or 0
+    bundle = F.pmod(F.xxhash64("grp"), F.lit(max(1, total // BLOCK_SHINGLES)))
+    block = members.withColumn("block", _place(F.col("blocks")))
+    others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
+    dealt = block.select("cid", F.col("cid").alias("root"), "grp", "m", "block", "shingles", small.alias("small"), F.explode(others).alias("other"))
+    unit = F.when(F.col("small"), bundle).otherwise(F.col("grp")).alias("unit")
+    dealt = dealt.select("cid", "root", "grp", "m", "block", "shingles", "small", unit, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return cut(dealt.groupBy("small", "unit", "x", "y").applyInArrow(block_links, "a long, b long"))
+
+
+def rest_links(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): links that connect all similar members of groups of several blocks, by exact comparison of all that have different roots.
+
+    members: cid, grp, m, shingles.  A group is dealt into blocks, and all pairs
+    of blocks are compared, each in one call; a block's size doesn't grow with
+    the group.  The members of the group's largest component have blocks of
+    their own, which aren't paired among themselves, so a large component with
+    few others around it costs in proportion to it.  Where a group has many
+    components, work and copies of its members grow with its square.
     """
-    near = pairs
-    for end in ("a", "b"):
-        near = near.join(classes.select(F.col("cid").alias(end), F.col("m").alias(f"m_{end}")), end)
-    near = cut(near.where(F.least("m_a", "m_b") >= F.lit(SIMILARITY) * F.greatest("m_a", "m_b")).select("a", "b"))
-    shingles = shingle_sets(near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct(), classes, own)
-    both = near
-    for end in ("a", "b"):
-        both = both.join(shingles.select(F.col("cid").alias(end), F.col("shingles").alias(f"s_{end}")), end)
-    shared, sizes = F.size(F.array_intersect("s_a", "s_b")), F.size("s_a") + F.size("s_b")
-    return cut(both.where(shared >= F.lit(SIMILARITY) * (sizes - shared)).select("a", "b"))
+    named = members.join(roots, members["cid"] == roots["node"], "left").select("cid", "grp", "m", F.coalesce("root", "cid").alias("root"))
+    sums = named.groupBy("grp", "root").agg(F.count("*").alias("n"), F.sum("m").alias("s"))
+    total = sums.groupBy("grp").agg(F.max(F.struct("n", "s", "root")).alias("top"), F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.count("*").alias("roots")).where("roots > 1")
+    total = total.select("grp", F.col("top.root").alias("top"), _blocks(F.col("top.n"), F.col("top.s")).alias("tops"), _blocks(F.col("all_n") - F.col("top.n"), F.col("all_s") - F.col("top.s")).alias("others"))
+    dealt = named.join(fit_for_broadcast(cut(total)), "grp")
+    # blocks 0 .. others - 1 hold what isn't in the largest component, blocks from others on that component
+    dealt = dealt.withColumn("block", F.when(F.col("root") == F.col("top"), F.col("others") + _place(F.col("tops"))).otherwise(_place(F.col("others"))))
+    dealt = dealt.select("cid", "root", "block", F.expr("if(block < others, others + tops, others)").alias("with"))
+    copies = members.join(dealt, "cid").select("cid", "root", "grp", "m", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("with") - 1)).alias("other"))
+    copies = copies.select("cid", "root", "grp", "m", "block", "shingles", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return cut(copies.groupBy("grp", "x", "y").applyInArrow(block_links, "a long, b long"))
+
+
+def with_shingles(groups: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
+    """(cid, grp, m, blocks, shingles) of the classes (node, root) of groups; only their texts leave the scan of ``own`` (doc_id, th, text)."""
+    sized = groups.join(classes.select("cid", "m", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th")), F.col("node") == F.col("cid"))
+    sized = sized.select("cid", F.col("root").alias("grp"), "m", "r_id", "r_th")
+    blocks = sized.groupBy("grp").agg(_blocks(F.count("*"), F.sum("m")).alias("blocks"))
+    asked = fit_for_broadcast(cut(sized.join(blocks, "grp")))
+    bodies = own.join(asked, own["doc_id"].eqNullSafe(F.col("r_id")) & (own["th"] == F.col("r_th"))).select("cid", "grp", "m", "blocks", "text")
+    return cut(bodies.mapInArrow(_shingle_batches, "cid long, grp long, m long, blocks int, shingles array<long>").dropDuplicates(["cid"]))
+
+
+def similar_classes(classes: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, root) of the classes that are connected by similar pairs: the least class of each one's component."""
+    groups = with_least(connected_components(meetings(classes)))
+    members = with_shingles(groups, classes, own)
+    links = first_links(members)
+    large = members.where("blocks > 1").drop("blocks")
+    if not large.limit(1).count():
+        return with_least(connected_components(links))
+    roots = connected_components(links)
+    rest = rest_links(large, with_least(roots))
+    return with_least(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -344,8 +339,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Copies: the same words, case of A-Z and white space aside.  Near copies:
     Jaccard similarity of five-word shingles of 0.8 or more, checked exactly on
-    the pairs that ``meetings`` retrieves; groups are the connected
-    components.  Texts are not shuffled: rows are known by (doc_id, hash of the
+    pairs of classes that ``meetings`` connects, directly or not; groups are the
+    connected components.  Texts are not shuffled: rows are known by (doc_id, hash of the
     text), and what goes is taken out by an anti-join.  Null texts equal empty
     ones.  A null doc_id counts as the greatest; of rows alike in doc_id and
     text one stays.  All columns come back unchanged.
@@ -357,14 +352,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = rows.groupBy("same").agg(F.min(who).alias("rep"), F.count("*").alias("n"), F.max("m").alias("m"), F.any_value("keys").alias("keys"))
     # each row makes BANDS rows, so rows are spread over all tasks again
     classes = cut(classes.select("same", F.xxhash64("same").alias("cid"), "rep", "n", "m", "keys").repartition(parts(spark)))
-    members = meetings(classes)
-    stars = cut(star_pairs(members))
-    links = similar_pairs(stars, classes, own)
-    rest = split_groups(members, cut(connected_components(links)), stars)
-    if rest.limit(1).count():
-        links = links.unionByName(all_links(rest, classes, own))
-    roots = connected_components(links)
-    linked = roots.unionByName(roots.select(F.col("root").alias("node"), F.col("root")).distinct())
+    linked = similar_classes(classes, own)
     grouped = classes.join(linked, classes["cid"] == linked["node"], "left").where("n > 1 or root is not null").select("same", F.coalesce("root", "cid").alias("root"), "rep")
     best = grouped.groupBy("root").agg(F.min("rep").alias("best"))
     grouped = cut(grouped.join(best, "root").select("same", F.col("best.doc_id").alias("b_id"), F.col("best.th").alias("b_th")))

@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from foliograph.llm import simhash_dedup as sd
 from foliograph.llm.components import connected_components
@@ -188,44 +189,48 @@ def test_large_groups_of_template_texts(spark):
 
 
 def test_blocks_of_a_group_against_brute_force(spark, monkeypatch):
-    """Many blocks, with and without a large component among the members."""
+    """Groups of one block, bundled, and of many; with and without a large component among the members."""
     rng = random.Random(37)
     monkeypatch.setattr(sd, "BLOCK_MEMBERS", 7)
-    base, sets = rng.sample(range(10**6), 60), {}
-    for cid in range(1, 91):
-        sets[cid] = sorted({*rng.sample(base, rng.randint(46, 58)), *rng.sample(range(10**7), rng.randint(0, 6))})
-    monkeypatch.setattr(sd, "shingle_sets", lambda *_: spark.createDataFrame(list(sets.items()), "cid long, shingles array<long>"))
-    classes = spark.createDataFrame([(c, len(v)) for c, v in sets.items()], "cid long, m long")
+    monkeypatch.setattr(sd, "BLOCK_SHINGLES", 600)
+    sets, group = {}, {}
+    for g, size in enumerate([90, 7, 3, 2, 2, 6, 20]):
+        base = rng.sample(range(10**6), 60)
+        for _ in range(size):
+            cid = len(sets) + 1
+            sets[cid], group[cid] = sorted({*rng.sample(base, rng.randint(46, 58)), *rng.sample(range(10**7), rng.randint(0, 6))}), g
+    blocks = lambda g: -(-max(sum(x == g for x in group.values()) / 7, sum(len(sets[c]) for c in sets if group[c] == g) / 600) // 1)
+    members = spark.createDataFrame([(c, group[c], len(v), int(blocks(group[c])), v) for c, v in sets.items()], "cid long, grp long, m long, blocks int, shingles array<long>")
     close = lambda a, b: len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})
-    pairs = [(a, b) for a in sets for b in sets if a < b and close(a, b)]
-    for large in (0, 40):
-        got, want = Union(), Union()
-        members = [(c, 1 if c <= large else c, 1) for c in sets]
-        links = sd.all_links(spark.createDataFrame(members, "cid long, root long, grp long"), classes, None).collect()
-        assert all(close(r["a"], r["b"]) for r in links)
-        for a, b in [(1, c) for c in range(2, large + 1)]:
-            want.join(a, b)
-            got.join(a, b)
-        for a, b in pairs:
-            want.join(a, b)
-        for r in links:
+    want = Union()
+    for a in sets:
+        for b in sets:
+            if a < b and group[a] == group[b] and close(a, b):
+                want.join(a, b)
+    first = sd.first_links(members)
+    rest = sd.rest_links(members.drop("blocks"), sd.with_least(sd.connected_components(first)))
+    fresh = sd.rest_links(members.drop("blocks"), spark.createDataFrame([], "node long, root long"))
+    single = [c for c in sets if blocks(group[c]) == 1]
+    assert len(single) > 4
+    for links, of in ((first, single), (first.unionByName(rest), sets), (fresh, sets)):
+        got, pairs = Union(), links.collect()
+        assert all(close(r["a"], r["b"]) and group[r["a"]] == group[r["b"]] for r in pairs)
+        for r in pairs:
             got.join(r["a"], r["b"])
-        assert [got.find(c) for c in sets] == [want.find(c) for c in sets] and len({want.find(c) for c in sets}) > 1
+        assert [got.find(c) for c in of] == [want.find(c) for c in of]
+    assert 20 < len({want.find(c) for c in sets}) < len(sets)
 
 
 def test_similar_texts_in_the_middle_of_a_large_bucket(spark, monkeypatch):
     """All classes in one bucket: every pair in it has to be found, not only those with its ends."""
-    def one_bucket(classes):
-        ends = classes.selectExpr("min(cid) as lo", "max(cid) as hi")
-        return classes.select("cid").crossJoin(ends).select("lo", "hi", "cid")
-
-    monkeypatch.setattr(sd, "meetings", one_bucket)
+    monkeypatch.setattr(sd, "meetings", lambda classes: classes.select(F.lit(classes.agg(F.min("cid")).first()[0]).alias("a"), F.col("cid").alias("b")))
+    monkeypatch.setattr(sd, "BLOCK_MEMBERS", 30)
     rng, rows = random.Random(43), []
-    for k in range(60):
+    for k in range(80):
         base = [f"t{rng.randrange(4000)}" for _ in range(80)]
         rows += [(3 * k + i, " ".join([*base[: 30 + i], f"new{i}", *base[31 + i :]]), "en", "s", 1) for i in range(2)]
     got = {r["doc_id"] for r in sd.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
-    assert got == kept_by_brute_force(rows) == {3 * k for k in range(60)}
+    assert got == kept_by_brute_force(rows) == {3 * k for k in range(80)}
 
 
 def test_few_distinct_words_with_many_new_ones_behind(spark):
