@@ -5,61 +5,118 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+#: Slices that the number line is cut into, at most, and targets that one task orders, about.
+SLICES, TARGETS = 1024, 200_000
+
 
 def spans(listed: DataFrame, group: str = "bulletin", number: str = "number") -> DataFrame:
     return listed.groupBy(group).agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
 
 
+def _further(a: tuple | None, b: tuple | None) -> tuple | None:
+    return max((x for x in (a, b) if x is not None), default=None)
+
+
 def locate(targets: DataFrame, ranges: DataFrame, number: str = "number", group: str = "bulletin") -> DataFrame:
     """Per target: the range that holds it, else the nearest ranges below and above (null where there is none).
 
-    Ranges are disjoint.  Rather than compare every target with every range,
-    ends of ranges and targets are put in one order and each target takes the
-    last range that starts at or before it and the first that starts behind:
-    a sort and two running values instead of a join on inequalities.  The order
-    is cut into slices of the number line so that no task sorts it all; what a
-    slice inherits from those before and behind it comes from one row a slice.
+    Ranges may overlap: of several that hold a target, the one that reaches
+    furthest has it (of several such, the one of the greatest number); below is
+    the greatest number among the ranges that end before the target, above the
+    least among those that begin behind it.  A target that is null has no row.
+
+    No target is compared with every range.  Of the ranges that begin at or
+    before a target the furthest end says whether one holds it, and if none does
+    all of them end before it; so three running values over the order of numbers
+    are enough.  The number line is cut into at most SLICES slices; what a slice
+    inherits is one row a slice, which the driver sums up.  A slice with many
+    targets is dealt over several tasks, each with all of its ranges.
     """
-    bounds = ranges.agg(F.min("lo").alias("a"), F.max("lo").alias("b"), F.count("*").alias("n")).first()
-    width = max(1, ((bounds["b"] or 0) - (bounds["a"] or 0)) // max(1, bounds["n"] // 1024) + 1) if bounds["n"] else 1
-    slice_of = F.floor(F.col("at") / width)
-    start = ranges.select(F.col("lo").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("lo"), F.col("hi"), F.col(group).alias("g")).alias("r"))
-    asked = targets.select(F.col(number).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(start.schema["r"].dataType).alias("r"))
-    line = start.unionByName(asked).withColumn("slice", slice_of)
-    ends = start.withColumn("slice", slice_of).groupBy("slice").agg(F.max("r").alias("last"), F.min("r").alias("first"))
-    every = line.select("slice").distinct().join(ends, "slice", "left")
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
-    carried = every.select("slice", F.last("last", ignorenulls=True).over(before).alias("carry"), F.first("first", ignorenulls=True).over(behind).alias("next"))
-    inside = Window.partitionBy("slice").orderBy("at", "kind")
-    out = line.join(carried, "slice")
-    out = out.withColumn("below", F.coalesce(F.last("r", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("carry")))
-    out = out.withColumn("above", F.coalesce(F.first("r", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)), F.col("next")))
-    held = F.col("at") <= F.col("below.hi")
-    return out.where("kind = 1").select(
-        F.col("at").alias(number),
-        F.when(held, F.col("below.g")).alias("holder"),
-        F.when(F.coalesce(held, F.lit(False)), F.lit(None)).otherwise(F.col("below.g")).alias("below"),
-        F.when(F.coalesce(held, F.lit(False)), F.lit(None)).otherwise(F.col("above.g")).alias("above"),
-    )
-
-
-def candidates(located: DataFrame, unlisted: DataFrame, number: str = "number") -> DataFrame:
+    spark = targets.sparkSession
+    bounds = ranges.agg(F.min("lo").alias("a"), F.max("lo").alias("b")).first()
+    first, width = (bounds["a"] or 0), max(1, -(-((bounds["b"] or 0) - (bounds["a"] or 0) + 1) // SLICES))
+    slice_of = F.least(F.greatest(F.floor((F.col("at") - first) / width), F.lit(0)), F.lit(SLICES - 1)).cast("int")
+    start = ranges.select(F.col("lo").alias("at"), "hi", F.col(group).alias("g")).withColumn("slice", slice_of)
+    # a number that many rows ask for is asked once, with their number
+    asked = targets.groupBy(F.col(number).alias("at")).agg(F.count("*").alias("n")).where("at is not null").withColumn("slice", slice_of)
+    # a row a slice, so at most SLICES of each
+    held = {r["slice"]: r for r in start.groupBy("slice").agg(F.max(F.struct("hi", "g")).alias("far"), F.max("g").alias("top"), F.min("g").alias("low")).collect()}
+    dealt = {r["slice"]: -(-r["n"] // TARGETS) for r in asked.groupBy("slice").agg(F.count("*").alias("n")).collect()}
+    numbers = sorted(set(held) | set(dealt))
+    before, behind = {}, {}
+    far = top = low = None
+    for k in numbers:
+        before[k] = (far, top)
+        if k in held:
+            far, top = _further(far, tuple(held[k]["far"])), held[k]["top"] if top is None else max(top, held[k]["top"])
+    for k in reversed(numbers):
+        behind[k] = low
+        if k in held:
+            low = held[k]["low"] if low is None else min(low, held[k]["low"])
+    kind = ranges.schema[group].dataType.simpleString()
+    slices = spark.createDataFrame([(k, dealt.get(k, 0), *before[k], behind[k]) for k in numbers], f"slice int, parts int, far struct<hi:bigint,g:{kind}>, top {kind}, low {kind}")
+    slices = F.broadcast(slices)
+    starts = start.join(slices.select("slice", "parts"), "slice").select("slice", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("part"), "at", F.lit(0).alias("n"), F.struct(F.col("hi").cast("bigint").alias("hi"), "g").alias("r"))
+    asks = asked.join(slices.select("slice", "parts"), "slice").select("slice", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int").alias("part"), "at", "n", F.lit(None).cast(starts.schema["r"].dataType).alias("r"))
+    line = Window.partitionBy("slice", "part").orderBy("at", "n")
+    upto, after = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(1, Window.unboundedFollowing)
+    seen = starts.unionByName(asks).select("slice", "at", "n", F.max("r").over(upto).alias("near_far"), F.max("r.g").over(upto).alias("near_top"), F.min("r.g").over(after).alias("near_low"))
+    out = seen.where("n > 0").join(slices, "slice").select("at", "n", F.greatest("near_far", "far").alias("far"), F.greatest("near_top", "top").alias("top"), F.least("near_low", "low").alias("low"))
+    free = F.coalesce(F.col("far.hi") < F.col("at"), F.lit(True))
+    found = out.select(F.col("at").alias(number), "n", F.when(~free, F.col("far.g")).alias("holder"), F.when(free, F.col("top")).alias("below"), F.when(free, F.col("low")).alias("above"))
+    return found.select(number, "holder", "below", "above", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
+
+
+def candidates(located: DataFrame, unlisted: DataFrame, number: str = "number", most: int | None = None) -> DataFrame:
     """What to try for each number, in order (``turn`` from 1): its holder; else bulletins between the neighbours that list nothing, then the lower, then the upper neighbour.
 
-    ``unlisted``: bulletin numbers that list no article.  They are few; the
-    range join is between them and the targets that no range holds.
+    ``unlisted``: bulletin numbers that list no article.  Numbers between the
+    same two neighbours are one gap; gaps and unlisted bulletins meet by slices
+    of the bulletins' numbers, so each is compared only with what is near.
+    ``most``: the tries that a gap is given (``attempts_allowed``); what is left
+    is counted in ``untried``.
     """
-    holder = located.where("holder is not null").select(number, F.col("holder").alias("bulletin"), F.lit(0).alias("grade"))
     loose = located.where("holder is null")
-    empty = unlisted.select(F.col("bulletin").alias("b"))
-    between = loose.join(empty, (F.col("below").isNull() | (F.col("b") > F.col("below"))) & (F.col("above").isNull() | (F.col("b") < F.col("above"))))
-    tries = holder.unionByName(between.select(number, F.col("b").alias("bulletin"), F.lit(1).alias("grade")))
+    gaps = loose.select("below", "above").distinct()
+    empty = unlisted.select(F.col("bulletin").alias("b")).distinct()
+    ends = empty.agg(F.min("b").alias("a"), F.max("b").alias("z")).first()
+    first, last = ends["a"] or 0, ends["z"] or 0
+    width = max(1, -(-(last - first + 1) // SLICES))
+    place = lambda b: F.floor((b - first) / width)
+    near = F.sequence(place(F.greatest(F.coalesce("below", F.lit(first)), F.lit(first))), place(F.least(F.coalesce("above", F.lit(last)), F.lit(last))))
+    wide = gaps.where(F.greatest(F.coalesce("below", F.lit(first)), F.lit(first)) <= F.least(F.coalesce("above", F.lit(last)), F.lit(last))).withColumn("slice", F.explode(near))
+    met = wide.join(empty.withColumn("slice", place(F.col("b"))), "slice").where((F.col("below").isNull() | (F.col("b") > F.col("below"))) & (F.col("above").isNull() | (F.col("b") < F.col("above"))))
+    tries = met.select("below", "above", "b", F.lit(1).alias("grade"))
     for grade, side in ((2, "below"), (3, "above")):
-        tries = tries.unionByName(loose.where(F.col(side).isNotNull()).select(number, F.col(side).alias("bulletin"), F.lit(grade).alias("grade")))
-    return tries.withColumn("turn", F.row_number().over(Window.partitionBy(number).orderBy("grade", "bulletin"))).drop("grade")
+        tries = tries.unionByName(gaps.where(F.col(side).isNotNull()).select("below", "above", F.col(side).alias("b"), F.lit(grade).alias("grade")))
+    of_gap = Window.partitionBy("below", "above")
+    tries = tries.withColumn("turn", F.row_number().over(of_gap.orderBy("grade", "b"))).withColumn("untried", F.greatest(F.count("*").over(of_gap) - (most if most is not None else 1 << 31), F.lit(0)))
+    if most is not None:
+        tries = tries.where(F.col("turn") <= most)
+    found = loose.join(tries.withColumnRenamed("below", "lower").withColumnRenamed("above", "upper"), F.col("below").eqNullSafe(F.col("lower")) & F.col("above").eqNullSafe(F.col("upper")))
+    holder = located.where("holder is not null").select(number, F.col("holder").alias("bulletin"), F.lit(1).alias("turn"), F.lit(0).cast("long").alias("untried"))
+    return holder.unionByName(found.select(number, F.col("b").alias("bulletin"), "turn", "untried"))
 
 
 def attempts_allowed(max_errors: int) -> int:
     """Wrong guesses that the error budget leaves room for: one or two."""
     return max(1, min(2, max_errors - 1))
+
+
+def with_shortcuts(tries: DataFrame, shortcuts: DataFrame, number: str = "number", most: int | None = None) -> DataFrame:
+    """(number, bulletin, turn, untried): shortcuts first, in their order, then the tries; none twice, ``most`` in all.
+
+    shortcuts: number, bulletin, rank (0: the index, 1: the resolver).
+    """
+    every = shortcuts.select(number, "bulletin", F.lit(0).alias("grade"), F.col("rank").alias("turn"), F.lit(0).cast("long").alias("untried")).unionByName(tries.select(number, "bulletin", F.lit(1).alias("grade"), "turn", "untried"))
+    once = every.withColumn("k", F.row_number().over(Window.partitionBy(number, "bulletin").orderBy("grade", "turn"))).where("k = 1").drop("k")
+    own = Window.partitionBy(number)
+    ranked = once.withColumn("place", F.row_number().over(own.orderBy("grade", "turn"))).withColumn("left", F.max("untried").over(own) + F.greatest(F.count("*").over(own) - (most if most is not None else 1 << 31), F.lit(0)))
+    return ranked.where(F.lit(True) if most is None else F.col("place") <= most).select(number, "bulletin", F.col("place").alias("turn"), F.col("left").alias("untried"))
+
+
+def verified(tries: DataFrame, pages: DataFrame, number: str = "number") -> DataFrame:
+    """(number, bulletin, turn): the first try whose page shows the very article; pages: bulletin, asked (the number its address has), shows (the number on it)."""
+    shown = pages.where(F.col("asked") == F.col("shows")).select("bulletin", F.col("asked").alias(number)).distinct()
+    good = tries.join(shown, ["bulletin", number])
+    return good.groupBy(number).agg(F.min_by("bulletin", "turn").alias("bulletin"), F.min("turn").alias("turn"))

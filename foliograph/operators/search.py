@@ -14,13 +14,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..shipping import ship
 from ..functions.text import Term, fold_text, highlighter, parse_terms, phrase_count, positive_phrases, predicate
+from ..shipping import ship
+from ..sources.store import GRAM, shard_of, text_counts, text_length
 
 # Limits of a page, and the relevance formula's constants.
 DEFAULT_LIMIT, MOST, FURTHEST = 20, 200, 1_000_000
-#: bm25 constants, the weight of terms that are in over half the rows, and the n-gram length that sets a document's length.
-K1, B, COMMON, GRAM = 1.2, 0.75, 1e-6, 3
+#: bm25 constants, and the weight of terms that are in over half the rows.
+K1, B, COMMON = 1.2, 0.75, 1e-6
 
 
 class InvalidSearch(ValueError):
@@ -81,29 +82,23 @@ def newest_first() -> list[Column]:
     return [F.desc("date"), F.desc("bulletin_number"), F.asc("number"), F.asc("id")]
 
 
-def text_statistics(articles: DataFrame, phrases: Sequence[str]) -> DataFrame:
-    """One row: n (rows with text), mean length in trigrams, and how many rows hold each phrase."""
-    text = articles.where("norm <> ''")
-    length = F.greatest(F.length("norm") - (GRAM - 1), F.lit(0))
-    holds = [F.count_if(F.contains("norm", F.lit(p))).cast("double").alias(f"df{k}") for k, p in enumerate(phrases)]
-    return text.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("mean"), *holds)
-
-
-def bm25(articles: DataFrame, phrases: Sequence[str]) -> Column:
+def bm25(articles: DataFrame, phrases: Sequence[str], counts: DataFrame | None = None) -> Column:
     """The relevance of each row, lower is better, by statistics over all rows with text.
 
     Only phrases of a trigram or more count; repeats count again; ``word_start``
-    doesn't matter here.  The statistics come in as one scalar subquery.
+    doesn't matter here.  ``counts`` (n, mean) are a store's; how many rows hold
+    a phrase is counted in one pass over the folded texts alone.
     """
     ranked = [p for p in phrases if len(p) >= GRAM]
-    stats = text_statistics(articles, ranked).select(F.struct("*").alias("s")).scalar()
-    length = F.greatest(F.length("norm") - (GRAM - 1), F.lit(0))
+    holds = [F.count_if(F.contains("norm", F.lit(p))).cast("double").alias(f"df{k}") for k, p in enumerate(ranked)]
+    held = articles.where("norm <> ''").agg(*holds).select(F.struct("*").alias("s")).scalar()
+    of = (text_counts(articles) if counts is None else counts).select(F.struct("n", "mean").alias("s")).scalar()
     total = F.lit(0.0)
     for k, p in enumerate(ranked):
-        rarity = F.ln((stats["n"] - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5))
+        rarity = F.ln((of["n"] - held[f"df{k}"] + 0.5) / (held[f"df{k}"] + 0.5))
         rarity = F.when(rarity > 0, rarity).otherwise(F.lit(COMMON))
         tf = phrase_count(F.col("norm"), p).cast("double")
-        total = total + rarity * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * length / stats["mean"]))
+        total = total + rarity * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * text_length() / of["mean"]))
     return -total
 
 
@@ -117,28 +112,34 @@ def search(
     limit: int = DEFAULT_LIMIT,
     offset: int = 0,
     highlight: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """One page of matches, newest or most relevant first.
 
     ``limit`` is cut at MOST, ``offset`` above FURTHEST is an error.  Ordering by
     relevance falls back on dates if no positive phrase has a trigram; rows that
-    no ranked phrase is in come last.
+    no ranked phrase is in come last.  Texts are looked at where they are
+    scanned: scores are worked out there, and only narrow rows are joined and
+    ordered; the page's few summaries are fetched last, to be marked.
     """
     limit = min(whole_number(limit, "limit", 1, 1 << 31), MOST)
     offset = whole_number(offset, "offset", 0, FURTHEST)
     if order not in ("date", "relevance"):
         raise InvalidSearch("order is date or relevance")
     parsed = parse_terms(terms)
-    found = matching(articles, bulletins, parsed, filters, word_start)
     keys, phrases = newest_first(), positive_phrases(parsed)
+    rows = articles.where(predicate(F.col("norm"), parsed, word_start))
     if order == "relevance" and any(len(p) >= GRAM for p in phrases):
-        found = found.withColumn("score", bm25(articles, phrases))
+        rows = rows.withColumn("score", bm25(articles, phrases, counts))
         keys = [F.asc("score"), *keys]
-    page = found.orderBy(*keys).offset(offset).limit(limit)
+    wide = [c for c in ("norm", "summary") if c in articles.columns]
+    page = joined(rows.drop(*wide), bulletins).where(filters.condition()).orderBy(*keys).offset(offset).limit(limit)
     if not highlight:
         return page
     ship(articles.sparkSession)
-    return page.withColumn("marked", highlighter(phrases, word_start)("summary"))
+    # MOST rows at most
+    texts = articles.select("id", "summary").join(F.broadcast(page.select("id")), "id", "left_semi")
+    return page.join(texts, "id").orderBy(*keys).withColumn("marked", highlighter(phrases, word_start)("summary"))
 
 
 def total(found: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
@@ -150,18 +151,18 @@ def total(found: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> Data
 # --- optional postings -------------------------------------------------------
 
 
-def grams_table(articles: DataFrame, id_col: str = "id") -> DataFrame:
-    """(gram, id): every distinct trigram of every folded text, for a table bucketed by gram.  Characters are split once, as substrings would each be counted from the start."""
-    rows = articles.where(F.length("norm") >= GRAM).select(F.col(id_col).alias("id"), F.split("norm", "").alias("cs"), F.length("norm").alias("n"))
-    grams = F.transform(F.sequence(F.lit(0), F.col("n") - GRAM), lambda i: F.concat(F.get("cs", i), F.get("cs", i + 1), F.get("cs", i + 2)))
-    return rows.select("id", F.explode(F.array_distinct(grams)).alias("gram")).select("gram", "id")
-
-
 def through_postings(articles: DataFrame, postings: DataFrame, phrase: str, word_start: bool = False) -> DataFrame:
-    """Rows that hold one phrase: posting lists intersected, then the phrase checked.  Short phrases scan."""
+    """Rows that hold one phrase: posting lists intersected, then the phrase checked.  Short phrases scan.
+
+    Postings that are dealt into shards are read only where the phrase's
+    trigrams are.
+    """
     folded = fold_text(phrase)
     if len(folded) < GRAM:
         return articles.where(predicate(F.col("norm"), parse_terms([phrase]), word_start))
     grams = sorted({folded[i : i + GRAM] for i in range(len(folded) - GRAM + 1)})
+    if "shard" in postings.columns:
+        shards = postings.sparkSession.range(1).select(F.array_distinct(F.array(*(shard_of(F.lit(g)) for g in grams)))).first()[0]
+        postings = postings.where(F.col("shard").isin(shards))
     ids = postings.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id")
     return articles.join(ids, "id", "left_semi").where(predicate(F.col("norm"), parse_terms([phrase]), word_start))

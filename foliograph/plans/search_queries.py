@@ -6,10 +6,11 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import fold, phrase_count
+from ..functions.text import contains_folded, fold, phrase_count
 from ..operators import coverage, federate, search as s
 from ..operators.search import Filters
-from .views import SQL_FOLD, WITH, articles, bulletins, listed, table
+from ..shipping import ship
+from .views import SQL_FOLD, WITH, articles, bulletins, indexed, listed, store, table
 
 PAGE = ["id", "bulletin_number", "date", "extraordinary", "department", "section"]
 SQL_PAGE = "id, bulletin_number, date, extraordinary, department, section"
@@ -35,7 +36,8 @@ def _has(phrase: str) -> str:
 
 def _page(terms=(), filters=Filters(), **how):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = s.search(articles(spark, sf_dir), bulletins(spark, sf_dir), terms, filters, **how)
+        own = store(spark, sf_dir)
+        found = s.search(own.articles, bulletins(spark, sf_dir), terms, filters, counts=own.statistics, **how)
         return found.select(*PAGE, *([F.round("score", 6).alias("score")] if how.get("order") == "relevance" else []))
 
     return run
@@ -78,7 +80,28 @@ def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.total(s.matching(articles(spark, sf_dir), bulletins(spark, sf_dir), FLAGSHIP))
 
 
+#: The same text in other forms: letters apart from their accents, full width, ligatures, invisible characters, other spaces.
+WRITTEN = (("á", "a\u0301"), ("e", "\uff45"), ("fi", "\ufb01"), ("t", "t\u00ad"), ("n ", "n\u3000"), ("o", "\u014f"))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as another hand would have typed them fold to what the texts fold to."""
+    text = F.col("text")
+    for k, (plain, other) in enumerate(WRITTEN):
+        text = F.when(F.col("doc_id") % 7 == k, F.replace(text, F.lit(plain), F.lit(other))).otherwise(text)
+    ship(spark)
+    return table(spark, sf_dir, "documents").select("doc_id", fold(text).alias("folded"))
+
+
+def _found_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searching texts with ligatures, soft hyphens and full width letters."""
+    text = F.replace(F.replace(F.replace("text", F.lit("c"), F.lit("\uff43")), F.lit("fi"), F.lit("\ufb01")), F.lit("i"), F.lit("i\u00ad"))
+    ship(spark)
+    return table(spark, sf_dir, "documents").where(contains_folded(text, "CIÓN")).select("doc_id")
+
+
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("folded"))
 
 
@@ -91,8 +114,8 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = articles(spark, sf_dir)
-    return s.through_postings(rows, s.grams_table(rows), "menta").select("id", "section")
+    own = indexed(spark, sf_dir)
+    return s.through_postings(own.articles, own.postings, "menta").select("id", "section")
 
 
 def _on_bulletins(make, *columns: str):
@@ -205,6 +228,8 @@ QUERIES = {
     "search_total": _totals,
     "search_postings": _postings,
     "normalize_fold": _folded,
+    "normalize_other_forms": _written,
+    "search_other_forms": _found_written,
     "phrase_tf_overlapping": _tf,
     "highlight": _marked,
     "status_counts": _on_bulletins(coverage.by_state),
@@ -247,6 +272,8 @@ ORACLES = {
     "search_total": f"{WITH} select count(*) as total, case when count(*) > 20 then cast(20 as bigint) end as next_offset from joined where {_FLAGSHIP_SQL}",
     "search_postings": f"{WITH} select id, section from articles where {_has('menta')}",
     "normalize_fold": f"select doc_id, {SQL_FOLD.format('text')} as folded from documents",
+    "normalize_other_forms": f"select doc_id, {SQL_FOLD.format('text')} as folded from documents",
+    "search_other_forms": f"select doc_id from documents where contains({SQL_FOLD.format('text')}, 'cion')",
     "phrase_tf_overlapping": f"{WITH} select id, cast({_sql_tf('en')} as bigint) as tf_en, cast({_sql_tf('anan')} as bigint) as tf_anan from articles",
     "status_counts": f"{WITH} select " + ", ".join(f"count(*) filter (state = '{x}') as {x}" for x in coverage.STATES) + ", count(*) as total from bulletins",
     "status_counts_by_origin": f"{WITH} select origin, " + ", ".join(f"count(*) filter (state = '{x}') as {x}" for x in coverage.STATES) + ", count(*) as total from bulletins group by origin",

@@ -8,10 +8,12 @@ by key, page texts are conversation turns.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import fold
+from ..shipping import shared_folder
+from ..sources.store import Store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,29 +33,36 @@ def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_taken_in: dict[tuple[str, str], DataFrame] = {}
+_stores: dict[tuple[str, str], Store] = {}
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles as they are taken in: text is folded once and kept for all queries of the session, on disk where memory ends."""
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """The documents taken in as articles: written once per application to the shared folder, and read from there by every query."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _taken_in:
-        _taken_in[key] = raw_articles(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    return _taken_in[key]
+    if key not in _stores:
+        _stores[key] = Store(spark, f"{shared_folder(spark)}/articles-{uuid.uuid4().hex}").take_in(raw_articles(spark, sf_dir))
+    return _stores[key]
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> Store:
+    """The same with postings, which are written when they are first asked for."""
+    found = store(spark, sf_dir)
+    if found.folder not in _indexed:
+        found.index()
+        _indexed.add(found.folder)
+    return found
+
+
+_indexed: set[str] = set()
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(spark, sf_dir).articles
 
 
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
-        key.alias("id"),
-        key.alias("bulletin"),
-        key.alias("number"),
-        F.col("text").alias("summary"),
-        fold(F.col("text")).alias("norm"),
-        F.col("lang").alias("department"),
-        F.col("source").alias("section"),
-        fold(F.col("source")).alias("section_norm"),
-    )
+    return table(spark, sf_dir, "documents").select(key.alias("id"), key.alias("bulletin"), key.alias("number"), F.col("text").alias("summary"), F.col("lang").alias("department"), F.col("source").alias("section"))
 
 
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:

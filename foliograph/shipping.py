@@ -23,3 +23,17 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(target))
     _shipped.add(sc.applicationId)
+
+
+_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: ``spark.checkpoint.dir``; only on one machine, where that is unset (tests), a temporary one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _folders.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="foliograph-"))

@@ -1,8 +1,10 @@
-"""Records out of recorded pages: bulletins as nested trees, articles, summaries, result pages, old catalogues.
+"""Records out of recorded pages.
 
-Each ``*_of`` function reads one page in Python; ``read_pages`` applies one to a
-DataFrame of pages, and what can't be read becomes a row with an error instead
-of failing the job.
+Bulletins and articles are nested and are read page by page (``read_pages``).
+Flat pages - summaries, result lists, the old portal's catalogue and bulletins -
+become events in page order (``events``); what belongs together is then said
+with windows and aggregates over the events.  What can't be read becomes a row
+with an error instead of failing the job.
 """
 
 from __future__ import annotations
@@ -13,18 +15,22 @@ from datetime import date
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
+from ..functions import identifiers as ids
 from ..functions.identifiers import SITE, Cve, InvalidIdentifier
-from ..functions.scalars import COUNTER, LABEL, LONG_DATE, MONTHS, ORDINAL
+from ..functions.scalars import DAY_IN_WORDS, EXTRAORDINARY, MONTHS, NUMBER_SIGN, catalogue_label, clean, first_int, ordinal_number, result_counter, secure_url, spanish_date
 from ..shipping import ship
 from .tree import Element, first_number, parse, plain_text, squeeze
 
 # Addresses and identifiers in the sources' pages.
-IN_TEXT = re.compile(r"BOME-[A-Z]{1,2}-\d{4}-\d+", re.I)
-BULLETIN_HREF = re.compile(r"/bome/(BOME-BX?-\d{4}-\d+)/?$", re.I)
-OLD_FICHA, RECORD_ID = "ficha_bome.jsp", re.compile(r"dboidboletin=(\d+)")
-OLD_SITE = "https://www.melilla.es"
+IN_TEXT = r"(?i)BOME-[A-Z]{1,2}-\d{4}-\d+"
+BULLETIN_HREF = r"(?i)/bome/(BOME-BX?-\d{4}-\d+)/?$"
+RECORD_HREF, RECORD_ID = "ficha_bome.jsp", r"dboidboletin=(\d+)"
+OLD_SITE = "https://www.melilla.es/melillaPortal"
+#: Bulletins from this year on have official identifiers.
+OFFICIAL_SINCE = 2014
 
 REF = "cve string, number bigint, date date, extraordinary boolean, url string, title string"
 ARTICLE_REF = "struct<cve:string,number:bigint,summary:string,url:string,pdf_url:string,first_page:bigint>"
@@ -33,12 +39,6 @@ SECTION = f"struct<name:string,id:bigint,article_count:bigint,page_count:bigint,
 BULLETIN = f"cve string, number bigint, date date, extraordinary boolean, url string, pdf_url string, summary_url string, summary_pdf_url string, departments array<struct<name:string,article_count:bigint,page_count:bigint,sections:array<{SECTION}>>>"
 PAGE = "struct<number:bigint,cve:string,pdf_url:string,text:string>"
 ARTICLE = f"cve string, number bigint, bulletin_cve string, bulletin_number bigint, bulletin_date date, heading string, summary string, text string, pages array<{PAGE}>, url string, pdf_url string"
-SUMMARY = f"bulletin_cve string, cve string, bulletin_number bigint, date date, url string, pdf_url string, pages array<bigint>, entries array<struct<department:string,section:string,article:{ARTICLE_REF}>>"
-RESULTS = "results array<struct<cve:string,number:bigint,date:date,extraordinary:boolean,url:string,title:string>>, page bigint, total_pages bigint, total_results bigint"
-OLD_PAGE = "struct<number:bigint,url:string>"
-OLD_ARTICLE = f"struct<cve:string,date:date,number:bigint,kind:string,summary:string,path:array<string>,pages:array<{OLD_PAGE}>,record:bigint>"
-CATALOGUE = "cve string, number bigint, extraordinary boolean, suffix string, date date, record bigint, official boolean"
-FICHA = f"{CATALOGUE}, pdf_url string, articles array<{OLD_ARTICLE}>"
 
 
 class UnreadablePage(ValueError):
@@ -49,30 +49,27 @@ class UnreadablePage(ValueError):
 
 
 def day_of(text: str | None) -> date | None:
-    found = re.search(LONG_DATE, text or "")
+    found = re.search(DAY_IN_WORDS, squeeze(text or "").lower())
     if not found:
         return None
-    name = found[2].lower().replace("setiembre", "septiembre")
+    name = found[2].replace("setiembre", "septiembre")
     try:
         return date(int(found[3]), MONTHS.index(name) + 1, int(found[1]))
     except ValueError:
         return None
 
 
-def _link(href: str | None, site: str) -> str | None:
-    href = (href or "").strip()
-    if not href:
-        return None
-    return href if href.startswith(("http://", "https://")) else f"{site.rstrip('/')}/{href.lstrip('/')}"
+def _link(node: Element | None, site: str) -> str | None:
+    href = node.attrs.get("href", "").strip() if node is not None else ""
+    return href if not href or href.startswith(("http://", "https://")) else f"{site.rstrip('/')}/{href.lstrip('/')}"
 
 
-def _text(node: Element | None) -> str:
-    return node.text() if node is not None else ""
+def _address(node: Element | None, site: str) -> str | None:
+    return _link(node, site) or None
 
 
-def _numbered(text: str) -> int | None:
-    found = re.search(ORDINAL, text)
-    return int(found[1]) if found else None
+def _text(node: Element | None) -> str:
+    return node.text() if node is not None else ""
 
 
 def _header(root: Element) -> Element:
@@ -82,56 +79,23 @@ def _header(root: Element) -> Element:
     return header
 
 
-def _action(header: Element, kind: str, site: str) -> str | None:
+def _action(header: Element, kind: str) -> Element | None:
     bar = header.first(cls="bome-show-actions")
-    link = bar.first("a", data_bome_tipo=kind) if bar is not None else None
-    return _link(link.attrs.get("href"), site) if link is not None else None
+    return bar.first("a", data_bome_tipo=kind) if bar is not None else None
 
 
 def _printed_cve(text: str) -> Cve:
-    found = IN_TEXT.search(text)
+    found = re.search(IN_TEXT, text)
     if not found:
         raise UnreadablePage("the header has no identifier")
-    try:
-        return Cve.parse(found[0])
-    except InvalidIdentifier as error:
-        raise UnreadablePage(str(error)) from error
+    return Cve.parse(found[0])
 
 
 def _count(node: Element | None, title: str) -> int | None:
-    span = node.first("span", title=title) if node is not None else None
-    return first_number(_text(span)) if span is not None else None
+    return first_number(_text(node.first("span", title=title))) if node is not None else None
 
 
-def _refs(links: list[Element], site: str) -> list[dict]:
-    found = []
-    for a in links:
-        m = BULLETIN_HREF.search(a.attrs.get("href", ""))
-        if not m:
-            continue
-        try:
-            cve = Cve.parse(m[1])
-        except InvalidIdentifier:
-            continue
-        title = a.text()
-        found.append({"cve": str(cve), "number": cve.number, "date": day_of(title), "extraordinary": cve.extraordinary, "url": f"{site}/bome/{cve}", "title": title or None})
-    return found
-
-
-def _pages(box: Element | None, site: str) -> list[dict]:
-    pages = []
-    for block in box.all("div", cls="pagina", where=lambda e: e.attrs.get("id", "").startswith("pagina-")) if box is not None else []:
-        number = first_number(block.attrs["id"])
-        if number is None:
-            continue
-        bar, body = block.first(cls="pagina-titulo"), block.first(cls="pagina-texto")
-        link = bar.first("a", data_bome_tipo="Pagina") if bar is not None else None
-        name = link.attrs.get("data-bome-name", "") if link is not None else ""
-        pages.append({"number": number, "cve": str(Cve.parse(name)) if name else None, "pdf_url": _link(link.attrs.get("href"), site) if link is not None else None, "text": plain_text(body) if body is not None else ""})
-    return pages
-
-
-# --- pages of the current site -----------------------------------------------
+# --- nested pages ------------------------------------------------------------
 
 
 def bulletin_of(page: str, site: str = SITE) -> dict:
@@ -143,11 +107,11 @@ def bulletin_of(page: str, site: str = SITE) -> dict:
     has_summary = bar is not None and bar.first("a", where=lambda e: e.attrs.get("href", "").endswith("/sumario")) is not None
 
     def article(item: Element) -> dict | None:
-        found = IN_TEXT.search(_text(item.first("h5")))
+        found = re.search(IN_TEXT, _text(item.first("h5")))
         if not found:
             return None
-        own, pdf = Cve.parse(found[0]), item.first("a", data_bome_tipo="Articulo")
-        return {"cve": str(own), "number": own.number, "summary": _text(item.first("blockquote")) or None, "url": f"{site}/bome/{cve}/articulo/{own.number}", "pdf_url": _link(pdf.attrs.get("href"), site) if pdf is not None else None, "first_page": None}
+        own = Cve.parse(found[0])
+        return {"cve": str(own), "number": own.number, "summary": _text(item.first("blockquote")) or None, "url": f"{site}/bome/{cve}/articulo/{own.number}", "pdf_url": _address(item.first("a", data_bome_tipo="Articulo"), site), "first_page": None}
 
     def unit(item: Element) -> dict:
         lists = item.all("ul", cls="articulo-list")
@@ -165,233 +129,348 @@ def bulletin_of(page: str, site: str = SITE) -> dict:
     body = root.first("section", id="bome-show-content") or root
     return {
         "cve": str(cve), "number": cve.number, "date": day_of(title), "extraordinary": cve.extraordinary, "url": f"{site}/bome/{cve}", "pdf_url": f"{site}/bome/descargar/{cve}.pdf",
-        "summary_url": f"{site}/bome/{cve}/sumario" if has_summary else None, "summary_pdf_url": _action(header, "Sumario", site),
+        "summary_url": f"{site}/bome/{cve}/sumario" if has_summary else None, "summary_pdf_url": _address(_action(header, "Sumario"), site),
         "departments": [department(b) for b in body.all(cls="bome-show-departamento")],
     }
 
 
+def printed_pages(box: Element | None, site: str) -> list[dict]:
+    """The printed pages in a box, those with a number."""
+    numbers = {id(block): first_number(block.attrs["id"]) for block in (box or Element("", {}, None)).all("div", cls="pagina") if block.attrs.get("id", "").startswith("pagina-")}
+
+    def read(block: Element) -> dict:
+        title = block.first(cls="pagina-titulo")
+        link = title.first("a", data_bome_tipo="Pagina") if title is not None else None
+        name = link.attrs.get("data-bome-name") if link is not None else None
+        text = block.first(cls="pagina-texto")
+        return {"number": numbers[id(block)], "cve": str(Cve.parse(name)) if name else None, "pdf_url": _address(link, site), "text": plain_text(text) if text is not None else ""}
+
+    return [read(block) for block in box or () if numbers.get(id(block)) is not None]
+
+
 def article_of(page: str, site: str = SITE) -> dict:
     """An article with its text by printed page."""
     root = parse(page)
     header = _header(root)
     cve, crumbs = _printed_cve(_text(header.first("h2"))), header.first(cls="breadcrumb")
     link = crumbs.first("a", where=lambda e: "/bome/BOME-" in e.attrs.get("href", "")) if crumbs is not None else None
-    found = BULLETIN_HREF.search(link.attrs["href"]) if link is not None else None
+    found = re.search(BULLETIN_HREF, link.attrs["href"]) if link is not None else None
     if not found:
         raise UnreadablePage("the article doesn't link its bulletin")
     bulletin, title = Cve.parse(found[1]), _text(header.first("h1"))
-    body = root.first("section", id="bome-show-articulo-content")
-    pages = _pages(body.first(cls="paginas-sumario") if body is not None else None, site)
-    texts = [p["text"] for p in pages if p["text"]]
+    body = root.first("section", id="bome-show-articulo-content") or Element("", {}, None)
+    pages = printed_pages(body.first(cls="paginas-sumario"), site)
+    number = re.search(r"n[º°o]\.? ?(\d+)", title.lower())
     return {
-        "cve": str(cve), "number": cve.number, "bulletin_cve": str(bulletin), "bulletin_number": _numbered(title), "bulletin_date": day_of(title),
-        "heading": _text(body.first("h3")) or None if body is not None else None, "summary": _text(body.first(cls="intro-sumario")) or None if body is not None else None,
-        "text": "\n\n".join(texts) or None, "pages": pages, "url": f"{site}/bome/{bulletin}/articulo/{cve.number}", "pdf_url": _action(header, "Articulo", site),
+        "cve": str(cve), "number": cve.number, "bulletin_cve": str(bulletin), "bulletin_number": int(number[1]) if number else None, "bulletin_date": day_of(title),
+        "heading": _text(body.first("h3")) or None, "summary": _text(body.first(cls="intro-sumario")) or None,
+        "text": "\n\n".join(p["text"] for p in pages if p["text"]) or None, "pages": pages, "url": f"{site}/bome/{bulletin}/articulo/{cve.number}", "pdf_url": _address(_action(header, "Articulo"), site),
     }
 
 
-def summary_of(page: str, site: str = SITE) -> dict:
-    """A summary as flat entries; department and section are carried on from the last headings, a new department ends the section."""
-    root = parse(page)
-    header = _header(root)
-    bulletin, title = _printed_cve(_text(header.first("h2"))).as_kind("B"), _text(header.first("h1"))
-    body = root.first("section", id="bome-show-sumario-content") or root
-    entries, department, section = [], None, None
-    for node in body:
-        classes = node.classes()
-        if node.tag == "h2" and node.above("sumario-departamento") is not None:
-            department, section = node.text() or None, None
-        elif node.tag == "h3" and "sumario-consejeria" in classes:
-            section = node.text() or None
-        elif node.tag == "div" and "sumario-articulo" in classes:
-            number = first_number(node.attrs.get("data-numero"))
-            if number is None:
-                continue
-            cve = bulletin.as_kind("A", number)
-            said = re.sub(r"^\s*\d+\s*\.\s*", "", _text(node.first(cls="sumario-articulo__content")))
-            entries.append({"department": department, "section": section, "article": {"cve": str(cve), "number": number, "summary": said or None, "url": f"{site}/bome/{bulletin}/articulo/{number}", "pdf_url": f"{site}/bome/descargar/{cve}.pdf", "first_page": first_number(_text(node.first(cls="sumario-articulo__pagina")))}})
-    return {"bulletin_cve": str(bulletin), "cve": str(bulletin.as_kind("S")), "bulletin_number": _numbered(title), "date": day_of(title), "url": f"{site}/bome/{bulletin}/sumario", "pdf_url": _action(header, "Sumario", site), "pages": [p["number"] for p in _pages(body, site)], "entries": entries}
-
-
-def results_of(page: str, site: str = SITE) -> dict:
-    """One page of site search results; without a counter it is the only page."""
-    block = parse(page).first(cls="page-search-result")
-    hits = _refs(block.all("a"), site) if block is not None else []
-    counter = re.search(COUNTER, _text(block))
-    if not counter:
-        return {"results": hits, "page": 1, "total_pages": int(bool(hits)), "total_results": len(hits)}
-    at, pages, _, total = (int(x.replace(".", "")) for x in counter.groups())
-    return {"results": hits, "page": max(at, 1), "total_pages": pages, "total_results": total}
-
-
-def year_of(page: str, site: str = SITE) -> list[dict]:
-    """The bulletins of a year's slider, as listed."""
-    root = parse(page)
-    return _refs([a for slide in root.all(cls="swiper-slide") for a in slide.all("a")], site)
+def _read_batches(frames: Iterator[pd.DataFrame], reader: Callable[[str], dict], names: list[str], encoding: str) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for key, page in zip(frame["key"], frame["page"], strict=True):
+            try:
+                found = reader(page.decode(encoding) if isinstance(page, bytes) else page or "")
+                rows.append(found | {"key": key, "error": None})
+            except (UnreadablePage, InvalidIdentifier, UnicodeDecodeError) as error:
+                rows.append(dict.fromkeys(names) | {"key": key, "error": str(error)})
+        yield pd.DataFrame(rows, columns=["key", *names, "error"], dtype=object)
 
 
-# --- pages of the old portal -------------------------------------------------
+def read_pages(pages: DataFrame, reader: Callable[[str], dict], schema: str, key: str = "key", page: str = "page", encoding: str = "utf-8") -> DataFrame:
+    """The record of each page, with its key and ``error`` (null where it could be read).  Binary pages are decoded, old ones as ISO-8859-1."""
+    ship(pages.sparkSession)
+    names = [n.name for n in pages.sparkSession.createDataFrame([], schema).schema]
+    rows = pages.select(F.col(key).alias("key"), F.col(page).alias("page"))
+    return rows.mapInPandas(partial(_read_batches, reader=reader, names=names, encoding=encoding), f"key {dict(rows.dtypes)['key']}, {schema}, error string")
 
 
-def label_of(text: str) -> dict | None:
-    """A catalogue link's text: number, suffix, day."""
-    pattern = LABEL.replace(r"\p{L}", r"[^\W\d_]")
-    found = re.match(pattern, text)
-    if not found or not int(found[3]):
-        return None
-    try:
-        day = date(int(found[6]), int(found[5]), int(found[4]))
-    except ValueError:
-        return None
-    label = squeeze(found[2])
-    return {"cve": f"BOME-{'BX' if found[1] else 'B'}-{day.year}-{int(found[3])}", "number": int(found[3]), "extraordinary": bool(found[1]), "suffix": label if label != found[3] else None, "date": day, "official": day.year >= 2014}
+def articles_of_bulletins(bulletins: DataFrame) -> DataFrame:
+    """The nested tree as flat article rows in page order."""
+    rows = bulletins.where("error is null") if "error" in bulletins.columns else bulletins
+    rows = rows.select(F.col("cve").alias("bulletin_cve"), "date", "extraordinary", F.posexplode("departments").alias("p1", "d"))
+    rows = rows.select("*", F.posexplode("d.sections").alias("p2", "s")).select("*", F.posexplode("s.units").alias("p3", "u")).select("*", F.posexplode("u.articles").alias("p4", "a"))
+    return rows.select("bulletin_cve", "date", "extraordinary", F.struct("p1", "p2", "p3", "p4").alias("pos"), F.col("d.name").alias("department"), F.col("s.name").alias("section"), F.col("s.id").alias("section_id"), F.col("u.name").alias("unit"), "a.*")
+
+
+# --- flat pages as events ----------------------------------------------------
+
+#: (kind, text, attributes)
+Event = tuple[str, str, dict[str, str | None]]
+
+
+def _event_batches(frames: Iterator[pd.DataFrame], rule: Callable[[Element], Iterator[Event]], encoding: str) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows: list[tuple] = []
+        for key, page in zip(frame["key"], frame["page"], strict=True):
+            try:
+                root = parse(page.decode(encoding) if isinstance(page, bytes) else page or "")
+                rows += [(key, pos, kind, text, attrs, None) for pos, (kind, text, attrs) in enumerate(rule(root))]
+            except (UnreadablePage, UnicodeDecodeError) as error:
+                rows.append((key, None, None, None, None, str(error)))
+        yield pd.DataFrame(rows, columns=["key", "pos", "kind", "text", "attrs", "error"], dtype=object)
+
+
+def events(pages: DataFrame, rule: Callable[[Element], Iterator[Event]], key: str = "key", page: str = "page", encoding: str = "utf-8") -> DataFrame:
+    """(key, pos, kind, text, attrs, error): what ``rule`` finds on each page, in page order; one row with an error for a page that is none of its kind."""
+    ship(pages.sparkSession)
+    rows = pages.select(F.col(key).alias("key"), F.col(page).alias("page"))
+    schema = f"key {dict(rows.dtypes)['key']}, pos bigint, kind string, text string, attrs map<string,string>, error string"
+    return rows.mapInPandas(partial(_event_batches, rule=rule, encoding=encoding), schema)
+
+
+def _line() -> Window:
+    return Window.partitionBy("key").orderBy("pos")
 
 
-def _record(href: str) -> int | None:
-    found = RECORD_ID.search(href)
-    return int(found[1]) if found else None
+def _so_far(value: Column) -> Column:
+    """The last value that isn't null up to a row."""
+    return F.last(value, ignorenulls=True).over(_line().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def catalogue_of(page: str) -> tuple[list[dict], list[dict]]:
-    """(bulletins, warnings) of the old catalogue, each record once, the first one kept.
+def _filled(text: Column) -> Column:
+    return F.when(text != "", text)
 
-    Warnings: ``unreadable`` links, records that come twice with ``conflict``ing
-    data, and headers of a year that bulletins of another are ``misfiled`` under.
+
+def _in_order(value: Column, where: Column) -> Column:
+    """The values of a group's rows that ``where`` holds for, in page order; a page's worth."""
+    pairs = F.array_sort(F.collect_list(F.when(where, F.struct(F.col("pos"), value.alias("v")))))
+    return F.transform(pairs, lambda p: p["v"])
+
+
+def _on(kind: str) -> Column:
+    return F.col("kind") == kind
+
+
+def failures(found: DataFrame) -> DataFrame:
+    """(key, error) of the pages that couldn't be read."""
+    return found.where("error is not null").select("key", "error")
+
+
+def summary_rule(root: Element) -> Iterator[Event]:
+    header = _header(root)
+    link = _action(header, "Sumario")
+    yield "header", _text(header.first("h1")), {"cve": _text(header.first("h2")), "pdf": link.attrs.get("href") if link is not None else None}
+    for node in root.first("section", id="bome-show-sumario-content") or root:
+        classes = node.classes()
+        if node.tag == "h2" and node.above("sumario-departamento") is not None:
+            yield "department", node.text(), {}
+        if node.tag == "h3" and "sumario-consejeria" in classes:
+            yield "section", node.text(), {}
+        if node.tag == "div" and "sumario-articulo" in classes:
+            yield "article", _text(node.first(cls="sumario-articulo__content")), {"number": node.attrs.get("data-numero"), "page": _text(node.first(cls="sumario-articulo__pagina"))}
+        if node.tag == "div" and "pagina" in classes and node.attrs.get("id", "").startswith("pagina-"):
+            yield "page", "", {"number": node.attrs["id"]}
+
+
+def summaries(pages: DataFrame, site: str = SITE) -> DataFrame:
+    """One row a summary page: key, bulletin_cve, cve, bulletin_number, date, url, pdf_url, pages, entries, warning, error.
+
+    Department and section of an entry are the last headings before it; a new
+    department ends the section.  A page of free text has no entries and says so
+    in ``warning``.
     """
-    found: dict[int, dict] = {}
-    warnings, bare, misfiled = [], [], {}
-    for a in parse(page).all("a", where=lambda e: OLD_FICHA in e.attrs.get("href", "")):
-        record, text = _record(a.attrs["href"]), a.text()
-        if record is None:
-            warnings.append({"kind": "unreadable", "record": None, "year": None, "detail": text})
-            continue
-        if not text:
-            bare.append(record)
-            continue
-        label = label_of(text)
-        if label is None:
-            warnings.append({"kind": "unreadable", "record": record, "year": None, "detail": text})
-            continue
-        row = label | {"record": record}
-        if record in found:
-            if found[record] != row:
-                warnings.append({"kind": "conflict", "record": record, "year": None, "detail": f"{found[record]['cve']} {row['cve']}"})
-            continue
-        found[record] = row
-        head = a.above("set")
-        image = next((i for t in head.all("div", cls="title") for i in t.all("img")), None) if head is not None else None
-        year = re.search(r"/(\d{4})\.jpg$", image.attrs.get("src", "")) if image is not None else None
-        if year and int(year[1]) != row["date"].year:
-            misfiled.setdefault(int(year[1]), []).append(row["cve"])
-    if not found:
+    found = events(pages, summary_rule)
+    rows = found.where("error is null")
+    owner = ids.cve_struct(F.regexp_extract(F.first(F.when(_on("header"), F.col("attrs")["cve"]), ignorenulls=True).over(Window.partitionBy("key")), IN_TEXT, 0))
+    department = _so_far(F.when(_on("department"), F.col("text")))
+    section = _so_far(F.when(_on("department"), F.lit("")).when(_on("section"), F.col("text")))
+    rows = rows.withColumn("owner", owner).withColumn("department", _filled(department)).withColumn("section", _filled(section)).withColumn("number", first_int(F.col("attrs")["number"]))
+    article = ids.article_of(F.struct(F.when(F.startswith(F.col("owner.kind"), F.lit("S")), F.replace(F.col("owner.kind"), F.lit("S"), F.lit("B"))).otherwise(F.col("owner.kind")).alias("kind"), F.col("owner.year").alias("year"), F.col("owner.number").alias("number")), F.col("number"))
+    base = F.concat(F.lit(f"{site}/bome/"), ids.bulletin_of(F.col("owner")))
+    said = _filled(F.regexp_replace("text", r"^\s*\d+\s*\.\s*", ""))
+    entry = F.struct("department", "section", F.struct(article.alias("cve"), F.col("number"), said.alias("summary"), F.concat(base, F.lit("/articulo/"), F.col("number").cast("string")).alias("url"), F.concat(F.lit(f"{site}/bome/descargar/"), article, F.lit(".pdf")).alias("pdf_url"), first_int(F.col("attrs")["page"]).alias("first_page")).alias("article"))
+    whole = rows.groupBy("key").agg(
+        F.first("owner").alias("owner"),
+        F.first(F.when(_on("header"), F.col("text")), ignorenulls=True).alias("title"),
+        F.first(F.when(_on("header"), F.col("attrs")["pdf"]), ignorenulls=True).alias("pdf"),
+        _in_order(F.col("number"), _on("page") & F.col("number").isNotNull()).alias("pages"),
+        _in_order(entry, _on("article") & F.col("number").isNotNull()).alias("entries"),
+    )
+    cve = ids.bulletin_of(F.col("owner"))
+    pdf = F.when(F.col("pdf").rlike("^https?://"), F.col("pdf")).otherwise(F.concat(F.lit(f"{site}/"), F.regexp_replace("pdf", "^/+", "")))
+    good = whole.select(
+        "key", cve.alias("bulletin_cve"), ids.summary_of(F.col("owner")).alias("cve"), ordinal_number(F.col("title")).alias("bulletin_number"), spanish_date(F.col("title")).alias("date"), F.concat(F.lit(f"{site}/bome/"), cve, F.lit("/sumario")).alias("url"), pdf.alias("pdf_url"), "pages", "entries",
+        F.when(F.size("entries") == 0, "the summary is free text; read the bulletin instead").alias("warning"), F.when(cve.isNull(), "the header has no identifier of a bulletin").alias("error"),
+    )
+    return good.unionByName(failures(found), allowMissingColumns=True)
+
+
+def _links_of(blocks: list[Element]) -> Iterator[Event]:
+    for block in blocks:
+        for a in block.all("a"):
+            yield "link", a.text(), {"href": a.attrs.get("href")}
+
+
+def results_rule(root: Element) -> Iterator[Event]:
+    block = root.first(cls="page-search-result")
+    yield "page", _text(block), {}
+    yield from _links_of([block] if block is not None else [])
+
+
+def slides_rule(root: Element) -> Iterator[Event]:
+    yield "page", "", {}
+    yield from _links_of(root.all(cls="swiper-slide"))
+
+
+def bulletin_links(found: DataFrame, site: str = SITE) -> DataFrame:
+    """(key, pos and the fields of REF): links that lead to a bulletin."""
+    cve = ids.cve_struct(F.regexp_extract(F.col("attrs")["href"], BULLETIN_HREF, 1))
+    rows = found.where(_on("link")).withColumn("c", cve).where("c is not null")
+    text = ids.cve_text(F.col("c"))
+    return rows.select("key", "pos", text.alias("cve"), F.col("c.number").alias("number"), spanish_date(F.col("text")).alias("date"), ids.is_extraordinary(F.col("c")).alias("extraordinary"), F.concat(F.lit(f"{site}/bome/"), text).alias("url"), _filled(F.col("text")).alias("title"))
+
+
+def results(pages: DataFrame, site: str = SITE) -> DataFrame:
+    """One row a page of site search results: key, results, page, total_pages, total_results, error; without a counter it is the only page."""
+    found = events(pages, results_rule)
+    hit = F.struct("cve", "number", "date", "extraordinary", "url", "title")
+    hits = bulletin_links(found, site).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", hit.alias("hit")))), lambda x: x["hit"]).alias("results"))
+    counter = result_counter(F.col("text"))
+    rows = found.where(_on("page") & F.col("error").isNull()).select("key", counter.alias("c")).join(hits, "key", "left")
+    rows = rows.withColumn("results", F.coalesce("results", F.array().cast(hits.schema["results"].dataType))).withColumn("n", F.size("results").cast("long"))
+    good = rows.select("key", "results", F.coalesce("c.page", F.lit(1)).alias("page"), F.coalesce("c.pages", F.least("n", F.lit(1))).alias("total_pages"), F.coalesce("c.total", "n").alias("total_results"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(failures(found), allowMissingColumns=True)
+
+
+def years(pages: DataFrame, site: str = SITE) -> DataFrame:
+    """The bulletins of years' sliders, as listed: key, pos and the fields of REF."""
+    return bulletin_links(events(pages, slides_rule), site)
+
+
+# --- the old portal ----------------------------------------------------------
+
+
+def catalogue_rule(root: Element) -> Iterator[Event]:
+    links = root.all("a", where=lambda e: RECORD_HREF in e.attrs.get("href", ""))
+    if not links:
         raise UnreadablePage("the catalogue lists no bulletin")
-    warnings += [{"kind": "misfiled", "record": None, "year": y, "detail": ", ".join(cves)} for y, cves in misfiled.items()]
-    warnings += [{"kind": "unreadable", "record": r, "year": None, "detail": ""} for r in bare if r not in found]
-    return list(found.values()), warnings
+    for a in links:
+        block = a.above("set")
+        pictures = [i.attrs.get("src", "") for title in block.all("div", cls="title") for i in title.all("img")] if block is not None else []
+        yield "link", a.text(), {"href": a.attrs["href"], "picture": pictures[0] if pictures else None}
 
 
-def _old_articles(band: Element, bulletin: dict | None, record: int | None) -> list[dict]:
-    """Articles of a flat page: headings pile up until an article takes them; one without new headings keeps the last chain."""
-    rows: list[dict] = []
-    top, heads, chain = "", [], []
-    for div in band.all("div"):
-        classes = div.classes()
-        if "bandabome" in classes:
-            top, heads, chain = div.text(), [], []
-        elif "bandanegociado" in classes:
-            heads.append(div.text())
-        elif "B2" in classes:
-            for ul in div.all("ul", where=lambda e: bool(e.all("li"))):
-                if heads:
-                    chain, heads = heads, []
-                rows.append(_old_article(ul, [h for h in (top, *chain) if h], bulletin, record))
-    return rows
-
-
-def _old_article(ul: Element, path: list[str], bulletin: dict | None, record: int | None) -> dict:
-    row = {"number": None, "kind": None, "summary": None, "path": path, "pages": [], "record": record}
-    for li in ul.own("li"):
-        span = li.first("span", cls="txBoN")
-        said = _text(span)
-        label = said.rstrip(":").strip()
-        name = label.casefold().translate(str.maketrans("íá", "ia"))
-        rest = li.text()[len(said) :]
-        if name == "boletin":
-            link = li.first("a")
-            if link is not None:
-                row["record"], bulletin = _record(link.attrs.get("href", "")), label_of(link.text())
-        elif name == "articulo":
-            m = re.match(r"\s*(\d+)", rest)
-            row["number"] = int(m[1]) if m else None
-        elif name == "paginas":
-            for a in li.all("a", where=lambda e: "href" in e.attrs):
-                url, text = re.sub("^http://", "https://", a.attrs["href"]), a.text()
-                m = re.search(r"_(\d+)\.pdf$", url)
-                row["pages"].append({"number": int(text) if text.isdigit() else int(m[1]) if m else None, "url": url})
-        elif row["kind"] is None:
-            row["kind"], row["summary"] = label or None, rest.strip().lstrip(":").strip() or None
-    return row | {"cve": bulletin["cve"] if bulletin else None, "date": bulletin["date"] if bulletin else None}
-
-
-def _band(root: Element) -> Element:
-    band = root.first("div", cls="bandaNo")
-    if band is None:
-        raise UnreadablePage("the page has no results area")
-    return band
+def record_url(record: Column) -> Column:
+    """The old portal's page of a bulletin."""
+    return F.concat(F.lit(f"{OLD_SITE}/contenedor.jsp?seccion={RECORD_HREF}&dboidboletin="), record.cast("string"), F.lit("&codResi=1&language=es&codAdirecto=15"))
 
 
-def old_results_of(page: str) -> list[dict]:
-    """Articles that the old portal's search found, all on one page."""
-    return _old_articles(_band(parse(page)), None, None)
+def _record_of(href: Column) -> Column:
+    return F.regexp_extract(href, RECORD_ID, 1).try_cast("bigint")
 
 
-def ficha_of(page: str, record: int, known: dict | None = None) -> dict:
-    """An old bulletin's page; what the catalogue ``known`` says of its number wins."""
-    band = _band(parse(page))
-    bars = [band.first("div", cls=c) for c in ("banda8", "banda9")]
-    head = " ".join(map(_text, bars))
-    if known is None:
-        m = re.search(r"(?:n\s*[º°]|n[úu]mero)\s*(e[xs]tra[^\W\d_]*)?[\s\-]*(?:n\s*[º°]\s*)?(\d+)", head, re.I)
-        short = re.search(r"(\d{1,2})-(\d{1,2})-(\d{4})", head)
-        day = day_of(head) or (date(int(short[3]), int(short[2]), int(short[1])) if short else None)
-        if not m or not day or not int(m[2]):
-            raise UnreadablePage("the page has no bulletin number or date")
-        extra = bool(m[1] or re.search("e[xs]tra", head, re.I))
-        known = {"cve": f"BOME-{'BX' if extra else 'B'}-{day.year}-{int(m[2])}", "number": int(m[2]), "extraordinary": extra, "suffix": None, "date": day, "official": day.year >= 2014}
-    pdf = next((re.sub("^http://", "https://", a.attrs["href"]) for bar in reversed(bars) if bar is not None for a in bar.all("a", where=lambda e: "mandar.php" in e.attrs.get("href", ""))), None)
-    return known | {"record": record, "pdf_url": pdf, "articles": _old_articles(band, known, record)}
+def catalogue_links(pages: DataFrame, encoding: str = "ISO-8859-1") -> DataFrame:
+    """(key, pos, record, text, header_year and the label's fields): the links of old catalogues."""
+    rows = events(pages, catalogue_rule, encoding=encoding).where("error is null")
+    year = F.regexp_extract(F.col("attrs")["picture"], r"/(\d{4})\.jpg$", 1).try_cast("int")
+    return rows.select("key", "pos", _record_of(F.col("attrs")["href"]).alias("record"), "text", year.alias("header_year"), catalogue_label(F.col("text")).alias("label")).select("*", "label.*").drop("label")
 
 
-# --- over DataFrames ---------------------------------------------------------
+def catalogue(links: DataFrame) -> DataFrame:
+    """Old bulletins, each record once, the first link that can be read kept."""
+    good = links.where("record is not null and cve is not null")
+    first = F.row_number().over(Window.partitionBy("key", "record").orderBy("pos"))
+    return good.withColumn("k", first).where("k = 1").select("key", "pos", "record", "cve", "number", "extraordinary", "suffix", "date", (F.year("date") >= OFFICIAL_SINCE).alias("official"), record_url(F.col("record")).alias("url"))
 
 
-def _read_batches(frames: Iterator[pd.DataFrame], reader: Callable[[str], dict | list[dict]], names: list[str], encoding: str) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for key, page in zip(frame["key"], frame["page"], strict=True):
-            blank = dict.fromkeys(names)
-            try:
-                found = reader(page.decode(encoding) if isinstance(page, bytes) else page or "")
-                rows += [blank | r | {"key": key, "error": None} for r in (found if isinstance(found, list) else [found])]
-            except (UnreadablePage, InvalidIdentifier, UnicodeDecodeError) as error:
-                rows.append(blank | {"key": key, "error": str(error)})
-        yield pd.DataFrame(rows, columns=["key", *names, "error"], dtype=object)
+def catalogue_warnings(links: DataFrame) -> DataFrame:
+    """(kind, record, year, n): links that can't be read (links with a picture only count if their record has no other), records whose links differ, headers with bulletins of other years."""
+    from ..operators.browse import catalogue_warnings as of
 
+    read = links.where("cve is not null").select("record").distinct()
+    bare = links.where("text = ''").join(read, "record", "left_anti").dropDuplicates(["key", "record"])
+    told = links.where("text <> ''").unionByName(bare.select(links.columns))
+    return of(told.withColumn("cve", F.when(F.col("record").isNotNull(), F.concat_ws("~", "cve", F.coalesce("suffix", F.lit("")), "date"))).withColumn("cve", F.when(F.col("date").isNotNull(), F.col("cve"))))
 
-def read_pages(pages: DataFrame, reader: Callable[[str], dict | list[dict]], schema: str, key: str = "key", page: str = "page", encoding: str = "utf-8") -> DataFrame:
-    """The records of each page, with its key and ``error`` (null where it could be read).  Binary pages are decoded, old ones as ISO-8859-1."""
-    ship(pages.sparkSession)
-    names = [n.name for n in pages.sparkSession.createDataFrame([], schema).schema]
-    rows = pages.select(F.col(key).alias("key"), F.col(page).alias("page"))
-    return rows.mapInPandas(partial(_read_batches, reader=reader, names=names, encoding=encoding), f"key {dict(rows.dtypes)['key']}, {schema}, error string")
 
+def old_rule(root: Element) -> Iterator[Event]:
+    band = root.first("div", cls="bandaNo")
+    if band is None:
+        raise UnreadablePage("the page has no results area")
+    bars = [bar for name in ("banda8", "banda9") if (bar := band.first("div", cls=name)) is not None]
+    files = [a.attrs["href"] for bar in bars[::-1] for a in bar.all("a") if "mandar.php" in a.attrs.get("href", "")]
+    yield "header", " ".join(map(_text, bars)), {"pdf": files[0] if files else None}
+    for div in band.all("div"):
+        for name in div.classes():
+            if name in ("bandabome", "bandanegociado"):
+                yield {"bandabome": "top", "bandanegociado": "head"}[name], div.text(), {}
+        for ul in div.all("ul") if "B2" in div.classes() else ():
+            if ul.all("li"):
+                yield "article", "", {}
+            for li in ul.own("li"):
+                label = _text(li.first("span", cls="txBoN"))
+                yield "field", li.text()[len(label) :], {"label": label}
+                for a in li.all("a"):
+                    yield "link", a.text(), {"label": label, "href": a.attrs.get("href")}
 
-def articles_of_bulletins(bulletins: DataFrame) -> DataFrame:
-    """The nested tree as flat article rows in page order."""
-    rows = bulletins.where("error is null") if "error" in bulletins.columns else bulletins
-    rows = rows.select(F.col("cve").alias("bulletin_cve"), "date", "extraordinary", F.posexplode("departments").alias("p1", "d"))
-    rows = rows.select("*", F.posexplode("d.sections").alias("p2", "s")).select("*", F.posexplode("s.units").alias("p3", "u")).select("*", F.posexplode("u.articles").alias("p4", "a"))
-    return rows.select("bulletin_cve", "date", "extraordinary", F.struct("p1", "p2", "p3", "p4").alias("pos"), F.col("d.name").alias("department"), F.col("s.name").alias("section"), F.col("s.id").alias("section_id"), F.col("u.name").alias("unit"), "a.*")
+
+#: Fields with a meaning of their own; the first other one names an article's kind.
+OWN_FIELDS = ("boletin", "articulo", "paginas")
+
+
+def old_articles(found: DataFrame) -> DataFrame:
+    """(key, place, record, label, number, kind, summary, path, pages, url): articles of old pages, from the events of ``old_rule``.
+
+    Headings pile up until an article takes them; one without new headings has
+    those of the article before it; a top heading starts anew.
+    """
+    rows = found.where("error is null")
+    count = lambda kind: F.count_if(_on(kind)).over(_line().rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("place", count("article")).withColumn("block", count("top")).withColumn("top", _so_far(F.when(_on("top"), F.col("text"))))
+    heads = rows.where(_on("head")).groupBy("key", "block", (F.col("place") + 1).alias("place")).agg(_in_order(F.col("text"), F.lit(True)).alias("own"))
+    starts = rows.where(_on("article")).select("key", "block", "place", "top").join(heads, ["key", "block", "place"], "left")
+    chain = F.last("own", ignorenulls=True).over(Window.partitionBy("key", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    path = F.filter(F.concat(F.array(F.coalesce("top", F.lit(""))), F.coalesce(chain, F.array().cast("array<string>"))), lambda h: h != "")
+    starts = starts.select("key", "place", path.alias("path"))
+    label = F.trim(F.regexp_replace(F.col("attrs")["label"], ":+$", ""))
+    name = F.translate(F.lower(label), "íáó", "iao")
+    href, text = F.col("attrs")["href"], F.col("text")
+    page = F.struct(F.coalesce(F.when(text.rlike(r"^\d+$"), text.try_cast("bigint")), F.regexp_extract(href, r"_(\d+)\.pdf$", 1).try_cast("bigint")).alias("number"), secure_url(href).alias("url"))
+    other = _on("field") & ~name.isin(*OWN_FIELDS)
+    bulletin = F.min_by(F.struct(_record_of(href).alias("record"), text.alias("label")), F.when(_on("link") & (name == "boletin"), F.col("pos")))
+    first = F.min_by(F.struct(_filled(label).alias("kind"), _filled(F.trim(F.regexp_replace(text, r"^[\s:]+", ""))).alias("summary")), F.when(other, F.col("pos")))
+    fields = rows.where(_on("field") | _on("link")).groupBy("key", "place").agg(
+        F.max(F.when(_on("field") & (name == "articulo"), F.regexp_extract(text, r"^\s*(\d+)", 1).try_cast("bigint"))).alias("number"),
+        bulletin.alias("b"), first.alias("f"), _in_order(page, _on("link") & (name == "paginas") & href.isNotNull()).alias("pages"),
+    )
+    whole = starts.join(fields, ["key", "place"], "left")
+    pages = F.coalesce("pages", F.array().cast(fields.schema["pages"].dataType))
+    return whole.select("key", "place", F.col("b.record").alias("record"), F.col("b.label").alias("label"), "number", "f.kind", "f.summary", "path", pages.alias("pages"), record_url(F.col("b.record")).alias("url"))
+
+
+def old_results(pages: DataFrame, encoding: str = "ISO-8859-1") -> DataFrame:
+    """Articles that the old portal's search found, all on one page, in its order: key, place, cve, date, number, kind, summary, path, pages, record, url."""
+    rows = old_articles(events(pages, old_rule, encoding=encoding))
+    of = catalogue_label(F.col("label"))
+    return rows.select("key", "place", of["cve"].alias("cve"), of["date"].alias("date"), "number", "kind", "summary", "path", "pages", "record", "url")
+
+
+def old_bulletins(pages: DataFrame, known: DataFrame | None = None, encoding: str = "ISO-8859-1") -> DataFrame:
+    """One row an old bulletin's page; the key is its record: record, cve, number, extraordinary, suffix, date, official, pdf_url, articles, error.
+
+    What the catalogue ``known`` (record, cve, number, extraordinary, suffix,
+    date) says of its number wins over the page's heading.
+    """
+    found = events(pages, old_rule, encoding=encoding)
+    heads = found.where(_on("header")).select("key", F.lower(clean(F.col("text"))).alias("head"), secure_url(F.col("attrs")["pdf"]).alias("pdf_url"))
+    sign = f"(?:{NUMBER_SIGN}|n[úu]mero ?)"
+    number = F.regexp_extract("head", f"{sign}(?:{EXTRAORDINARY})?[ -]*(?:{sign})?(\\d+)", 1).try_cast("bigint")
+    figure = lambda k: F.regexp_extract("head", "-".join((r"(\d{1,2})", r"(\d{1,2})", r"(\d{4})")), k)
+    day = F.coalesce(spanish_date(F.col("head")), F.try_to_date(F.concat_ws("-", figure(3), figure(2), figure(1)), "yyyy-M-d"))
+    extra = F.col("head").rlike(EXTRAORDINARY)
+    cve = F.concat_ws("-", F.lit("BOME"), F.when(extra, "BX").otherwise("B"), F.year(day).cast("string"), number.cast("string"))
+    heads = heads.select("key", "pdf_url", F.when((number > 0) & day.isNotNull(), F.struct(cve.alias("cve"), number.alias("number"), extra.alias("extraordinary"), F.lit(None).cast("string").alias("suffix"), day.alias("date"))).alias("own"))
+    if known is not None:
+        heads = heads.join(known.select(F.col("record").alias("key"), F.struct("cve", "number", "extraordinary", "suffix", "date").alias("known")), "key", "left").withColumn("own", F.coalesce("known", "own"))
+    article = F.struct("number", "kind", "summary", "path", "pages")
+    articles = old_articles(found).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", article.alias("a")))), lambda x: x["a"]).alias("articles"))
+    whole = heads.join(articles, "key", "left")
+    good = whole.select(F.col("key").alias("record"), "own.*", (F.year("own.date") >= OFFICIAL_SINCE).alias("official"), "pdf_url", F.coalesce("articles", F.array().cast(articles.schema["articles"].dataType)).alias("articles"), F.when(F.col("own").isNull(), "the page has no bulletin number or date").alias("error"))
+    return good.unionByName(failures(found).withColumnRenamed("key", "record"), allowMissingColumns=True)
 
 
 # --- JSON --------------------------------------------------------------------
@@ -403,9 +482,9 @@ ENTITY_ITEM = "array<struct<id:string,nombre:string>>"
 def calendar(payloads: DataFrame, json_col: str = "json", site: str = SITE) -> DataFrame:
     """Bulletins of calendar payloads (arrays of events); events without a bulletin's address are left out.
 
-    A payload that is no array has no rows here; ``not_arrays`` finds those.
+    A payload that is no array fails the job; ``not_arrays`` finds those.
     """
-    item = payloads.select(F.explode(F.from_json(json_col, CALENDAR_ITEM)).alias("e")).select("e.*")
+    item = checked_arrays(payloads, json_col).select(F.explode(F.from_json(json_col, CALENDAR_ITEM)).alias("e")).select("e.*")
     cve = F.upper(F.regexp_extract("url", r"(?i)/bome/(BOME-BX?-\d{4}-\d+)/?$", 1))
     kind, year, number = F.regexp_extract(cve, r"-(BX?)-", 1), F.regexp_extract(cve, r"-(\d{4})-", 1), F.regexp_extract(cve, r"(\d+)$", 1).try_cast("bigint")
     canonical = F.concat_ws("-", F.lit("BOME"), kind, year, number)
@@ -413,6 +492,17 @@ def calendar(payloads: DataFrame, json_col: str = "json", site: str = SITE) -> D
     return item.where((cve != "") & (number > 0)).select(canonical.alias("cve"), number.alias("number"), F.try_to_date(F.substring("start", 1, 10), "yyyy-MM-dd").alias("date"), (kind == "BX").alias("extraordinary"), F.concat(F.lit(f"{site}/bome/"), canonical).alias("url"), F.when(title != "", title).alias("title"))
 
 
+def whole_calendar(payloads: DataFrame, json_col: str = "json", site: str = SITE) -> DataFrame:
+    """Bulletins of many payloads, whose ranges may overlap, each once."""
+    return calendar(payloads, json_col, site).dropDuplicates(["cve"])
+
+
+def checked_arrays(payloads: DataFrame, json_col: str = "json") -> DataFrame:
+    """The payloads; one that is no array fails the job."""
+    good = F.coalesce(F.startswith(F.ltrim(F.col(json_col)), F.lit("[")), F.lit(False)) & F.from_json(json_col, CALENDAR_ITEM).isNotNull()
+    return payloads.withColumn(json_col, F.when(good, F.col(json_col)).otherwise(F.raise_error(F.lit("the calendar isn't an array"))))
+
+
 def not_arrays(payloads: DataFrame, json_col: str = "json") -> DataFrame:
     return payloads.where(~F.coalesce(F.trim(json_col).startswith("["), F.lit(False)) | F.from_json(json_col, CALENDAR_ITEM).isNull())
 
@@ -427,11 +517,9 @@ def entities(payloads: DataFrame, json_col: str = "json") -> DataFrame:
 
 def resolved(redirects: DataFrame, identifiers: DataFrame) -> DataFrame:
     """Where the site's resolver sends each identifier: (cve, target, target_kind, agrees); unknown ones have nulls."""
-    from ..functions.identifiers import cve_struct
-
     joined = identifiers.join(redirects, "cve", "left")
-    printed = F.regexp_extract("target", r"(?i)(BOME-[A-Z]{1,2}-\d{4}-\d+)", 1)
-    kind = F.when(printed != "", cve_struct(printed)["kind"])
-    own = cve_struct(F.col("cve"))["kind"]
+    printed = F.regexp_extract("target", IN_TEXT, 0)
+    kind = F.when(printed != "", ids.cve_struct(printed)["kind"])
+    own = ids.cve_struct(F.col("cve"))["kind"]
     return joined.select("cve", "target", kind.alias("target_kind"), (F.endswith(kind, F.lit("X")) == F.endswith(own, F.lit("X"))).alias("agrees"))
 

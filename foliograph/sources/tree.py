@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import chain
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Tag -> open tags that its start ends, looked for up to the nearest of the second set.
@@ -18,9 +19,13 @@ CLOSES = {
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
 }
-#: Block elements that end a line, and elements without text of their own.
-BLOCKS = frozenset("address article blockquote dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li ol p pre section table tbody tfoot thead ul".split())
-SKIPPED = frozenset("script style img svg noscript".split())
+# Elements that browsers show as blocks, by what they are for, and elements that show no text of their own.
+SECTIONS = ["article", "section", "header", "footer", "address", *(f"h{n}" for n in range(1, 7))]
+GROUPS = ["p", "div", "pre", "blockquote", "figure", "figcaption", "hr"]
+LISTS = ["ul", "ol", "li", "dl", "dt", "dd"]
+TABLES = ["table", "thead", "tbody", "tfoot"]
+BLOCKS = frozenset(SECTIONS + GROUPS + LISTS + TABLES)
+SILENT = frozenset(["script", "noscript", "style", "svg", "img"])
 
 
 class Element:
@@ -118,29 +123,28 @@ def parse(page: str) -> Element:
     return builder.root
 
 
-def plain_text(node: Element) -> str:
-    """Text of an element: a line for each block, the cells of a row joined by " | ", nothing of scripts and images."""
-    out: list[str] = []
-    todo: list[tuple[Element | str, bool]] = [(c, True) for c in reversed(node.children)]
-    while todo:
-        item, fresh = todo.pop()
-        if isinstance(item, str):
-            out.append(item)
-        elif item.tag in SKIPPED:
-            continue
+def _marked(node: Element) -> Iterator[str]:
+    """The text below an element in order, a line feed wherever a line ends; a row is one line, its cells joined by " | "."""
+    waiting: list[Iterator] = [iter(node.children)]
+    while waiting:
+        item = next(waiting[-1], None)
+        if item is None:
+            waiting.pop()
+        elif isinstance(item, str):
+            yield item
         elif item.tag == "br":
-            out.append("\n")
+            yield "\n"
         elif item.tag == "tr":
-            cells = (squeeze(plain_text(c)) for c in item.children if isinstance(c, Element) and c.tag in ("td", "th"))
-            out.append("\n" + " | ".join(c for c in cells if c) + "\n")
-        else:
-            block = item.tag in BLOCKS
-            if block:
-                out.append("\n")
-                if fresh:
-                    todo.append((Element("br", {}, None), False))
-            todo.extend((c, True) for c in reversed(item.children))
-    return "\n".join(line for line in map(squeeze, "".join(out).split("\n")) if line)
+            cells = (squeeze(plain_text(cell)) for cell in item.children if isinstance(cell, Element) and cell.tag in ("td", "th"))
+            yield f"\n{' | '.join(filter(None, cells))}\n"
+        elif item.tag not in SILENT:
+            edge = ["\n"] if item.tag in BLOCKS else []
+            waiting.append(chain(edge, item.children, edge))
+
+
+def plain_text(node: Element) -> str:
+    """Text of an element: a line for each block, nothing of scripts and images; empty lines are left out."""
+    return "\n".join(filter(None, map(squeeze, "".join(_marked(node)).split("\n"))))
 
 
 def first_number(text: str | None) -> int | None:

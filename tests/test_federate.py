@@ -87,5 +87,31 @@ def test_locate_against_search(spark):
         assert tuple(r)[1:] == ((holder, None, None) if holder is not None else (None, below, above)), r
     tries = locate.candidates(locate.locate(spark.createDataFrame([(25,)], "number long"), spark.createDataFrame([(1, 10, 20), (4, 30, 40)], "bulletin long, lo long, hi long")), spark.createDataFrame([(2,), (3,), (9,)], "bulletin long"))
     assert [r["bulletin"] for r in tries.orderBy("turn").collect()] == [2, 3, 1, 4]
+    tried = spark.createDataFrame([(25,), (5,), (99,)], "number long")
+    two = spark.createDataFrame([(1, 10, 20), (4, 30, 40)], "bulletin long, lo long, hi long")
+    some = locate.candidates(locate.locate(tried, two), spark.createDataFrame([(0,), (2,), (3,), (9,)], "bulletin long"), most=2)
+    assert sorted((r["number"], r["turn"], r["bulletin"], r["untried"]) for r in some.collect()) == [(5, 1, 0, 0), (5, 2, 1, 0), (25, 1, 2, 2), (25, 2, 3, 2), (99, 1, 9, 0), (99, 2, 4, 0)]
+    short = locate.with_shortcuts(some.where("number = 25"), spark.createDataFrame([(25, 3, 0), (25, 7, 1)], "number long, bulletin long, rank int"), most=2)
+    assert sorted((r["turn"], r["bulletin"], r["untried"]) for r in short.collect()) == [(1, 3, 3), (2, 7, 3)]
+    pages = spark.createDataFrame([(2, 25, 26), (3, 25, 25), (2, 5, 5)], "bulletin long, asked long, shows long")
+    assert [tuple(r) for r in locate.verified(some, pages).collect()] == [(25, 3, 2)]
     assert locate.locate(targets, ranges.limit(0)).where("holder is not null or below is not null or above is not null").count() == 0
     assert [locate.attempts_allowed(n) for n in (1, 2, 3, 9)] == [1, 1, 2, 2]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_locate_in_ranges_that_overlap(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(locate, "TARGETS", 7)
+    spans = [(k, lo, lo + rng.choice([0, 3, 40, 400])) for k, lo in enumerate(rng.randrange(1500) for _ in range(50))]
+    rng.shuffle(spans)
+    asked = [rng.randrange(-20, 2000) for _ in range(150)] + [700] * 30 + [None]
+    got = locate.locate(spark.createDataFrame([(n,) for n in asked], "number long"), spark.createDataFrame(spans, "bulletin long, lo long, hi long"))
+    want = []
+    for n in asked[:-1]:
+        holders = [(hi, k) for k, lo, hi in spans if lo <= n <= hi]
+        below, above = max((k for k, _, hi in spans if hi < n), default=None), min((k for k, lo, _ in spans if lo > n), default=None)
+        want.append((n, max(holders)[1], None, None) if holders else (n, None, below, above))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "SinglePartition" not in plan

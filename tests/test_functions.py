@@ -46,6 +46,15 @@ def test_labels(spark):
     assert [g and (g["cve"], g["suffix"]) for g in got] == [("BOME-BX-2021-16", None), ("BOME-B-2020-5722", None), ("BOME-B-1999-12", "12 bis"), None, None, ("BOME-BX-1990-3", "nº 3")]
 
 
+def test_texts_as_they_come(spark):
+    assert values(spark, sc.spanish_date, ["3  de\u00a0MARZO\nde 2020", "de 5 de de 2020", "1 de abril de 20"]) == [date(2020, 3, 3), None, None]
+    assert values(spark, sc.ordinal_number, ["BOME Nº 41", "N° 7", "no. 12", "x", None]) == [41, 7, 12, None, None]
+    odd = ["PAGINA 3 DE 1.000. Mostrando 1 elemento de un total de 1 elemento.", "Página 1 de 2.", "Página 1 de 2. Mostrando x elementos de un total de 3 elementos."]
+    assert [c and tuple(c) for c in values(spark, sc.result_counter, odd)] == [(3, 1000, 1, 1), None, None]
+    labels = ["n° 5 / 03-01-2020", "Nº. EXTRA - 3 / 3-1-2020", "nº extraordinario nº 4 / 03-01-2020 ", "5/6 / 03-01-2020", "0 / 03-01-2020", "nº 5 / 03-01-20", "abc / 03-01-2020"]
+    assert [c and (c["cve"], c["suffix"]) for c in values(spark, sc.catalogue_label, labels)] == [("BOME-B-2020-5", None), ("BOME-BX-2020-3", None), ("BOME-BX-2020-4", "nº 4"), ("BOME-B-2020-5", "5/6"), None, None, None]
+
+
 def test_headings_counters_statuses(spark):
     assert [tuple(h) for h in values(spark, sc.heading_parts, ["A - B - C - D", "A - B", "A"])] == [("A", "B", "C - D"), ("A - B", "", ""), ("A", "", "")]
     counter = values(spark, sc.result_counter, ["Página 0 de 0. Mostrando 0 elementos de un total de 0 elementos.", "Página 2 de 194. Mostrando 10 elementos de un total de 1.934 elementos.", "x"])
@@ -58,6 +67,8 @@ def test_retry_after(spark):
     now = F.lit(datetime(2026, 1, 1, 12, 0, 0))
     got = values(spark, lambda t: sc.retry_after_seconds(t, now), ["120", "-5", "Thu, 01 Jan 2026 12:01:30 GMT", "Thu, 01 Jan 2026 11:00:00 GMT", "soon", None])
     assert got == [120.0, 0.0, 90.0, 0.0, None, None]
+    more = {"+5": 5.0, "1e3": 1000.0, ".5": 0.5, "7.": 7.0, "Thursday, 01-Jan-26 12:00:10 GMT": 10.0, "Thu Jan  1 12:00:20 2026": 20.0, "1 Jan 2026 13:00:30 +0100": 30.0, "Thu, 1 Jan 2026 12:01 GMT": 60.0, "01-Jan-70 00:00:00 GMT": 0.0, "1e999": None, "nan": None, "inf": None, "": None, "Thu, 32 Jan 2026 12:00:00 GMT": None, "--5": None}
+    assert dict(zip(more, values(spark, lambda t: sc.retry_after_seconds(t, now), list(more)), strict=True)) == more
 
 
 def test_addresses_of_files(spark):

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from datetime import date
 
 import pytest
@@ -9,6 +10,7 @@ from foliograph.api import Gazette
 from foliograph.functions.text import fold, fold_text, phrase_offsets
 from foliograph.operators import search as s
 from foliograph.operators.search import Filters, InvalidSearch
+from foliograph.sources.store import Store, grams_table
 
 
 @pytest.fixture(scope="module")
@@ -81,12 +83,28 @@ def test_short_phrases_are_not_ranked(index):
     assert ids(s.search(*index, ["de"], order="relevance")) == ids(s.search(*index, ["de"]))
 
 
-def test_postings_agree_with_the_scan(index):
-    a, _ = index
-    postings = s.grams_table(a)
-    for phrase in ("personal", "de", "sonal eve", "zzz"):
-        want = {r["id"] for r in a.collect() if r["norm"] and fold_text(phrase) in r["norm"]}
-        assert set(ids(s.through_postings(a, postings, phrase))) == want
+def test_store_and_postings(spark, index, tmp_path):
+    a, b = index
+    texts = ["Bases de personal", "eﬁcaz personal", None, "Dvořák y oﬁcina", "  ", "personal personal", "de"]
+    raw = spark.createDataFrame([(k, 1 + k % 4, k, t, "dep", "Sección") for k, t in enumerate(texts)], "id long, bulletin long, number long, summary string, department string, section string")
+    store = Store(spark, f"{tmp_path}/store").take_in(raw).index()
+    rows = {r["id"]: r["norm"] for r in store.articles.collect()}
+    assert rows == {k: fold_text(t) for k, t in enumerate(texts)}
+    lengths = [max(len(t) - 2, 0) for t in rows.values() if t]
+    assert tuple(store.statistics.first()) == (len(lengths), sum(lengths) / len(lengths))
+    for phrase in ("personal", "de", "sonal eve", "zzz", "DVORAK", "oficina", "eficaz p"):
+        want = {k for k, t in rows.items() if t and fold_text(phrase) in t}
+        assert set(ids(s.through_postings(store.articles, store.postings, phrase))) == want
+        assert set(ids(s.through_postings(store.articles, grams_table(store.articles), phrase))) == want
+        assert set(ids(s.matching(store.articles, b, [phrase]))) == want
+    plain, told = (s.search(store.articles, b, ["personal"], order="relevance", counts=c).collect() for c in (None, store.statistics))
+    assert plain == told and len(plain) == 3
+
+
+def test_texts_stay_where_they_are_scanned(index):
+    page = s.search(*index, ["personal"], order="relevance")
+    above = page._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert not re.search(r"\b(norm|summary)#", above)
 
 
 def test_service(index):

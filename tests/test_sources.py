@@ -1,5 +1,4 @@
 from datetime import date
-from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,33 +39,55 @@ def test_article_summary_results():
     a = records.article_of(ARTICLE)
     assert (a["cve"], a["bulletin_cve"], a["bulletin_number"], a["heading"], a["summary"], a["text"]) == ("BOME-A-2014-3", "BOME-B-2014-5092", 5092, "A - B - C", "Un sumario", "uno\ndos\na | b")
     assert a["pages"][0]["cve"] == "BOME-P-2014-12"
-    s = records.summary_of(SUMMARY)
-    assert [(e["department"], e["section"], e["article"]["cve"], e["article"]["summary"], e["article"]["first_page"]) for e in s["entries"]] == [("D1", "C1", "BOME-A-2021-4", "Texto", 33), ("D2", None, "BOME-A-2021-5", "Otro", None)]
-    r = records.results_of(RESULTS)
-    assert (len(r["results"]), r["page"], r["total_pages"], r["total_results"]) == (1, 1, 2, 1934)
-    assert records.results_of("<p>")["total_pages"] == 0
-    assert records.year_of('<div class="swiper-slide"><a href="/bome/BOME-B-2005-1">1 de enero de 2005</a></div>')[0]["date"] == date(2005, 1, 1)
+    assert records.printed_pages(parse('<div class="pagina" id="pagina-x"></div><div class="pagina" id="other"></div><div class="pagina" id="pagina-3"></div>'), "") == [{"number": 3, "cve": None, "pdf_url": None, "text": ""}]
+
+
+def test_summaries(spark):
+    free = SUMMARY[: SUMMARY.index("<section id=\"bome-show-sumario-content\">")] + "<p>free text</p>"
+    later = SUMMARY.replace('<div class="sumario-articulo" data-numero="5">', '<div class="sumario-articulo" data-numero="x"></div><div class="pagina" id="pagina-9"></div><div class="sumario-articulo" data-numero="5">')
+    rows = {r["key"]: r for r in records.summaries(spark.createDataFrame([(1, SUMMARY), (2, free), (3, "<p>no</p>"), (4, later)], "key long, page string")).collect()}
+    for k in (1, 4):
+        assert [(e["department"], e["section"], e["article"]["cve"], e["article"]["summary"], e["article"]["first_page"]) for e in rows[k]["entries"]] == [("D1", "C1", "BOME-A-2021-4", "Texto", 33), ("D2", None, "BOME-A-2021-5", "Otro", None)]
+    assert (rows[1]["bulletin_cve"], rows[1]["cve"], rows[1]["bulletin_number"], rows[1]["date"], rows[1]["warning"], rows[1]["error"]) == ("BOME-B-2021-6", "BOME-S-2021-6", 6, date(2021, 5, 1), None, None)
+    assert rows[4]["pages"] == [9] and rows[2]["entries"] == [] and rows[2]["warning"] and rows[3]["error"] and rows[3]["entries"] is None
+
+
+def test_results_and_years(spark):
+    r = {r["key"]: r for r in records.results(spark.createDataFrame([(1, RESULTS), (2, "<p>")], "key long, page string")).collect()}
+    assert (len(r[1]["results"]), r[1]["page"], r[1]["total_pages"], r[1]["total_results"]) == (1, 1, 2, 1934) and r[1]["results"][0]["date"] == date(2020, 1, 7)
+    assert (r[2]["results"], r[2]["page"], r[2]["total_pages"], r[2]["total_results"]) == ([], 1, 0, 0)
+    slides = spark.createDataFrame([(1, '<a href="/bome/BOME-B-1-1">no</a><div class="swiper-slide"><a href="/bome/BOME-B-2005-1">1 de enero de 2005</a></div>')], "key long, page string")
+    assert [(x["cve"], x["date"]) for x in records.years(slides).collect()] == [("BOME-B-2005-1", date(2005, 1, 1))]
 
 
 def test_old_portal(spark):
-    rows, warnings = records.catalogue_of(CATALOGUE)
+    links = records.catalogue_links(spark.createDataFrame([(1, CATALOGUE), (2, "<p>")], "key long, page string"), "utf-8")
+    rows = records.catalogue(links).orderBy("record").collect()
     assert [(r["record"], r["cve"], r["official"]) for r in rows] == [(1, "BOME-B-2020-5", True), (2, "BOME-BX-2019-2", True)]
-    assert sorted((w["kind"], w["record"], w["year"]) for w in warnings if w["kind"] != "misfiled") == [("conflict", 1, None), ("unreadable", 3, None), ("unreadable", 9, None)]
-    assert [w["year"] for w in warnings if w["kind"] == "misfiled"] == [2020]
-    latin = spark.createDataFrame([(5, bytearray(FICHA.encode("latin-1")))], "key long, page binary")
-    row = records.read_pages(latin, partial(records.ficha_of, record=5), records.FICHA, encoding="latin-1").first()
-    assert (row["cve"], row["pdf_url"], row["error"]) == ("BOME-B-2016-5302", "https://www.melilla.es/mandar.php/n/1/2/b.pdf", None)
-    assert [(a["number"], a["kind"], a["summary"], a["path"], [p["number"] for p in a["pages"]]) for a in row["articles"]] == [(12, "Orden", "bases", ["Ciudad", "Economía", "Empleo"], [7]), (None, "Decreto", "otro", ["Ciudad", "Economía", "Empleo"], [])]
-    assert records.old_results_of('<div class="bandaNo"></div>') == []
-    with pytest.raises(records.UnreadablePage):
-        records.catalogue_of("<p>")
+    assert rows[0]["url"].endswith("contenedor.jsp?seccion=ficha_bome.jsp&dboidboletin=1&codResi=1&language=es&codAdirecto=15")
+    assert {(w["kind"], w["record"], w["year"]) for w in records.catalogue_warnings(links).collect()} == {("conflict", 1, None), ("unreadable", 3, None), ("unreadable", 9, None), ("misfiled", None, 2020)}
+    two = FICHA.replace("</div></div>", '</div><div class="bandabome">Otra</div><div class="B2"><ul><li><span class="txBoN">Bolet\u00edn:</span><a href="ficha_bome.jsp?dboidboletin=77">n\u00ba 9 / 02-01-2001</a></li></ul></div></div>')
+    latin = spark.createDataFrame([(5, bytearray(two.encode("latin-1"))), (6, bytearray(b"<p>"))], "key long, page binary")
+    got = {r["record"]: r for r in records.old_bulletins(latin).collect()}
+    row = got[5]
+    assert (row["cve"], row["pdf_url"], row["error"], row["date"]) == ("BOME-B-2016-5302", "https://www.melilla.es/mandar.php/n/1/2/b.pdf", None, date(2016, 1, 8)) and got[6]["error"]
+    assert [(a["number"], a["kind"], a["summary"], a["path"], [p["number"] for p in a["pages"]]) for a in row["articles"]] == [(12, "Orden", "bases", ["Ciudad", "Economía", "Empleo"], [7]), (None, "Decreto", "otro", ["Ciudad", "Economía", "Empleo"], []), (None, None, None, ["Otra"], [])]
+    known = spark.createDataFrame([(5, "BOME-BX-2016-1", 1, True, "1 bis", date(2016, 1, 9))], "record long, cve string, number long, extraordinary boolean, suffix string, date date")
+    assert records.old_bulletins(latin, known).where("record = 5").first()["suffix"] == "1 bis"
+    hits = records.old_results(latin).collect()
+    assert [(h["place"], h["cve"], h["date"], h["record"]) for h in hits if h["record"]] == [(3, "BOME-B-2001-9", date(2001, 1, 2), 77)] and hits[0]["url"] is None
+    empty = spark.createDataFrame([(1, '<div class="bandaNo"></div>')], "key long, page string")
+    assert records.old_results(empty).collect() == [] and records.old_bulletins(empty).first()["error"]
 
 
 def test_json(spark):
-    df = spark.createDataFrame([('[{"title":" BOME ","start":"2020-01-02T00","url":"/bome/BOME-B-2020-007"},{"url":"/x"},{"start":"bad","url":"https://h/bome/bome-bx-2020-3/"}]',), ("{}",)], "json string")
+    df = spark.createDataFrame([('[{"title":" BOME ","start":"2020-01-02T00","url":"/bome/BOME-B-2020-007"},{"url":"/x"},{"start":"bad","url":"https://h/bome/bome-bx-2020-3/"}]',), ], "json string")
+    both = df.unionByName(spark.createDataFrame([("{}",)], "json string"))
     got = {(r["cve"], r["date"], r["extraordinary"], r["title"]) for r in records.calendar(df).collect()}
     assert got == {("BOME-B-2020-7", date(2020, 1, 2), False, "BOME"), ("BOME-BX-2020-3", None, True, None)}
-    assert records.not_arrays(df).count() == 1
+    assert records.not_arrays(both).count() == 1
+    with pytest.raises(Exception, match="isn't an array"):
+        records.calendar(both).collect()
     assert [tuple(r) for r in records.entities(spark.createDataFrame([('[{"id":"91","nombre":" a  b "}]',)], "json string")).collect()] == [(91, "a b")]
     with pytest.raises(Exception, match="numeric id"):
         records.entities(spark.createDataFrame([('[{"nombre":"x"}]',)], "json string")).collect()
