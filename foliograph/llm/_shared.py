@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..shipping import ship
+from ..shipping import shared_folder, ship
 
 #: These characters separate words; it is what ``bytes.split()`` splits on.
 GAPS = " \t\n\x0b\x0c\r"
@@ -36,14 +35,11 @@ def python_ready(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a temporary one."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if not named and not sc.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliograph-"))
-    return named or sc.getCheckpointDir()
+    """The shared folder, which checkpoints go to."""
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
