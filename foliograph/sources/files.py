@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import importlib.util
 import json
 import os
 import tempfile
@@ -11,9 +10,12 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import file_name_of
+from ..shipping import ship
+from .pdf import page_texts
 
 PDF_MAGIC, PDF_MOST = b"%PDF", 100 * 1024 * 1024
 SNAPSHOT_VERSION = 1
@@ -24,27 +26,61 @@ class BadDownload(ValueError):
 
 
 def pdf_files(spark: SparkSession, path: str, most: int = PDF_MOST) -> DataFrame:
-    """(path, size, sha256, error, content) of PDFs; ``error`` says what isn't one or is too big, without its content."""
+    """(path, size, sha256, error, content) of PDFs; ``error`` says what isn't one or is too big, without its content.
+
+    The test of the size reaches the scan, so files that are too big aren't read.
+    """
     rows = spark.read.format("binaryFile").load(path)
-    error = F.when(F.col("length") > most, "too_large").when(F.substring("content", 1, 4) != F.lit(PDF_MAGIC), "not_pdf")
-    return rows.select("path", F.col("length").alias("size"), F.when(error.isNull(), F.sha2("content", 256)).alias("sha256"), error.alias("error"), F.when(error.isNull(), F.col("content")).alias("content"))
+    big = rows.where(F.col("length") > most).select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"), F.lit("too_large").alias("error"), F.lit(None).cast("binary").alias("content"))
+    error = F.when(F.substring("content", 1, 4) != F.lit(PDF_MAGIC), "not_pdf")
+    fine = rows.where(F.col("length") <= most).select("path", F.col("length").alias("size"), F.when(error.isNull(), F.sha2("content", 256)).alias("sha256"), error.alias("error"), F.when(error.isNull(), F.col("content")).alias("content"))
+    return fine.unionByName(big)
 
 
 def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import io
-
-    from pypdf import PdfReader
-
     for frame in frames:
-        rows = [(path, n, page.extract_text() or "") for path, content in zip(frame["path"], frame["content"], strict=True) for n, page in enumerate(PdfReader(io.BytesIO(content)).pages, 1)]
-        yield pd.DataFrame(rows, columns=["path", "page", "text"])
+        rows: list[tuple] = []
+        for path, content in zip(frame["path"], frame["content"], strict=True):
+            try:
+                rows += [(path, n, text, None) for n, text in enumerate(page_texts(content), 1)]
+            except Exception as error:  # whatever is wrong with one file is that file's
+                rows.append((path, None, None, f"{type(error).__name__}: {error}"))
+        yield pd.DataFrame(rows, columns=["path", "page", "text", "error"]).astype({"page": "Int32"})
 
 
 def pdf_pages(files: DataFrame) -> DataFrame:
-    """(path, page, text) of readable PDFs; needs pypdf on the workers."""
-    if importlib.util.find_spec("pypdf") is None:
-        raise NotImplementedError("reading text from PDFs needs pypdf")
-    return files.where("error is null").select("path", "content").mapInPandas(_texts, "path string, page int, text string")
+    """(path, page, text, error) of PDFs; a file that can't be read is one row that says why."""
+    ship(files.sparkSession)
+    bad = files.where("error is not null").select("path", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"), "error")
+    return files.where("error is null").select("path", "content").mapInPandas(_texts, "path string, page int, text string, error string").unionByName(bad)
+
+
+def write_files(files: DataFrame, folder: str, refresh: bool = False) -> DataFrame:
+    """Keep files (name, content) in the shared folder, each name once, and say of each: name, size, sha256, reused.
+
+    A name that is there is reused, unless ``refresh``: then the new content is
+    written behind it, and the latest write counts.  Any file system that Spark
+    writes to will do.
+    """
+    spark = files.sparkSession
+    run = int(spark.sql("select unix_micros(current_timestamp())").first()[0])
+    facts = files.dropDuplicates(["name"]).select("name", "content", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), F.lit(run).alias("run"))
+    try:
+        there = stored_files(spark, folder).select("name")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        there = spark.createDataFrame([], "name string")
+    new = facts if refresh else facts.join(there, "name", "left_anti")
+    new.write.mode("append").parquet(f"{folder}/files")
+    return stored_files(spark, folder).join(files.select("name").distinct(), "name", "left_semi").select("name", "size", "sha256", (F.col("run") < run).alias("reused"))
+
+
+def stored_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, content, size, sha256, run): the latest write of every name."""
+    rows = spark.read.parquet(f"{folder}/files")
+    last = rows.groupBy("name").agg(F.max("run").alias("run"))
+    return rows.join(last, ["name", "run"])
 
 
 def with_file_name(rows: DataFrame, url: str = "url") -> DataFrame:
@@ -104,8 +140,20 @@ def migrate_snapshot(spark: SparkSession, folder: str, change, old: int, new: in
     return write_snapshot(change(read_snapshot(spark, folder, old)), folder, new)
 
 
-def data_folder(environ: dict[str, str] | None = None) -> Path:
-    """Where caches live: FOLIOGRAPH_HOME, else the user's data folder."""
+def data_folder(environ: dict[str, str] | None = None) -> tuple[Path, str]:
+    """(where data lives, what said so): FOLIOGRAPH_HOME, else the user's data folder."""
+    environ = os.environ if environ is None else environ
+    for name, below in (("FOLIOGRAPH_HOME", ""), ("XDG_DATA_HOME", "foliograph"), ("LOCALAPPDATA", "foliograph")):
+        if environ.get(name):
+            return Path(environ[name]).expanduser() / below, name
+    return Path.home() / ".local/share/foliograph", "home"
+
+
+def folder_of(what: str, environ: dict[str, str] | None = None) -> tuple[Path, str]:
+    """The folder of ``pdf`` or ``index``: FOLIOGRAPH_PDF_DIR, FOLIOGRAPH_INDEX_DIR, else one in the data folder."""
     environ = os.environ if environ is None else environ
-    named = environ.get("FOLIOGRAPH_HOME")
-    return Path(named).expanduser() if named else Path(environ.get("XDG_DATA_HOME", Path.home() / ".local/share"), "foliograph")
+    name = f"FOLIOGRAPH_{what.upper()}_DIR"
+    if environ.get(name):
+        return Path(environ[name]).expanduser().absolute(), name
+    base, why = data_folder(environ)
+    return base / what, why

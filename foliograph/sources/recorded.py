@@ -1,52 +1,41 @@
-"""A Spark data source over recorded HTTP responses.
+"""Recorded HTTP responses as a table.
 
-``spark.read.format("recorded").load(path)`` reads JSON lines of url, status,
-retry_after, fetched_at and body, one partition a file.  There is no live HTTP:
-pacing, budgets and cooldowns are decided by ``operators.guard`` from the rows.
+There is no live HTTP: pacing, budgets and cooldowns are decided by
+``operators.guard`` from the rows.
 """
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator
-from pathlib import Path
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from ..functions.scalars import retry_after_seconds, status_class
 
-SCHEMA = "url string, status int, retry_after double, fetched_at string, body string"
+SCHEMA = "url string, status int, retry_after string, fetched_at timestamp, location string, body string"
 
 
-class RecordedReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = Path(path.removeprefix("file://"))
+def responses(spark: SparkSession, path: str) -> DataFrame:
+    """Responses recorded as JSON lines, through Spark's reader, so from any store: SCHEMA, what class the status is, and the seconds to wait."""
+    rows = spark.read.schema(SCHEMA).json(path)
+    return rows.withColumn("kind", status_class(F.col("status"))).withColumn("retry_after_seconds", retry_after_seconds(F.col("retry_after"), F.col("fetched_at")))
 
-    def partitions(self) -> list[InputPartition]:
-        files = sorted(self.path.glob("*.jsonl")) if self.path.is_dir() else [self.path]
-        return [InputPartition(str(f)) for f in files]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as lines:
-            for line in lines:
-                if line.strip():
-                    row = json.loads(line)
-                    yield tuple(row.get(c) for c in ("url", "status", "retry_after", "fetched_at", "body"))
+def record(rows: DataFrame, path: str) -> None:
+    """Append responses to a recording."""
+    rows.select(*(part.split()[0] for part in SCHEMA.split(", "))).write.mode("append").json(path)
 
 
-class RecordedSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "recorded"
+def latest(rows: DataFrame) -> DataFrame:
+    """The last response of every address."""
+    return rows.groupBy("url").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "url")), "fetched_at").alias("r")).select("url", "r.*")
 
-    def schema(self) -> str:
-        return SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
-        return RecordedReader(self.options["path"])
+def outcomes(rows: DataFrame) -> DataFrame:
+    """Responses as the guard's log: site, ts, seq, status, retry_after."""
+    site = F.regexp_extract("url", r"^https?://([^/]+)", 1)
+    return rows.select(site.alias("site"), F.col("fetched_at").alias("ts"), F.xxhash64("url", "fetched_at").alias("seq"), "status", F.col("retry_after_seconds").alias("retry_after"))
 
 
-def record(path: str, rows: list[dict]) -> None:
-    """Write responses as JSON lines, for tests and for replays."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        out.writelines(json.dumps(r, ensure_ascii=False) + "\n" for r in rows)
+def redirects(rows: DataFrame) -> DataFrame:
+    """(cve, target): where the site's resolver sent each identifier it was asked for."""
+    asked = F.upper(F.regexp_extract("url", r"[?&]cve=([^&#]+)", 1))
+    return latest(rows).where((asked != "") & F.col("status").between(300, 399)).select(asked.alias("cve"), F.col("location").alias("target"))

@@ -1,83 +1,77 @@
-"""The error budget, cooldown and index state over streams."""
+"""The error budget and the cooldown over streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.guard import BLOCKING, COOLDOWN_SECONDS, MAX_ERRORS, RETRY_AFTER_MOST, SILENT_FAILURES, WINDOW_SECONDS
+from ..operators.guard import BLOCKING, COOLDOWN_SECONDS, MAX_ERRORS, MICRO, RETRY_AFTER_MOST, SILENT_FAILURES, WINDOW_SECONDS
 from ..shipping import ship
 
 DECISIONS = "site long, seq long, ts timestamp, errors int, wait_seconds double, deadline timestamp, closed boolean"
 STATE = "stamps array<long>, silent int, deadline long"
+FIELDS = ("ts", "seq", "status", "retry_after")
+
+
+def _columns(frames: Iterator[pd.DataFrame]) -> list[np.ndarray]:
+    """The outcomes of a micro-batch as four columns of numbers in order of time; frames are let go one by one."""
+    taken = [(f["ts"].astype("datetime64[us]").astype("int64").to_numpy(), *(f[c].to_numpy(dtype=np.float64 if c != "seq" else np.int64) for c in FIELDS[1:])) for f in frames]
+    columns = [np.concatenate(c) for c in zip(*taken, strict=True)]
+    order = np.lexsort((columns[1], columns[0]))
+    return [c[order] for c in columns]
 
 
 def _decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One site's outcomes of a micro-batch, in order of time, onto what is known of it."""
+    """One site's outcomes of a micro-batch onto what is known of it; a site that was idle until nothing of it matters is forgotten."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     stamps, silent, deadline = state.get if state.exists else ([], 0, 0)
-    stamps = list(stamps)
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+    stamps, window = list(stamps), WINDOW_SECONDS * MICRO
     out = []
-    for row in rows.itertuples(index=False):
-        now = int(row.ts.value // 1000)
-        stamps = [s for s in stamps if s > now - WINDOW_SECONDS * 1_000_000]
-        if pd.isna(row.status):
+    now = 0
+    for now, seq, status, retry_after in zip(*(c.tolist() for c in _columns(frames)), strict=True):
+        stamps = [s for s in stamps if s > now - window]
+        if status != status:
             silent += 1
             if silent == SILENT_FAILURES:
-                silent, deadline = 0, max(deadline, now + COOLDOWN_SECONDS * 1_000_000)
+                silent, deadline = 0, max(deadline, now + COOLDOWN_SECONDS * MICRO)
         else:
             silent = 0
-            if row.status >= 400:
+            if status >= 400:
                 stamps.append(now)
-            if row.status in BLOCKING:
-                asked = row.retry_after if pd.notna(row.retry_after) and 0 < row.retry_after < float("inf") else 0
-                deadline = max(deadline, now + int(max(min(asked, RETRY_AFTER_MOST), COOLDOWN_SECONDS) * 1_000_000))
-        wait = max(0, stamps[-MAX_ERRORS] + WINDOW_SECONDS * 1_000_000 - now) / 1e6 if len(stamps) >= MAX_ERRORS else 0.0
-        out.append((key[0], row.seq, row.ts, len(stamps), wait, pd.Timestamp(deadline, unit="us") if deadline else pd.NaT, deadline > now))
+            if status in BLOCKING:
+                asked = retry_after if 0 < retry_after < float("inf") else 0
+                deadline = max(deadline, now + int(max(min(asked, RETRY_AFTER_MOST), COOLDOWN_SECONDS) * MICRO))
+        wait = max(0, stamps[-MAX_ERRORS] + window - now) / MICRO if len(stamps) >= MAX_ERRORS else 0.0
+        out.append((key[0], seq, now, len(stamps), wait, deadline or None, deadline > now))
     state.update((stamps, silent, deadline))
-    yield pd.DataFrame(out, columns=["site", "seq", "ts", "errors", "wait_seconds", "deadline", "closed"])
+    # the longest that an outcome can matter: its window, or the deadline that it set; a silent one only to the next
+    state.setTimeoutTimestamp(max(now + window, deadline, now + RETRY_AFTER_MOST * MICRO if silent else 0) // 1000 + 1)
+    told = pd.DataFrame(out, columns=["site", "seq", "ts", "errors", "wait_seconds", "deadline", "closed"])
+    told["ts"], told["deadline"] = pd.to_datetime(told["ts"], unit="us"), pd.to_datetime(told["deadline"], unit="us")
+    yield told
 
 
 def guard_stream(outcomes: DataFrame) -> DataFrame:
     """A decision for each outcome (site, ts, seq, status, retry_after), with state kept per site.
 
-    State is a few stamps inside the budget's window, so it stays small however
-    long the stream runs.  The watermark is the window: an outcome later than
-    that can't change a live decision.
+    State is a few stamps inside the budget's window, and goes when the
+    watermark has passed all that it can decide, so it stays small however long
+    the stream runs and however many sites come and go.  (One answer missed
+    counts for a day towards the next.)  The watermark is the window: an outcome
+    later than that can't change a live decision.
     """
     ship(outcomes.sparkSession)
     timed = outcomes.withWatermark("ts", f"{WINDOW_SECONDS} seconds")
-    return timed.groupBy("site").applyInPandasWithState(_decide, DECISIONS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("site").applyInPandasWithState(_decide, DECISIONS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_errors(outcomes: DataFrame, length: str = "10 minutes", slide: str = "5 minutes") -> DataFrame:
     """Errors by site in sliding windows, for dashboards; late outcomes count until the watermark has passed."""
     errors = F.count_if(F.col("status") >= 400).alias("errors")
     return outcomes.withWatermark("ts", "10 minutes").groupBy("site", F.window("ts", length, slide)).agg(errors, F.count("*").alias("n")).select("site", F.col("window.start").alias("start"), "errors", "n")
-
-
-def sync_stream(snapshots: DataFrame, checkpoint: str, take_in: Callable[[DataFrame, int], None], per_batch: int | None = None):
-    """Run ``take_in`` on each micro-batch of arriving snapshot rows until what is there is taken in.
-
-    The checkpoint is the memory of what was done, so a stopped run goes on
-    where it was; ``take_in`` gets a batch again after a crash and must write by
-    batch number.  ``per_batch`` cuts a batch to the newest rows; the rest is
-    planned again by the next run.
-    """
-
-    def one(batch: DataFrame, number: int) -> None:
-        take_in(batch if per_batch is None else batch.orderBy(F.desc("date"), F.desc("number")).limit(per_batch), number)
-
-    return snapshots.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def append_attempts(folder: str) -> Callable[[DataFrame, int], None]:
-    """A ``take_in`` that appends attempts to the log; the batch number makes repeats harmless."""
-
-    def take_in(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-    return take_in

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -6,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliograph.operators import guard
-from foliograph.streaming.guard_stream import append_attempts, guard_stream, sync_stream, windowed_errors
+from foliograph.streaming import sync
+from foliograph.streaming.guard_stream import guard_stream, windowed_errors
+from foliograph.streaming.sync import Inbox, Lease, ProgressListener, SyncRun, append_batches, shutdown, sync_stream
 
 START = datetime(2026, 1, 1)
 SCHEMA = "site long, ts timestamp, seq long, status int, retry_after double"
@@ -70,7 +73,7 @@ def test_windowed_stream_and_sync(spark, log, tmp_path):
     query.awaitTermination(120)
     assert spark.table("windows").agg(F.sum("errors")).first()[0] == 2 * sum(1 for r in log if r[3] and r[3] >= 400)
     for _ in range(2):  # a second run finds nothing new
-        sync_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp", append_attempts(f"{tmp_path}/log")).awaitTermination(120)
+        sync_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp", append_batches(f"{tmp_path}/log")).awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/log").count() == len(log)
 
 
@@ -85,3 +88,145 @@ def test_leases(spark):
     assert sorted(r["beats"] for r in guard.lease_sessions(beats).collect()) == [2, 2]
     at = lambda s: F.lit(START + timedelta(seconds=s))
     assert guard.lease_holder(beats, at(580)).count() == 1 and guard.lease_holder(beats, at(581)).count() == 0
+
+
+def test_idle_sites_are_forgotten(spark, tmp_path):
+    """State goes once the watermark has passed all it can decide; a site that comes back starts anew."""
+    late = START + timedelta(days=3)
+    batches = [[(1, START, 1, 500, None), (2, START, 2, None, None)], [(3, late, 3, 200, None)], [(3, late + timedelta(seconds=1), 4, 200, None)], [(1, late + timedelta(seconds=2), 5, 500, None), (2, late + timedelta(seconds=2), 6, None, None)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = guard_stream(stream).writeStream.format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {r["seq"]: (r["errors"], r["closed"]) for r in spark.table("idle").collect()}
+    assert got == {1: (1, False), 2: (0, False), 3: (0, False), 4: (0, False), 5: (1, False), 6: (0, False)}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
+ROWS = "bulletin long, seq long, number long, date date, outcome string"
+
+
+def test_capped_runs_take_everything_in(spark, tmp_path):
+    from datetime import date
+
+    inbox = Inbox(spark, f"{tmp_path}/box", ROWS)
+    rows = [(k, 1, k, date(2020, 1, 1 + k), "indexado") for k in range(10)]
+    for part in (rows[:6], rows[6:]):
+        spark.createDataFrame(part, ROWS).write.mode("append").parquet(f"{tmp_path}/in")
+        inbox.receive(spark.readStream.schema(ROWS).parquet(f"{tmp_path}/in")).awaitTermination(120)
+        assert inbox.take(2) == (4 if part[0][0] == 0 else 6)
+    left = [inbox.take(4) for _ in range(3)]
+    assert left == [2, 0, 0]
+    taken = [(r["batch"], r["bulletin"]) for r in inbox.taken.orderBy("batch", "bulletin").collect()]
+    assert sorted(b for _, b in taken) == list(range(10)) and [b for n, b in taken if n == 1] == [4, 5] and [b for n, b in taken if n == 2] == [8, 9]
+    assert inbox.waiting().count() == 0 and inbox.take() == 0
+
+
+def test_lease_of_several_processes(spark, tmp_path):
+    now = [1000.0]
+    lease = Lease(spark, str(tmp_path), clock=lambda: now[0])
+    assert lease.holder() is None and lease.acquire("a", "new") is None and lease.acquire("a") is None
+    now[0] += 100
+    assert lease.acquire("b")["owner"] == "a" and not lease.renew("b") and lease.renew("a")
+    now[0] += 180
+    assert lease.holder()["idle_seconds"] == 180 and lease.acquire("b") is not None
+    now[0] += 1
+    assert lease.holder() is None and lease.acquire("b", "old") is None and lease.holder()["origin"] == "old" and not lease.renew("a")
+    lease.release("a")
+    assert lease.holder()["owner"] == "b"
+    lease.release("b")
+    assert lease.holder() is None
+
+
+def simulate_lease(log):
+    held = None
+    for owner, at, kind in log:
+        free = held is None or at - held[2] > 180
+        own = held is not None and held[0] == owner
+        if kind == "acquire" and (own or free):
+            held = (owner, held[1] if own else at, at)
+        elif kind == "renew" and own:
+            held = (owner, held[1], at)
+        elif kind == "release" and own:
+            held = None
+    return held
+
+
+def test_lease_log_against_a_simulation(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for k in range(40):
+        at, log = 0.0, []
+        for _ in range(rng.randint(1, 12)):
+            at += rng.choice([1.0, 90.0, 180.0, 181.0, 400.0])
+            log.append((rng.choice("abc"), at, rng.choice(["acquire", "acquire", "renew", "release"])))
+        rows += [(k, o, t, kind, None, str(t)) for o, t, kind in log]
+        want[k] = simulate_lease(log)
+    got = {r["key"]: (r["owner"], r["started"], r["heartbeat"]) for r in sync.lease_state(spark.createDataFrame(rows, f"key long, {sync.LEASE}"), 180, "key").collect()}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+PLAN = "bulletin long, number long, date date, state string"
+
+
+def run_over(spark, tmp_path, n=60, answer=lambda place: ("indexado", None, False), **how):
+    from datetime import date
+
+    plan = spark.createDataFrame([(k, k, date(2020, 1, 1), None) for k in range(n)], PLAN)
+
+    def fetch(step):
+        rows = [(r["place"], r["bulletin"], *answer(r["place"])) for r in step.collect()]
+        return spark.createDataFrame(rows, "place int, bulletin long, outcome string, status int, blocked boolean")
+
+    return SyncRun(plan, fetch, append_batches(f"{tmp_path}/attempts"), **how)
+
+
+def test_runs_end_as_they_should(spark, tmp_path):
+    run = run_over(spark, tmp_path / "a", cap=50, lease=Lease(spark, str(tmp_path / "a")))
+    assert run.start()["state"] == sync.RUNNING
+    end = run.wait(120)
+    assert (end["state"], end["planned"], end["deferred"], end["done"], end["indexado"], end["seconds_left"]) == (sync.DONE, 50, 10, 50, 50, 0) and run.lease.holder() is None
+    newest = [r["bulletin"] for r in spark.read.parquet(f"{tmp_path}/a/attempts").collect()]
+    assert sorted(newest) == list(range(10, 60))
+    blocked = run_over(spark, tmp_path / "b", answer=lambda p: ("error", 403, True) if p == 30 else ("error", 500, False) if p == 3 else ("sin_sumarios", None, False))
+    blocked.start()
+    end = blocked.wait(120)
+    assert (end["state"], end["done"], end["broken"]) == (sync.BLOCKED, 31, 1) and spark.read.parquet(f"{tmp_path}/b/attempts").count() == 31
+    shut = run_over(spark, tmp_path / "c", closed=lambda: True)
+    shut.start()
+    assert shut.wait(60)["state"] == sync.BLOCKED and shut.progress()["done"] == 0
+    broken = run_over(spark, tmp_path / "d", answer=lambda p: 1 / 0)
+    broken.start()
+    assert broken.wait(60)["state"] == sync.FAILED and "ZeroDivisionError" in broken.progress()["message"]
+
+
+def test_runs_are_cancelled_and_lose_their_lease(spark, tmp_path):
+    lease = Lease(spark, str(tmp_path / "l"))
+    run = run_over(spark, tmp_path / "e", lease=lease)
+    store, run.store = run.store, lambda rows, n: (store(rows, n), run.cancel())
+    assert lease.acquire("other") is None and run.start()["state"] == "en_curso_en_otro_proceso"
+    lease.release("other")
+    run.start()
+    assert run.wait(60)["state"] == sync.CANCELLED and run.progress()["done"] == 25 and lease.holder() is None
+    assert shutdown([run])[0]["state"] == sync.CANCELLED
+    late = run_over(spark, tmp_path / "f", lease=Lease(spark, str(tmp_path / "m")))
+    keep, late.store = late.store, lambda rows, n: (keep(rows, n), late.lease.release(late.owner))
+    late.start()
+    assert late.wait(60)["state"] == sync.FAILED and "lease" in late.progress()["message"]
+
+
+def test_progress_of_streams(spark, log, tmp_path):
+    listener = ProgressListener()
+    spark.streams.addListener(listener)
+    try:
+        spark.createDataFrame(log, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+        query = sync_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp", append_batches(f"{tmp_path}/log"))
+        query.awaitTermination(60)
+        for _ in range(50):
+            seen = listener.snapshot().get(str(query.runId), {})
+            if seen.get("state") == sync.DONE:
+                break
+            time.sleep(0.2)
+        assert seen["state"] == sync.DONE and seen["rows"] == len(log) and seen["batches"] == 1
+    finally:
+        spark.streams.removeListener(listener)

@@ -1,10 +1,12 @@
-from datetime import date
+import zlib
+from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from foliograph.sources import files, records
-from foliograph.sources.recorded import RecordedSource, record
+from foliograph.sources import files, recorded, records
+from foliograph.sources.pdf import page_texts
 from foliograph.sources.tree import parse, plain_text
 
 BULLETIN = """<html><body><section id="bome-show"><h1>BOME Nº 41 - martes, 3 de marzo de 2020</h1><h2>CVE: BOME-BX-2020-41</h2>
@@ -103,11 +105,47 @@ def test_plain_text():
     assert plain_text(parse("<div>a<script>x</script><p>b<!-- c -->d</p>e<br>f<ul><li>g<li>h</ul></div>")) == "a\nbd\ne\nf\ng\nh"
 
 
-def test_recorded_source(spark, tmp_path):
-    record(f"{tmp_path}/r/a.jsonl", [{"url": "u", "status": 200, "retry_after": None, "fetched_at": "2026-01-01T00:00:00Z", "body": "ñ"}, {"url": "v", "status": 503, "retry_after": 9.0, "fetched_at": "x", "body": None}])
-    spark.dataSource.register(RecordedSource)
-    rows = spark.read.format("recorded").option("path", f"{tmp_path}/r").load().orderBy("url").collect()
-    assert [(r["url"], r["status"], r["body"]) for r in rows] == [("u", 200, "ñ"), ("v", 503, None)]
+def test_recorded_responses(spark, tmp_path):
+    rows = [("https://s.es/a", 200, None, datetime(2026, 1, 1), None, "ñ"), ("https://s.es/a", 503, "9", datetime(2026, 1, 2), None, None), ("https://s.es/buscar-cve?cve=bome-a-2020-1", 302, None, datetime(2026, 1, 1), "/bome/BOME-B-2020-9/articulo/1", None)]
+    recorded.record(spark.createDataFrame(rows, recorded.SCHEMA), f"{tmp_path}/r")
+    found = recorded.responses(spark, f"{tmp_path}/r")
+    assert {(r["url"][-3:], r["kind"], r["retry_after_seconds"]) for r in found.collect()} == {("s/a", "ok", None), ("s/a", "blocked", 9.0), ("0-1", "ok", None)}
+    assert {r["url"]: r["status"] for r in recorded.latest(found).collect()}["https://s.es/a"] == 503
+    assert [tuple(r) for r in recorded.redirects(found).collect()] == [("BOME-A-2020-1", "/bome/BOME-B-2020-9/articulo/1")]
+    assert {r["site"] for r in recorded.outcomes(found).collect()} == {"s.es"}
+
+
+def pdf(*pages, packed=True):
+    """A PDF with the content streams of its pages, one font with a ToUnicode table for codes 1 to 3."""
+    cmap = b"1 beginbfchar <01> <00F1> endbfchar 1 beginbfrange <02> <03> <0041> endbfrange"
+    stream = lambda data, more=b"": b"<< /Length %d %s%s >>\nstream\n%s\nendstream" % (len(data), b"/Filter /FlateDecode " if packed else b"", more, zlib.compress(data) if packed else data)
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * k) for k in range(len(pages)))
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [%s] /Count %d /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>" % (kids, len(pages)), 3: b"<< /Type /Font /Subtype /Type1 >>", 4: b"<< /Type /Font /ToUnicode 5 0 R >>", 5: stream(cmap)}
+    for k, content in enumerate(pages):
+        objects |= {10 + 2 * k: b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * k), 11 + 2 * k: stream(content)}
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (n, body) for n, body in objects.items()) + b"\ntrailer << /Root 1 0 R >>"
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf_text(packed):
+    first = rb"BT /F1 12 Tf 72 700 Td (Hola \(mundo\) \361) Tj 0 -14 Td [(se) -300 (gun) 20 (da)] TJ T* <6c69> Tj ET"
+    assert page_texts(pdf(first, b"", rb"BT /F2 9 Tf (\001\002\003) Tj ET", packed=packed)) == ["Hola (mundo) ñ\nse gunda\nli", "", "ñAB"]
+
+
+def test_pdf_pages(spark, tmp_path):
+    for name, data in (("a", pdf(b"BT (uno) Tj ET", b"BT (dos) Tj ET")), ("b", b"<html>"), ("c", b"%PDF-1.4 nothing"), ("d", pdf(b"x") + b"/Encrypt")):
+        (tmp_path / f"{name}.pdf").write_bytes(data)
+    got = sorted((r["path"][-5], r["page"], r["text"], (r["error"] or "")[:13]) for r in files.pdf_pages(files.pdf_files(spark, str(tmp_path))).collect())
+    assert [g[:3] for g in got[:2]] == [("a", 1, "uno"), ("a", 2, "dos")] and [(g[0], g[3]) for g in got[2:]] == [("b", "not_pdf"), ("c", "UnreadablePdf"), ("d", "UnreadablePdf")]
+
+
+def test_stored_files(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame([(n, bytearray(c)) for n, c in r], "name string, content binary")
+    say = lambda df: {r["name"]: (r["size"], r["reused"]) for r in df.collect()}
+    assert say(files.write_files(rows(("a", b"xx")), str(tmp_path))) == {"a": (2, False)}
+    assert say(files.write_files(rows(("a", b"yyy"), ("b", b"z")), str(tmp_path))) == {"a": (2, True), "b": (1, False)}
+    assert say(files.write_files(rows(("a", b"yyy")), str(tmp_path), refresh=True)) == {"a": (3, False)}
+    assert files.stored_files(spark, str(tmp_path)).count() == 2
 
 
 def test_files(spark, tmp_path):
@@ -116,6 +154,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "pdf/b.pdf").write_bytes(b"<html>")
     got = {r["path"].rsplit("/", 1)[1]: (r["error"], r["size"]) for r in files.pdf_files(spark, f"{tmp_path}/pdf").collect()}
     assert got == {"a.pdf": (None, 10), "b.pdf": ("not_pdf", 6)}
+    assert {r["error"] for r in files.pdf_files(spark, f"{tmp_path}/pdf", most=8).collect()} == {"too_large", "not_pdf"}
     first = files.store_pdf(tmp_path / "cache", "x.pdf", b"%PDF-1")
     again = files.store_pdf(tmp_path / "cache", "x.pdf", b"%PDF-2")
     assert not first["reused"] and again["reused"] and again["sha256"] == first["sha256"]
@@ -133,4 +172,5 @@ def test_snapshots(spark, tmp_path):
     assert files.read_snapshot(spark, folder, 2).columns == ["id", "origin"]
     with pytest.raises(ValueError):
         files.read_snapshot(spark, folder, 1)
-    assert str(files.data_folder({"FOLIOGRAPH_HOME": "/x"})) == "/x"
+    assert files.data_folder({"FOLIOGRAPH_HOME": "/x"}) == (Path("/x"), "FOLIOGRAPH_HOME") and files.data_folder({"XDG_DATA_HOME": "/y"})[0] == Path("/y/foliograph")
+    assert files.folder_of("pdf", {"FOLIOGRAPH_PDF_DIR": "/p"}) == (Path("/p"), "FOLIOGRAPH_PDF_DIR") and files.folder_of("index", {"FOLIOGRAPH_HOME": "/x"}) == (Path("/x/index"), "FOLIOGRAPH_HOME")
