@@ -11,16 +11,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from ..errors import InvalidIdentifier
+
 #: Kinds: bulletin, article, summary, page; X for extraordinary.
 KINDS = ("B", "BX", "A", "AX", "S", "SX", "P", "PX")
 SITE = "https://bomemelilla.es"
 CVE_PATTERN = r"^BOME-([A-Z]{1,2})-(\d{4})-(\d+)$"
 
 
-class InvalidIdentifier(ValueError):
-    """Not an identifier, or one of another kind than is needed."""
-
-
 def cve_struct(text: Column) -> Column:
     """struct(kind, year, number) of an identifier, null if it is none.
 

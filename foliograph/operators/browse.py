@@ -6,28 +6,20 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..errors import Ambiguous, InvalidRequest
 from ..functions.text import Term, fold
 from .federate import merged_catalogue, newest_first
 
 LISTED_MOST = 500
+ORIGINS = ("new", "old")
 #: Numbers that a search can ask for exactly.
 CRITERIA = ("bulletin_number", "number", "first_page", "year")
 
 
-class InvalidRequest(ValueError):
-    """A request that asks for nothing, or for something that can't be."""
-
-
-class Ambiguous(InvalidRequest):
-    """A key that names several records; ``candidates`` are their ids."""
-
-    def __init__(self, key: str, candidates: list[int]):
-        super().__init__(f"{key} names {len(candidates)} records")
-        self.candidates = candidates
-
-
 def states(bulletins: DataFrame, origin: str | None = None) -> DataFrame:
-    """(bulletin, state), of one origin or of all."""
+    """(bulletin, state), of one origin or of all; an origin that isn't known is refused."""
+    if origin not in (None, *ORIGINS):
+        raise InvalidRequest(f"there is no origin {origin!r}")
     rows = bulletins if origin is None else bulletins.where(F.col("origin") == F.lit(origin))
     return rows.select("bulletin", "state")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..errors import InvalidRequest, InvalidSearch
+from ..functions.text import OR, Term
+
 # Gaps that are fetched of a bulletin; budgets by default and at most.
 HIDDEN_MOST = 20
 BULLETINS, ARTICLES = (20, 100), (100, 500)
@@ -56,11 +59,11 @@ def too_many_gaps(gaps: DataFrame, group: str = "bulletin", most: int = HIDDEN_M
 
 def _bounded(value: int, name: str, most: int) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value < 1:
-        raise ValueError(f"{name} must be a whole number from 1 on")
+        raise InvalidRequest(f"{name} must be a whole number from 1 on")
     return min(value, most)
 
 
-def drill_down(bulletins: DataFrame, articles: DataFrame, max_bulletins: int = BULLETINS[0], max_articles: int = ARTICLES[0]) -> tuple[DataFrame, DataFrame]:
+def drill_down(bulletins: DataFrame, articles: DataFrame, max_bulletins: int = BULLETINS[0], max_articles: int = ARTICLES[0], search_failed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(returned articles, one row that sums the run up).
 
     ``bulletins``: bulletin, date, number, failed.  ``articles``: matching ones,
@@ -68,7 +71,9 @@ def drill_down(bulletins: DataFrame, articles: DataFrame, max_bulletins: int = B
     opened the run stops if ``max_bulletins`` have been, then if
     ``max_articles`` are found; inside one it stops when another match is met
     with the budget full.  A failed one counts as reviewed, not as without a
-    match.  Running counts over one row a bulletin say where it stops.
+    match.  Running counts over one row a bulletin say where it stops.  If it
+    doesn't stop before its end, a query that failed on the way
+    (``search_failed``) is the reason why something may be missing.
     """
     max_bulletins, max_articles = _bounded(max_bulletins, "max_bulletins", BULLETINS[1]), _bounded(max_articles, "max_articles", ARTICLES[1])
     found = articles.groupBy("bulletin").agg(F.count("*").alias("found"))
@@ -88,11 +93,23 @@ def drill_down(bulletins: DataFrame, articles: DataFrame, max_bulletins: int = B
         F.count_if((F.col("k") <= max_bulletins) & (F.col("before") < max_articles)).alias("reviewed"),
         F.count_if((F.col("k") <= max_bulletins) & (F.col("before") < max_articles) & ~F.col("failed") & (F.col("found") == 0)).alias("without_match"),
         F.count_if((F.col("k") <= max_bulletins) & (F.col("before") < max_articles) & F.col("failed")).alias("failed"),
-        F.when(over | full_before, "max_articulos").when(F.max("k") > max_bulletins, "max_bomes").alias("reason"),
+        F.when(over | full_before, "max_articulos").when(F.max("k") > max_bulletins, "max_bomes").when(F.lit(search_failed), "error_busqueda").alias("reason"),
     )
     return returned, summary
 
 
+def stream_totals(hits: DataFrame, key: str = "bulletin") -> DataFrame:
+    """One row: the sum of the streams' totals, whether it is exact (one stream), and the exact number of different bulletins."""
+    return hits.agg(F.count_distinct("stream", key).alias("total"), (F.count_distinct("stream") <= 1).alias("exact"), F.count_distinct(key).alias("bulletins"))
+
+
+def without_or(terms: list[Term]) -> list[Term]:
+    """Terms of a search on the site, which knows no OR."""
+    if any(t.operator == OR for t in terms[1:]):
+        raise InvalidSearch("the site ties all terms by AND; search once for each alternative, or search articles")
+    return terms
+
+
 def site_parameters(terms: list[tuple[str, str, str]], since: str, until: str, numbers: list[tuple[str, int]] = ()) -> list[tuple[str, str]]:
     """The site's query parameters of one AND-group: (scope, mode, text) terms and (type, number) criteria."""
     params = [("from", since), ("to", until)]

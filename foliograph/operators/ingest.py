@@ -117,6 +117,17 @@ def capped(planned: DataFrame, cap: int = PER_RUN) -> DataFrame:
     return planned.orderBy(F.col("state").isNotNull(), F.desc("date"), F.desc("number"), F.asc("bulletin")).limit(cap)
 
 
+def old_order() -> list[Column]:
+    """The order of the old catalogue's plan: newest first, and of one day and number the greatest record."""
+    return [F.desc("date"), F.desc("number"), F.desc("record")]
+
+
+def sync_summaries(runs: DataFrame) -> DataFrame:
+    """(origin, summary): what the last run of each origin came to, as JSON.  runs: origin, ended, and whatever a run tells."""
+    told = F.to_json(F.struct(*(c for c in runs.columns if c != "origin")))
+    return runs.groupBy("origin").agg(F.max_by(told, "ended").alias("summary"))
+
+
 def deferred(planned: DataFrame, cap: int = PER_RUN) -> DataFrame:
     return planned.agg(F.count("*").alias("planned"), F.greatest(F.count("*") - cap, F.lit(0)).alias("deferred"))
 

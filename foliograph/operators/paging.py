@@ -6,14 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..errors import InvalidCursor
+
 # Characters of a chunk by default, at least and at most.
 CHUNK, LEAST, MOST = 20_000, 1_000, 100_000
 
 
-class InvalidCursor(ValueError):
-    """A cursor outside the document."""
-
-
 def chunk_at(texts: Sequence[str], page: int = 1, at: int = 0, budget: int = CHUNK) -> tuple[list[dict], tuple[int, int] | None]:
     """(pieces, next cursor) of a document's page texts from page ``page``, character ``at``.
 

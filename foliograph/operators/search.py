@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..errors import InvalidSearch
 from ..functions.text import Term, fold_text, highlighter, parse_terms, phrase_count, positive_phrases, predicate
 from ..shipping import ship
 from ..sources.store import GRAM, shard_of, text_counts, text_length
@@ -24,10 +25,6 @@ DEFAULT_LIMIT, MOST, FURTHEST = 20, 200, 1_000_000
 K1, B, COMMON = 1.2, 0.75, 1e-6
 
 
-class InvalidSearch(ValueError):
-    """Arguments that can't be answered."""
-
-
 @dataclass(frozen=True)
 class Filters:
     """What narrows a search besides its terms; all optional, dates inclusive."""

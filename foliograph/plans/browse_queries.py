@@ -57,6 +57,7 @@ def _readable(spark: SparkSession, sf_dir: str) -> DataFrame:
 _READABLE = "with t as (select conv_id as id, count(*) filter (role = 'user' and turn % 4 <> 0 and trim(text) <> '') as own, count(*) filter (role = 'user' and turn % 4 <> 0) as n, count(*) filter (role = 'assistant') as pdf from conversations group by 1) select id, case when own > 0 then 'html' when pdf > 0 then 'pdf' else 'none' end as origin, case when own > 0 then n when pdf > 0 then pdf else 0 end as pages from t"
 
 QUERIES = {
+    "bulletin_state": lambda spark, sf_dir: bulletins(spark, sf_dir).where("bulletin = 7").select("bulletin", "state"),
     "states_of_origin": lambda spark, sf_dir: browse.states(bulletins(spark, sf_dir), "old"),
     "bulletin_of_article": lambda spark, sf_dir: browse.bulletin_of_article(articles(spark, sf_dir), bulletins(spark, sf_dir), F.lit(7)),
     "catalogue_lookup": lambda spark, sf_dir: browse.lookup(_catalogue(spark, sf_dir), cve="BOME-B-2000-5"),
@@ -69,6 +70,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "bulletin_state": f"{WITH} select bulletin, state from bulletins where bulletin = 7",
     "states_of_origin": f"{WITH} select bulletin, state from bulletins where origin = 'old'",
     "bulletin_of_article": f"{WITH} select bulletin from joined where id = 7 and origin = 'new'",
     "catalogue_lookup": "select 'BOME-B-2000-5' as cve, o_orderkey as record from orders where o_orderkey // 3 = 5",

@@ -159,6 +159,15 @@ _CLOSINGS = f"""{WITH}, marked as (
   select *, make_timestamp(cast(epoch_us(ts) + for_seconds * 1000000 as bigint)) as own, case when status = 503 then 'HTTP 503' else 'no_answer' end as own_cause from closings
 )"""
 
+#: Greedy cutting as recursive SQL: what a chunk holds after each page, and the pieces that a page is cut into.
+_CHUNKS = """with recursive p as (select conv_id as doc, turn as page, cast(length(text) as bigint) as n, row_number() over (partition by conv_id order by turn) as k from conversations where turn is not null), fold as (
+  select doc, k, page, n, n <= 1500 as fits, 1 as start, 1 + case when n <= 1500 then 0 else cast(ceil(n / 1500.0) as int) - 1 end as chunk, case when n <= 1500 then n when n % 1500 = 0 then 1500 else n % 1500 end as used from p where k = 1
+  union all
+  select doc, k, page, n, fits, start, case when fits then chunk else start + greatest(cast(ceil(n / 1500.0) as int) - 1, 0) end, case when fits then used + n when n % 1500 = 0 then case when n > 0 then 1500 else 0 end else n % 1500 end
+  from (select l.doc, l.k, l.page, l.n, f.chunk, f.used, l.n <= 1500 - f.used or (f.used = 0 and l.n <= 1500) as fits, case when f.used = 0 then f.chunk else f.chunk + 1 end as start from fold f join p l on l.doc = f.doc and l.k = f.k + 1))
+select doc, cast(case when fits then chunk else start + i end as int) as chunk, page, i * 1500 as start, case when fits then n else least(1500, n - i * 1500) end as taken
+from (select *, unnest(range(case when fits then 1 else greatest(cast(ceil(n / 1500.0) as bigint), 1) end)) as i from fold)"""
+
 QUERIES = {
     "failure_state_fold": lambda spark, sf_dir: _fold(spark, sf_dir, True),
     "origin_precedence": lambda spark, sf_dir: _fold(spark, sf_dir, False),
@@ -205,5 +214,6 @@ ORACLES = {
     "cooldown_deadline": f"{_CLOSINGS}, run as (select o.site, o.ts, o.seq, max(d.own) over w as deadline, arg_max(d.own_cause, d.own) over w as cause from outcomes o left join deadlines d using (site, ts, seq) window w as (partition by site order by ts, seq rows unbounded preceding)) select site, seq, deadline, coalesce(deadline > ts, false) as closed, case when deadline > ts then cause end as cause from run",
     "lease_sessions": _LIVES,
     "lease_session_window": _LIVES,
+    "chunks_of_document": _CHUNKS,
     "chunk_at_cursor": "select doc, page, least(length, 1500) as taken, length > 1500 as cut from (select conv_id as doc, turn as page, cast(length(text) as bigint) as length, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) as upto, row_number() over (partition by conv_id order by turn) as k from conversations) where k = 1 or upto <= 1500",
 }

@@ -156,13 +156,17 @@ def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return federate.newest(federate.merged_catalogue(*_catalogues(spark, sf_dir))).select("bulletin", "date", "origin")
 
 
-def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of two queries, ten a page, merged."""
+def _streams_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of two queries."""
     hits = None
     for k, phrase in enumerate(("cion", "tion")):
         own = s.matching(articles(spark, sf_dir), bulletins(spark, sf_dir), [phrase]).select("bulletin", "date", "number", F.lit(k).alias("stream"), F.lit(0).alias("page"), F.col("id").alias("pos"))
         hits = own if hits is None else hits.unionByName(own)
-    return federate.merged_streams(hits).orderBy(*federate.newest_first()).select("bulletin", "date", "stream")
+    return hits
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return federate.merged_streams(_streams_of(spark, sf_dir)).orderBy(*federate.newest_first()).select("bulletin", "date", "stream")
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,6 +284,10 @@ ORACLES = {
     "date_span_by_origin": f"{WITH} select origin, count(*) as n, min(date) as first_date, max(date) as last_date from bulletins group by origin",
     "articles_with_text": f"{WITH} select section, count(*) filter (trim(coalesce(summary, '')) <> '') as with_text, count(*) as n from articles group by section",
     "coverage": f"{_CALENDAR} select count(*) as processed, min(date) as first_date, max(date) as last_date, (select count(*) from pending where date is null or date >= date '1995-01-01') as pending, (select count(*) from pending where date < date '1995-01-01') as pending_before, (select count(*) from known where state = 'roto') as broken from known where state in ('indexado', 'sin_sumarios')",
+    "status_snapshot": f"""{_CALENDAR}, per as (select origin, {', '.join(f"count(*) filter (state = '{x}') as {x}" for x in coverage.STATES)}, count(*) as total from known group by origin)
+select (select count(*) from known where state in ('indexado', 'sin_sumarios')) as processed,
+  (select '[' || string_agg('{{"origin":"' || origin || '"' {' '.join(f"""|| ',"{x}":' || {x}""" for x in (*coverage.STATES, 'total'))} || '}}', ',' order by origin) || ']' from per) as origins,
+  (select count(*) from articles) as n_articles, (select count(*) from articles where trim(coalesce(summary, '')) <> '') as with_text""",
     "pending_calendar": f"{_CALENDAR} select bulletin, date, state from pending",
     "pending_before_cutoff": f"{_CALENDAR} select count(*) filter (date is null or date >= date '1995-01-01') as pending, count(*) filter (date < date '1995-01-01') as pending_before from pending",
     "catalog_union_anti": f"{_CATALOGUES} select bulletin, date, origin from merged",

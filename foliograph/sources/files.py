@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..errors import BadDownload, OtherVersion, TooLarge
 from ..functions.scalars import file_name_of
 from ..shipping import ship
 from .pdf import page_texts
@@ -21,10 +22,6 @@ PDF_MAGIC, PDF_MOST = b"%PDF", 100 * 1024 * 1024
 SNAPSHOT_VERSION = 1
 
 
-class BadDownload(ValueError):
-    """Content that isn't what was asked for."""
-
-
 def pdf_files(spark: SparkSession, path: str, most: int = PDF_MOST) -> DataFrame:
     """(path, size, sha256, error, content) of PDFs; ``error`` says what isn't one or is too big, without its content.
 
@@ -107,8 +104,10 @@ def store_pdf(folder: Path, name: str, content: bytes, refresh: bool = False) ->
         content, reused = target.read_bytes(), True
     else:
         reused = False
-        if len(content) > PDF_MOST or not content.startswith(PDF_MAGIC):
-            raise BadDownload("not a PDF, or too large")
+        if len(content) > PDF_MOST:
+            raise TooLarge(f"{len(content)} bytes")
+        if not content.startswith(PDF_MAGIC):
+            raise BadDownload("not a PDF")
         write_atomically(target, content)
     return {"path": str(target), "size": len(content), "sha256": hashlib.sha256(content).hexdigest(), "reused": reused}
 
@@ -131,7 +130,7 @@ def read_snapshot(spark: SparkSession, folder: str, version: int = SNAPSHOT_VERS
     """The latest version; one that another schema version wrote is refused."""
     last = spark.read.parquet(f"{folder}/versions").orderBy(F.desc("run")).first()
     if last["version"] != version:
-        raise ValueError(f"the snapshot has version {last['version']}, not {version}")
+        raise OtherVersion(f"the snapshot has version {last['version']}, not {version}")
     return spark.read.parquet(f"{folder}/{last['data']}")
 
 
