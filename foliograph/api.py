@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .errors import GazetteError, InvalidAddress, InvalidRequest, InvalidSearch, NoIndex, NotFound, SiteClosed, UnreadablePage
 from .functions.identifiers import SITE, Cve
 from .functions.scalars import OLD_PDF
-from .functions.text import AND, CONTENT, SUMMARY, and_groups, contains_phrase, fold_exact, fold_text, parse_terms, predicate
+from .functions.text import AND, CONTENT, SUMMARY, and_groups, contains_phrase, fold, fold_text, parse_terms, predicate
 from .operators import browse, coverage, federate, guard, locate, search as s
 from .operators.paging import CHUNK, LEAST, MOST, chunk_at
 from .operators.search import Filters
@@ -463,7 +463,7 @@ class Gazette:
         """(bulletin, number, norm, content): articles with their folded summaries and page texts."""
         rows = self.library.table("articles").where("error is null")
         ship(rows.sparkSession)
-        return rows.select(F.col("bulletin_cve").alias("bulletin"), "number", "cve", "summary", "heading", fold_exact(F.col("summary")).alias("norm"), fold_exact(F.col("text")).alias("content"))
+        return rows.select(F.col("bulletin_cve").alias("bulletin"), "number", "cve", "summary", "heading", fold(F.col("summary")).alias("norm"), fold(F.col("text")).alias("content"))
 
     @staticmethod
     def _holds(group) -> Any:
