@@ -17,6 +17,8 @@ from ..shipping import ship
 
 #: Folders that postings are dealt into, and characters of a gram.
 SHARDS, GRAM = 32, 3
+#: Bytes of a row group of articles: what one task reads at least, so that a table that one task wrote is read by many.
+ROW_GROUP = 8 << 20
 
 
 def shard_of(gram):
@@ -66,7 +68,7 @@ class Store:
         """Fold and write articles: id, bulletin, number, summary, department, section.  What was in the folder goes."""
         ship(self.spark)
         rows = raw.select("*", fold(F.col("summary")).alias("norm"), fold(F.col("section")).alias("section_norm"))
-        rows.write.mode("overwrite").parquet(f"{self.folder}/articles")
+        rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{self.folder}/articles")
         text_counts(self.articles).write.mode("overwrite").parquet(f"{self.folder}/statistics")
         return self
 
