@@ -136,7 +136,9 @@ class Lease:
 
     def _log(self, owner: str, kind: str, origin: str | None) -> float:
         now = self.clock()
-        self.spark.createDataFrame([(owner, now, kind, origin, uuid.uuid4().hex)], LEASE).coalesce(1).write.mode("append").parquet(f"{self.folder}/lease")
+        # entries of one instant stand in the order in which they were written
+        entry = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(owner, now, kind, origin, entry)], LEASE).coalesce(1).write.mode("append").parquet(f"{self.folder}/lease")
         return now
 
     def _held(self):
