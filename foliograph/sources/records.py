@@ -440,10 +440,11 @@ def old_articles(found: DataFrame) -> DataFrame:
 
 
 def old_results(pages: DataFrame, encoding: str = "ISO-8859-1") -> DataFrame:
-    """Articles that the old portal's search found, all on one page, in its order: key, place, cve, date, number, kind, summary, path, pages, record, url."""
+    """Articles that the old portal's search found, ordered by page and by their place on it: key, place, cve, date, number, kind, summary, path, pages, record, url."""
     rows = old_articles(events(pages, old_rule, encoding=encoding))
     of = catalogue_label(F.col("label"))
-    return rows.select("key", "place", of["cve"].alias("cve"), of["date"].alias("date"), "number", "kind", "summary", "path", "pages", "record", "url")
+    found = rows.select("key", "place", of["cve"].alias("cve"), of["date"].alias("date"), "number", "kind", "summary", "path", "pages", "record", "url")
+    return found.orderBy("key", "place")
 
 
 def old_bulletins(pages: DataFrame, known: DataFrame | None = None, encoding: str = "ISO-8859-1") -> DataFrame:
