@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, html_render, license_scan, media_columns, neighbour_search, quality_classifier, sequence_packing, simhash_dedup, source_mixing, token_counts
+from . import chat_format, html_render, lexical_search, license_scan, media_columns, merkle_manifest, neighbour_search, quality_classifier, secret_scan, sequence_packing, simhash_dedup, source_mixing, token_counts
 
 QUERIES = {
     "op1_source_mixing": source_mixing.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_media_columns": media_columns.query,
     "op9_neighbour_search": neighbour_search.query,
     "op10_token_counts": token_counts.query,
+    "op11_merkle_manifest": merkle_manifest.query,
+    "op12_secret_scan": secret_scan.query,
+    "op13_lexical_search": lexical_search.query,
 }
 
-ORACLES: dict[str, str] = {"op5_chat_format": chat_format.ORACLE}
+ORACLES: dict[str, str] = {"op5_chat_format": chat_format.ORACLE, "op11_merkle_manifest": merkle_manifest.ORACLE, "op13_lexical_search": lexical_search.ORACLE}

@@ -1,0 +1,115 @@
+import hashlib
+import random
+import re
+import string
+
+import pytest
+
+from foliograph.llm import secret_scan as ss
+
+ASSIGN = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+RULES = (("assign", ASSIGN, 2, 8), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile(r"[0-9a-f]+"), 0, 32))
+
+
+def brute(text):
+    found = []
+    for kind, (name, rule, group, least) in enumerate(RULES):
+        found += [(m.start(), kind, f"{name}:{m.start()}:{m.end()}") for m in rule.finditer(text or "") if len(m[group]) >= least]
+    return [x for *_, x in sorted(found)]
+
+
+def parts(told):
+    return [x for x in told.split(",") if x]
+
+
+def by_id(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as base", "2 as added", "3 as tally", "'c' as candidates").repartition(3)
+    found = ss.scan(docs).select("doc_id", ss.told(ss.F.col("base")).alias("base"), ss.told(ss.F.concat("base", "added")).alias("spans")).collect()
+    return {r["doc_id"]: r for r in found}
+
+
+def words(rng, n):
+    syllables = "an be ci do en fa gu hi in ja keit lich men nor ost per que re schaft tion ung ver wer zu".split()
+    return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n))
+
+
+CASES = [
+    'token = "abcd1234"', "Token:secret: abcdefgh12", "secret=token=abcdefghij", "PASSWD'  :  'x" * 3, "api_key=1234567", "apikey: 'A-b_c.d=/+'", "é😀 password=ünicode12345", "AKIA" + "A" * 11, "xAKIA" + "B" * 12 + "c",
+    "AKIAAKIAAKIAAKIA", "0" * 31 + "g" + "f" * 32, "F" * 40, "token=" + "ab" * 20, "ſecret=abcdefgh", "toKen=abcdefgh", "secret" + " " * 5000 + "= " + "z" * 9, "password\n=abcdefgh", "password==abcdefgh", "", None, "a" * 100_000, "0123456789abcdef" * 3,
+]
+
+
+def test_patterns_against_brute_force(spark):
+    rng = random.Random(1)
+    pieces = ["token", "secret", "api_key", "=", ":", " ", '"', "'", "abc12345", "AKIA", "ABCDEFGH1234", "deadbeef", "é", "\n", "x"]
+    rows = [*enumerate(CASES), *((1000 + k, "".join(rng.choices(pieces, k=rng.randint(1, 40)))) for k in range(400))]
+    got = by_id(spark, rows)
+    for k, text in rows:
+        assert parts(got[k]["base"]) == brute(text), text
+        assert set(brute(text)) <= set(parts(got[k]["spans"]))
+
+
+@pytest.mark.parametrize("encoding", ss.ENCODINGS)
+def test_battery_is_calibrated(encoding):
+    """Even draws of any length fail the battery about as seldom as its level says."""
+    rng = random.Random(encoding)
+    for n in (20, 32, 64, 200):
+        tokens = ["".join(rng.choices(ss.ENCODINGS[encoding], k=n)) for _ in range(1500)]
+        alphabet = ss.Alphabet.of(encoding)
+        failed = 0
+        for t in tokens:
+            places = ss.np.array([alphabet.place[c] for c in t])
+            counts = ss.np.bincount(places)
+            least = min(alphabet.chi_squared(counts, n), alphabet.runs(ss.class_changes(t.encode()), n), alphabet.serial(places))
+            failed += 3 * least < 0.01
+        assert failed <= 0.025 * len(tokens)
+
+
+def test_random_tokens_are_found_and_text_is_left_alone(spark):
+    rng = random.Random(2)
+    base62, url = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_"
+    rows, planted = [], {}
+    for k in range(600):
+        text = words(rng, rng.randint(20, 200))
+        if k % 6 == 0:
+            token = "".join(rng.choices(base62 if k % 12 else url, k=rng.choice([24, 32, 40, 64])))
+            text = f"{text} {token} "
+            planted[k] = f"random:{len(text) - len(token) - 1}:{len(text) - 1}"
+            text += words(rng, 5)
+        if k % 10 == 1:
+            text += " a-hyphenated-compound-word-here https/some/path/of/words SomeCamelCaseIdentifierName 0000000000000000000000 abcdefghijklmnopqrstuvwxyz -------------------- ==== 12345678901234567890"
+        rows.append((k, text))
+    # a third of all rows are copies of one
+    rows += [(10_000 + k, rows[0][1]) for k in range(300)]
+    got = by_id(spark, rows)
+    found = {k for k, want in planted.items() if parts(got[k]["spans"]) == [want]}
+    assert len(found) >= 0.98 * len(planted)
+    assert all(not got[k]["spans"] for k in range(600) if k not in planted)
+    assert all(got[10_000 + k]["spans"] == planted[0] for k in range(300)) or 0 not in found
+
+
+def test_short_tokens_need_more_than_long_ones():
+    """The same make-up is less telling in a short token; the threshold holds the rate."""
+    natural = ss.Natural(0.02, 0.065, 0.0055)
+    assert ss.threshold({}) == float("inf") and ss.threshold({0: 1000}) == float("inf")
+    # 1,000 candidates of which 10 are far out: 1000 x 10^-level <= 1 % of 10
+    assert ss.threshold({0: 990, 200: 10}) == 200 * ss.BIN
+    assert ss.threshold({0: 990, 79: 10}) == float("inf") and ss.threshold({0: 990, 80: 10}) == 80 * ss.BIN
+    assert natural.change == 0.02
+
+
+def test_edges(spark, edge_docs, edge_rows, no_docs):
+    got = ss.scan(edge_docs).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in edge_rows)
+    assert not any(r["added"] for r in got)
+    assert ss.scan(no_docs).collect() == []
+
+
+def test_query(spark, small):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = ss.query(spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        want = brute(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex")]
