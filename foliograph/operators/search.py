@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..errors import InvalidSearch
 from ..functions.text import Term, fold_text, highlighter, parse_terms, phrase_count, positive_phrases, predicate
 from ..shipping import ship
-from ..sources.store import GRAM, shard_of, text_counts, text_length
+from ..sources.store import GRAM, KEY, gram_key, text_counts, text_length
 
 # Limits of a page, and the relevance formula's constants.
 DEFAULT_LIMIT, MOST, FURTHEST = 20, 200, 1_000_000
@@ -151,15 +151,14 @@ def total(found: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> Data
 def through_postings(articles: DataFrame, postings: DataFrame, phrase: str, word_start: bool = False) -> DataFrame:
     """Rows that hold one phrase: posting lists intersected, then the phrase checked.  Short phrases scan.
 
-    Postings that are dealt into shards are read only where the phrase's
-    trigrams are.
+    Postings: gram and id, or a store's, whose grams are keys and whose rows are
+    known by (seg, part, row).
     """
     folded = fold_text(phrase)
     if len(folded) < GRAM:
         return articles.where(predicate(F.col("norm"), parse_terms([phrase]), word_start))
     grams = sorted({folded[i : i + GRAM] for i in range(len(folded) - GRAM + 1)})
-    if "shard" in postings.columns:
-        shards = postings.sparkSession.range(1).select(F.array_distinct(F.array(*(shard_of(F.lit(g)) for g in grams)))).first()[0]
-        postings = postings.where(F.col("shard").isin(shards))
-    ids = postings.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id")
-    return articles.join(ids, "id", "left_semi").where(predicate(F.col("norm"), parse_terms([phrase]), word_start))
+    key = KEY if "spots" in postings.columns else ["id"]
+    wanted = [gram_key(g) for g in grams] if "spots" in postings.columns else grams
+    ids = postings.where(F.col("gram").isin(wanted)).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select(*key)
+    return articles.join(ids, key, "left_semi").where(predicate(F.col("norm"), parse_terms([phrase]), word_start))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import contains_folded, fold, phrase_count
 from ..operators import coverage, federate, search as s
+from ..operators.indexed import search_store
 from ..operators.search import Filters
 from ..shipping import ship
-from .views import SQL_FOLD, WITH, articles, bulletins, indexed, listed, store, table
+from .views import SQL_FOLD, WITH, articles, bulletins, indexed, listed, table
 
 PAGE = ["id", "bulletin_number", "date", "extraordinary", "department", "section"]
 SQL_PAGE = "id, bulletin_number, date, extraordinary, department, section"
@@ -36,9 +37,9 @@ def _has(phrase: str) -> str:
 
 def _page(terms=(), filters=Filters(), **how):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = store(spark, sf_dir)
-        found = s.search(own.articles, bulletins(spark, sf_dir), terms, filters, counts=own.statistics, **how)
-        return found.select(*PAGE, *([F.round("score", 6).alias("score")] if how.get("order") == "relevance" else []))
+        if how.get("order") == "relevance":
+            return search_store(indexed(spark, sf_dir), bulletins(spark, sf_dir), terms, filters, **how).select(*PAGE, F.round("score", 6).alias("score"))
+        return s.search(articles(spark, sf_dir), bulletins(spark, sf_dir), terms, filters, **how).select(*PAGE)
 
     return run
 

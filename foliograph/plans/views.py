@@ -9,6 +9,7 @@ by key, page texts are conversation turns.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -33,27 +34,50 @@ def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_stores: dict[tuple[str, str], Store] = {}
+_stores: dict[tuple, Store] = {}
 
 
-def store(spark: SparkSession, sf_dir: str) -> Store:
-    """The documents taken in as articles: written once per application to the shared folder, and read from there by every query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stores:
-        _stores[key] = Store(spark, f"{shared_folder(spark)}/articles-{uuid.uuid4().hex}").take_in(raw_articles(spark, sf_dir))
-    return _stores[key]
+def _kept(kind: str, make: Callable[[SparkSession, str], Store]) -> Callable[[SparkSession, str], Store]:
+    """A store of ``kind`` for the documents of a folder: written once per application, and anew where their files are others than they were."""
 
+    def get(spark: SparkSession, sf_dir: str) -> Store:
+        key = (spark.sparkContext.applicationId, kind, sf_dir, stamp(spark, f"{sf_dir}/documents.parquet"))
+        if key not in _stores:
+            _stores[key] = make(spark, sf_dir)
+        return _stores[key]
 
-def indexed(spark: SparkSession, sf_dir: str) -> Store:
-    """The same with postings, which are written when they are first asked for."""
-    found = store(spark, sf_dir)
-    if found.folder not in _indexed:
-        found.index()
-        _indexed.add(found.folder)
-    return found
+    return get
 
 
-_indexed: set[str] = set()
+def stamp(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = own.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(own)
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
+def _new(spark: SparkSession) -> Store:
+    return Store(spark, f"{shared_folder(spark)}/articles-{uuid.uuid4().hex}")
+
+
+#: The documents taken in as articles, in one batch.
+store = _kept("whole", lambda spark, sf_dir: _new(spark).take_in(raw_articles(spark, sf_dir)))
+#: The same with postings.
+indexed = _kept("indexed", lambda spark, sf_dir: store(spark, sf_dir).index())
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> Store:
+    """Four batches, the last of which replaces what the first ones had of it; every eleventh document deleted; two segments merged."""
+    raw = raw_articles(spark, sf_dir)
+    own = _new(spark)
+    own.take_in(raw.where("id % 3 = 0").withColumn("summary", F.when(F.col("id") % 5 == 0, F.lit("menta que luego cambia")).otherwise(F.col("summary"))))
+    own.take_in(raw.where("id % 3 = 1")).index()
+    own.take_in(raw.where("id % 3 = 2")).delete(raw.where("id % 11 = 0"))
+    own.take_in(raw.where("id % 15 = 0 and id % 11 <> 0")).index()
+    return own.merge(sorted(own.version().segments)[:2])
+
+
+appended = _kept("appended", _appended)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
