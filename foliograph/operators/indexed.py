@@ -145,23 +145,22 @@ def best_page(store: Store, bulletins: DataFrame, terms: Sequence[Term], filters
         seen = Observation()
         rows = hits if held is not None else hits.observe(seen, *_holding(hits, 1))
         order = _relevance(counts, held or [0], phrases, ranked)
-        best = rows.where(_condition(terms, phrases)).select(*KEY, "length", *(f"tf{k}" for k in range(len(phrases))), order.alias("score")).orderBy("score", *KEY).limit(want + 1)
-        candidates = best.collect()  # MOST_CANDIDATES at most
-        if held is None:
-            held = [seen.get["df0"]] if candidates else [0]
-        if not candidates:
+        best = rows.where(_condition(terms, phrases)).select(*KEY, "length", *(f"tf{k}" for k in range(len(phrases))), order.alias("order")).orderBy("order", *KEY).limit(want + 1)
+        candidates = best.toArrow()  # MOST_CANDIDATES at most
+        if not candidates.num_rows:
             return joined(store.articles.drop("norm", "summary").withColumn("score", F.lit(0.0)).limit(0), bulletins)
-        local = spark.createDataFrame(candidates, best.schema).withColumn("score", _relevance(counts, held, phrases, ranked)).select(*KEY, "score")
-        near = {}
-        for r in candidates:
-            near.setdefault(r["seg"], set()).add(r["part"])
+        if held is None:
+            held = [seen.get["df0"]]
+        local = spark.createDataFrame(candidates).withColumn("score", _relevance(counts, held, phrases, ranked)).select(*KEY, "order", "score")
+        near: dict[int, set[int]] = {}
+        for seg, part in zip(candidates["seg"].to_pylist(), candidates["part"].to_pylist(), strict=True):
+            near.setdefault(seg, set()).add(part)
         narrow = store.articles.drop("norm", "summary").where(reduce(lambda a, b: a | b, ((F.col("seg") == seg) & F.col("part").isin(sorted(own)) for seg, own in near.items())))
-        told = narrow.join(F.broadcast(local), KEY)
-        page = joined(told, bulletins).where(filters.condition()).orderBy("score", *newest_first()).offset(offset).limit(limit)
-        rows, schema = page.collect(), page.schema  # MOST rows at most
-        last = local.agg(F.max("score")).first()[0] if len(candidates) > want else None
-        if last is None or len(rows) == limit and rows[-1]["score"] < last:
-            return spark.createDataFrame(rows, schema).orderBy("score", *newest_first())
+        told = F.broadcast(narrow.join(F.broadcast(local), KEY))  # as many rows
+        page = joined(told, bulletins).where(filters.condition()).orderBy("score", *newest_first()).offset(offset).limit(limit).toArrow()  # MOST rows at most
+        # the candidates are all that match, or none that isn't one of them is as good as the page's last
+        if candidates.num_rows <= want or page.num_rows == limit and page["order"][-1].as_py() < candidates["order"][-1].as_py():
+            return spark.createDataFrame(page).drop("order")
         want *= 8
     return None
 
