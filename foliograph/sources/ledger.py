@@ -93,6 +93,10 @@ class Ledger:
     def numbers(self) -> list[int]:
         return sorted(int(n) for n in names(self.spark, self.folder) if n.isdigit())
 
+    def _floor(self) -> int:
+        """The number below which notes have been forgotten."""
+        return max((int(n.partition("-")[2]) for n in names(self.spark, self.folder) if n.startswith("floor-")), default=0)
+
     def write(self, number: int, note: Any) -> bool:
         """False if there is such a note already."""
         return create_once(self.spark, f"{self.folder}/{number:012d}", json.dumps(note))
@@ -117,9 +121,15 @@ class Ledger:
             if new is None:
                 return number, note
             if self.write(number + 1, new):
-                return number + 1, new
+                if self._floor() <= number + 1:
+                    return number + 1, new
+                # the number was free because its note has been forgotten: this came too late
+                remove(self.spark, f"{self.folder}/{number + 1:012d}")
 
     def forget(self, keep: int = 1) -> None:
-        """Delete all but the last ``keep`` notes."""
-        for number in self.numbers()[:-keep]:
-            remove(self.spark, f"{self.folder}/{number:012d}")
+        """Delete all but the last ``keep`` notes; who would still write one of the deleted numbers is told by the floor."""
+        gone = self.numbers()[:-keep]
+        if gone:
+            create_once(self.spark, f"{self.folder}/floor-{gone[-1] + 1:012d}", "")
+            for number in gone:
+                remove(self.spark, f"{self.folder}/{number:012d}")

@@ -8,24 +8,32 @@ that a run that is repeated after a crash writes the same place again.
 
 from __future__ import annotations
 
+import json
+import random
 import threading
 import time
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException, PySparkException, StreamingQueryException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.guard import BLOCKING, LEASE_SECONDS
-from ..operators.ingest import PER_RUN, capped
-
-# States of a run.
-RUNNING, DONE, CANCELLED, FAILED, BLOCKED = "en_curso", "completado", "cancelado", "fallido", "bloqueado"
+from ..operators.ingest import PER_RUN, capped, pause_after_error, stops_run
+from ..shipping import shared_folder
+from ..sources.ledger import Ledger, create_once, names, read_text
+
+# States of a run, and outcomes of an attempt.
+RUNNING, DONE, CANCELLED, FAILED, BLOCKED, ELSEWHERE = "en_curso", "completado", "cancelado", "fallido", "bloqueado", "en_curso_en_otro_proceso"
+OUTCOMES = ("indexado", "sin_sumarios", "error")
+#: What the table of summaries says of a run.
+SUMMARY = {"origin": "string", "state": "string", "message": "string", "planned": "long", "deferred": "long", "done": "long", "indexado": "long", "sin_sumarios": "long", "error": "long", "broken": "long", "started": "double", "ended": "double"}
 #: Bulletins between two looks at the lease, the site's guard and the wish to cancel.
 STEP = 25
-#: Seconds that an orderly end waits for each run.
+#: Seconds that an orderly end waits for all runs.
 PATIENCE = 10
 
 
@@ -127,67 +135,111 @@ def lease_state(log: DataFrame, seconds: float = LEASE_SECONDS, *keys: str) -> D
 
 @dataclass(frozen=True)
 class Lease:
-    """One lease per index: an append-only log that all processes see; the fold over it says who holds it."""
+    """One lease per index, in a ledger that all processes see: each change is a note that follows the last one, so of two that ask at once only one gets it."""
 
     spark: SparkSession
     folder: str
     seconds: float = LEASE_SECONDS
     clock: Callable[[], float] = time.time
 
-    def _log(self, owner: str, kind: str, origin: str | None) -> float:
-        now = self.clock()
-        # entries of one instant stand in the order in which they were written
-        entry = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(owner, now, kind, origin, entry)], LEASE).coalesce(1).write.mode("append").parquet(f"{self.folder}/lease")
-        return now
+    #: Notes that are kept.
+    KEPT = 16
+
+    @property
+    def _ledger(self) -> Ledger:
+        return Ledger(self.spark, f"{self.folder}/lease")
+
+    def _change(self, owner: str, step: Callable[[dict | None, float], dict | None]) -> dict | None:
+        """Who holds the lease after ``step`` (holder, now) has had its say; notes are tidied up now and then."""
+        number, held = self._ledger.change(lambda note: step(note if note and note["owner"] else None, self.clock()))
+        if number % self.KEPT == 0:
+            self._ledger.forget(self.KEPT)
+        return held if held and held["owner"] else None
 
-    def _held(self):
-        return lease_state(_table(self.spark, f"{self.folder}/lease", LEASE), self.seconds).first()
+    def _live(self, held: dict | None, now: float) -> bool:
+        return held is not None and now - held["heartbeat"] <= self.seconds
 
     def holder(self) -> dict | None:
         """The live holder, None if the lease is free or stale."""
-        held = self._held()
-        now = self.clock()
-        return None if held is None or now - held["heartbeat"] > self.seconds else {"owner": held["owner"], "origin": held["origin"], "started": held["started"], "idle_seconds": now - held["heartbeat"]}
+        held, now = self._ledger.last()[1], self.clock()
+        if not held or not held["owner"] or not self._live(held, now):
+            return None
+        return {"owner": held["owner"], "origin": held["origin"], "started": held["started"], "idle_seconds": now - held["heartbeat"]}
 
     def acquire(self, owner: str, origin: str | None = None) -> dict | None:
-        """None if ``owner`` has the lease now, else its live holder.  Of two that ask at once the log's order decides, the same for both."""
-        other = self.holder()
-        if other is None or other["owner"] == owner:
-            self._log(owner, "acquire", origin)
-            other = self.holder()
-        return None if other is not None and other["owner"] == owner else other
+        """None if ``owner`` has the lease now, else its live holder."""
+
+        def step(held, now):
+            own = held is not None and held["owner"] == owner
+            if self._live(held, now) and not own:
+                return None
+            return {"owner": owner, "origin": origin, "started": held["started"] if own else now, "heartbeat": now}
+
+        held = self._change(owner, step)
+        return None if held is not None and held["owner"] == owner else self.holder() or held
 
     def renew(self, owner: str) -> bool:
         """A heartbeat; False if ``owner`` doesn't hold the lease any more."""
-        held = self._held()
-        if held is None or held["owner"] != owner:
-            return False
-        self._log(owner, "renew", None)
-        return True
+        held = self._change(owner, lambda held, now: held | {"heartbeat": now} if held and held["owner"] == owner else None)
+        return held is not None and held["owner"] == owner
 
     def release(self, owner: str) -> None:
-        self._log(owner, "release", None)
+        self._change(owner, lambda held, now: {"owner": None} if held and held["owner"] == owner else None)
+
+    @contextmanager
+    def kept(self, owner: str):
+        """Heartbeats from the side, as long as the block runs."""
+        done = threading.Event()
+
+        def beat():
+            while not done.wait(self.seconds / 6):
+                if not self.renew(owner):
+                    return
+
+        beats = threading.Thread(target=beat, daemon=True)
+        beats.start()
+        try:
+            yield
+        finally:
+            done.set()
+            beats.join()
 
 
 # --- runs --------------------------------------------------------------------
 
 
 def until_blocked(attempts: DataFrame) -> DataFrame:
-    """Attempts of a step up to the first that the site blocked: those behind it were never made.  attempts: place, status, blocked, ..."""
+    """Attempts of a step up to the first that the site blocked: those behind it were never made.  attempts: place, status, blocked, ...
+
+    A step is a few rows, and looking at them twice would ask the site twice, so
+    a window over all of them finds the block.
+    """
     stop = F.coalesce("blocked", F.col("status").isin(*BLOCKING), F.lit(False))
-    first = attempts.where(stop).agg(F.min("place").alias("stop"))
-    return attempts.join(F.broadcast(first), F.col("stop").isNull() | (F.col("place") <= F.col("stop"))).drop("stop")
+    first = F.min(F.when(stop, F.col("place"))).over(Window.partitionBy(F.lit(0)))
+    return attempts.withColumn("_stop", first).where(F.col("_stop").isNull() | (F.col("place") <= F.col("_stop"))).drop("_stop")
+
+
+def counters() -> list[Column]:
+    """What is counted of a step's attempts while they are written."""
+    outcome, blocking = F.col("outcome"), F.coalesce("blocked", F.col("status").isin(*BLOCKING), F.lit(False))
+    kinds = (F.count_if(outcome == k).alias(k) for k in OUTCOMES)
+    return [F.count("*").alias("done"), *kinds, F.count_if(F.col("status").between(500, 599)).alias("broken"), F.count_if(blocking).alias("blocked")]
 
 
 @dataclass
 class SyncRun:
-    """One run over a plan: ``fetch`` answers a step of it (a DataFrame with ``place``) with attempts, ``store`` appends them.
-
-    The plan is cut to ``cap`` rows, the newest first; between steps of STEP the
-    run looks whether it is cancelled, still holds the lease, and whether the
-    site's guard is open.  A site that blocks ends the run: attempts behind the
-    block aren't stored, and the next run plans them again.
+    """One run over a plan, as a stream: ``fetch`` answers a step of it (a DataFrame with ``place``) with attempts, ``store`` writes them by the step's number.
+
+    The plan is cut to ``cap`` rows, the newest first, numbered, and written in
+    steps of STEP rows; the stream takes a step a micro-batch.  Before a step the
+    run looks whether it was asked to stop, still has its lease (which is beaten
+    from the side while a step is at work), and what the site's guard says:
+    ``closed`` ends it, ``wait_needed`` seconds are waited.  After a broken answer
+    it pauses.  A site that blocks ends the run; attempts behind the block aren't
+    stored, and the next run plans them again, as it does those of a step that
+    couldn't be stored.  What a step came to is observed while it is written and
+    noted in the run's folder, so any process can tell how far the run is; how
+    it ended is also added to the table ``summaries``.
     """
 
     plan: DataFrame
@@ -197,92 +249,163 @@ class SyncRun:
     cap: int = PER_RUN
     lease: Lease | None = None
     closed: Callable[[], bool] = lambda: False
+    wait_needed: Callable[[], float] = lambda: 0.0
+    summaries: str | None = None
     clock: Callable[[], float] = time.time
+    pause: Callable[[float], None] = time.sleep
     owner: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __post_init__(self):
-        self._cancel, self._lock = threading.Event(), threading.Lock()
-        self._state = {"state": None, "message": None, "planned": 0, "deferred": 0, "done": 0, "started": None, "ended": None} | dict.fromkeys(("indexado", "sin_sumarios", "error", "broken"), 0)
-        self._thread: threading.Thread | None = None
+        self.folder = f"{shared_folder(self.plan.sparkSession)}/run-{self.owner}"
+        self.query, self._size, self._failures = None, {}, 0
 
-    def _update(self, **changes) -> None:
-        with self._lock:
-            self._state.update(changes)
+    @property
+    def _steps(self) -> Ledger:
+        return Ledger(self.plan.sparkSession, f"{self.folder}/steps")
+
+    def _note(self, name: str) -> dict | None:
+        spark = self.plan.sparkSession
+        return json.loads(read_text(spark, f"{self.folder}/{name}")) if name in names(spark, self.folder) else None
+
+    # --- as others see it ---
 
     def progress(self) -> dict:
-        """A snapshot: state, counts, and the seconds left at the pace so far."""
-        with self._lock:
-            now = dict(self._state)
-        left = now["planned"] - now["done"]
-        pace = ((now["ended"] or self.clock()) - now["started"]) / now["done"] if now["done"] else None
-        return now | {"origin": self.origin, "seconds_left": round(pace * max(left, 0)) if pace is not None else None}
+        """State, counts, and the seconds left at the pace so far."""
+        end, size = self._note("end") or {}, self._size
+        told = [self._steps.read(n) for n in self._steps.numbers()]
+        sums = {k: sum(t[k] for t in told) for k in ("done", *OUTCOMES, "broken")}
+        state, message = end.get("state"), end.get("message")
+        if state is None and self.query is not None:
+            failed = None if self.query.isActive else self.query.exception()
+            state, message = (FAILED, str(failed)) if failed else (RUNNING, None)
+        planned, began = size.get("planned", 0), size.get("started")
+        pace = ((end.get("ended") or self.clock()) - began) / sums["done"] if sums["done"] else None
+        return {"state": state, "message": message, "origin": self.origin, "planned": planned, "deferred": size.get("deferred", 0), "started": began, "ended": end.get("ended"), **sums, "seconds_left": None if pace is None else round(pace * max(planned - sums["done"], 0))}
 
     def start(self) -> dict:
-        """Begin in the background; another process's live run is reported instead of starting."""
+        """Write the plan down and begin; another process's live run is reported instead."""
         other = self.lease.acquire(self.owner, self.origin) if self.lease else None
         if other:
-            return {"state": "en_curso_en_otro_proceso", "holder": other}
-        self._update(state=RUNNING, started=self.clock())
-        self._thread = threading.Thread(target=self._run, daemon=True)
-        self._thread.start()
+            return {"state": ELSEWHERE, "holder": other}
+        spark = self.plan.sparkSession
+        self._size = {"planned": 0, "deferred": 0, "started": self.clock()}
+        try:
+            if self.closed():
+                return self._end(BLOCKED, "the site is closed")
+            seen = Observation()
+            newest = Window.orderBy(F.col("state").isNotNull(), F.desc("date"), F.desc("number"), F.asc("bulletin"))
+            # cap rows at most, so one task can number them
+            numbered = capped(self.plan.observe(seen, F.count("*").alias("n")), self.cap).withColumn("place", F.row_number().over(newest) - 1)
+            numbered.withColumn("step", F.floor(F.col("place") / STEP).cast("int")).write.partitionBy("step").parquet(f"{self.folder}/plan")
+            planned = min(seen.get["n"], self.cap)
+            self._size |= {"planned": planned, "deferred": seen.get["n"] - planned}
+        except Exception as error:  # a run must always report how it ended
+            return self._end(FAILED, f"{type(error).__name__}: {error}")
+        if not planned:
+            return self._end(DONE, None)
+        self._schema = numbered.schema
+        steps = spark.readStream.schema(self._schema).option("maxFilesPerTrigger", 1).parquet(f"{self.folder}/plan")
+        # a file is a step; which one comes doesn't matter, as micro-batch k takes step k
+        self.query = steps.writeStream.foreachBatch(lambda _, k: self._take(k)).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
         return self.progress()
 
     def cancel(self) -> dict:
-        """Ask the run to stop after the step that it is in."""
-        self._cancel.set()
+        """Ask the run to stop after the step that it is in; any process may."""
+        create_once(self.plan.sparkSession, f"{self.folder}/stop", "{}")
         return self.progress()
 
     def wait(self, seconds: float | None = None) -> dict:
-        if self._thread is not None:
-            self._thread.join(seconds)
+        """How the run is when it has ended, or after so many seconds."""
+        if self.query is not None:
+            try:
+                self.query.awaitTermination(seconds) if seconds is not None else self.query.awaitTermination()
+            except StreamingQueryException as error:
+                self._end(FAILED, str(error))
         return self.progress()
 
-    def _run(self) -> None:
+    def abandon(self) -> dict:
+        """End the run though a step may be at work; whoever waits for the lease gets it."""
+        told = self._end(CANCELLED, "the run was still at work when all was shut down")
+        if self.query is not None:
+            self.query.stop()
+        return told
+
+    # --- at work ---
+
+    def _end(self, state: str, message: str | None) -> dict:
+        """Note once how the run ended, add that to the summaries, and give the lease back."""
+        spark = self.plan.sparkSession
+        if create_once(spark, f"{self.folder}/end", json.dumps({"state": state, "message": message, "ended": self.clock()})):
+            if self.summaries:
+                told = self.progress()
+                spark.createDataFrame([tuple(told[k] for k in SUMMARY)], ", ".join(f"{k} {t}" for k, t in SUMMARY.items())).write.mode("append").parquet(self.summaries)
+            if self.lease:
+                self.lease.release(self.owner)
+        return self.progress()
+
+    def _take(self, number: int) -> None:
+        """One micro-batch; nothing after the run's end."""
+        if self._note("end"):
+            return
         try:
-            state, message = self._steps()
-        except Exception as error:  # the run must always report how it ended
-            state, message = FAILED, f"{type(error).__name__}: {error}"
-        self._update(state=state, message=message, ended=self.clock())
-        if self.lease:
-            self.lease.release(self.owner)
-
-    def _steps(self) -> tuple[str, str | None]:
-        if self.closed():
-            return BLOCKED, "the site is closed"
-        total = self.plan.count()
-        # the cap's rows at most; their order is kept by a number
-        chosen = capped(self.plan, self.cap).collect()
-        self._update(planned=len(chosen), deferred=total - len(chosen))
-        spark, schema = self.plan.sparkSession, capped(self.plan, 1).schema
-        for at in range(0, len(chosen), STEP):
-            if self._cancel.is_set():
-                return CANCELLED, "cancelled by request"
+            ending = self._before_step() or self._step(number)
+        except Exception as error:
+            ending = FAILED, f"{type(error).__name__}: {error}"
+        if ending is None and (number + 1) * STEP >= self._size["planned"]:
+            left = self._size["deferred"]
+            ending = DONE, f"{left} are left for the next run" if left else None
+        if ending:
+            self._end(*ending)
+
+    def _before_step(self) -> tuple[str, str] | None:
+        pauses = 0
+        while True:
+            if self._note("stop") is not None:
+                return CANCELLED, "the run was asked to stop"
             if self.lease and not self.lease.renew(self.owner):
-                return FAILED, "the lease was lost to another process"
+                return FAILED, "another process has the lease now"
             if self.closed():
                 return BLOCKED, "the site is closed"
-            step = spark.createDataFrame([(at + k, *row) for k, row in enumerate(chosen[at : at + STEP])], f"place int, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}")
-            # STEP rows at most; they are held, so that nothing is asked for twice
-            answers = until_blocked(self.fetch(step))
-            rows = answers.collect()
-            self.store(spark.createDataFrame(rows, answers.schema), at)
-            with self._lock:
-                self._state["done"] += len(rows)
-                self._state["broken"] += sum(500 <= (r["status"] or 0) < 600 for r in rows)
-                for r in rows:
-                    self._state[r["outcome"]] += 1
-            blocked = any(r["status"] in BLOCKING if r["blocked"] is None else r["blocked"] for r in rows)
-            if blocked:
-                return BLOCKED, "the site blocked the run"
-        left = total - len(chosen)
-        return DONE, f"{left} are left for the next run" if left else None
+            seconds = self.wait_needed()
+            if seconds <= 0:
+                return None
+            pauses += 1
+            if stops_run(0, pauses):
+                return BLOCKED, "the error budget stays full"
+            self.pause(seconds)
+
+    def _step(self, number: int) -> tuple[str, str] | None:
+        spark = self.plan.sparkSession
+        rows = spark.read.schema(self._schema).parquet(f"{self.folder}/plan/step={number}")
+        seen = Observation()
+        with self.lease.kept(self.owner) if self.lease else nullcontext():
+            answers = until_blocked(self.fetch(rows.drop("step"))).observe(seen, *counters())
+            try:
+                self.store(answers, number)
+            except PySparkException as error:
+                self._failures += 1
+                if stops_run(self._failures, 0):
+                    return FAILED, f"attempts couldn't be stored: {error}"
+                return None
+        self._failures = 0
+        self._steps.write(number + 1, seen.get)
+        if seen.get["blocked"]:
+            return BLOCKED, "the site blocked the run"
+        if seconds := pause_after_error(500 if seen.get["broken"] else None, random.random()):
+            self.pause(seconds)
+        return None
 
 
 def shutdown(runs=(), queries=(), seconds: float = PATIENCE) -> list[dict]:
-    """An orderly end: all runs are asked to stop, each is waited for, then streams are stopped; what the runs came to."""
+    """An orderly end: all runs are asked to stop and waited for together, ``seconds`` at most; what is still at work then is said to be (``alive``) and gives its lease back.  Then the streams are stopped."""
+    until = time.monotonic() + seconds
     for run in runs:
         run.cancel()
-    told = [run.wait(seconds) for run in runs]
+    told = []
+    for run in runs:
+        now = run.wait(max(0.0, until - time.monotonic()))
+        alive = now["state"] == RUNNING
+        told.append((run.abandon() if alive else now) | {"alive": alive})
     for query in queries:
         query.stop()
     return told
@@ -317,4 +440,4 @@ class ProgressListener(StreamingQueryListener):
             return {k: dict(v) for k, v in self._seen.items()}
 
 
-__all__ = ["Inbox", "Lease", "ProgressListener", "SyncRun", "append_batches", "lease_state", "shutdown", "sync_stream", "until_blocked"]
+__all__ = ["Inbox", "Lease", "ProgressListener", "SyncRun", "append_batches", "counters", "lease_state", "shutdown", "sync_stream", "until_blocked"]

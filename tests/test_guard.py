@@ -178,7 +178,7 @@ def run_over(spark, tmp_path, n=60, answer=lambda place: ("indexado", None, Fals
         rows = [(r["place"], r["bulletin"], *answer(r["place"])) for r in step.collect()]
         return spark.createDataFrame(rows, "place int, bulletin long, outcome string, status int, blocked boolean")
 
-    return SyncRun(plan, fetch, append_batches(f"{tmp_path}/attempts"), **how)
+    return SyncRun(plan, fetch, append_batches(f"{tmp_path}/attempts"), **{"pause": lambda seconds: None} | how)
 
 
 def test_runs_end_as_they_should(spark, tmp_path):
@@ -215,6 +215,79 @@ def test_runs_are_cancelled_and_lose_their_lease(spark, tmp_path):
     assert late.wait(60)["state"] == sync.FAILED and "lease" in late.progress()["message"]
 
 
+def test_only_one_of_two_gets_the_lease(spark, tmp_path):
+    """Both see it free; the slower one's note has a number that is taken, whatever its clock says."""
+    first = Lease(spark, str(tmp_path), clock=lambda: 100.0)
+    told = []
+
+    def late_clock():
+        if not told:  # between B's look and its note A gets the lease
+            told.append(first.acquire("a"))
+        return 99.5
+
+    second = Lease(spark, str(tmp_path), clock=late_clock)
+    assert second.acquire("b")["owner"] == "a" and told == [None]
+    assert first.renew("a") and not second.renew("b") and first.holder()["owner"] == "a"
+
+
+def test_lease_notes_are_tidied(spark, tmp_path):
+    now = [0.0]
+    lease = Lease(spark, str(tmp_path), clock=lambda: now[0])
+    assert lease.acquire("a") is None
+    for _ in range(3 * lease.KEPT):
+        now[0] += 1
+        assert lease.renew("a")
+    assert len(lease._ledger.numbers()) <= 2 * lease.KEPT and lease.holder()["started"] == 0.0
+    # who read the ledger long ago can't write a number that was forgotten since
+    stale, seen = Lease(spark, str(tmp_path), clock=lambda: now[0]), []
+    ledger = stale._ledger
+    assert ledger.write(2, {"owner": "late"}) and ledger.last()[1]["owner"] == "a"
+
+    def step(note):
+        seen.append(note)
+        return None if len(seen) > 1 else {"owner": "late", "origin": None, "started": 0.0, "heartbeat": 0.0}
+
+    last = type(ledger).last
+    answers = iter([(2, {"owner": None})])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(ledger), "last", lambda self: next(answers, None) or last(self))
+        assert ledger.change(step)[1]["owner"] == "a"
+    assert len(seen) == 2 and 3 not in ledger.numbers()
+
+
+def test_a_run_waits_pauses_and_sums_up(spark, tmp_path):
+    from foliograph.operators.ingest import run_counters, sync_summaries
+
+    waits, rested = [5.0, 0.0, 0.0, 0.0], []
+    run = run_over(spark, tmp_path / "w", n=60, answer=lambda p: ("error", 502, False) if p == 3 else ("indexado", 200, False), wait_needed=lambda: waits.pop(0) if waits else 0.0, pause=rested.append, summaries=f"{tmp_path}/summaries", lease=Lease(spark, str(tmp_path / "w")))
+    run.start()
+    end = run.wait(120)
+    assert end["state"] == sync.DONE and rested[0] == 5.0 and 30 <= rested[1] <= 60 and len(rested) == 2
+    kept = run_counters(spark.read.parquet(f"{tmp_path}/w/attempts")).first().asDict()
+    assert {k: end[k] for k in kept} == kept  # observed while written, equal to a second pass
+    assert '"done":60' in sync_summaries(spark.read.parquet(f"{tmp_path}/summaries")).first()["summary"]
+    full = run_over(spark, tmp_path / "x", wait_needed=lambda: 1.0, summaries=f"{tmp_path}/summaries")
+    full.start()
+    assert full.wait(60)["state"] == sync.BLOCKED and full.progress()["done"] == 0
+    lost = run_over(spark, tmp_path / "y", n=100)
+    lost.store = lambda rows, n: rows.write.parquet("/proc/no/such/place")
+    lost.start()
+    assert lost.wait(120)["state"] == sync.FAILED and lost.progress()["done"] == 0
+    none = run_over(spark, tmp_path / "z", n=0)
+    assert none.start()["state"] == sync.DONE
+
+
+def test_shutdown_says_what_is_still_alive(spark, tmp_path):
+    lease = Lease(spark, str(tmp_path))
+    run = run_over(spark, tmp_path / "s", lease=lease)
+    store = run.store
+    run.store = lambda rows, n: (time.sleep(6), store(rows, n))
+    run.start()
+    time.sleep(2)
+    [told] = shutdown([run], seconds=0.5)
+    assert told["alive"] and told["state"] == sync.CANCELLED and lease.holder() is None
+
+
 def test_progress_of_streams(spark, log, tmp_path):
     listener = ProgressListener()
     spark.streams.addListener(listener)
