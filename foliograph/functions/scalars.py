@@ -15,13 +15,11 @@ STORED_STATUS = r"^HTTP (\d{3}) "
 #: HTTP statuses that mean "go away".
 BLOCKED = (403, 429, 503)
 
-# Texts are read in the form that ``clean`` and lower case leave.  Patterns are for Java and Python alike.
-#: A day in words: its number, month and year.
-DAY_IN_WORDS = " de ".join((r"(\d{1,2})", "([a-záéíóúü]+)", r"(\d{4})"))
-#: A day in figures, nothing else.
-DAY_IN_FIGURES = "^" + "-".join((r"(\d{1,2})", r"(\d{1,2})", r"(\d{4})")) + "$"
-#: The sign for "number", and the word for an extraordinary issue with the sources' typing errors.
-NUMBER_SIGN, EXTRAORDINARY = r"n ?[º°] ?", r"e[sx]tra\p{L}*"
+# Texts are read in the form that ``clean`` and lower case leave.
+#: Signs for "number", and how the word for an extraordinary issue begins, with the sources' typing error.
+NUMBER_SIGNS, EXTRA_WORDS = ("nº", "n°", "n º", "n °"), ("extra", "estra")
+EXTRAORDINARY = rf"(?:{'|'.join(EXTRA_WORDS)})\p{{L}}*"
+NUMBER_SIGN = f"(?:{'|'.join(NUMBER_SIGNS)}) ?"
 #: The counter of result pages: its words, each with the number that follows.
 COUNTER_WORDS = ("página", "de", "mostrando", "total de")
 
@@ -37,10 +35,21 @@ def month_number(name: Column) -> Column:
 
 
 def spanish_date(text: Column) -> Column:
-    """The first "22 de septiembre de 2026" in a text, null if there is none or no such day."""
-    plain = F.lower(clean(text))
-    part = lambda k: F.regexp_extract(plain, DAY_IN_WORDS, k)
-    return F.when(part(1) != "", F.try_to_date(F.concat_ws("-", part(3), month_number(part(2)).cast("string"), part(1)), "yyyy-M-d"))
+    """The first "22 de septiembre de 2026" in a text, null if there is none or no such day; read word by word."""
+    words = F.split(F.lower(clean(text)), " ")
+    word = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+    five = F.transform(words, lambda w, i: F.struct(F.regexp_extract(w, r"\d{1,2}$", 0).alias("day"), word(i + 1).alias("of"), word(i + 2).alias("month"), word(i + 3).alias("of_year"), F.regexp_extract(word(i + 4), r"^\d{4}", 0).alias("year")))
+    said = F.filter(five, lambda d: (d["day"] != "") & (d["of"] == "de") & d["month"].rlike(r"^\p{L}+$") & (d["of_year"] == "de") & (d["year"] != ""))
+    first = F.get(said, F.lit(0))
+    return F.try_to_date(F.concat_ws("-", first["year"], month_number(first["month"]), first["day"]), "yyyy-M-d")
+
+
+def figures_date(text: Column) -> Column:
+    """The day of a text that is nothing but "9-3-2021", else null."""
+    parts = F.split(text, "-")
+    part = lambda k, most: F.when(F.length(F.get(parts, F.lit(k))).between(1, most), F.get(parts, F.lit(k)).try_cast("int"))
+    day, month, year = part(0, 2), part(1, 2), F.when(F.length(F.get(parts, F.lit(2))) == 4, part(2, 4))
+    return F.when(F.size(parts) == 3, F.try_to_date(F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")), "y-M-d"))
 
 
 def flexible_date(text: Column) -> Column:
@@ -55,8 +64,9 @@ def first_int(text: Column) -> Column:
 
 
 def ordinal_number(text: Column) -> Column:
-    """The number behind "Nº", "N°" or "No."."""
-    return F.regexp_extract(F.lower(clean(text)), r"n[º°o]\.? ?(\d+)", 1).try_cast("bigint")
+    """The number behind "Nº", "N°" or "No."; the signs are read as the letter that they stand for."""
+    plain = F.translate(F.lower(clean(text)), "º°", "oo")
+    return F.regexp_extract(F.replace(plain, F.lit("no."), F.lit("no")), r"no ?(\d+)", 1).try_cast("bigint")
 
 
 def heading_parts(heading: Column) -> Column:
@@ -99,8 +109,7 @@ def catalogue_label(text: Column) -> Column:
     """
     plain = clean(text)
     name, day_text = F.trim(F.regexp_extract(plain, "^(.*)/", 1)), F.trim(F.regexp_extract(plain, "([^/]*)$", 1))
-    figure = lambda k: F.regexp_extract(day_text, DAY_IN_FIGURES, k)
-    day = F.try_to_date(F.concat_ws("-", figure(3), figure(2), figure(1)), "yyyy-M-d")
+    day = figures_date(day_text)
     unsigned = F.regexp_replace(name, rf"(?i)^{NUMBER_SIGN}\.? ?", "")
     kind = F.regexp_extract(unsigned, f"(?i)^{EXTRAORDINARY}", 0)
     label = F.regexp_replace(F.substr(unsigned, F.length(kind) + 1), "^[ -]+", "")
@@ -108,7 +117,7 @@ def catalogue_label(text: Column) -> Column:
     number, extra = digits.try_cast("bigint"), kind != ""
     cve = F.concat_ws("-", F.lit("BOME"), F.when(extra, "BX").otherwise("B"), F.year(day), number)
     fields = F.struct(extra.alias("extraordinary"), number.alias("number"), F.when(label != digits, label).alias("suffix"), day.alias("date"), cve.alias("cve"))
-    return F.when((figure(1) != "") & day.isNotNull() & (number > 0), fields)
+    return F.when(day.isNotNull() & (number > 0), fields)
 
 
 def status_class(status: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from ..errors import UnreadablePage
 from ..functions import identifiers as ids
 from ..functions.identifiers import SITE, Cve, InvalidIdentifier
-from ..functions.scalars import DAY_IN_WORDS, EXTRAORDINARY, MONTHS, NUMBER_SIGN, catalogue_label, clean, first_int, ordinal_number, result_counter, secure_url, spanish_date
+from ..functions.scalars import EXTRAORDINARY, MONTHS, NUMBER_SIGNS, catalogue_label, clean, figures_date, first_int, ordinal_number, result_counter, secure_url, spanish_date
 from ..shipping import ship
 from .tree import Element, first_number, parse, plain_text, squeeze
 
@@ -46,14 +46,16 @@ ARTICLE = f"cve string, number bigint, bulletin_cve string, bulletin_number bigi
 
 
 def day_of(text: str | None) -> date | None:
-    found = re.search(DAY_IN_WORDS, squeeze(text or "").lower())
-    if not found:
-        return None
-    name = found[2].replace("setiembre", "septiembre")
-    try:
-        return date(int(found[3]), MONTHS.index(name) + 1, int(found[1]))
-    except ValueError:
-        return None
+    """``spanish_date`` for one text."""
+    words = (text or "").lower().split()
+    for day, of, month, of_year, year in zip(words, words[1:], words[2:], words[3:], words[4:], strict=False):
+        figures = re.search(r"\d{1,2}$", day)
+        if figures and of == of_year == "de" and month.isalpha() and year[:4].isdecimal() and len(year) > 3:
+            try:
+                return date(int(year[:4]), MONTHS.index("septiembre" if month == "setiembre" else month) + 1, int(figures[0]))
+            except ValueError:
+                return None
+    return None
 
 
 def _link(node: Element | None, site: str) -> str | None:
@@ -455,10 +457,13 @@ def old_bulletins(pages: DataFrame, known: DataFrame | None = None, encoding: st
     """
     found = events(pages, old_rule, encoding=encoding)
     heads = found.where(_on("header")).select("key", F.lower(clean(F.col("text"))).alias("head"), secure_url(F.col("attrs")["pdf"]).alias("pdf_url"))
-    sign = f"(?:{NUMBER_SIGN}|n[úu]mero ?)"
-    number = F.regexp_extract("head", f"{sign}(?:{EXTRAORDINARY})?[ -]*(?:{sign})?(\\d+)", 1).try_cast("bigint")
-    figure = lambda k: F.regexp_extract("head", "-".join((r"(\d{1,2})", r"(\d{1,2})", r"(\d{4})")), k)
-    day = F.coalesce(spanish_date(F.col("head")), F.try_to_date(F.concat_ws("-", figure(3), figure(2), figure(1)), "yyyy-M-d"))
+    # every way to write "number" becomes one sign; the number is the first one behind it, an extraordinary issue's word aside
+    signed = F.col("head")
+    for sign in ("número", "numero", *NUMBER_SIGNS):
+        signed = F.replace(signed, F.lit(sign), F.lit("#"))
+    number = F.regexp_extract(F.regexp_replace(signed, EXTRAORDINARY, ""), r"#[ #-]*(\d+)", 1).try_cast("bigint")
+    in_figures = F.filter(F.transform(F.split("head", " "), lambda w: figures_date(F.btrim(w, F.lit(".,;:()")))), lambda d: d.isNotNull())
+    day = F.coalesce(spanish_date(F.col("head")), F.get(in_figures, F.lit(0)))
     extra = F.col("head").rlike(EXTRAORDINARY)
     cve = F.concat_ws("-", F.lit("BOME"), F.when(extra, "BX").otherwise("B"), F.year(day).cast("string"), number.cast("string"))
     heads = heads.select("key", "pdf_url", F.when((number > 0) & day.isNotNull(), F.struct(cve.alias("cve"), number.alias("number"), extra.alias("extraordinary"), F.lit(None).cast("string").alias("suffix"), day.alias("date"))).alias("own"))

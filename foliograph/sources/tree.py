@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
-from itertools import chain
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Tag -> open tags that its start ends, looked for up to the nearest of the second set.
@@ -19,13 +18,9 @@ CLOSES = {
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
 }
-# Elements that browsers show as blocks, by what they are for, and elements that show no text of their own.
-SECTIONS = ["article", "section", "header", "footer", "address", *(f"h{n}" for n in range(1, 7))]
-GROUPS = ["p", "div", "pre", "blockquote", "figure", "figcaption", "hr"]
-LISTS = ["ul", "ol", "li", "dl", "dt", "dd"]
-TABLES = ["table", "thead", "tbody", "tfoot"]
-BLOCKS = frozenset(SECTIONS + GROUPS + LISTS + TABLES)
-SILENT = frozenset(["script", "noscript", "style", "svg", "img"])
+# Elements that browsers show as blocks, and elements that show no text of their own.
+BLOCKS = frozenset("address article blockquote dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li ol p pre section table tbody tfoot thead ul".split())
+SILENT = frozenset("img noscript script style svg".split())
 
 
 class Element:
@@ -123,28 +118,53 @@ def parse(page: str) -> Element:
     return builder.root
 
 
-def _marked(node: Element) -> Iterator[str]:
-    """The text below an element in order, a line feed wherever a line ends; a row is one line, its cells joined by " | "."""
-    waiting: list[Iterator] = [iter(node.children)]
-    while waiting:
-        item = next(waiting[-1], None)
-        if item is None:
-            waiting.pop()
-        elif isinstance(item, str):
-            yield item
-        elif item.tag == "br":
-            yield "\n"
-        elif item.tag == "tr":
-            cells = (squeeze(plain_text(cell)) for cell in item.children if isinstance(cell, Element) and cell.tag in ("td", "th"))
-            yield f"\n{' | '.join(filter(None, cells))}\n"
-        elif item.tag not in SILENT:
-            edge = ["\n"] if item.tag in BLOCKS else []
-            waiting.append(chain(edge, item.children, edge))
+class _Lines:
+    """Lines of shown text as its pieces come in; inside a table row, text goes into cells instead."""
+
+    def __init__(self):
+        self.texts: list[list[str]] = [[]]
+        self.rows: list[list[str]] = []
+
+    def enter(self, e: Element) -> bool:
+        """False if nothing below the element is shown."""
+        in_row = e.parent is not None and e.parent.tag == "tr" and bool(self.rows)
+        if e.tag in SILENT or in_row and e.tag not in ("td", "th"):
+            return False
+        if in_row:
+            self.texts.append([])
+        elif e.tag in BLOCKS or e.tag == "br":
+            self.texts[-1].append("\n")
+        if e.tag == "tr":
+            self.rows.append([])
+        return e.tag != "br"
+
+    def leave(self, e: Element) -> None:
+        if e.tag == "tr":
+            self.texts[-1].append("\n" + " | ".join(filter(None, self.rows.pop())) + "\n")
+        if e.parent is not None and e.parent.tag == "tr" and self.rows:
+            self.rows[-1].append(squeeze("".join(self.texts.pop())))
+        elif e.tag in BLOCKS:
+            self.texts[-1].append("\n")
+
+    def say(self, text: str, owner: Element) -> None:
+        if owner.tag != "tr" or not self.rows:  # between a row's cells nothing is shown
+            self.texts[-1].append(text)
 
 
 def plain_text(node: Element) -> str:
-    """Text of an element: a line for each block, nothing of scripts and images; empty lines are left out."""
-    return "\n".join(filter(None, map(squeeze, "".join(_marked(node)).split("\n"))))
+    """Text of an element: a line for each block, a row's cells on one line with " | " between them, nothing of scripts and images; empty lines are left out."""
+    lines = _Lines()
+    coming: list[tuple[Element | str, Element, bool]] = [(c, node, False) for c in reversed(node.children)]
+    while coming:
+        item, owner, finished = coming.pop()
+        if isinstance(item, str):
+            lines.say(item, owner)
+        elif finished:
+            lines.leave(item)
+        elif lines.enter(item):
+            coming.append((item, owner, True))
+            coming.extend((c, item, False) for c in reversed(item.children))
+    return "\n".join(filter(None, map(squeeze, "".join(lines.texts[0]).split("\n"))))
 
 
 def first_number(text: str | None) -> int | None:
