@@ -60,12 +60,26 @@ def current_state(attempts: DataFrame, key: str = "bulletin") -> DataFrame:
     (5xx but 503, not blocked); GIVE_UP of them without a success make ``roto``.
     ``stored_seq`` is the attempt whose articles stand.
     """
-    event = F.struct("seq", "origin", "outcome", F.col("status").cast("int").alias("status"), F.col("blocked").cast("boolean").alias("blocked"), F.col("message").cast("string").alias("message"))
-    log = attempts.groupBy(key).agg(F.array_sort(F.collect_list(event)).alias("log"))
-    folded = log.select(key, F.aggregate("log", F.lit(None).cast(STATE), _step).alias("s"))
+    folded = _logs(attempts, key).select(key, F.aggregate("log", F.lit(None).cast(STATE), _step).alias("s"))
     return folded.select(key, "s.*")
 
 
+def _logs(attempts: DataFrame, key: str) -> DataFrame:
+    """(key, log): a key's attempts, in order."""
+    event = F.struct("seq", "origin", "outcome", F.col("status").cast("int").alias("status"), F.col("blocked").cast("boolean").alias("blocked"), F.col("message").cast("string").alias("message"))
+    return attempts.groupBy(key).agg(F.array_sort(F.collect_list(event)).alias("log"))
+
+
+def fold_onto(states: DataFrame, attempts: DataFrame, key: str = "bulletin") -> DataFrame:
+    """``current_state`` of all attempts from the state of the earlier ones and the attempts since, which must have greater ``seq``."""
+    fields = [f.split(":")[0] for f in STATE[len("struct<") : -1].split(",")]
+    # nothing was attempted where the state is null; a state's own fields may all be
+    known = states.select(key, F.struct(*fields).cast(STATE).alias("s"))
+    both = known.join(_logs(attempts, key), key, "full")
+    log = F.coalesce("log", F.array().cast(_logs(attempts, key).schema["log"].dataType))
+    return both.select(key, F.aggregate(log, F.col("s"), _step).alias("s")).select(key, "s.*")
+
+
 def current_articles(versions: DataFrame, states: DataFrame, key: str = "bulletin") -> DataFrame:
     """The articles that stand: those of the stored attempt of their bulletin, each identifier once.
 

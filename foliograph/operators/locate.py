@@ -2,18 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-#: Slices that the number line is cut into, at most, and targets that one task orders, about.
-SLICES, TARGETS = 1024, 200_000
+#: Splits that a line of numbers is cut into, at most, and rows that make a split worth it.
+SPLITS, ROWS = 1024, 64
+
+
+def split_points(rows: DataFrame, column: str, most: int = SPLITS) -> list:
+    """Up to ``most - 1`` numbers that cut the column's values into splits of about equally many rows.
+
+    They are quantiles (``percentile_approx``), so neither a far outlier nor a
+    crowd in one place makes a split of its own or an empty one; a value that
+    repeats is one point.
+    """
+    steps = [k / most for k in range(1, most)]
+    told = rows.agg(F.percentile_approx(column, steps, 10 * most).alias("q"), F.count(column).alias("n")).first()
+    points = sorted(set(told["q"] or []))
+    wanted = max(0, min(len(points), told["n"] // ROWS))
+    # of fewer rows fewer points, evenly taken
+    return [points[k * len(points) // wanted] for k in range(wanted)] if wanted else []
+
+
+def split_of(value: Column, points: list) -> Column:
+    """In which split a value is: how many points are at or below it, by binary search."""
+    if not points:
+        return F.lit(0)
+    known = F.array(*map(F.lit, points))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(points).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(known, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at))
 
 
 def spans(listed: DataFrame, group: str = "bulletin", number: str = "number") -> DataFrame:
     return listed.groupBy(group).agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
 
 
-def _further(a: tuple | None, b: tuple | None) -> tuple | None:
+def _further(a, b):
     return max((x for x in (a, b) if x is not None), default=None)
 
 
@@ -28,42 +52,36 @@ def locate(targets: DataFrame, ranges: DataFrame, number: str = "number", group:
     No target is compared with every range.  Of the ranges that begin at or
     before a target the furthest end says whether one holds it, and if none does
     all of them end before it; so three running values over the order of numbers
-    are enough.  The number line is cut into at most SLICES slices; what a slice
-    inherits is one row a slice, which the driver sums up.  A slice with many
-    targets is dealt over several tasks, each with all of its ranges.
+    are enough.  Starts and asked numbers stand on one line, each number once of
+    a kind, however many rows have it.  The line is cut at quantiles, so splits
+    are of one size wherever the numbers crowd; what a split inherits is one row
+    a split, SPLITS at most, which the driver sums up.  No row is copied.
     """
     spark = targets.sparkSession
-    bounds = ranges.agg(F.min("lo").alias("a"), F.max("lo").alias("b")).first()
-    first, width = (bounds["a"] or 0), max(1, -(-((bounds["b"] or 0) - (bounds["a"] or 0) + 1) // SLICES))
-    slice_of = F.least(F.greatest(F.floor((F.col("at") - first) / width), F.lit(0)), F.lit(SLICES - 1)).cast("int")
-    start = ranges.select(F.col("lo").alias("at"), "hi", F.col(group).alias("g")).withColumn("slice", slice_of)
-    # a number that many rows ask for is asked once, with their number
-    asked = targets.groupBy(F.col(number).alias("at")).agg(F.count("*").alias("n")).where("at is not null").withColumn("slice", slice_of)
-    # a row a slice, so at most SLICES of each
-    held = {r["slice"]: r for r in start.groupBy("slice").agg(F.max(F.struct("hi", "g")).alias("far"), F.max("g").alias("top"), F.min("g").alias("low")).collect()}
-    dealt = {r["slice"]: -(-r["n"] // TARGETS) for r in asked.groupBy("slice").agg(F.count("*").alias("n")).collect()}
-    numbers = sorted(set(held) | set(dealt))
+    kind, value = ranges.schema[group].dataType.simpleString(), targets.schema[number].dataType.simpleString()
+    # where nothing but the furthest, greatest and least matter, ranges of one start are one row, and a number that many rows ask for is asked once
+    reach = F.struct(F.col("hi").cast("bigint").alias("hi"), F.col(group).alias("g"))
+    starts = ranges.where("lo is not null").groupBy(F.col("lo").alias("at")).agg(F.max(reach).alias("far"), F.max(group).alias("top"), F.min(group).alias("low"), F.lit(0).cast("long").alias("n"))
+    asks = targets.groupBy(F.col(number).alias("at")).agg(F.count("*").alias("n")).where("at is not null")
+    line = starts.unionByName(asks, allowMissingColumns=True)
+    points = split_points(line, "at")
+    line = line.withColumn("split", split_of(F.col("at"), points))
+    held = {r["split"]: r for r in line.groupBy("split").agg(F.max("far").alias("far"), F.max("top").alias("top"), F.min("low").alias("low")).collect()}
     before, behind = {}, {}
     far = top = low = None
-    for k in numbers:
+    for k in sorted(held):
         before[k] = (far, top)
-        if k in held:
-            far, top = _further(far, tuple(held[k]["far"])), held[k]["top"] if top is None else max(top, held[k]["top"])
-    for k in reversed(numbers):
+        far, top = _further(far, held[k]["far"] and tuple(held[k]["far"])), _further(top, held[k]["top"])
+    for k in sorted(held, reverse=True):
         behind[k] = low
-        if k in held:
-            low = held[k]["low"] if low is None else min(low, held[k]["low"])
-    kind = ranges.schema[group].dataType.simpleString()
-    slices = spark.createDataFrame([(k, dealt.get(k, 0), *before[k], behind[k]) for k in numbers], f"slice int, parts int, far struct<hi:bigint,g:{kind}>, top {kind}, low {kind}")
-    slices = F.broadcast(slices)
-    starts = start.join(slices.select("slice", "parts"), "slice").select("slice", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("part"), "at", F.lit(0).alias("n"), F.struct(F.col("hi").cast("bigint").alias("hi"), "g").alias("r"))
-    asks = asked.join(slices.select("slice", "parts"), "slice").select("slice", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int").alias("part"), "at", "n", F.lit(None).cast(starts.schema["r"].dataType).alias("r"))
-    line = Window.partitionBy("slice", "part").orderBy("at", "n")
-    upto, after = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(1, Window.unboundedFollowing)
-    seen = starts.unionByName(asks).select("slice", "at", "n", F.max("r").over(upto).alias("near_far"), F.max("r.g").over(upto).alias("near_top"), F.min("r.g").over(after).alias("near_low"))
-    out = seen.where("n > 0").join(slices, "slice").select("at", "n", F.greatest("near_far", "far").alias("far"), F.greatest("near_top", "top").alias("top"), F.least("near_low", "low").alias("low"))
+        low = min((x for x in (low, held[k]["low"]) if x is not None), default=None)
+    inherited = F.broadcast(spark.createDataFrame([(k, *before[k], behind[k]) for k in held], f"split int, far struct<hi:bigint,g:{kind}>, top {kind}, low {kind}"))
+    order = Window.partitionBy("split").orderBy("at", "n")
+    upto, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    seen = line.select("split", "at", "n", F.max("far").over(upto).alias("near_far"), F.max("top").over(upto).alias("near_top"), F.min("low").over(after).alias("near_low"))
+    out = seen.where("n > 0").join(inherited, "split").select("at", "n", F.greatest("near_far", "far").alias("far"), F.greatest("near_top", "top").alias("top"), F.least("near_low", "low").alias("low"))
     free = F.coalesce(F.col("far.hi") < F.col("at"), F.lit(True))
-    found = out.select(F.col("at").alias(number), "n", F.when(~free, F.col("far.g")).alias("holder"), F.when(free, F.col("top")).alias("below"), F.when(free, F.col("low")).alias("above"))
+    found = out.select(F.col("at").cast(value).alias(number), "n", F.when(~free, F.col("far.g")).alias("holder"), F.when(free, F.col("top")).alias("below"), F.when(free, F.col("low")).alias("above"))
     return found.select(number, "holder", "below", "above", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
 
 
@@ -71,7 +89,7 @@ def candidates(located: DataFrame, unlisted: DataFrame, number: str = "number",
     """What to try for each number, in order (``turn`` from 1): its holder; else bulletins between the neighbours that list nothing, then the lower, then the upper neighbour.
 
     ``unlisted``: bulletin numbers that list no article.  Numbers between the
-    same two neighbours are one gap; gaps and unlisted bulletins meet by slices
+    same two neighbours are one gap; gaps and unlisted bulletins meet by splits
     of the bulletins' numbers, so each is compared only with what is near.
     ``most``: the tries that a gap is given (``attempts_allowed``); what is left
     is counted in ``untried``.
@@ -79,13 +97,11 @@ def candidates(located: DataFrame, unlisted: DataFrame, number: str = "number",
     loose = located.where("holder is null")
     gaps = loose.select("below", "above").distinct()
     empty = unlisted.select(F.col("bulletin").alias("b")).distinct()
-    ends = empty.agg(F.min("b").alias("a"), F.max("b").alias("z")).first()
-    first, last = ends["a"] or 0, ends["z"] or 0
-    width = max(1, -(-(last - first + 1) // SLICES))
-    place = lambda b: F.floor((b - first) / width)
-    near = F.sequence(place(F.greatest(F.coalesce("below", F.lit(first)), F.lit(first))), place(F.least(F.coalesce("above", F.lit(last)), F.lit(last))))
-    wide = gaps.where(F.greatest(F.coalesce("below", F.lit(first)), F.lit(first)) <= F.least(F.coalesce("above", F.lit(last)), F.lit(last))).withColumn("slice", F.explode(near))
-    met = wide.join(empty.withColumn("slice", place(F.col("b"))), "slice").where((F.col("below").isNull() | (F.col("b") > F.col("below"))) & (F.col("above").isNull() | (F.col("b") < F.col("above"))))
+    points = split_points(empty, "b")
+    place = lambda b: split_of(b, points)
+    near = F.sequence(F.when(F.col("below").isNull(), F.lit(0)).otherwise(place(F.col("below"))), F.when(F.col("above").isNull(), F.lit(len(points))).otherwise(place(F.col("above"))))
+    wide = gaps.where("below is null or above is null or below < above").withColumn("split", F.explode(near))
+    met = wide.join(empty.withColumn("split", place(F.col("b"))), "split").where((F.col("below").isNull() | (F.col("b") > F.col("below"))) & (F.col("above").isNull() | (F.col("b") < F.col("above"))))
     tries = met.select("below", "above", "b", F.lit(1).alias("grade"))
     for grade, side in ((2, "below"), (3, "above")):
         tries = tries.unionByName(gaps.where(F.col(side).isNotNull()).select("below", "above", F.col(side).alias("b"), F.lit(grade).alias("grade")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import guard, ingest, locate, paging
+from ..shipping import shared_folder
+from ..sources.states import StateTable
 from .views import WITH, attempts, bulletins, listed, outcomes, page_lengths, table
 
 TODAY = date(1998, 1, 1)
@@ -106,6 +109,33 @@ def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.locate(targets, locate.spans(listed(spark, sf_dir)))
 
 
+def _crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as ranges that crowd in one corner, and one far away; documents' numbers as targets."""
+    key, lo = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_orderkey") % 3000
+    ranges = table(spark, sf_dir, "lineitem").select(key.alias("bulletin"), lo.alias("lo"), (lo + F.col("l_linenumber") % 2).alias("hi"))
+    far = spark.range(1).select(F.lit(10**15).alias("bulletin"), F.lit(10**12).alias("lo"), F.lit(10**12).alias("hi"))
+    targets = table(spark, sf_dir, "documents").select((F.col("doc_id") * 4 - 100).alias("number"))
+    return locate.locate(targets, ranges.unionByName(far))
+
+
+_CROWDED = """with spans as (select l_orderkey * 10 + l_linenumber as bulletin, l_orderkey % 3000 as lo, l_orderkey % 3000 + l_linenumber % 2 as hi from lineitem union all select 1000000000000000, 1000000000000, 1000000000000),
+asked as (select doc_id * 4 - 100 as number from documents),
+holders as (select number, arg_max(bulletin, (hi, bulletin)) as holder from asked join spans on number between lo and hi group by number)
+select number, holder, case when holder is null then (select max(bulletin) from spans where hi < number) end as below, case when holder is null then (select min(bulletin) from spans where lo > number) end as above
+from asked left join holders using (number)"""
+
+
+def _from_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States folded batch by batch, as a stream's batches come, the second of them twice."""
+    log = attempts(spark, sf_dir)
+    own = StateTable(spark, f"{shared_folder(spark)}/states-{uuid.uuid4().hex}", buckets=8)
+    quarter = F.floor(F.percent_rank().over(Window.partitionBy("bulletin").orderBy("seq")) * 3).cast("int")
+    parts = log.withColumn("batch", quarter)
+    for batch in (0, 1, 1, 2, 3):
+        own.take_in(parts.where(F.col("batch") == batch).drop("batch"), batch)
+    return own.vacuum().states.select("bulletin", "origin", "state", "failures", "status", "stored_seq")
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = table(spark, sf_dir, "documents").select(F.expr("doc_id div 50").alias("bulletin")).distinct()
     empty = every.join(listed(spark, sf_dir).select("bulletin").distinct(), "bulletin", "left_anti")
@@ -182,6 +212,8 @@ QUERIES = {
     "catalogue_keys": _keys,
     "repeated_keys": _repeated,
     "range_locate": _located,
+    "range_locate_crowded": _crowded,
+    "state_from_batches": _from_batches,
     "neighbour_locate": _candidates,
     "error_budget_window": lambda spark, sf_dir: guard.errors_in_window(outcomes(spark, sf_dir)).select("site", "seq", "errors"),
     "error_budget_wait": lambda spark, sf_dir: guard.budget_wait(outcomes(spark, sf_dir), 86_400).select("site", "seq", F.round("wait_seconds", 3).alias("wait_seconds")),
@@ -206,6 +238,8 @@ ORACLES = {
     "run_counters_eta": f"{WITH} select seq // 1000 as run, count(*) as done, count(*) filter (outcome = 'indexado') as indexado, count(*) filter (outcome = 'sin_sumarios') as sin_sumarios, count(*) filter (outcome = 'error') as error, count(*) filter (status between 500 and 599) as broken, round(cast(2.5 * greatest(250 - count(*), 0) as double)) as eta from attempts group by 1",
     "catalogue_keys": "select c_custkey as record, case when count(*) over (partition by c_custkey // 2) > 1 then 'BOME-B-2000-' || (c_custkey // 2) || '~' || c_custkey else 'BOME-B-2000-' || (c_custkey // 2) end as key, 'MEL-7-' || c_nationkey || case when row_number() over w > 1 then '-' || row_number() over w else '' end as article_key from customer window w as (partition by c_nationkey order by c_custkey)",
     "repeated_keys": "select c_nationkey, count(*) as n from customer group by 1 having count(*) > 1",
+    "range_locate_crowded": _CROWDED,
+    "state_from_batches": _sql_fold("origin"),
     "range_locate": f"{_LOCATED} select number, holder, below, above from located",
     "neighbour_locate": f"{_CANDIDATES} select number, bulletin, row_number() over (partition by number order by grade, bulletin) as turn from tries",
     "error_budget_window": f"{WITH} select site, seq, count(*) filter (status >= 400) over (partition by site order by epoch_us(ts) range between 599999999 preceding and current row) as errors from outcomes",

@@ -1,7 +1,9 @@
+import bisect
 import random
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliograph.operators import federate, locate
 
@@ -102,7 +104,7 @@ def test_locate_against_search(spark):
 @pytest.mark.parametrize("seed", range(4))
 def test_locate_in_ranges_that_overlap(spark, seed, monkeypatch):
     rng = random.Random(seed)
-    monkeypatch.setattr(locate, "TARGETS", 7)
+    monkeypatch.setattr(locate, "ROWS", 3)
     spans = [(k, lo, lo + rng.choice([0, 3, 40, 400])) for k, lo in enumerate(rng.randrange(1500) for _ in range(50))]
     rng.shuffle(spans)
     asked = [rng.randrange(-20, 2000) for _ in range(150)] + [700] * 30 + [None]
@@ -115,3 +117,16 @@ def test_locate_in_ranges_that_overlap(spark, seed, monkeypatch):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     plan = got._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "SinglePartition" not in plan
+
+
+def test_splits_are_even_where_numbers_crowd(spark):
+    """Ten times as many ranges in one corner, one number that many rows have, and one far outlier: no split is above three times the median."""
+    rng = random.Random(9)
+    numbers = [rng.randrange(10**6) for _ in range(3000)] + [rng.randrange(500, 560) * 1000 + rng.randrange(40) for _ in range(30_000)] + [10**12]
+    line = spark.createDataFrame([(n,) for n in set(numbers)], "at long")
+    points = locate.split_points(line, "at")
+    sizes = sorted(r["count"] for r in line.groupBy(locate.split_of(F.col("at"), points).alias("split")).count().collect())
+    assert len(sizes) == len(points) + 1 > 30 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    told = {r["at"]: r["split"] for r in line.select("at", locate.split_of(F.col("at"), points).alias("split")).collect()}
+    assert all(split == bisect.bisect_right(points, at) for at, split in told.items())
+    assert locate.split_points(line.limit(0), "at") == []

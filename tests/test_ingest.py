@@ -66,3 +66,30 @@ def test_pauses_and_pace(spark):
     assert ingest.stops_run(3, 0) and ingest.stops_run(0, 6) and not ingest.stops_run(2, 5)
     row = spark.range(1).select(ingest.remaining_seconds(F.lit(10.0), F.lit(4), F.lit(7)), ingest.remaining_seconds(F.lit(10.0), F.lit(0), F.lit(7))).first()
     assert tuple(row) == (8.0, None)
+
+
+def test_states_from_batches_are_those_of_the_log(spark, tmp_path):
+    """A stream's batches folded onto buckets of states; a batch that comes again changes nothing, a reader keeps its version."""
+    import random
+
+    from foliograph.sources.states import StateTable
+    from foliograph.streaming.sync import sync_stream
+
+    rng, schema = random.Random(2), "seq long, bulletin long, origin string, outcome string, status int, blocked boolean, message string"
+    log = [(k, rng.choice([1, 1, 1, 2, 3, 50, 51]), rng.choice(["new", "old"]), o := rng.choice(["indexado", "sin_sumarios", "error", "error"]), rng.choice([500, 503, None, 404]) if o == "error" else None, False, f"m{k}") for k in range(300)]
+    for k in range(0, 300, 100):
+        spark.createDataFrame(log[k : k + 100], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        table = StateTable(spark, f"{tmp_path}/own", buckets=4)
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        sync_stream(stream, f"{tmp_path}/cp", table.take_in).awaitTermination(120)
+    want = sorted(map(str, ingest.current_state(spark.createDataFrame(log, schema)).collect()))
+    assert sorted(map(str, table.states.collect())) == want
+    old = table.states
+    table.take_in(spark.createDataFrame(log[:9], schema), 2)
+    assert sorted(map(str, table.states.collect())) == want
+    table.take_in(spark.createDataFrame([(999, 777, "new", "indexado", None, False, None)], schema), 3)
+    assert old.count() == len(want) and table.vacuum().states.count() == len(want) + 1
+    table.take_in(spark.createDataFrame([], schema), 4)
+    assert table.states.count() == len(want) + 1
+    late = spark.createDataFrame([(1000, 777, "new", "error", 500, False, "x"), (1001, 778, "old", "error", 500, False, "y")], schema)
+    assert sorted(map(str, table.take_in(late, 5).states.where("bulletin > 700").collect())) == sorted(map(str, ingest.fold_onto(ingest.current_state(spark.createDataFrame([(999, 777, "new", "indexado", None, False, None)], schema)), late).collect()))

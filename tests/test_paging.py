@@ -54,3 +54,28 @@ def test_spark_chunks(spark, budget):
     for d, lengths in docs.items():
         pieces, _ = chunk_at(["x" * n for n in lengths], 1, 0, budget)
         assert one[d] == [(p["page"], len(p["text"]), p["cut"]) for p in pieces]
+
+
+def greedy(lengths, budget):
+    """Pages put one behind the other, as they come."""
+    chunk, used, out = 1, 0, []
+    for k, n in enumerate(lengths):
+        if n <= budget - used or used == 0 and n <= budget:
+            out.append((chunk, k, 0, n))
+            used += n
+            continue
+        first, pieces = chunk + (used > 0), -(-n // budget)
+        out += [(first + i, k, i * budget, min(budget, n - i * budget)) for i in range(pieces)]
+        chunk, used = first + pieces - 1, (n - 1) % budget + 1
+    return out
+
+
+def test_chunks_by_pointers_are_the_greedy_ones(spark):
+    rng = random.Random(6)
+    docs = {d: [rng.choice([0, 0, 1, 3, 5, 9, 10, 10, 11, 20, 25, 40]) for _ in range(rng.randint(1, 40))] for d in range(150)}
+    docs |= {1000: [7] * 5000, 1001: [0] * 50, 1002: [10**6], 1003: [0, 0, 25, 0, 5, 6]}
+    df = spark.createDataFrame([(d, k, n) for d, ns in docs.items() for k, n in enumerate(ns)], "doc long, page long, length long")
+    got = [tuple(r) for r in all_chunks(df, budget=10).where("doc <> 1002").collect()]
+    assert sorted(got) == sorted((d, *x) for d, ns in docs.items() if d != 1002 for x in greedy(ns, 10))
+    assert all_chunks(df.where("doc = 1002"), budget=10).agg({"chunk": "max", "taken": "sum"}).first().asDict() == {"max(chunk)": 100_000, "sum(taken)": 10**6}
+    assert all_chunks(df.limit(0)).count() == 0
