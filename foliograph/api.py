@@ -615,10 +615,14 @@ NATIVE_FUNCTIONS = (
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions: phrase_count, word_start, parse_cve without Python; normalize, highlight, html_to_text over Arrow batches; chunks as a table function."""
+    """SQL functions: phrase_count, word_start, parse_cve without Python; normalize, highlight, html_to_text over Arrow batches; chunks as a table function over an array of texts or a table of pages."""
+    from pyspark.sql import Row
     from pyspark.sql.functions import pandas_udf, udtf
+    from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
     from .functions.text import mark_matches
+    from .operators.paging import Greedy
     from .sources.tree import parse, plain_text
 
     ship(spark)
@@ -638,7 +642,28 @@ def register_functions(spark: SparkSession) -> None:
         return pages.map(lambda h: plain_text(parse(h)) if h else "")
 
     class Chunks:
+        """An array of page texts, or a table of pages (doc, page, and text or length), one document after another."""
+
+        def __init__(self):
+            self.greedy = None
+
+        @staticmethod
+        def analyze(pages: AnalyzeArgument, budget: AnalyzeArgument) -> AnalyzeResult:
+            if not pages.isTable:
+                return AnalyzeResult(StructType().add("chunk", IntegerType()).add("page", IntegerType()).add("start", IntegerType()).add("text", StringType()).add("cut", BooleanType()))
+            kinds = {f.name: f.dataType for f in pages.dataType}
+            if not {"doc", "page"} <= set(kinds) or not {"text", "length"} & set(kinds):
+                raise ValueError("the pages need the columns doc, page, and text or length")
+            told = StructType().add("doc", kinds["doc"]).add("chunk", IntegerType()).add("page", kinds["page"]).add("start", LongType()).add("taken", LongType())
+            return AnalyzeResult(told.add("text", StringType()) if "text" in kinds else told)
+
         def eval(self, pages, budget: int):
+            if isinstance(pages, Row):
+                self.greedy = self.greedy or Greedy()
+                text = pages["text"] or "" if "text" in pages else None
+                for chunk, start, taken in self.greedy.place(pages["length"] or 0 if text is None else len(text), budget):
+                    yield (pages["doc"], chunk, pages["page"], start, taken, *([] if text is None else [text[start : start + taken]]))
+                return
             cursor, number = (1, 0) if pages else None, 0
             while cursor:
                 pieces, cursor = chunk_at(pages, *cursor, budget)
@@ -648,7 +673,7 @@ def register_functions(spark: SparkSession) -> None:
 
     for name, function in (("normalize", normalize), ("highlight", highlight), ("html_to_text", html_to_text)):
         spark.udf.register(name, function)
-    spark.udtf.register("chunks", udtf(Chunks, returnType="chunk int, page int, start int, text string, cut boolean"))
+    spark.udtf.register("chunks", udtf(Chunks))
 
 
 __all__ = ["AND", "Gazette", "Library", "answered", "day", "old_search_text", "register_functions"]

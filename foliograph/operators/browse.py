@@ -38,7 +38,7 @@ def lookup(catalogue: DataFrame, cve: str | None = None, record: int | None = No
 
 def lookup_one(catalogue: DataFrame, cve: str | None = None, record: int | None = None):
     """The one row, None if there is none; an identifier that the catalogue repeats is an error that names the records."""
-    rows = lookup(catalogue, cve, record).orderBy("record").limit(50).collect()
+    rows = lookup(catalogue, cve, record).orderBy("record").collect()  # as many as share one identifier; all of them are the answer
     if len(rows) > 1:
         raise Ambiguous(cve or str(record), [r["record"] for r in rows])
     return rows[0] if rows else None

@@ -52,6 +52,23 @@ def first_chunk(pages: DataFrame, doc: str = "doc", page: str = "page", length:
     return kept.select(doc, page, F.least(F.col(length), F.lit(budget)).cast("long").alias("taken"), (F.col(length) > budget).alias("cut"))
 
 
+class Greedy:
+    """A document's pages put into chunks one after another; what ``all_chunks`` does for many documents at once."""
+
+    def __init__(self):
+        self.chunk, self.used = 1, 0
+
+    def place(self, length: int, budget: int) -> list[tuple[int, int, int]]:
+        """(chunk, start, taken) of the next page's pieces."""
+        if length <= budget - self.used:
+            self.used += length
+            return [(self.chunk, 0, length)]
+        first = self.chunk + (self.used > 0)
+        starts = range(0, length, budget)
+        self.chunk, self.used = first + len(starts) - 1, length - starts[-1]
+        return [(first + k, at, min(budget, length - at)) for k, at in enumerate(starts)]
+
+
 def _once(rows: DataFrame, **columns: Column) -> DataFrame:
     """``rows`` with further columns that are worked out once a row; else the optimizer would put their expressions into every lambda that looks at them."""
     return rows.select(*rows.columns, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))

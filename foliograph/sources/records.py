@@ -159,7 +159,7 @@ def article_of(page: str, site: str = SITE) -> dict:
     bulletin, title = Cve.parse(found[1]), _text(header.first("h1"))
     body = root.first("section", id="bome-show-articulo-content") or Element("", {}, None)
     pages = printed_pages(body.first(cls="paginas-sumario"), site)
-    number = re.search(r"n[º°o]\.? ?(\d+)", title.lower())
+    number = re.search(r"no ?(\d+)", title.lower().translate({ord("º"): "o", ord("°"): "o"}).replace("no.", "no"))
     return {
         "cve": str(cve), "number": cve.number, "bulletin_cve": str(bulletin), "bulletin_number": int(number[1]) if number else None, "bulletin_date": day_of(title),
         "heading": _text(body.first("h3")) or None, "summary": _text(body.first(cls="intro-sumario")) or None,
@@ -482,28 +482,32 @@ CALENDAR_ITEM = "array<struct<title:string,start:string,url:string>>"
 ENTITY_ITEM = "array<struct<id:string,nombre:string>>"
 
 
-def calendar(payloads: DataFrame, json_col: str = "json", site: str = SITE) -> DataFrame:
-    """Bulletins of calendar payloads (arrays of events); events without a bulletin's address are left out.
-
-    A payload that is no array fails the job; ``not_arrays`` finds those.
-    """
-    item = checked_arrays(payloads, json_col).select(F.explode(F.from_json(json_col, CALENDAR_ITEM)).alias("e")).select("e.*")
+def _calendar_items(payloads: DataFrame, json_col: str, site: str) -> DataFrame:
+    """``calendar``, and where each row stands: (hash of the payload, position).  A payload is parsed once."""
+    text = F.col(json_col)
+    parsed = payloads.select(text.alias("json"), F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, CALENDAR_ITEM)).alias("items"))
+    sure = F.coalesce("items", F.raise_error(F.lit("the calendar isn't an array")))
+    item = parsed.select(F.xxhash64("json").alias("payload"), F.posexplode(sure).alias("pos", "e")).select(F.struct("payload", "pos").alias("place"), "e.*")
     cve = F.upper(F.regexp_extract("url", r"(?i)/bome/(BOME-BX?-\d{4}-\d+)/?$", 1))
     kind, year, number = F.regexp_extract(cve, r"-(BX?)-", 1), F.regexp_extract(cve, r"-(\d{4})-", 1), F.regexp_extract(cve, r"(\d+)$", 1).try_cast("bigint")
     canonical = F.concat_ws("-", F.lit("BOME"), kind, year, number)
     title = F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)\s+", " "))
-    return item.where((cve != "") & (number > 0)).select(canonical.alias("cve"), number.alias("number"), F.try_to_date(F.substring("start", 1, 10), "yyyy-MM-dd").alias("date"), (kind == "BX").alias("extraordinary"), F.concat(F.lit(f"{site}/bome/"), canonical).alias("url"), F.when(title != "", title).alias("title"))
+    return item.where((cve != "") & (number > 0)).select("place", canonical.alias("cve"), number.alias("number"), F.try_to_date(F.substring("start", 1, 10), "yyyy-MM-dd").alias("date"), (kind == "BX").alias("extraordinary"), F.concat(F.lit(f"{site}/bome/"), canonical).alias("url"), F.when(title != "", title).alias("title"))
 
 
-def whole_calendar(payloads: DataFrame, json_col: str = "json", site: str = SITE) -> DataFrame:
-    """Bulletins of many payloads, whose ranges may overlap, each once."""
-    return calendar(payloads, json_col, site).dropDuplicates(["cve"])
+def calendar(payloads: DataFrame, json_col: str = "json", site: str = SITE) -> DataFrame:
+    """Bulletins of calendar payloads (arrays of events); events without a bulletin's address are left out.
+
+    A payload that is no array fails the job; ``not_arrays`` finds those.
+    """
+    return _calendar_items(payloads, json_col, site).drop("place")
 
 
-def checked_arrays(payloads: DataFrame, json_col: str = "json") -> DataFrame:
-    """The payloads; one that is no array fails the job."""
-    good = F.coalesce(F.startswith(F.ltrim(F.col(json_col)), F.lit("[")), F.lit(False)) & F.from_json(json_col, CALENDAR_ITEM).isNotNull()
-    return payloads.withColumn(json_col, F.when(good, F.col(json_col)).otherwise(F.raise_error(F.lit("the calendar isn't an array"))))
+def whole_calendar(payloads: DataFrame, json_col: str = "json", site: str = SITE) -> DataFrame:
+    """Bulletins of many payloads, whose ranges may overlap, each once: of several rows the first of one payload, whichever order the payloads are in."""
+    rows = _calendar_items(payloads, json_col, site)
+    first = F.min_by(F.struct(*(c for c in rows.columns if c != "place")), "place")
+    return rows.groupBy("cve").agg(first.alias("r")).select("r.*")
 
 
 def not_arrays(payloads: DataFrame, json_col: str = "json") -> DataFrame:
