@@ -196,3 +196,20 @@ def test_sql_functions(spark):
     plan = spark.sql("select phrase_count(cast(id as string), '1') as n, word_start(cast(id as string), '1') as w from range(3)")._jdf.queryExecution().toString()
     assert "Python" not in plan
     assert spark.createDataFrame([("ñ",)], "t string").select(fold(F.col("t"))).first()[0] == fold_text("ñ")
+
+
+def test_chunks_over_a_table(spark):
+    """One document after another, as the same pages in an array and all at once."""
+    from foliograph.api import register_functions
+    from foliograph.operators.paging import all_chunks
+
+    register_functions(spark)
+    pages = spark.createDataFrame([("a", 1, "x" * 7), ("a", 2, ""), ("a", 3, "y" * 25), ("b", 1, None), ("b", 2, "zz"), ("a", 4, "w" * 4)], "doc string, page int, text string")
+    rows = spark.sql("SELECT * FROM chunks(TABLE({pages}) PARTITION BY doc ORDER BY page, budget => 10)", pages=pages).collect()
+    assert rows[0].asDict().keys() == {"doc", "chunk", "page", "start", "taken", "text"}
+    want = all_chunks(pages.selectExpr("doc", "page", "length(text) as length"), budget=10).collect()
+    assert sorted((r["doc"], r["chunk"], r["page"], r["start"], r["taken"]) for r in rows) == sorted(map(tuple, want))
+    assert "".join(r["text"] for r in sorted(rows, key=lambda r: (r["doc"], r["page"], r["start"]))) == "x" * 7 + "y" * 25 + "w" * 4 + "zz"
+    assert spark.sql("SELECT chunk, text FROM chunks(array('abc', 'defgh'), 4)").count() == 3
+    with pytest.raises(Exception, match="doc, page"):
+        spark.sql("SELECT * FROM chunks(TABLE({pages}), budget => 10)", pages=pages.drop("doc")).collect()

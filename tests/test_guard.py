@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliograph.operators import guard
 from foliograph.streaming import sync
-from foliograph.streaming.guard_stream import guard_stream, windowed_errors
+from foliograph.streaming.guard_stream import STATE_STORE, guard_stream, guard_with_timers, known_before, windowed_errors
 from foliograph.streaming.sync import Inbox, Lease, ProgressListener, SyncRun, append_batches, shutdown, sync_stream
 
 START = datetime(2026, 1, 1)
@@ -104,6 +104,52 @@ def test_idle_sites_are_forgotten(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
 
 
+@pytest.fixture
+def timers(spark):
+    """Sessions that keep state in the store that lists and timers need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, STATE_STORE)
+    yield
+    spark.conf.unset(key)
+
+
+def replayed(spark, log, tmp_path, name, make, parts=3):
+    """A log as a stream of micro-batches."""
+    ordered = sorted(log, key=lambda r: r[1])
+    for k in range(parts):
+        spark.createDataFrame(ordered[k * len(log) // parts : (k + 1) * len(log) // parts], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/{name}/{k}")
+        time.sleep(0.05)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/*")
+    query = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}-cp").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    return spark.table(name).collect(), query
+
+
+def test_timers_decide_as_the_log_does(spark, log, tmp_path, timers):
+    batch = spark.createDataFrame(log, SCHEMA)
+    errors = {r["seq"]: r["errors"] for r in guard.errors_in_window(batch).collect()}
+    closed = {r["seq"]: r["closed"] for r in guard.cooldown_deadline(batch).collect()}
+    rows, _ = replayed(spark, log, tmp_path, "timed", guard_with_timers)
+    same = Counter(r[1] for r in log)
+    assert len(rows) == len(log) and {r["seq"]: r["closed"] for r in rows} == closed
+    assert {r["seq"]: r["errors"] for r in rows if same[[x[1] for x in log if x[2] == r["seq"]][0]] == 1} == {k: v for k, v in errors.items() if same[[x[1] for x in log if x[2] == k][0]] == 1}
+
+
+def test_timers_begin_with_what_a_log_has_left_and_clear_state(spark, tmp_path, timers):
+    early = [(1, START, 1, 500, None), (1, START + timedelta(seconds=5), 2, 500, None), (2, START, 3, None, None), (9, START, 4, 429, 9000.0)]
+    late = START + timedelta(days=3)
+    log = [(1, START + timedelta(seconds=60), 5, 500, None), (2, START + timedelta(seconds=61), 6, None, None), (9, START + timedelta(seconds=62), 7, 200, None)]
+    log += [(3, late, 8, 200, None), (3, late + timedelta(seconds=1), 9, 200, None), (1, late + timedelta(seconds=2), 10, 500, None), (2, late + timedelta(seconds=3), 11, None, None)]
+    before = known_before(spark.createDataFrame(early, SCHEMA))
+    rows, query = replayed(spark, log, tmp_path, "begun", lambda s: guard_with_timers(s, before), parts=7)
+    got = {r["seq"]: (r["errors"], r["closed"]) for r in rows}
+    assert got == {5: (3, False), 6: (0, True), 7: (1, True), 8: (0, False), 9: (0, False), 10: (1, False), 11: (0, False)}
+    assert {r["seq"]: r["wait_seconds"] for r in rows}[5] == 540.0
+    # what sites 1, 2 and 9 had in the log's days was cleared by their timers: of each site that came back one stamp or value is left
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(sizes[:4]) >= 5 and min(sizes[4:]) <= 1 and max(sizes[4:]) <= 4
+
+
 ROWS = "bulletin long, seq long, number long, date date, outcome string"
 
 
