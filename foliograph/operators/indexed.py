@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.text import HAS, Term, and_groups, highlighter, parse_terms, positive_phrases
@@ -131,15 +132,25 @@ def best_page(store: Store, bulletins: DataFrame, terms: Sequence[Term], filters
     of them, no other can be on it.  Else eight times as many are looked at, up
     to MOST_CANDIDATES; then all have to be.  With one phrase the order doesn't
     depend on how many texts hold it, so that is counted (observed) by the job
-    that finds the best.
+    that finds the best; with several the hits (no texts, a few numbers each) are
+    kept between the counting and the ranking.
     """
-    spark = store.spark
     phrases = list(dict.fromkeys(t.phrase for t in terms))
-    ranked, counts = positive_phrases(terms), store.version().counts
     hits = phrase_hits(store, phrases, word_start)
-    held: Sequence[int] | None = None
-    if len(phrases) > 1:
+    if len(phrases) == 1:
+        return _best_page(store, bulletins, terms, filters, phrases, hits, None, limit, offset, first)
+    hits = hits.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
         held = hits.agg(*_holding(hits, len(phrases))).first()
+        return _best_page(store, bulletins, terms, filters, phrases, hits, held, limit, offset, first)
+    finally:
+        hits.unpersist()
+
+
+def _best_page(store: Store, bulletins: DataFrame, terms: Sequence[Term], filters: Filters, phrases: list[str], hits: DataFrame, held: Sequence[int] | None, limit: int, offset: int, first: int | None) -> DataFrame | None:
+    """``best_page`` from the hits; ``held``: how many texts hold each phrase, None if that is still to be counted."""
+    spark = store.spark
+    ranked, counts = positive_phrases(terms), store.version().counts
     want = first or max(LEAST_CANDIDATES, 4 * (offset + limit))
     while want <= MOST_CANDIDATES:
         seen = Observation()

@@ -64,7 +64,8 @@ def locate(targets: DataFrame, ranges: DataFrame, number: str = "number", group:
     starts = ranges.where("lo is not null").groupBy(F.col("lo").alias("at")).agg(F.max(reach).alias("far"), F.max(group).alias("top"), F.min(group).alias("low"), F.lit(0).cast("long").alias("n"))
     asks = targets.groupBy(F.col(number).alias("at")).agg(F.count("*").alias("n")).where("at is not null")
     line = starts.unionByName(asks, allowMissingColumns=True)
-    points = split_points(line, "at")
+    # quantiles of the rows as they are: a number that repeats is one point, and no shuffle is needed for them
+    points = split_points(ranges.select(F.col("lo").alias("at")).union(targets.select(F.col(number))), "at")
     line = line.withColumn("split", split_of(F.col("at"), points))
     held = {r["split"]: r for r in line.groupBy("split").agg(F.max("far").alias("far"), F.max("top").alias("top"), F.min("low").alias("low")).collect()}
     before, behind = {}, {}
