@@ -527,7 +527,8 @@ class Gazette:
             rows = rows.join(browse.of_section(listed, hidden, section).select("bulletin", "number"), ["bulletin", "number"], "left_semi")
         shown, counted = federate.drill_down(found, rows.drop("norm", "content"), max_bulletins, max_articles)
         totals = federate.stream_totals(hits).first()
-        failed = [r["bulletin"] for r in found.where("failed").limit(federate.BULLETINS[1]).collect()]
+        # the newest of those that couldn't be read, opened or not, as many as the largest budget has bulletins
+        failed = [r["bulletin"] for r in found.where("failed").orderBy(*federate.newest_first()).limit(federate.BULLETINS[1]).collect()]
         sent = [federate.site_parameters([(t.scope, t.mode, t.text) for t in g], start.isoformat(), end.isoformat()) for g in groups]
         return counted.first().asDict() | {"articles": [r.asDict() for r in shown.orderBy("place").collect()], "total_bulletins": totals["total"] or 0, "total_exact": totals["exact"], "distinct_bulletins": totals["bulletins"], "errors": [{"stage": "bome", "bulletin": b, "error_code": UnreadablePage.code} for b in failed], "parameters": sent}
 

@@ -298,9 +298,15 @@ class Store:
         return {number: {r["seg"]: (r["n"], r["total"]) for r in counts}} if counts else {}
 
     def take_in(self, raw: DataFrame) -> Store:
-        """Fold articles (id, bulletin, number, summary, department, section) and add them as a segment; articles of the same ids that were there before are replaced.  A first batch without rows makes an empty store."""
+        """Fold articles (id, bulletin, number, summary, department, section) and add them as a segment; articles of the same ids that were there before are replaced.
+
+        Bytes that aren't valid UTF-8 become replacement characters, so that all
+        that is stored and told can be written.  A first batch without rows makes
+        an empty store.
+        """
         ship(self.spark)
         seg = self._claim()
+        raw = raw.withColumns({f.name: F.make_valid_utf8(f.name) for f in raw.schema if f.dataType.typeName() == "string"})
         dealt = self._parts_of(raw, "summary")
         own, schema = self._write(dealt.select("*", fold(F.col("summary")).alias("norm"), fold(F.col("section")).alias("section_norm")), seg)
         buried = self._bury(self._read("articles", [seg], schema), list(self.version().segments))

@@ -170,3 +170,10 @@ def test_a_deletion_meanwhile_stops_a_merge(spark, tmp_path):
         with pytest.raises(RuntimeError, match="merge again"):
             store.merge(list(store.version().segments))
     assert sorted(r["id"] for r in store.merge(list(store.version().segments)).articles.collect()) == [1, 9]
+
+
+def test_invalid_bytes_are_cleaned(spark, tmp_path, bulletins):
+    bad = raw(spark, ["plaza"]).withColumn("summary", F.expr("cast(unhex('706C617A6120FF61') as string)"))
+    store = Store(spark, f"{tmp_path}/own").take_in(bad).index()
+    row = ix.search_store(store, bulletins, ["plaza"], highlight=True).first()
+    assert row["summary"] == "plaza \ufffda" and row["marked"] == "**plaza** \ufffda"
