@@ -30,7 +30,10 @@ def split_of(value: Column, points: list) -> Column:
         return F.lit(0)
     known = F.array(*map(F.lit, points))
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(points).bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(known, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at))
+    # the value goes along in the state: the optimizer overlooks columns that only a lambda looks at
+    begun = F.struct(value.alias("value"), F.lit(0).alias("at"))
+    further = lambda s, step: F.when(F.coalesce(F.get(known, s["at"] + step - 1) <= s["value"], F.lit(False)), s["at"] + step).otherwise(s["at"])
+    return F.aggregate(steps, begun, lambda s, step: F.struct(s["value"].alias("value"), further(s, step).alias("at")), lambda s: s["at"])
 
 
 def spans(listed: DataFrame, group: str = "bulletin", number: str = "number") -> DataFrame:
@@ -64,8 +67,7 @@ def locate(targets: DataFrame, ranges: DataFrame, number: str = "number", group:
     starts = ranges.where("lo is not null").groupBy(F.col("lo").alias("at")).agg(F.max(reach).alias("far"), F.max(group).alias("top"), F.min(group).alias("low"), F.lit(0).cast("long").alias("n"))
     asks = targets.groupBy(F.col(number).alias("at")).agg(F.count("*").alias("n")).where("at is not null")
     line = starts.unionByName(asks, allowMissingColumns=True)
-    # quantiles of the rows as they are: a number that repeats is one point, and no shuffle is needed for them
-    points = split_points(ranges.select(F.col("lo").alias("at")).union(targets.select(F.col(number))), "at")
+    points = split_points(line, "at")
     line = line.withColumn("split", split_of(F.col("at"), points))
     held = {r["split"]: r for r in line.groupBy("split").agg(F.max("far").alias("far"), F.max("top").alias("top"), F.min("low").alias("low")).collect()}
     before, behind = {}, {}
