@@ -9,6 +9,7 @@ meeting is verified on the whole fingerprints.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import accumulate
@@ -155,6 +156,8 @@ BANDS, ROWS = 48, 8
 SHINGLE, SIMILARITY = 5, 0.8
 #: Members and shingles of a block, on average at most; blocks are compared in pairs where a component is still split.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400_000
+#: Cells that the shingles of split groups are counted in; members that share a rare shingle are paired one by one up to PAIRED.
+CELLS, PAIRED = 1 << 20, 64
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
 _SHIFTS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
@@ -288,15 +291,78 @@ def first_links(members: DataFrame) -> DataFrame:
     return cut(dealt.groupBy("small", "unit", "x", "y").applyInArrow(block_links, "a long, b long"))
 
 
+def rare_ones(m: int) -> int:
+    """Of how many of a member's m shingles, in any order that all members share, a member of similarity SIMILARITY or more must have one among as many of its own."""
+    return m - math.ceil(SIMILARITY * m - 1e-9) + 1
+
+
+def _rare_batches(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:
+    """The last column, shingles, as the rarest of them; ``counts``, a broadcast, says how frequent those of a cell are."""
+    often = counts.value
+    for batch in batches:
+        keys = []
+        for held in batch.columns[-1]:
+            own = held.values.to_numpy()
+            keys.append(own[np.lexsort((own, often[own & (CELLS - 1)]))[: rare_ones(len(own))]])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "keys"])
+
+
+def rare_shingles(members: DataFrame) -> DataFrame:
+    """(grp, key, cid, root, m): the rarest shingles of every member, so many that two similar ones of a group share one.
+
+    What is rare is told by counts in CELLS cells, 8 MB whatever the input, in
+    the driver and each worker; where cells mix shingles the order is a less
+    good one, but still the same for all, so nothing is lost.
+    """
+    spark = members.sparkSession
+    cells = members.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(CELLS, dtype=np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    rare = members.select("grp", "cid", "root", "m", "shingles").mapInArrow(partial(_rare_batches, counts=spark.sparkContext.broadcast(counts)), "grp long, cid long, root long, m long, keys array<long>")
+    return rare.select("grp", F.explode("keys").alias("key"), "cid", "root", "m")
+
+
 def rest_links(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): links that connect all similar members of groups of several blocks, by exact comparison of all that have different roots.
-
-    members: cid, grp, m, shingles.  A group is dealt into blocks, and all pairs
-    of blocks are compared, each in one call; a block's size doesn't grow with
-    the group.  The members of the group's largest component have blocks of
-    their own, which aren't paired among themselves, so a large component with
-    few others around it costs in proportion to it.  Where a group has many
-    components, work and copies of its members grow with its square.
+    """(a, b): links that connect all similar members of groups of several blocks, by exact comparison of those that may be similar and have different roots.
+
+    members: cid, grp, m, shingles.  Two similar members share one of their
+    rarest shingles (a prefix filter).  Where up to PAIRED share one, those of
+    different roots and fitting lengths are compared, each pair once; texts of
+    one template, which share the frequent shingles only, don't meet.  Members
+    of fuller buckets are compared by ``crowded_links``.
+    """
+    named = members.join(roots, members["cid"] == roots["node"], "left").select("cid", "grp", "m", "shingles", F.coalesce("root", "cid").alias("root"))
+    several = named.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("grp").alias("of"))
+    split = cut(named.join(several, F.col("grp") == F.col("of"), "left_semi"))
+    rare = cut(rare_shingles(split))
+    shared = cut(rare.groupBy("grp", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("grp", "key", "n"))
+    few = rare.join(shared.where(F.col("n") <= PAIRED), ["grp", "key"])
+    x, y = few.alias("x"), few.alias("y")
+    fits = F.least("x.m", "y.m") >= SIMILARITY * F.greatest("x.m", "y.m")
+    met = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & fits)
+    pairs = cut(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
+    bodies = split.select("cid", "m", "shingles")
+    first = bodies.join(fit_for_broadcast(pairs), F.col("cid") == F.col("a")).select("a", "b", F.col("m").alias("m_a"), F.col("shingles").alias("s_a"))
+    both = first.join(bodies, F.col("b") == F.col("cid"))
+    common = F.size(F.array_intersect("s_a", "shingles"))
+    links = cut(both.where(common >= SIMILARITY * (F.col("m_a") + F.col("m") - common)).select("a", "b"))
+    crowd = cut(rare.join(shared.where(F.col("n") > PAIRED), ["grp", "key"], "left_semi").select("cid").distinct())
+    if not crowd.limit(1).count():
+        return links
+    roots = with_least(connected_components(split.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(links)))
+    return links.unionByName(crowded_links(split.drop("root").join(crowd, "cid", "left_semi"), roots))
+
+
+def crowded_links(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): links that connect all similar members of a group, by exact comparison of all that have different roots.
+
+    members: cid, grp, m, shingles; those that share a rare shingle with many of
+    another component.  A group of them is dealt into blocks, and all pairs of
+    blocks are compared, each in one call; a block's size doesn't grow with the
+    group.  The members of the group's largest component have blocks of their
+    own, which aren't paired among themselves, so a large component with few
+    others around it costs in proportion to it.  Where many components share
+    rare shingles, work and copies of those members grow with their square.
     """
     named = members.join(roots, members["cid"] == roots["node"], "left").select("cid", "grp", "m", F.coalesce("root", "cid").alias("root"))
     sums = named.groupBy("grp", "root").agg(F.count("*").alias("n"), F.sum("m").alias("s"))
