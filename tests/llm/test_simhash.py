@@ -1,6 +1,5 @@
 import random
 
-import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -222,43 +221,6 @@ def test_blocks_of_a_group_against_brute_force(spark, monkeypatch):
     assert 20 < len({want.find(c) for c in sets}) < len(sets)
 
 
-@pytest.mark.parametrize("paired", [2, 64])
-def test_rest_of_large_groups_by_rare_shingles(spark, monkeypatch, paired):
-    """Texts of one template, half of them similar to another one, with rare shingles that few share and with such that many do."""
-    rng = random.Random(53)
-    monkeypatch.setattr(sd, "PAIRED", paired)
-    template, sets = rng.sample(range(10**6), 40), {}
-    for k in range(60):
-        own = rng.sample(range(10**9), 40) if k % 5 else [*rng.sample(range(10**9), 28), *range(10**9, 10**9 + 12)]
-        sets[2 * k] = sorted({*template, *own})
-        sets[2 * k + 1] = sorted({*template, *own[rng.choice([6, 20]) :]})
-    members = spark.createDataFrame([(c, k, len(v), v) for k in (1, 2) for c, v in ((1000 * k + c, v) for c, v in sets.items())], "cid long, grp long, m long, shingles array<long>")
-    links = sd.rest_links(members, spark.createDataFrame([(1001, 1000)], "node long, root long")).collect()
-    close = lambda a, b: len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})
-    got, want = Union(), Union()
-    for of in (got, want):  # what is known already
-        of.join(1001, 1000)
-    for r in links:
-        assert r["a"] // 1000 == r["b"] // 1000 and close(r["a"] % 1000, r["b"] % 1000)
-        got.join(r["a"], r["b"])
-    for k in (1000, 2000):
-        for a in sets:
-            for b in sets:
-                if a < b and close(a, b):
-                    want.join(k + a, k + b)
-    ids = [k + c for k in (1000, 2000) for c in sets]
-    assert [got.find(c) for c in ids] == [want.find(c) for c in ids] and 120 < len({*map(want.find, ids)}) < 230
-
-
-def test_members_share_one_of_their_rarest_shingles():
-    for m in range(1, 60):
-        for n in range(m, 75):
-            for common in range(1, m + 1):
-                if common >= 0.8 * (m + n - common):
-                    # what isn't shared comes first in both orders: the worst case
-                    assert m - common < sd.rare_ones(m) and n - common < sd.rare_ones(n)
-
-
 def test_similar_texts_in_the_middle_of_a_large_bucket(spark, monkeypatch):
     """All classes in one bucket: every pair in it has to be found, not only those with its ends."""
     monkeypatch.setattr(sd, "meetings", lambda classes: classes.select(F.lit(classes.agg(F.min("cid")).first()[0]).alias("a"), F.col("cid").alias("b")))
