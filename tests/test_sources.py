@@ -174,3 +174,37 @@ def test_snapshots(spark, tmp_path):
         files.read_snapshot(spark, folder, 1)
     assert files.data_folder({"FOLIOGRAPH_HOME": "/x"}) == (Path("/x"), "FOLIOGRAPH_HOME") and files.data_folder({"XDG_DATA_HOME": "/y"})[0] == Path("/y/foliograph")
     assert files.folder_of("pdf", {"FOLIOGRAPH_PDF_DIR": "/p"}) == (Path("/p"), "FOLIOGRAPH_PDF_DIR") and files.folder_of("index", {"FOLIOGRAPH_HOME": "/x"}) == (Path("/x/index"), "FOLIOGRAPH_HOME")
+
+
+def test_recordings_as_a_format(spark, tmp_path):
+    """Read by the format's name: all at once as Spark's reader does, and as a stream that goes on at its offset, each row once."""
+    path, out = f"{tmp_path}/recording", f"{tmp_path}/out"
+    recorded.register_format(spark)
+
+    def fetched(first, last):
+        rows = [(f"https://s.es/{k}", 200 if k % 3 else None, None, datetime(2024, 1, 1, 0, 0, k % 60), "ñ" if k % 2 else None, 'line\nof "text"' * (k % 4)) for k in range(first, last)]
+        recorded.record(spark.createDataFrame(rows, recorded.SCHEMA).repartition(3), path)
+
+    def stream(**options):
+        rows = spark.readStream.format("recordings").options(**options).load(path)
+        query = rows.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check{len(options)}").trigger(availableNow=True).start(f"{out}{len(options)}")
+        assert query.awaitTermination(90)
+        return sorted(spark.read.parquet(f"{out}{len(options)}").collect(), key=str)
+
+    def whole():
+        return sorted(spark.read.schema(recorded.SCHEMA).json(path).collect(), key=str)
+
+    fetched(0, 40)
+    assert sorted(spark.read.format("recordings").load(path).collect(), key=str) == whole()
+    assert stream() == whole() and len(whole()) == 40
+    fetched(40, 70)
+    fetched(10, 12)  # rows alike are rows of their own
+    assert stream() == whole() and len(whole()) == 72
+    assert stream() == whole()
+    assert stream(notes="_others") == whole()
+    assert sorted(recorded.RecordedArrivals(path, "_notes").latestOffset().items()) == [("note", 2)]
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert spark.read.format("recordings").load(str(empty)).count() == 0
+    (empty / "a.json").write_text('no object\n\n{"url": "https://s.es/1", "more": 1}\n')
+    assert sorted(map(tuple, spark.read.format("recordings").load(str(empty)).collect()), key=str) == [("https://s.es/1", *[None] * 5), (None,) * 6]
