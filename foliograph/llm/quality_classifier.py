@@ -11,11 +11,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ._shared import python_ready, read_table
@@ -176,10 +175,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(rows["quality"].to_numpy(), list(zip(numbers("at", np.uint16), numbers("n", np.float32), strict=True)), {k: v / total for k, v in share.items()})
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [model.value.score(t.as_py()) for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.float64())], [*b.schema.names[1:], "score"])
+def probability(spark: SparkSession, model: QualityModel, text: Column) -> Column:
+    """Probability of class 1, over whole texts.  Only texts go to Python and only numbers come back; a row's other columns wait in the JVM."""
+    python_ready(spark)
+    held = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([held.value.score(t.as_py()) for t in texts], pa.float64())
+
+    return of(text.cast("string"))
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
@@ -191,12 +196,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: li
     don't matter, whatever their names.  Of a word longer than BLOCK the parts
     are words.
     """
-    spark = docs.sparkSession
-    python_ready(spark)
-    keep = list(keep)
-    rows = docs.select(F.col(text_col).cast("string").alias("_scored"), *(F.col(f"`{c}`") for c in keep))
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(partial(_score_batches, model=spark.sparkContext.broadcast(model)), schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), probability(docs.sparkSession, model, F.col(f"`{text_col}`")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,5 +213,4 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     together, an empty table stays empty, columns of any name come back.
     """
     model = train(docs, read_table(spark, sf_dir, "labels"))
-    whole = docs.select(F.struct("*").alias("doc"), "text")
-    return score(whole, model, keep=["doc"]).where("score >= 0.5").select("doc.*")
+    return docs.where(probability(spark, model, F.col("text")) >= 0.5)
