@@ -15,7 +15,7 @@ DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "mixing", "packing"]
-    assert [n.split("_")[0] for n in catalog.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in catalog.QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_run_is_its_stages_one_after_another(spark, small, tmp_path):
