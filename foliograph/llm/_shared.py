@@ -17,21 +17,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of an Arrow batch, about, and its rows at most.
-BATCH_BYTES, BATCH_ROWS = 1 << 20, 10_000
-
-
 def python_ready(spark: SparkSession) -> None:
-    """Ship the package to the workers, and bound Arrow batches by bytes, so that many short texts or few long ones go to Python at once.
-
-    Both settings are upper bounds of memory for the session; a caller's smaller ones stay.
-    """
+    """Ship the package to the workers, and bound Arrow batches by bytes (``shipping.bound_batches``)."""
     ship(spark)
-    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = int(spark.conf.get(key).rstrip("b"))
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

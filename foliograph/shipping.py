@@ -10,9 +10,25 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Bytes of an Arrow batch, about, and its rows at most.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 10_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that many short texts or few long ones go to Python at once.
+
+    Both settings are upper bounds of memory for the session; a caller's smaller ones stay.
+    """
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the application's workers, once; Spark serves it to executors that come later too."""
+    """Send the package's source to the application's workers, once; Spark serves it to executors that come later too.  The session's Arrow batches are bounded."""
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -40,6 +41,8 @@ from .ledger import Ledger, names, remove
 GRAM, CODE = 3, 21
 #: Bytes of texts that make a part, and that a part has at least before texts are dealt over idle tasks.
 PART_BYTES, LEAST_PART = 128 << 20, 1 << 20
+#: Characters of texts whose spots are worked out at once, unless one text has more: each takes some 100 bytes meanwhile.
+SPOT_CHARS = 1 << 18
 #: Bytes of a row group: what one task reads at least, so that a table that one task wrote is read by many.
 ROW_GROUP = 8 << 20
 #: Segments of one size (within a factor of as many) that are merged into one.
@@ -95,9 +98,21 @@ class _Lettered(dict):
 _LETTERED = _Lettered()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = SPOT_CHARS) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of one (its last column) have ``most`` characters together, or it has one row."""
+    for b in batches:
+        ends = np.cumsum(pc.utf8_length(b.column(b.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < b.num_rows:
+            before = ends[first - 1] if first else 0
+            after = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield b.slice(first, after - first)
+            first = after
+
+
 def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, row, norm) to postings.  A spot is twice a gram's place in its text, one more if a word starts there."""
-    for b in batches:
+    for b in _slices(batches):
         texts = [t or "" for t in b.column(2).to_pylist()]
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))

@@ -1,6 +1,7 @@
 import random
 from datetime import date, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,25 @@ def test_invalid_bytes_are_cleaned(spark, tmp_path, bulletins):
     store = Store(spark, f"{tmp_path}/own").take_in(bad).index()
     row = ix.search_store(store, bulletins, ["plaza"], highlight=True).first()
     assert row["summary"] == "plaza \ufffda" and row["marked"] == "**plaza** \ufffda"
+
+
+def test_spots_in_bounded_slices():
+    from foliograph.sources import store as st
+
+    texts = ["abcd" * 3, "", None, "x" * (st.SPOT_CHARS + 5), *["menta y anan"] * 60_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["part", "row", "norm"])
+    cut = list(st._slices(iter([batch])))
+    assert [r for b in cut for r in b.column(1).to_pylist()] == list(range(len(texts)))
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(2).to_pylist()) <= st.SPOT_CHARS for b in cut)
+    found = list(st._spots(iter([batch.slice(0, 10_000), batch.slice(10_000)])))
+    assert max(b.num_rows for b in found) < 400_000 and len(found) >= len(cut)
+    assert sum(b.num_rows for b in found) == 4 + 1 + 10 * 60_000
+
+
+def test_batches_are_bounded(spark):
+    from foliograph.shipping import BATCH_BYTES, BATCH_ROWS, ship
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    ship(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
