@@ -14,8 +14,10 @@ from collections.abc import Callable, Iterator
 from datetime import date
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..errors import UnreadablePage
@@ -167,24 +169,35 @@ def article_of(page: str, site: str = SITE) -> dict:
     }
 
 
-def _read_batches(frames: Iterator[pd.DataFrame], reader: Callable[[str], dict], names: list[str], encoding: str) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+#: Records or events of a batch that goes back to Spark.
+ROWS_BACK = 4_096
+
+
+def _arrow(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+
+def _read_batches(batches: Iterator[pa.RecordBatch], reader: Callable[[str], dict], schema: pa.Schema, encoding: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         rows = []
-        for key, page in zip(frame["key"], frame["page"], strict=True):
+        for key, page in zip(batch.column(0), batch.column(1), strict=True):
             try:
-                found = reader(page.decode(encoding) if isinstance(page, bytes) else page or "")
-                rows.append(found | {"key": key, "error": None})
+                page = page.as_py()
+                rows.append(reader(page.decode(encoding) if isinstance(page, bytes) else page or "") | {"key": key.as_py(), "error": None})
             except (UnreadablePage, InvalidIdentifier, UnicodeDecodeError) as error:
-                rows.append(dict.fromkeys(names) | {"key": key, "error": str(error)})
-        yield pd.DataFrame(rows, columns=["key", *names, "error"], dtype=object)
+                rows.append({"key": key.as_py(), "error": str(error)})
+            if len(rows) == ROWS_BACK:
+                yield _arrow(rows, schema)
+                rows = []
+        yield _arrow(rows, schema)
 
 
 def read_pages(pages: DataFrame, reader: Callable[[str], dict], schema: str, key: str = "key", page: str = "page", encoding: str = "utf-8") -> DataFrame:
     """The record of each page, with its key and ``error`` (null where it could be read).  Binary pages are decoded, old ones as ISO-8859-1."""
     ship(pages.sparkSession)
-    names = [n.name for n in pages.sparkSession.createDataFrame([], schema).schema]
     rows = pages.select(F.col(key).alias("key"), F.col(page).alias("page"))
-    return rows.mapInPandas(partial(_read_batches, reader=reader, names=names, encoding=encoding), f"key {dict(rows.dtypes)['key']}, {schema}, error string")
+    schema = StructType.fromDDL(f"key {dict(rows.dtypes)['key']}, {schema}, error string")
+    return rows.mapInArrow(partial(_read_batches, reader=reader, schema=to_arrow_schema(schema), encoding=encoding), schema)
 
 
 def articles_of_bulletins(bulletins: DataFrame) -> DataFrame:
@@ -201,24 +214,39 @@ def articles_of_bulletins(bulletins: DataFrame) -> DataFrame:
 Event = tuple[str, str, dict[str, str | None]]
 
 
-def _event_batches(frames: Iterator[pd.DataFrame], rule: Callable[[Element], Iterator[Event]], encoding: str) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows: list[tuple] = []
-        for key, page in zip(frame["key"], frame["page"], strict=True):
+def _event_batches(batches: Iterator[pa.RecordBatch], rule: Callable[[Element], Iterator[Event]], schema: pa.Schema, encoding: str) -> Iterator[pa.RecordBatch]:
+    names = ("pos", "kind", "text", "attrs", "error")
+
+    def arrow(keys: list, rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(keys, schema.field("key").type), *(pa.array(list(c), schema.field(n).type) for n, c in zip(names, columns, strict=True))], schema=schema)
+
+    for batch in batches:
+        keys, rows = [], []
+        for key, page in zip(batch.column(0), batch.column(1), strict=True):
+            key = key.as_py()
             try:
+                page = page.as_py()
                 root = parse(page.decode(encoding) if isinstance(page, bytes) else page or "")
-                rows += [(key, pos, kind, text, attrs, None) for pos, (kind, text, attrs) in enumerate(rule(root))]
+                del page
+                for pos, (kind, text, attrs) in enumerate(rule(root)):
+                    keys.append(key)
+                    rows.append((pos, kind, text, list(attrs.items()), None))
+                    if len(rows) >= ROWS_BACK:
+                        yield arrow(keys, rows)
+                        keys, rows = [], []
             except (UnreadablePage, UnicodeDecodeError) as error:
-                rows.append((key, None, None, None, None, str(error)))
-        yield pd.DataFrame(rows, columns=["key", "pos", "kind", "text", "attrs", "error"], dtype=object)
+                keys.append(key)
+                rows.append((None, None, None, None, str(error)))
+        yield arrow(keys, rows)
 
 
 def events(pages: DataFrame, rule: Callable[[Element], Iterator[Event]], key: str = "key", page: str = "page", encoding: str = "utf-8") -> DataFrame:
     """(key, pos, kind, text, attrs, error): what ``rule`` finds on each page, in page order; one row with an error for a page that is none of its kind."""
     ship(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(page).alias("page"))
-    schema = f"key {dict(rows.dtypes)['key']}, pos bigint, kind string, text string, attrs map<string,string>, error string"
-    return rows.mapInPandas(partial(_event_batches, rule=rule, encoding=encoding), schema)
+    schema = StructType.fromDDL(f"key {dict(rows.dtypes)['key']}, pos bigint, kind string, text string, attrs map<string,string>, error string")
+    return rows.mapInArrow(partial(_event_batches, rule=rule, schema=to_arrow_schema(schema), encoding=encoding), schema)
 
 
 def _line() -> Window:
@@ -347,10 +375,12 @@ def catalogue_rule(root: Element) -> Iterator[Event]:
     links = root.all("a", where=lambda e: RECORD_HREF in e.attrs.get("href", ""))
     if not links:
         raise UnreadablePage("the catalogue lists no bulletin")
+    pictures: dict[int, str | None] = {}  # of a block, which is looked through once, however many links it has
     for a in links:
         block = a.above("set")
-        pictures = [i.attrs.get("src", "") for title in block.all("div", cls="title") for i in title.all("img")] if block is not None else []
-        yield "link", a.text(), {"href": a.attrs["href"], "picture": pictures[0] if pictures else None}
+        if block is not None and block.start not in pictures:
+            pictures[block.start] = next((i.attrs.get("src", "") for title in block.all("div", cls="title") for i in title.all("img")), None)
+        yield "link", a.text(), {"href": a.attrs["href"], "picture": pictures[block.start] if block is not None else None}
 
 
 def record_url(record: Column) -> Column:
