@@ -396,7 +396,8 @@ def catalogue_links(pages: DataFrame, encoding: str = "ISO-8859-1") -> DataFrame
     """(key, pos, record, text, header_year and the label's fields): the links of old catalogues."""
     rows = events(pages, catalogue_rule, encoding=encoding).where("error is null")
     year = F.regexp_extract(F.col("attrs")["picture"], r"/(\d{4})\.jpg$", 1).try_cast("int")
-    return rows.select("key", "pos", _record_of(F.col("attrs")["href"]).alias("record"), "text", year.alias("header_year"), catalogue_label(F.col("text")).alias("label")).select("*", "label.*").drop("label")
+    # inline: the label is worked out once a link, not once a field
+    return rows.select("key", "pos", _record_of(F.col("attrs")["href"]).alias("record"), "text", year.alias("header_year"), F.inline(F.array(catalogue_label(F.col("text")))))
 
 
 def catalogue(links: DataFrame) -> DataFrame:
@@ -515,9 +516,10 @@ ENTITY_ITEM = "array<struct<id:string,nombre:string>>"
 def _calendar_items(payloads: DataFrame, json_col: str, site: str) -> DataFrame:
     """``calendar``, and where each row stands: (hash of the payload, position).  A payload is parsed once."""
     text = F.col(json_col)
-    parsed = payloads.select(text.alias("json"), F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, CALENDAR_ITEM)).alias("items"))
+    # the hash belongs to the payload: named beside posexplode, it would be worked out again for every event
+    parsed = payloads.select(F.xxhash64(text).alias("payload"), F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, CALENDAR_ITEM)).alias("items"))
     sure = F.coalesce("items", F.raise_error(F.lit("the calendar isn't an array")))
-    item = parsed.select(F.xxhash64("json").alias("payload"), F.posexplode(sure).alias("pos", "e")).select(F.struct("payload", "pos").alias("place"), "e.*")
+    item = parsed.select("payload", F.posexplode(sure).alias("pos", "e")).select(F.struct("payload", "pos").alias("place"), "e.*")
     cve = F.upper(F.regexp_extract("url", r"(?i)/bome/(BOME-BX?-\d{4}-\d+)/?$", 1))
     kind, year, number = F.regexp_extract(cve, r"-(BX?)-", 1), F.regexp_extract(cve, r"-(\d{4})-", 1), F.regexp_extract(cve, r"(\d+)$", 1).try_cast("bigint")
     canonical = F.concat_ws("-", F.lit("BOME"), kind, year, number)
