@@ -10,6 +10,7 @@ with an error instead of failing the job.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import partial
@@ -24,7 +25,7 @@ from ..errors import UnreadablePage
 from ..functions import identifiers as ids
 from ..functions.identifiers import SITE, Cve, InvalidIdentifier
 from ..functions.scalars import EXTRAORDINARY, MONTHS, NUMBER_SIGNS, catalogue_label, clean, figures_date, first_int, ordinal_number, result_counter, secure_url, spanish_date
-from ..shipping import ship
+from ..shipping import shared_folder, ship
 from .tree import Element, first_number, parse, plain_text, squeeze
 
 # Addresses and identifiers in the sources' pages.
@@ -249,6 +250,14 @@ def events(pages: DataFrame, rule: Callable[[Element], Iterator[Event]], key: st
     return rows.mapInArrow(partial(_event_batches, rule=rule, schema=to_arrow_schema(schema), encoding=encoding), schema)
 
 
+def written_once(found: DataFrame) -> DataFrame:
+    """Events that several branches of one result look at: written to the shared folder, so that pages are made and read once."""
+    spark = found.sparkSession
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def _line() -> Window:
     return Window.partitionBy("key").orderBy("pos")
 
@@ -300,7 +309,7 @@ def summaries(pages: DataFrame, site: str = SITE) -> DataFrame:
     department ends the section.  A page of free text has no entries and says so
     in ``warning``.
     """
-    found = events(pages, summary_rule)
+    found = written_once(events(pages, summary_rule))
     rows = found.where("error is null")
     owner = ids.cve_struct(F.regexp_extract(F.first(F.when(_on("header"), F.col("attrs")["cve"]), ignorenulls=True).over(Window.partitionBy("key")), IN_TEXT, 0))
     department = _so_far(F.when(_on("department"), F.col("text")))
@@ -353,7 +362,7 @@ def bulletin_links(found: DataFrame, site: str = SITE) -> DataFrame:
 
 def results(pages: DataFrame, site: str = SITE) -> DataFrame:
     """One row a page of site search results: key, results, page, total_pages, total_results, error; without a counter it is the only page."""
-    found = events(pages, results_rule)
+    found = written_once(events(pages, results_rule))
     hit = F.struct("cve", "number", "date", "extraordinary", "url", "title")
     hits = bulletin_links(found, site).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", hit.alias("hit")))), lambda x: x["hit"]).alias("results"))
     counter = result_counter(F.col("text"))
@@ -474,7 +483,7 @@ def old_articles(found: DataFrame) -> DataFrame:
 
 def old_results(pages: DataFrame, encoding: str = "ISO-8859-1") -> DataFrame:
     """Articles that the old portal's search found, ordered by page and by their place on it: key, place, cve, date, number, kind, summary, path, pages, record, url."""
-    rows = old_articles(events(pages, old_rule, encoding=encoding))
+    rows = old_articles(written_once(events(pages, old_rule, encoding=encoding)))
     of = catalogue_label(F.col("label"))
     found = rows.select("key", "place", of["cve"].alias("cve"), of["date"].alias("date"), "number", "kind", "summary", "path", "pages", "record", "url")
     return found.orderBy("key", "place")
@@ -486,7 +495,7 @@ def old_bulletins(pages: DataFrame, known: DataFrame | None = None, encoding: st
     What the catalogue ``known`` (record, cve, number, extraordinary, suffix,
     date) says of its number wins over the page's heading.
     """
-    found = events(pages, old_rule, encoding=encoding)
+    found = written_once(events(pages, old_rule, encoding=encoding))
     heads = found.where(_on("header")).select("key", F.lower(clean(F.col("text"))).alias("head"), secure_url(F.col("attrs")["pdf"]).alias("pdf_url"))
     # every way to write "number" becomes one sign; the number is the first one behind it, an extraordinary issue's word aside
     signed = F.col("head")

@@ -208,3 +208,43 @@ def test_recordings_as_a_format(spark, tmp_path):
     assert spark.read.format("recordings").load(str(empty)).count() == 0
     (empty / "a.json").write_text('no object\n\n{"url": "https://s.es/1", "more": 1}\n')
     assert sorted(map(tuple, spark.read.format("recordings").load(str(empty)).collect()), key=str) == [("https://s.es/1", *[None] * 5), (None,) * 6]
+
+
+def test_plain_pages_are_read_as_by_the_tokenizer():
+    from foliograph.sources import tree
+
+    def dump(e):
+        return e.tag, e.attrs, [c if isinstance(c, str) else dump(c) for c in e.children]
+
+    for page in (BULLETIN, ARTICLE, SUMMARY, RESULTS, FICHA, "<ul><li>a &amp; b<li>c</ul><script>x &amp; y</script>tail"):
+        builder = tree._Builder()
+        builder.feed(page)
+        builder.close()
+        assert dump(tree._parse_plain(page)) == dump(builder.tree.root)
+    for odd in ("<!-- c -->a", "<p/>", "a < b", "<a href='x'>", "<script>a<b></script>", "<textarea>", "<a href=\"x&amp;y\">"):
+        assert tree._parse_plain(odd) is None
+
+
+def test_a_block_is_looked_through_once(monkeypatch):
+    from foliograph.sources.tree import Element
+
+    looked, own = [], Element.all
+    monkeypatch.setattr(Element, "all", lambda self, *a, **k: looked.append(self) or own(self, *a, **k))
+    links = "".join(f'<a href="ficha_bome.jsp?dboidboletin={k}">nº {k}</a>' for k in range(50))
+    found = list(records.catalogue_rule(parse(f'<div class="set"><div class="title"><img src="/i/2001.jpg"></div>{links}</div>')))
+    assert {f[2]["picture"] for f in found} == {"/i/2001.jpg"} and len(looked) == 3
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_payload_is_hashed_before_its_events(spark):
+    plan = _plan(records.whole_calendar(spark.createDataFrame([("[]",)], "json string")))
+    assert plan.index("Generate") < plan.index("xxhash64")
+
+
+def test_pages_are_read_once(spark):
+    pages = spark.createDataFrame([(1, FICHA), (2, "<p>")], "key long, page string")
+    for found in (records.old_bulletins(pages, encoding="utf-8"), records.old_results(pages, encoding="utf-8"), records.summaries(pages), records.results(pages)):
+        assert "MapIn" not in _plan(found)
