@@ -117,13 +117,12 @@ def catalogue_warnings(links: DataFrame) -> DataFrame:
     links: pos, record, cve (null: unreadable), date, header_year.  Unreadable
     links one by one; records that come with several identifiers; and, one a
     header, how many bulletins of other years it has (first rows of a record
-    count).
+    count, by ``pos``).
     """
-    from pyspark.sql.window import Window
-
     unreadable = links.where("cve is null").select(F.lit("unreadable").alias("kind"), "record", F.lit(None).cast("int").alias("year"), F.lit(1).cast("long").alias("n"))
     good = links.where("cve is not null")
     conflict = good.groupBy("record").agg(F.count_distinct("cve").alias("n")).where("n > 1").select(F.lit("conflict").alias("kind"), "record", F.lit(None).cast("int").alias("year"), "n")
-    first = good.withColumn("k", F.row_number().over(Window.partitionBy("record").orderBy("pos"))).where("k = 1 and header_year <> year(date)")
+    # the least row of a record, not its rows in order: nothing is sorted again where rows come from a join by record
+    first = good.groupBy("record").agg(F.min(F.struct("pos", "header_year", "date")).alias("f")).select("f.*").where("header_year <> year(date)")
     misfiled = first.groupBy("header_year").agg(F.count("*").alias("n")).select(F.lit("misfiled").alias("kind"), F.lit(None).cast("long").alias("record"), F.col("header_year").alias("year"), "n")
     return unreadable.unionByName(conflict).unionByName(misfiled)

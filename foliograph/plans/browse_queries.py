@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,6 +11,8 @@ from ..operators import browse
 from .views import WITH, articles, bulletins, listed, table
 
 SINCE, UNTIL = date(1996, 1, 1), date(1996, 6, 30)
+#: Lines that a task joins and sorts, about: tasks become more with the table, not larger.
+TASK_LINES = 1 << 20
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +37,9 @@ _LISTING = f"{WITH}, rows as (select * from bulletins where date between date '1
 def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as links: orders are records, parts their identifiers, supply years the headers."""
     year = F.year("l_shipdate")
-    links = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("date")), "l_orderkey")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("date"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(lines.count() / TASK_LINES))
+    links = lines.repartition(tasks, "l_orderkey").join(orders.repartition(tasks, "l_orderkey"), "l_orderkey")
     cve = F.when(F.col("l_quantity") > 2, (F.col("l_partkey") % 3).cast("string"))
     return browse.catalogue_warnings(links.select((F.col("l_partkey") * 100_000_000 + F.col("l_suppkey") * 10_000 + F.col("l_linenumber")).alias("pos"), F.col("l_orderkey").alias("record"), cve.alias("cve"), "date", year.alias("header_year")))
 

@@ -64,3 +64,16 @@ def test_catalogue_warnings(spark):
     links = [(0, 1, "a", date(2020, 1, 1), 2020), (1, 1, "b", date(2020, 1, 1), 2020), (2, 2, "c", date(2019, 1, 1), 2020), (3, 3, None, None, 2020), (4, 4, "d", date(2019, 1, 1), 2020)]
     got = {(r["kind"], r["record"], r["year"], r["n"]) for r in browse.catalogue_warnings(spark.createDataFrame(links, "pos long, record long, cve string, date date, header_year int")).collect()}
     assert got == {("unreadable", 3, None, 1), ("conflict", 1, None, 2), ("misfiled", None, 2020, 2)}
+
+
+def test_warnings_are_dealt_by_record(spark, small, monkeypatch):
+    """Tasks become more with the lines, and the first row of a record is found without sorting its rows again."""
+    from foliograph.plans import browse_queries
+
+    monkeypatch.setattr(browse_queries, "TASK_LINES", 100)
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    found = browse_queries.QUERIES["catalogue_warnings"](spark, small)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-lines // 100)})" in plan and "Window" not in plan
+    monkeypatch.setattr(browse_queries, "TASK_LINES", 1 << 20)
+    assert sorted(map(str, found.collect())) == sorted(map(str, browse_queries.QUERIES["catalogue_warnings"](spark, small).collect()))
