@@ -50,8 +50,12 @@ def simhash64(text: bytes | None, width: int = 3) -> int:
 
     Only A-Z are lower-cased.  Null and texts without words have fingerprint 0.
     """
+    return _simhash((text or b"").lower().split(), width)
+
+
+def _simhash(words: list[bytes], width: int) -> int:
     votes, n = np.zeros(64, dtype=np.int64), 0
-    for hashes in word_hashes((text or b"").lower().split(), width):
+    for hashes in word_hashes(words, width):
         n += len(hashes)
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
@@ -148,7 +152,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near-duplicates by word-shingle similarity, for the pipeline -------------
 
-#: Retrieval: BANDS bands of ROWS min-wise hashes of a text's shingles.  Texts of similarity s share a band
+#: Words of a fingerprint's shingles.
+PRINT_SHINGLE = 3
+#: Retrieval beyond 2 bits of a fingerprint: BANDS bands of ROWS min-wise hashes of a text's shingles.  Texts of similarity s share a band
 #: with probability 1 - (1 - s^ROWS)^BANDS, wherever the edits are: at 0.8 all but 1.5e-4, at 0.85 all but 3e-7;
 #: of pairs of similarity 0.5, which are compared in vain, 0.17 do.
 BANDS, ROWS = 48, 8
@@ -182,10 +188,11 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        same, least, counts = [], [], []
+        same, least, counts, prints = [], [], [], []
         for t in batch.column(2).cast(pa.binary()):
             words = (t.as_py() or b"").lower().split()
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            prints.append(_simhash(words, PRINT_SHINGLE))
             own = shingle_set(words)
             counts.append(len(own))
             if len(own):
@@ -193,7 +200,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         ends = np.cumsum([0, *(BANDS if n else 0 for n in counts)], dtype=np.int32)
         keys = band_keys(np.array(least, dtype=np.uint32)).view(np.int64).reshape(-1)
         keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(counts, pa.int64()), keys], ["doc_id", "th", "same", "m", "keys"])
+        fps = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(counts, pa.int64()), keys, fps], ["doc_id", "th", "same", "m", "keys", "fp"])
 
 
 def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +231,19 @@ def meetings(classes: DataFrame) -> DataFrame:
     return ends.where("n = 2").select("a", "b").unionByName(more)
 
 
+def simhash_meetings(classes: DataFrame) -> DataFrame:
+    """(a, b): links that connect the classes whose fingerprints differ by 2 bits or less, found by deletion variants (``links_within_two``).
+
+    Classes of one fingerprint are linked to the least of them, which stands for
+    the fingerprint.  Texts without words are one class and meet nobody.
+    """
+    own = classes.where("m > 0").select("fp", "cid")
+    prints = cut(own.groupBy("fp").agg(F.min("cid").alias("least")).repartition(parts(classes.sparkSession)))
+    least = lambda side: prints.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
+    near = links_within_two(prints.select("fp")).join(least("a"), "a").join(least("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    return near.unionByName(own.join(prints, "fp").where("cid <> least").select(F.col("least").alias("a"), F.col("cid").alias("b")))
+
+
 def block_links(table: pa.Table) -> pa.Table:
     """(a, b): links between members of one group that connect just what has a similarity of SIMILARITY or more.
 
@@ -323,7 +344,7 @@ def with_shingles(groups: DataFrame, classes: DataFrame, own: DataFrame) -> Data
 
 def similar_classes(classes: DataFrame, own: DataFrame) -> DataFrame:
     """(node, root) of the classes that are connected by similar pairs: the least class of each one's component."""
-    groups = with_least(connected_components(meetings(classes)))
+    groups = with_least(connected_components(simhash_meetings(classes).unionByName(meetings(classes))))
     members = with_shingles(groups, classes, own)
     links = first_links(members)
     large = members.where("blocks > 1").drop("blocks")
@@ -339,19 +360,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Copies: the same words, case of A-Z and white space aside.  Near copies:
     Jaccard similarity of five-word shingles of 0.8 or more, checked exactly on
-    pairs of classes that ``meetings`` connects, directly or not; groups are the
-    connected components.  Texts are not shuffled: rows are known by (doc_id, hash of the
+    pairs of classes that meet, directly or not: by SimHash fingerprints within
+    2 bits (``simhash_meetings``), and, as texts of that similarity may differ
+    in more, by min-wise hashes as well (``meetings``); groups are the connected
+    components.  Texts are not shuffled: rows are known by (doc_id, hash of the
     text), and what goes is taken out by an anti-join.  Null texts equal empty
     ones.  A null doc_id counts as the greatest; of rows alike in doc_id and
     text one stays.  All columns come back unchanged.
     """
     python_ready(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    rows = cut(own.mapInArrow(_sketch_batches, "doc_id long, th long, same binary, m long, keys array<long>"))
+    rows = cut(own.mapInArrow(_sketch_batches, "doc_id long, th long, same binary, m long, keys array<long>, fp long"))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    classes = rows.groupBy("same").agg(F.min(who).alias("rep"), F.count("*").alias("n"), F.max("m").alias("m"), F.any_value("keys").alias("keys"))
+    classes = rows.groupBy("same").agg(F.min(who).alias("rep"), F.count("*").alias("n"), F.max("m").alias("m"), F.any_value("keys").alias("keys"), F.any_value("fp").alias("fp"))
     # each row makes BANDS rows, so rows are spread over all tasks again
-    classes = cut(classes.select("same", F.xxhash64("same").alias("cid"), "rep", "n", "m", "keys").repartition(parts(spark)))
+    classes = cut(classes.select("same", F.xxhash64("same").alias("cid"), "rep", "n", "m", "keys", "fp").repartition(parts(spark)))
     linked = similar_classes(classes, own)
     grouped = classes.join(linked, classes["cid"] == linked["node"], "left").where("n > 1 or root is not null").select("same", F.coalesce("root", "cid").alias("root"), "rep")
     best = grouped.groupBy("root").agg(F.min("rep").alias("best"))

@@ -240,3 +240,19 @@ def test_few_distinct_words_with_many_new_ones_behind(spark):
     rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(base + [f"new{k}" for k in range(245)]), "en", "s", 1)]
     assert kept_by_brute_force(rows) == {1}
     assert [r["doc_id"] for r in sd.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()] == [1]
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Without min-wise bands, SimHash variants alone bring near copies of long texts together; what they bring is compared exactly."""
+    monkeypatch.setattr(sd, "_bands", lambda classes: classes.select(F.lit(0).cast("long").alias("key"), "cid").limit(0))
+    rng, rows = random.Random(47), []
+    for k in range(40):
+        base = [f"t{rng.randrange(4000)}" for _ in range(1500)]
+        rows += [(2 * k + i, " ".join([*base[: 700 + k], f"new{i}", *base[701 + k :]]), "en", "s", 1) for i in range(2)]
+    # one shingle outnumbers all others, so fingerprints are equal, but the texts aren't alike
+    rows += [(1000 + i, " ".join(["x"] * 200 + [f"own{i}y{j}" for j in range(60)]), "en", "s", 1) for i in range(3)]
+    prints = [slow_fingerprint(t) for _, t, *_ in rows]
+    near = {2 * k for k in range(40) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= 2}
+    assert len(near) > 20 and len(set(prints[-3:])) == 1
+    got = {r["doc_id"] for r in sd.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == {d for d, *_ in rows} - {d + 1 for d in near}
