@@ -36,12 +36,15 @@ def month_number(name: Column) -> Column:
 
 def spanish_date(text: Column) -> Column:
     """The first "22 de septiembre de 2026" in a text, null if there is none or no such day; read word by word."""
-    words = F.split(F.lower(clean(text)), " ")
-    word = lambda i: F.coalesce(F.get(words, i), F.lit(""))
-    five = F.transform(words, lambda w, i: F.struct(F.regexp_extract(w, r"\d{1,2}$", 0).alias("day"), word(i + 1).alias("of"), word(i + 2).alias("month"), word(i + 3).alias("of_year"), F.regexp_extract(word(i + 4), r"^\d{4}", 0).alias("year")))
-    said = F.filter(five, lambda d: (d["day"] != "") & (d["of"] == "de") & d["month"].rlike(r"^\p{L}+$") & (d["of_year"] == "de") & (d["year"] != ""))
-    first = F.get(said, F.lit(0))
-    return F.try_to_date(F.concat_ws("-", first["year"], month_number(first["month"]), first["day"]), "yyyy-M-d")
+
+    def first(words: Column) -> Column:
+        word = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+        five = F.transform(words, lambda w, i: F.struct(F.regexp_extract(w, r"\d{1,2}$", 0).alias("day"), word(i + 1).alias("of"), word(i + 2).alias("month"), word(i + 3).alias("of_year"), F.regexp_extract(word(i + 4), r"^\d{4}", 0).alias("year")))
+        said = F.filter(five, lambda d: (d["day"] != "") & (d["of"] == "de") & d["month"].rlike(r"^\p{L}+$") & (d["of_year"] == "de") & (d["year"] != ""))
+        return F.get(F.transform(F.slice(said, 1, 1), lambda d: F.concat_ws("-", d["year"], month_number(d["month"]), d["day"])), F.lit(0))
+
+    # an array of one, so that the words have a name: the text is split once, not once for each of its words
+    return F.try_to_date(F.get(F.transform(F.array(F.split(F.lower(clean(text)), " ")), first), F.lit(0)), "yyyy-M-d")
 
 
 def figures_date(text: Column) -> Column:

@@ -355,7 +355,8 @@ def slides_rule(root: Element) -> Iterator[Event]:
 def bulletin_links(found: DataFrame, site: str = SITE) -> DataFrame:
     """(key, pos and the fields of REF): links that lead to a bulletin."""
     cve = ids.cve_struct(F.regexp_extract(F.col("attrs")["href"], BULLETIN_HREF, 1))
-    rows = found.where(_on("link")).withColumn("c", cve).where("c is not null")
+    # inline: the identifier is worked out once a link, not once a field
+    rows = found.where(_on("link")).select("key", "pos", "text", F.inline(F.array(F.struct(cve.alias("c"))))).where("c is not null")
     text = ids.cve_text(F.col("c"))
     return rows.select("key", "pos", text.alias("cve"), F.col("c.number").alias("number"), spanish_date(F.col("text")).alias("date"), ids.is_extraordinary(F.col("c")).alias("extraordinary"), F.concat(F.lit(f"{site}/bome/"), text).alias("url"), _filled(F.col("text")).alias("title"))
 
