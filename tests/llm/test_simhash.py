@@ -3,7 +3,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from foliograph.llm import simhash_dedup as sd
+from foliograph.llm import components, simhash_dedup as sd
 from foliograph.llm.components import connected_components
 
 
@@ -256,3 +256,18 @@ def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
     assert len(near) > 20 and len(set(prints[-3:])) == 1
     got = {r["doc_id"] for r in sd.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert got == {d for d, *_ in rows} - {d + 1 for d in near}
+
+
+def test_rounds_of_few_links_are_not_shuffled(spark, monkeypatch):
+    links = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(40)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(4)
+    want = {**{k: 0 for k in range(1, 61)}, **{1000 + k: 1000 for k in range(1, 40)}}
+    plans, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or cut(d))
+    assert {r["node"]: r["root"] for r in connected_components(df).collect()} == want
+    assert len(plans) > 2 and not any("Exchange hashpartitioning" in p for p in plans[1:])
+    # more than a task's links go the other way, to the same roots
+    plans.clear()
+    monkeypatch.setattr(components, "TASK_LINKS", 20)
+    assert {r["node"]: r["root"] for r in connected_components(df).collect()} == want
+    assert "Exchange hashpartitioning" in plans[1]
