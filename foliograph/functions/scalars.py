@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -24,6 +25,11 @@ NUMBER_SIGN = f"(?:{'|'.join(NUMBER_SIGNS)}) ?"
 COUNTER_WORDS = ("página", "de", "mostrando", "total de")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """Runs of white space (no-break spaces too) as one space, trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
@@ -49,10 +55,13 @@ def spanish_date(text: Column) -> Column:
 
 def figures_date(text: Column) -> Column:
     """The day of a text that is nothing but "9-3-2021", else null."""
-    parts = F.split(text, "-")
-    part = lambda k, most: F.when(F.length(F.get(parts, F.lit(k))).between(1, most), F.get(parts, F.lit(k)).try_cast("int"))
-    day, month, year = part(0, 2), part(1, 2), F.when(F.length(F.get(parts, F.lit(2))) == 4, part(2, 4))
-    return F.when(F.size(parts) == 3, F.try_to_date(F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")), "y-M-d"))
+
+    def of(parts: Column) -> Column:
+        part = lambda k, most: F.when(F.length(F.get(parts, F.lit(k))).between(1, most), F.get(parts, F.lit(k)).try_cast("int"))
+        day, month, year = part(0, 2), part(1, 2), F.when(F.length(F.get(parts, F.lit(2))) == 4, part(2, 4))
+        return F.when(F.size(parts) == 3, F.try_to_date(F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")), "y-M-d"))
+
+    return once(F.split(text, "-"), of)
 
 
 def flexible_date(text: Column) -> Column:
@@ -110,17 +119,29 @@ def catalogue_label(text: Column) -> Column:
     before it signs for "number" and the word for an extraordinary issue may
     stand, and then the number, with what follows it.
     """
-    plain = clean(text)
-    name, day_text = F.trim(F.regexp_extract(plain, "^(.*)/", 1)), F.trim(F.regexp_extract(plain, "([^/]*)$", 1))
-    day = figures_date(day_text)
-    unsigned = F.regexp_replace(name, rf"(?i)^{NUMBER_SIGN}\.? ?", "")
-    kind = F.regexp_extract(unsigned, f"(?i)^{EXTRAORDINARY}", 0)
-    label = F.regexp_replace(F.substr(unsigned, F.length(kind) + 1), "^[ -]+", "")
-    digits = F.regexp_extract(label, rf"(?i)^(?:{NUMBER_SIGN})?(\d+)", 1)
-    number, extra = digits.try_cast("bigint"), kind != ""
-    cve = F.concat_ws("-", F.lit("BOME"), F.when(extra, "BX").otherwise("B"), F.year(day), number)
-    fields = F.struct(extra.alias("extraordinary"), number.alias("number"), F.when(label != digits, label).alias("suffix"), day.alias("date"), cve.alias("cve"))
-    return F.when(day.isNotNull() & (number > 0), fields)
+
+    def fields(p: Column) -> Column:
+        label, digits, day, extra = p["label"], p["digits"], p["day"], p["kind"] != ""
+        return once(digits.try_cast("bigint"), lambda number: F.when(day.isNotNull() & (number > 0), F.struct(extra.alias("extraordinary"), number.alias("number"), F.when(label != digits, label).alias("suffix"), day.alias("date"), F.concat_ws("-", F.lit("BOME"), F.when(extra, "BX").otherwise("B"), F.year(day), number).alias("cve"))))
+
+    def numbered(p: Column) -> Column:
+        label = F.regexp_replace(F.substr(p["unsigned"], F.length(p["kind"]) + 1), "^[ -]+", "")
+        return once(label, lambda said: fields_of(p, said))
+
+    def fields_of(p: Column, label: Column) -> Column:
+        digits = F.regexp_extract(label, rf"(?i)^(?:{NUMBER_SIGN})?(\d+)", 1)
+        return once(F.struct(label.alias("label"), digits.alias("digits"), p["day"].alias("day"), p["kind"].alias("kind")), fields)
+
+    def unsigned(p: Column) -> Column:
+        name = F.regexp_replace(p["name"], rf"(?i)^{NUMBER_SIGN}\.? ?", "")
+        return once(name, lambda said: once(F.struct(said.alias("unsigned"), F.regexp_extract(said, f"(?i)^{EXTRAORDINARY}", 0).alias("kind"), p["day"].alias("day")), numbered))
+
+    def parts(plain: Column) -> Column:
+        day = figures_date(F.trim(F.regexp_extract(plain, "([^/]*)$", 1)))
+        # a text without a day is none, whatever else it says
+        return once(F.struct(F.trim(F.regexp_extract(plain, "^(.*)/", 1)).alias("name"), day.alias("day")), lambda p: F.when(p["day"].isNotNull(), unsigned(p)))
+
+    return once(clean(text), parts)
 
 
 def status_class(status: Column) -> Column:

@@ -13,7 +13,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from datetime import date
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,9 +24,9 @@ from pyspark.sql.window import Window
 from ..errors import UnreadablePage
 from ..functions import identifiers as ids
 from ..functions.identifiers import SITE, Cve, InvalidIdentifier
-from ..functions.scalars import EXTRAORDINARY, MONTHS, NUMBER_SIGNS, catalogue_label, clean, figures_date, first_int, ordinal_number, result_counter, secure_url, spanish_date
+from ..functions.scalars import EXTRAORDINARY, MONTHS, NUMBER_SIGNS, catalogue_label, clean, figures_date, ordinal_number, result_counter, secure_url, spanish_date
 from ..shipping import shared_folder, ship
-from .tree import Element, first_number, parse, plain_text, squeeze
+from .tree import Element, Event, Shapes, first_number, parse, plain_text, squeeze
 
 # Addresses and identifiers in the sources' pages.
 IN_TEXT = r"(?i)BOME-[A-Z]{1,2}-\d{4}-\d+"
@@ -211,10 +211,6 @@ def articles_of_bulletins(bulletins: DataFrame) -> DataFrame:
 
 # --- flat pages as events ----------------------------------------------------
 
-#: (kind, text, attributes)
-Event = tuple[str, str, dict[str, str | None]]
-
-
 def _event_batches(batches: Iterator[pa.RecordBatch], rule: Callable[[Element], Iterator[Event]], schema: pa.Schema, encoding: str) -> Iterator[pa.RecordBatch]:
     names = ("pos", "kind", "text", "attrs", "error")
 
@@ -258,23 +254,61 @@ def written_once(found: DataFrame) -> DataFrame:
     return spark.read.schema(found.schema).parquet(path)
 
 
-def _line() -> Window:
-    return Window.partitionBy("key").orderBy("pos")
+def _folded_batches(batches: Iterator[pa.RecordBatch], rule: Callable[[Element], Iterator[Event]], fold: Callable[[list[Event]], tuple], schema: pa.Schema, encoding: str) -> Iterator[pa.RecordBatch]:
+    shapes, nothing = Shapes(rule), (None,) * (len(schema) - 2)
+    for batch in batches:
+        keys, pages = batch.columns
+        for start in range(0, batch.num_rows, ROWS_BACK):
+            rows = []
+            for page in pages.slice(start, ROWS_BACK).to_pylist():
+                try:
+                    rows.append((*fold(shapes.events(page.decode(encoding) if isinstance(page, bytes) else page or "")), None))
+                except (UnreadablePage, UnicodeDecodeError) as error:
+                    rows.append((*nothing, str(error)))
+            columns = [_column([r[k] for r in rows], f.type) for k, f in enumerate(list(schema)[1:])]
+            yield pa.RecordBatch.from_arrays([keys.slice(start, ROWS_BACK).cast(schema.field(0).type), *columns], schema=schema)
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """Values as Arrow, structs given as tuples; a list's items are laid out field by field."""
+    if pa.types.is_list(kind):
+        ends = [0]
+        for v in values:
+            ends.append(ends[-1] + len(v or ()))
+        offsets = pa.array([None if v is None else end for v, end in zip(values, ends, strict=False)] + ends[-1:], pa.int32())
+        return pa.ListArray.from_arrays(offsets, _column([x for v in values if v for x in v], kind.value_type), type=kind)
+    if pa.types.is_struct(kind):
+        return pa.StructArray.from_arrays([_column([v[k] for v in values], f.type) for k, f in enumerate(kind)], fields=list(kind))
+    return pa.array(values, kind)
+
+
+def folded(pages: DataFrame, rule: Callable[[Element], Iterator[Event]], fold: Callable[[list[Event]], tuple], schema: str, encoding: str = "utf-8") -> DataFrame:
+    """(key, fields of ``schema``, error): what ``fold`` makes of the events that ``rule`` finds on each page, written once."""
+    ship(pages.sparkSession)
+    rows = pages.select("key", "page")
+    schema = StructType.fromDDL(f"key {dict(rows.dtypes)['key']}, {schema}, error string")
+    return written_once(rows.mapInArrow(partial(_folded_batches, rule=rule, fold=fold, schema=to_arrow_schema(schema), encoding=encoding), schema))
 
 
-def _so_far(value: Column) -> Column:
-    """The last value that isn't null up to a row."""
-    return F.last(value, ignorenulls=True).over(_line().rowsBetween(Window.unboundedPreceding, 0))
+# As Java reads them: figures are 0 to 9, and ``$`` matches at the end and before a line's end there.
+_FIGURES, _LEADING, _PLACE = re.compile("[0-9]+"), re.compile(" *([0-9]+)"), re.compile(r" *[0-9]+ *\. *")
+_IN_FILE, _IN_RECORD = re.compile(r"_([0-9]+)\.pdf(?=(?:\r\n|[\n\r\u0085\u2028\u2029])?\Z)"), re.compile(RECORD_ID, re.ASCII)
 
 
-def _filled(text: Column) -> Column:
-    return F.when(text != "", text)
+def _bigint(figures: str | None) -> int | None:
+    """``try_cast`` of figures."""
+    figures = (figures or "").lstrip("0") or figures
+    number = int(figures) if figures and len(figures) < 20 else None
+    return number if number is None or number < 1 << 63 else None
 
 
-def _in_order(value: Column, where: Column) -> Column:
-    """The values of a group's rows that ``where`` holds for, in page order; a page's worth."""
-    pairs = F.array_sort(F.collect_list(F.when(where, F.struct(F.col("pos"), value.alias("v")))))
-    return F.transform(pairs, lambda p: p["v"])
+def _first_int(text: str | None) -> int | None:
+    found = _FIGURES.search(text or "")
+    return _bigint(found[0]) if found else None
+
+
+def _filled(text: Column) -> Column:
+    return F.when(text != "", text)
 
 
 def _on(kind: str) -> Column:
@@ -302,6 +336,28 @@ def summary_rule(root: Element) -> Iterator[Event]:
             yield "page", "", {"number": node.attrs["id"]}
 
 
+SUMMARY = "title string, printed string, pdf string, pages array<bigint>, entries array<struct<department:string,section:string,number:bigint,said:string,first_page:bigint>>"
+
+
+def summary_fold(events: list[Event]) -> tuple:
+    """SUMMARY: department and section of an entry are the last headings before it; a new department ends the section."""
+    title = printed = pdf = department = section = None
+    pages, entries = [], []
+    for kind, text, attrs in events:
+        if kind == "header":
+            title, printed, pdf = text, attrs["cve"], attrs["pdf"]
+        elif kind == "department":
+            department, section = text or None, None
+        elif kind == "section":
+            section = text or None
+        elif (number := _first_int(attrs["number"])) is not None:
+            if kind == "page":
+                pages.append(number)
+            else:
+                entries.append((department, section, number, text[found.end() if (found := _PLACE.match(text)) else 0 :] or None, _first_int(attrs["page"])))
+    return title, printed, pdf, pages, entries
+
+
 def summaries(pages: DataFrame, site: str = SITE) -> DataFrame:
     """One row a summary page: key, bulletin_cve, cve, bulletin_number, date, url, pdf_url, pages, entries, warning, error.
 
@@ -309,27 +365,23 @@ def summaries(pages: DataFrame, site: str = SITE) -> DataFrame:
     department ends the section.  A page of free text has no entries and says so
     in ``warning``.
     """
-    found = written_once(events(pages, summary_rule))
-    rows = found.where("error is null")
-    owner = ids.cve_struct(F.regexp_extract(F.first(F.when(_on("header"), F.col("attrs")["cve"]), ignorenulls=True).over(Window.partitionBy("key")), IN_TEXT, 0))
-    department = _so_far(F.when(_on("department"), F.col("text")))
-    section = _so_far(F.when(_on("department"), F.lit("")).when(_on("section"), F.col("text")))
-    rows = rows.withColumn("owner", owner).withColumn("department", _filled(department)).withColumn("section", _filled(section)).withColumn("number", first_int(F.col("attrs")["number"]))
-    article = ids.article_of(F.struct(F.when(F.startswith(F.col("owner.kind"), F.lit("S")), F.replace(F.col("owner.kind"), F.lit("S"), F.lit("B"))).otherwise(F.col("owner.kind")).alias("kind"), F.col("owner.year").alias("year"), F.col("owner.number").alias("number")), F.col("number"))
-    base = F.concat(F.lit(f"{site}/bome/"), ids.bulletin_of(F.col("owner")))
-    said = _filled(F.regexp_replace("text", r"^\s*\d+\s*\.\s*", ""))
-    entry = F.struct("department", "section", F.struct(article.alias("cve"), F.col("number"), said.alias("summary"), F.concat(base, F.lit("/articulo/"), F.col("number").cast("string")).alias("url"), F.concat(F.lit(f"{site}/bome/descargar/"), article, F.lit(".pdf")).alias("pdf_url"), first_int(F.col("attrs")["page"]).alias("first_page")).alias("article"))
-    whole = rows.groupBy("key").agg(
-        F.first("owner").alias("owner"),
-        F.first(F.when(_on("header"), F.col("text")), ignorenulls=True).alias("title"),
-        F.first(F.when(_on("header"), F.col("attrs")["pdf"]), ignorenulls=True).alias("pdf"),
-        _in_order(F.col("number"), _on("page") & F.col("number").isNotNull()).alias("pages"),
-        _in_order(entry, _on("article") & F.col("number").isNotNull()).alias("entries"),
-    )
-    cve = ids.bulletin_of(F.col("owner"))
+    found = folded(pages, summary_rule, summary_fold, SUMMARY)
+    # inline: the identifier is worked out once a page, not once a field
+    printed = ids.cve_struct(F.regexp_extract("printed", IN_TEXT, 0))
+    whole = found.where("error is null").select("key", "title", "pdf", "pages", "entries", F.inline(F.array(F.struct(printed.alias("owner")))))
+    cve, owner = ids.bulletin_of(F.col("owner")), F.col("owner")
+    kind = F.when(F.startswith(owner["kind"], F.lit("S")), F.replace(owner["kind"], F.lit("S"), F.lit("B"))).otherwise(owner["kind"])
+    of = F.struct(kind.alias("kind"), owner["year"].alias("year"), owner["number"].alias("number"))
+    base = F.concat(F.lit(f"{site}/bome/"), cve)
+
+    def entry(e: Column) -> Column:
+        article = ids.article_of(of, e["number"])
+        own = F.struct(article.alias("cve"), e["number"].alias("number"), e["said"].alias("summary"), F.concat(base, F.lit("/articulo/"), e["number"].cast("string")).alias("url"), F.concat(F.lit(f"{site}/bome/descargar/"), article, F.lit(".pdf")).alias("pdf_url"), e["first_page"].alias("first_page"))
+        return F.struct(e["department"].alias("department"), e["section"].alias("section"), own.alias("article"))
+
     pdf = F.when(F.col("pdf").rlike("^https?://"), F.col("pdf")).otherwise(F.concat(F.lit(f"{site}/"), F.regexp_replace("pdf", "^/+", "")))
     good = whole.select(
-        "key", cve.alias("bulletin_cve"), ids.summary_of(F.col("owner")).alias("cve"), ordinal_number(F.col("title")).alias("bulletin_number"), spanish_date(F.col("title")).alias("date"), F.concat(F.lit(f"{site}/bome/"), cve, F.lit("/sumario")).alias("url"), pdf.alias("pdf_url"), "pages", "entries",
+        "key", cve.alias("bulletin_cve"), ids.summary_of(owner).alias("cve"), ordinal_number(F.col("title")).alias("bulletin_number"), spanish_date(F.col("title")).alias("date"), F.concat(base, F.lit("/sumario")).alias("url"), pdf.alias("pdf_url"), "pages", F.transform("entries", entry).alias("entries"),
         F.when(F.size("entries") == 0, "the summary is free text; read the bulletin instead").alias("warning"), F.when(cve.isNull(), "the header has no identifier of a bulletin").alias("error"),
     )
     return good.unionByName(failures(found), allowMissingColumns=True)
@@ -432,8 +484,10 @@ def old_rule(root: Element) -> Iterator[Event]:
     if band is None:
         raise UnreadablePage("the page has no results area")
     bars = [bar for name in ("banda8", "banda9") if (bar := band.first("div", cls=name)) is not None]
-    files = [a.attrs["href"] for bar in bars[::-1] for a in bar.all("a") if "mandar.php" in a.attrs.get("href", "")]
-    yield "header", " ".join(map(_text, bars)), {"pdf": files[0] if files else None}
+    yield "header", squeeze(" ".join(map(_text, bars))), {}
+    for bar in bars[::-1]:
+        for a in bar.all("a"):
+            yield "file", "", {"href": a.attrs.get("href")}
     for div in band.all("div"):
         for name in div.classes():
             if name in ("bandabome", "bandanegociado"):
@@ -442,8 +496,8 @@ def old_rule(root: Element) -> Iterator[Event]:
             if ul.all("li"):
                 yield "article", "", {}
             for li in ul.own("li"):
-                label = _text(li.first("span", cls="txBoN"))
-                yield "field", li.text()[len(label) :], {"label": label}
+                label, said = _text(li.first("span", cls="txBoN")), li.text()
+                yield "field", said[len(label) :].lstrip(), {"label": label} | ({} if said.startswith(label) else {"uneven": "yes"})
                 for a in li.all("a"):
                     yield "link", a.text(), {"label": label, "href": a.attrs.get("href")}
 
@@ -452,42 +506,82 @@ def old_rule(root: Element) -> Iterator[Event]:
 OWN_FIELDS = ("boletin", "articulo", "paginas")
 
 
-def old_articles(found: DataFrame) -> DataFrame:
-    """(key, place, record, label, number, kind, summary, path, pages, url): articles of old pages, from the events of ``old_rule``.
+OLD = "head string, pdf string, articles array<struct<place:bigint,record:bigint,label:string,number:bigint,kind:string,summary:string,path:array<string>,pages:array<struct<number:bigint,url:string>>>>"
+
+
+@lru_cache(4096)
+def _field_name(label: str) -> tuple[str, str]:
+    """A field's label without its colons, and its name among OWN_FIELDS."""
+    label = label.rstrip(":").strip(" ")
+    return label, label.lower().translate({ord("í"): "i", ord("á"): "a", ord("ó"): "o"})
+
+
+def _old_page(text: str, href: str) -> tuple:
+    in_href = _IN_FILE.search(href)
+    number = _bigint(text) if _FIGURES.fullmatch(text) else None
+    return number if number is not None or not in_href else _bigint(in_href[1]), "https://" + href[7:] if href.startswith("http://") else href
+
+
+def old_fold(events: list[Event]) -> tuple:
+    """OLD, from the events of ``old_rule``.
 
     Headings pile up until an article takes them; one without new headings has
     those of the article before it; a top heading starts anew.
     """
-    rows = found.where("error is null")
-    count = lambda kind: F.count_if(_on(kind)).over(_line().rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("place", count("article")).withColumn("block", count("top")).withColumn("top", _so_far(F.when(_on("top"), F.col("text"))))
-    heads = rows.where(_on("head")).groupBy("key", "block", (F.col("place") + 1).alias("place")).agg(_in_order(F.col("text"), F.lit(True)).alias("own"))
-    starts = rows.where(_on("article")).select("key", "block", "place", "top").join(heads, ["key", "block", "place"], "left")
-    chain = F.last("own", ignorenulls=True).over(Window.partitionBy("key", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    path = F.filter(F.concat(F.array(F.coalesce("top", F.lit(""))), F.coalesce(chain, F.array().cast("array<string>"))), lambda h: h != "")
-    starts = starts.select("key", "place", path.alias("path"))
-    label = F.trim(F.regexp_replace(F.col("attrs")["label"], ":+$", ""))
-    name = F.translate(F.lower(label), "íáó", "iao")
-    href, text = F.col("attrs")["href"], F.col("text")
-    page = F.struct(F.coalesce(F.when(text.rlike(r"^\d+$"), text.try_cast("bigint")), F.regexp_extract(href, r"_(\d+)\.pdf$", 1).try_cast("bigint")).alias("number"), secure_url(href).alias("url"))
-    other = _on("field") & ~name.isin(*OWN_FIELDS)
-    bulletin = F.min_by(F.struct(_record_of(href).alias("record"), text.alias("label")), F.when(_on("link") & (name == "boletin"), F.col("pos")))
-    first = F.min_by(F.struct(_filled(label).alias("kind"), _filled(F.trim(F.regexp_replace(text, r"^[\s:]+", ""))).alias("summary")), F.when(other, F.col("pos")))
-    fields = rows.where(_on("field") | _on("link")).groupBy("key", "place").agg(
-        F.max(F.when(_on("field") & (name == "articulo"), F.regexp_extract(text, r"^\s*(\d+)", 1).try_cast("bigint"))).alias("number"),
-        bulletin.alias("b"), first.alias("f"), _in_order(page, _on("link") & (name == "paginas") & href.isNotNull()).alias("pages"),
-    )
-    whole = starts.join(fields, ["key", "place"], "left")
-    pages = F.coalesce("pages", F.array().cast(fields.schema["pages"].dataType))
-    return whole.select("key", "place", F.col("b.record").alias("record"), F.col("b.label").alias("label"), "number", "f.kind", "f.summary", "path", pages.alias("pages"), record_url(F.col("b.record")).alias("url"))
+    head = pdf = None
+    top, chain, coming, articles, own, place = "", (), [], [], {}, 0
+
+    def close() -> None:
+        if own:
+            record, label = own.get("bulletin", (None, None))
+            kind, summary = own.get("other", (None, None))
+            articles.append((own["place"], record, label, own.get("number"), kind, summary, own["path"], own["pages"]))
+
+    for event, text, attrs in events:
+        if event == "field":
+            label, name = _field_name(attrs["label"])
+            if name == "articulo":
+                found = _LEADING.match(text)
+                number = _bigint(found[1]) if found else None
+                if number is not None and number > own.get("number", -1):
+                    own["number"] = number
+            elif name not in OWN_FIELDS and "other" not in own:
+                own["other"] = label or None, text.lstrip(" :").strip(" ") or None
+        elif event == "link":
+            name, href = _field_name(attrs["label"])[1], attrs["href"]
+            if name == "boletin" and "bulletin" not in own:
+                found = _IN_RECORD.search(href or "")
+                own["bulletin"] = _bigint(found[1]) if found else None, text
+            elif name == "paginas" and href is not None:
+                own["pages"].append(_old_page(text, href))
+        elif event == "article":
+            close()
+            chain, coming, place = coming or chain, [], place + 1
+            own = {"place": place, "path": [h for h in (top, *chain) if h], "pages": []}
+        elif event == "head":
+            coming.append(text)
+        elif event == "top":
+            top, chain, coming = text, (), []
+        elif event == "file":
+            pdf = attrs["href"] if pdf is None and "mandar.php" in (attrs["href"] or "") else pdf
+        else:
+            head = text
+    close()
+    return head, pdf, articles
+
+
+def old_articles(found: DataFrame) -> DataFrame:
+    """(key, place, record, label, number, kind, summary, path, pages): articles of old pages, from what ``old_fold`` made of them."""
+    return found.where("error is null").select("key", F.inline("articles"))
 
 
 def old_results(pages: DataFrame, encoding: str = "ISO-8859-1") -> DataFrame:
     """Articles that the old portal's search found, ordered by page and by their place on it: key, place, cve, date, number, kind, summary, path, pages, record, url."""
-    rows = old_articles(written_once(events(pages, old_rule, encoding=encoding)))
-    of = catalogue_label(F.col("label"))
-    found = rows.select("key", "place", of["cve"].alias("cve"), of["date"].alias("date"), "number", "kind", "summary", "path", "pages", "record", "url")
-    return found.orderBy("key", "place")
+    rows = old_articles(folded(pages, old_rule, old_fold, OLD, encoding)).orderBy("key", "place")
+    # labels are read behind the sort, which looks at its rows twice; inline: once a row, not once a field
+    label = F.struct(catalogue_label(F.col("label")).alias("of"))
+    found = rows.select("*", F.inline(F.array(label)))
+    return found.select("key", "place", "of.cve", "of.date", "number", "kind", "summary", "path", "pages", "record", record_url(F.col("record")).alias("url"))
 
 
 def old_bulletins(pages: DataFrame, known: DataFrame | None = None, encoding: str = "ISO-8859-1") -> DataFrame:
@@ -496,8 +590,8 @@ def old_bulletins(pages: DataFrame, known: DataFrame | None = None, encoding: st
     What the catalogue ``known`` (record, cve, number, extraordinary, suffix,
     date) says of its number wins over the page's heading.
     """
-    found = written_once(events(pages, old_rule, encoding=encoding))
-    heads = found.where(_on("header")).select("key", F.lower(clean(F.col("text"))).alias("head"), secure_url(F.col("attrs")["pdf"]).alias("pdf_url"))
+    found = folded(pages, old_rule, old_fold, OLD, encoding)
+    heads = found.where("error is null").select("key", F.lower(clean(F.col("head"))).alias("head"), secure_url(F.col("pdf")).alias("pdf_url"), "articles")
     # every way to write "number" becomes one sign; the number is the first one behind it, an extraordinary issue's word aside
     signed = F.col("head")
     for sign in ("número", "numero", *NUMBER_SIGNS):
@@ -507,13 +601,11 @@ def old_bulletins(pages: DataFrame, known: DataFrame | None = None, encoding: st
     day = F.coalesce(spanish_date(F.col("head")), F.get(in_figures, F.lit(0)))
     extra = F.col("head").rlike(EXTRAORDINARY)
     cve = F.concat_ws("-", F.lit("BOME"), F.when(extra, "BX").otherwise("B"), F.year(day).cast("string"), number.cast("string"))
-    heads = heads.select("key", "pdf_url", F.when((number > 0) & day.isNotNull(), F.struct(cve.alias("cve"), number.alias("number"), extra.alias("extraordinary"), F.lit(None).cast("string").alias("suffix"), day.alias("date"))).alias("own"))
+    heads = heads.select("key", "pdf_url", "articles", F.when((number > 0) & day.isNotNull(), F.struct(cve.alias("cve"), number.alias("number"), extra.alias("extraordinary"), F.lit(None).cast("string").alias("suffix"), day.alias("date"))).alias("own"))
     if known is not None:
         heads = heads.join(known.select(F.col("record").alias("key"), F.struct("cve", "number", "extraordinary", "suffix", "date").alias("known")), "key", "left").withColumn("own", F.coalesce("known", "own"))
-    article = F.struct("number", "kind", "summary", "path", "pages")
-    articles = old_articles(found).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", article.alias("a")))), lambda x: x["a"]).alias("articles"))
-    whole = heads.join(articles, "key", "left")
-    good = whole.select(F.col("key").alias("record"), "own.*", (F.year("own.date") >= OFFICIAL_SINCE).alias("official"), "pdf_url", F.coalesce("articles", F.array().cast(articles.schema["articles"].dataType)).alias("articles"), F.when(F.col("own").isNull(), "the page has no bulletin number or date").alias("error"))
+    articles = F.transform("articles", lambda a: F.struct(*(a[c].alias(c) for c in ("number", "kind", "summary", "path", "pages"))))
+    good = heads.select(F.col("key").alias("record"), "own.*", (F.year("own.date") >= OFFICIAL_SINCE).alias("official"), "pdf_url", articles.alias("articles"), F.when(F.col("own").isNull(), "the page has no bulletin number or date").alias("error"))
     return good.unionByName(failures(found).withColumnRenamed("key", "record"), allowMissingColumns=True)
 
 

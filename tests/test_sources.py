@@ -260,3 +260,25 @@ def test_pages_of_links_are_bounded(spark, small, monkeypatch):
     links = pq._links(spark, small).collect()
     assert max(r["links"].count("<a ") for r in links) <= 64 and len(links) > len({r["month"] for r in links})
     assert {name: rows(name) for name in whole} == whole
+
+
+def test_pages_of_one_shape_are_parsed_once(monkeypatch):
+    from foliograph.sources import tree
+
+    parsed, own = [], tree.parse
+    monkeypatch.setattr(tree, "parse", lambda page: parsed.append(page) or own(page))
+    shapes = {rule: tree.Shapes(rule) for rule in (records.old_rule, records.summary_rule)}
+    for rule, page in ((records.old_rule, FICHA), (records.summary_rule, SUMMARY)):
+        like = [page] + [page.replace("Otro", f" O  {k} &amp; > ").replace("Empleo", f' "E" {k}').replace(" 12</li>", f" {k}</li>").replace("b_7.pdf", f"b_{k}.pdf").replace("Texto", "\xa0") for k in range(9)]
+        parsed.clear()
+        assert [shapes[rule].events(p) for p in like] == [list(rule(own(p))) for p in like]
+        assert len(parsed) == (1 if rule is records.old_rule else 10), "texts with > are no shape"
+    item = '<div class="bandaNo"><div class="B2"><ul><li>{}</li></ul></div></div>'
+    odd = ['one <span class="txBoN">L:</span> <a href="x">two</a>', '<span class="txBoN"> </span> two', '<span class="txBoN">L:</span>', "<script>a &amp; b</script>c", "a > b", "<!-- c -->d", '<a href="x>y">z</a>', '<a href="" href="q">z</a>', "\0", "\U000f0000", "<a href='x'>y</a>"]
+    for page in [item.format(x) for x in odd] + [item.format(x.replace("two", "2 2").replace("L:", "M:").replace("c<", "d<")) for x in odd]:
+        assert shapes[records.old_rule].events(page) == list(records.old_rule(own(page)))
+
+
+def test_a_label_is_worked_out_once(spark):
+    found = records.old_results(spark.createDataFrame([(1, FICHA)], "key long, page string"), encoding="utf-8")
+    assert _plan(found).count("regexp_extract") < 20
