@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from ..errors import UnreadablePage
 from ..functions import identifiers as ids
 from ..functions.identifiers import SITE, Cve, InvalidIdentifier
-from ..functions.scalars import EXTRAORDINARY, MONTHS, NUMBER_SIGNS, catalogue_label, clean, figures_date, ordinal_number, result_counter, secure_url, spanish_date
+from ..functions.scalars import EXTRAORDINARY, MONTHS, NUMBER_SIGNS, catalogue_label, clean, figures_date, once, ordinal_number, result_counter, secure_url, spanish_date
 from ..shipping import shared_folder, ship
 from .tree import Element, Event, Shapes, first_number, parse, plain_text, squeeze
 
@@ -366,16 +366,20 @@ def summaries(pages: DataFrame, site: str = SITE) -> DataFrame:
     in ``warning``.
     """
     found = folded(pages, summary_rule, summary_fold, SUMMARY)
-    # inline: the identifier is worked out once a page, not once a field
-    printed = ids.cve_struct(F.regexp_extract("printed", IN_TEXT, 0))
-    whole = found.where("error is null").select("key", "title", "pdf", "pages", "entries", F.inline(F.array(F.struct(printed.alias("owner")))))
-    cve, owner = ids.bulletin_of(F.col("owner")), F.col("owner")
-    kind = F.when(F.startswith(owner["kind"], F.lit("S")), F.replace(owner["kind"], F.lit("S"), F.lit("B"))).otherwise(owner["kind"])
-    of = F.struct(kind.alias("kind"), owner["year"].alias("year"), owner["number"].alias("number"))
+
+    def owned(owner: Column) -> Column:
+        kind = F.when(F.startswith(owner["kind"], F.lit("S")), F.replace(owner["kind"], F.lit("S"), F.lit("B"))).otherwise(owner["kind"])
+        of = F.struct(kind.alias("kind"), owner["year"].alias("year"))
+        return F.struct(owner.alias("owner"), ids.bulletin_of(owner).alias("bulletin"), ids.article_of(of, F.lit("")).alias("article_"))
+
+    # inline: the identifiers are worked out once a page, not once a field or entry
+    printed = once(ids.cve_struct(F.regexp_extract("printed", IN_TEXT, 0)), owned)
+    whole = found.where("error is null").select("key", "title", "pdf", "pages", "entries", F.inline(F.array(printed)))
+    cve, owner = F.col("bulletin"), F.col("owner")
     base = F.concat(F.lit(f"{site}/bome/"), cve)
 
     def entry(e: Column) -> Column:
-        article = ids.article_of(of, e["number"])
+        article = F.concat("article_", e["number"].cast("string"))
         own = F.struct(article.alias("cve"), e["number"].alias("number"), e["said"].alias("summary"), F.concat(base, F.lit("/articulo/"), e["number"].cast("string")).alias("url"), F.concat(F.lit(f"{site}/bome/descargar/"), article, F.lit(".pdf")).alias("pdf_url"), e["first_page"].alias("first_page"))
         return F.struct(e["department"].alias("department"), e["section"].alias("section"), own.alias("article"))
 
